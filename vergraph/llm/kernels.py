@@ -163,3 +163,58 @@ def binary_rows(flat: np.ndarray, counts: np.ndarray) -> pa.Array:
     if kind == pa.int32():
         return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(off.astype(np.int32).tobytes()), pa.py_buffer(flat.tobytes())])
     return pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(off.tobytes()), pa.py_buffer(flat.tobytes())])
+
+
+class HashIndex:
+    """Positions of 64-bit keys in a fixed sorted set; -1 for all others."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = np.append(keys, U64(0))
+        self.n = len(keys)
+        bits = max(8, min(22, int(max(self.n, 1)).bit_length() + 3))
+        self.shift = U64(64 - bits)
+        bucket = (keys >> self.shift).astype(np.int64)
+        counts = np.bincount(bucket, minlength=1 << bits)
+        self.first = (np.cumsum(counts) - counts).astype(np.int32)
+        self.longest = int(counts.max(initial=0))
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        out = np.full(len(h), -1, np.int32)
+        at = self.first[(h >> self.shift).astype(np.int64)]
+        for _ in range(self.longest):
+            hit = self.keys[np.minimum(at, self.n)] == h
+            hit &= at < self.n
+            out[hit] = at[hit]
+            at = at + 1
+        return out
+
+
+class Tally:
+    """Counts by 64-bit key, kept small between flushes."""
+
+    def __init__(self, most: int = 4_000_000):
+        self.most, self.held = most, 0
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def add(self, keys: np.ndarray) -> bool:
+        """True when it is time to take what was counted."""
+        k, n = np.unique(keys, return_counts=True)
+        self.parts.append((k, n))
+        self.held += len(k)
+        if self.held > self.most:
+            self.parts = [self.take()]
+            self.held = len(self.parts[0][0])
+            if self.held > self.most // 2:
+                return True
+        return False
+
+    def take(self) -> tuple[np.ndarray, np.ndarray]:
+        if not self.parts:
+            return np.zeros(0, U64), np.zeros(0, np.int64)
+        k = np.concatenate([p[0] for p in self.parts])
+        n = np.concatenate([p[1] for p in self.parts])
+        self.parts, self.held = [], 0
+        order = np.argsort(k, kind="stable")
+        k, n = k[order], n[order]
+        first = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else np.zeros(0, np.int64)
+        return k[first], np.add.reduceat(n, first) if len(k) else n

@@ -11,6 +11,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import grade_texts, grades_of
+
+    return grade_texts(table(spark, sf_dir, "documents"), grades_of(table(spark, sf_dir, "labels")))
+
+
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_store import read_store, write_store
 
@@ -29,6 +35,12 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_load(table(spark, sf_dir, "documents"))
 
 
+def op9_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .brown import fit_and_score
+
+    return fit_and_score(table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -36,6 +48,6 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op5_token_store, op7_decontaminate, op8_sharding, op10_packing)
+    f.__name__: f for f in (op2_quality, op5_token_store, op7_decontaminate, op8_sharding, op9_brown_lm, op10_packing)
 }
 ORACLE_SQL: dict[str, str] = {}
