@@ -11,6 +11,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .ann import search
+
+    return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import grade_texts, grades_of
 
@@ -48,6 +56,6 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_quality, op5_token_store, op7_decontaminate, op8_sharding, op9_brown_lm, op10_packing)
+    f.__name__: f for f in (op1_ann, op2_quality, op5_token_store, op7_decontaminate, op8_sharding, op9_brown_lm, op10_packing)
 }
 ORACLE_SQL: dict[str, str] = {}
