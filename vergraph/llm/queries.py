@@ -31,6 +31,12 @@ def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_store(spark, write_store(table(spark, sf_dir, "documents")))
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import extract_main_text
+
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import find_contamination, report
 
@@ -56,6 +62,6 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_ann, op2_quality, op5_token_store, op7_decontaminate, op8_sharding, op9_brown_lm, op10_packing)
+    f.__name__: f for f in (op1_ann, op2_quality, op5_token_store, op6_html_text, op7_decontaminate, op8_sharding, op9_brown_lm, op10_packing)
 }
 ORACLE_SQL: dict[str, str] = {}
