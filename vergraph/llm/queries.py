@@ -25,6 +25,12 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grade_texts(table(spark, sf_dir, "documents"), grades_of(table(spark, sf_dir, "labels")))
 
 
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_store import read_store, write_store
 
@@ -62,6 +68,6 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_ann, op2_quality, op5_token_store, op6_html_text, op7_decontaminate, op8_sharding, op9_brown_lm, op10_packing)
+    f.__name__: f for f in (op1_ann, op2_quality, op4_minhash, op5_token_store, op6_html_text, op7_decontaminate, op8_sharding, op9_brown_lm, op10_packing)
 }
 ORACLE_SQL: dict[str, str] = {}
