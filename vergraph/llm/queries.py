@@ -25,6 +25,12 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grade_texts(table(spark, sf_dir, "documents"), grades_of(table(spark, sf_dir, "labels")))
 
 
+def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repeats import find_repeats, report
+
+    return report(find_repeats(table(spark, sf_dir, "documents")))
+
+
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .minhash import near_duplicates
 
@@ -68,6 +74,6 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_ann, op2_quality, op4_minhash, op5_token_store, op6_html_text, op7_decontaminate, op8_sharding, op9_brown_lm, op10_packing)
+    f.__name__: f for f in (op1_ann, op2_quality, op3_repeats, op4_minhash, op5_token_store, op6_html_text, op7_decontaminate, op8_sharding, op9_brown_lm, op10_packing)
 }
 ORACLE_SQL: dict[str, str] = {}
