@@ -1,4 +1,77 @@
-STAGES = []
+"""From raw documents to packed training sequences, in five stages.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes
+it as Parquet and reads it back as the next one's ``docs``.  All but the last
+return the columns of ``documents``; where a stage shortens texts, n_chars
+follows.  A classifier trained on the labels, a similarity graph and suffix
+arrays are beyond SQL, so there is no ORACLE_SQL; tests check ``run`` against
+brute force.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from vergraph.llm import decontaminate, minhash, packing, quality, repeats, workspace
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def select_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose chance of the top grade is at least one half."""
+    workspace.release(spark)
+    return quality.select_texts(docs, quality.grades_of(table(spark, sf_dir, "labels")))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest id, of every group of near-duplicates."""
+    workspace.release(spark)
+    kept = minhash.near_duplicates(docs).where("kept").select("doc_id")
+    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the passages of 200 bytes or more that occur again."""
+    workspace.release(spark)
+    found = repeats.find_repeats(docs, carry=tuple(c for c in docs.columns if c not in ("doc_id", "text")))
+    left = repeats.without_repeats(found)
+    return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no window of the benchmark."""
+    workspace.release(spark)
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of training sequences, mixed by source."""
+    workspace.release(spark)
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality", select_quality),
+    ("near_duplicates", drop_near_duplicates),
+    ("repeats", cut_repeats),
+    ("decontamination", drop_leaks),
+    ("packing", pack_sequences),
+]
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; returns the packed pieces."""
+    docs = table(spark, sf_dir, "documents")
+    folder = f"{workspace.shared_dir(spark)}/vergraph/pipeline-{uuid.uuid4().hex}"
+    for name, stage in STAGES:
+        out = stage(spark, docs, sf_dir)
+        out.write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    workspace.release(spark)
+    return docs

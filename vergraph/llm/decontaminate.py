@@ -52,36 +52,53 @@ def lookup(windows: list[tuple[int, int, bytes, object]]) -> dict[int, tuple[np.
     return {k: (np.array(sorted(v), np.uint64), {h: {w: frozenset(i) for w, i in x.items()} for h, x in v.items()}) for k, v in out.items()}
 
 
+def hits(table: dict, data: np.ndarray, off: np.ndarray) -> tuple[Words, list[list[tuple[int, int]]], list[set]]:
+    """The words of a slice and, per row, verified windows and their items."""
+    words = Words(data, off, ALNUM)
+    n = len(off) - 1
+    runs: list[list[tuple[int, int]]] = [[] for _ in range(n)]
+    items: list[set] = [set() for _ in range(n)]
+    for k, (known, detail) in table.items():
+        at, h = words.windows(k)
+        place = np.minimum(np.searchsorted(known, h), len(known) - 1)
+        for i, key in zip(at[hit := known[place] == h].tolist(), h[hit].tolist(), strict=True):
+            found = detail[key].get(b" ".join(words.text(j) for j in range(i, i + k)))
+            if found:
+                row = int(words.row[i])
+                items[row] |= found
+                a = i - int(words.first[row])
+                runs[row].append((a, a + k))
+    return words, runs, items
+
+
+def merged(own: list[tuple[int, int]]) -> list[int]:
+    """Overlapping or touching runs as one: start, end, start, end, ..."""
+    flat: list[int] = []
+    for a, b in sorted(own):
+        if flat and a <= flat[-1]:
+            flat[-1] = max(flat[-1], b)
+        else:
+            flat += [a, b]
+    return flat
+
+
 def scan(shared):
     """Per document: word count, covered word indexes as runs, items found."""
 
     def run(batches):
-        table = shared.value
         for batch, data, off in slices(batches, "text"):
-            words = Words(data, off, ALNUM)
-            n = batch.num_rows
-            runs: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-            items: list[set] = [set() for _ in range(n)]
-            for k, (known, detail) in table.items():
-                at, h = words.windows(k)
-                place = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                for i, key in zip(at[hit := known[place] == h].tolist(), h[hit].tolist(), strict=True):
-                    found = detail[key].get(b" ".join(words.text(j) for j in range(i, i + k)))
-                    if found:
-                        row = int(words.row[i])
-                        items[row] |= found
-                        a = i - int(words.first[row])
-                        runs[row].append((a, a + k))
-            merged = []
-            for own in runs:
-                flat: list[int] = []
-                for a, b in sorted(own):
-                    if flat and a <= flat[-1]:
-                        flat[-1] = max(flat[-1], b)
-                    else:
-                        flat += [a, b]
-                merged.append(flat)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words.count, pa.int64()), pa.array(merged, pa.list_(pa.int64())), pa.array([sorted(map(str, x)) for x in items], pa.list_(pa.string()))], ["doc_id", "n_words", "runs", "items"])
+            words, runs, items = hits(shared.value, data, off)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words.count, pa.int64()), pa.array([merged(r) for r in runs], pa.list_(pa.int64())), pa.array([sorted(map(str, x)) for x in items], pa.list_(pa.string()))], ["doc_id", "n_words", "runs", "items"])
+
+    return run
+
+
+def keep_clean(shared, text_col: str):
+    """The rows without any hit, as they are."""
+
+    def run(batches):
+        for batch, data, off in slices(batches, text_col):
+            yield batch.filter(pa.array([not x for x in hits(shared.value, data, off)[2]], pa.bool_()))
 
     return run
 
@@ -89,6 +106,17 @@ def scan(shared):
 SCAN = "n_words long, runs array<bigint>, items array<string>"
 
 
+def window_tables(benchmark: DataFrame, width: int, part: int, item_col: str = "item_id", item_text_col: str = "text") -> list[dict]:
+    """Lookup tables of the benchmark's windows, of about ``part`` windows each."""
+    tables, held = [], []
+    for row in benchmark.select(item_col, item_text_col).toLocalIterator():
+        held += item_windows([row[0]], [row[1]], width)
+        if len(held) >= part:
+            tables.append(lookup(held))
+            held = []
+    return [*tables, lookup(held)] if held or not tables else tables
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, part: int = PART, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_words, runs (covered word indexes as
     start, end, start, end, ...) and items (sorted ids as strings)."""
@@ -96,14 +124,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH
     ship(spark)
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
-    tables, held = [], []
-    for row in benchmark.select(item_col, item_text_col).toLocalIterator():
-        held += item_windows([row[0]], [row[1]], width)
-        if len(held) >= part:
-            tables.append(held)
-            held = []
-    tables.append(held)
-    scans = [source.mapInArrow(scan(spark.sparkContext.broadcast(lookup(t))), f"doc_id {kind}, {SCAN}") for t in tables]
+    tables = window_tables(benchmark, width, part, item_col, item_text_col)
+    scans = [source.mapInArrow(scan(spark.sparkContext.broadcast(t)), f"doc_id {kind}, {SCAN}") for t in tables]
     if len(scans) == 1:
         return scans[0]
     every = stage(scans[0].withColumn("slice", F.lit(0)), "decontaminate-0")
@@ -115,15 +137,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH
 
 def _join_runs(batches):
     for batch in batches:
-        out = []
-        for lists in batch.column("r").to_pylist():
-            flat: list[int] = []
-            for a, b in sorted((x[i], x[i + 1]) for x in lists for i in range(0, len(x), 2)):
-                if flat and a <= flat[-1]:
-                    flat[-1] = max(flat[-1], b)
-                else:
-                    flat += [a, b]
-            out.append(flat)
+        out = [merged([(x[i], x[i + 1]) for x in lists for i in range(0, len(x), 2)]) for lists in batch.column("r").to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_words"), pa.array(out, pa.list_(pa.int64())), batch.column("items")], ["doc_id", "n_words", "runs", "items"])
 
 
@@ -135,10 +149,13 @@ def report(found: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("items") > 0).alias("contaminated"))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, part: int = PART, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The documents without any benchmark window, with all their columns."""
-    hit = find_contamination(docs, benchmark, **how).where(F.size("items") > 0).select(F.col("doc_id").alias("_hit"))
-    return docs.join(hit, F.col(how.get("id_col", "doc_id")) == F.col("_hit"), "left_anti")
+    spark = docs.sparkSession
+    ship(spark)
+    for table in window_tables(benchmark, width, part, item_col, item_text_col):
+        docs = docs.mapInArrow(keep_clean(spark.sparkContext.broadcast(table), text_col), docs.schema)
+    return docs
 
 
 def cut_spans(words_text: str | None, runs: list[int], pattern) -> str:

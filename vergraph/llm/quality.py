@@ -161,3 +161,21 @@ def grade_texts(docs: DataFrame, graded: DataFrame, grades: int = 3, least: floa
         return rows.select("doc_id", F.lit((grades - 1) / 2).alias("expected_grade"), *prior, F.lit(True).alias("keep"))
     scored = rows.mapInArrow(_score(spark.sparkContext.broadcast(model)), f"doc_id {kind}, expected_grade double, tail array<double>")
     return scored.select("doc_id", "expected_grade", *[F.col("tail")[k - 1].alias(f"p_{k}") for k in range(1, grades)], (F.col("tail")[grades - 2] >= least).alias("keep"))
+
+
+def _select(shared, least: float, text_col: str):
+    def run(batches):
+        model = shared.value
+        for batch, data, off in slices(batches, text_col):
+            yield batch.filter(pa.array(model.tails(model.latent(*features(data, off)))[:, -1] >= least))
+
+    return run
+
+
+def select_texts(docs: DataFrame, graded: DataFrame, grades: int = 3, least: float = LEAST, max_labelled: int = MAX_LABELLED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents that ``grade_texts`` keeps, with all their columns."""
+    spark = docs.sparkSession
+    model = fit(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), graded, grades, max_labelled)
+    if model is None:
+        return docs
+    return docs.mapInArrow(_select(spark.sparkContext.broadcast(model), least, text_col), docs.schema)

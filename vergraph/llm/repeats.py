@@ -225,9 +225,10 @@ def _search_shards(length: int):
     return run
 
 
-def find_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, text, found (array of start, runs of repeated window starts from
-    there): one row per document, ``found`` null where nothing is repeated."""
+    there) and the columns to carry: one row per document, ``found`` null where
+    nothing is repeated."""
     ship(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(F.col(id_col), text).alias("rid"))
@@ -242,7 +243,8 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT, id_col:
     flags = stage(pieces.mapInArrow(_search_shards(length), "d1 long, d2 long, runs array<int>"), "repeat-flags")
     refs = cut.select("doc_id", "rid", F.explode("refs").alias("r")).select("doc_id", "rid", "r.*")
     found = refs.join(flags, ["d1", "d2"]).groupBy("doc_id", "rid").agg(F.collect_set(F.struct("start", "runs")).alias("found"))
-    return rows.join(found, ["doc_id", "rid"], "left").select("doc_id", "text", "found")
+    carried = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(F.col(id_col), text).alias("rid"), *[F.col(c) for c in carry]) if carry else rows
+    return carried.join(found, ["doc_id", "rid"], "left").select("doc_id", "text", "found", *carry)
 
 
 def spans_of(found: list | None, length: int) -> list[tuple[int, int]]:
@@ -298,11 +300,12 @@ def _cut_texts(length: int):
                     parts.append(raw[at:a].tobytes())
                     at = b
                 out.append((b"".join(parts) + raw[at:].tobytes()).decode())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.string())], ["doc_id", "text"])
+            names = [c for c in batch.schema.names if c != "found"]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if c == "text" else batch.column(c) for c in names], names)
 
     return run
 
 
 def without_repeats(found: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id and the text that is left, in whole characters."""
-    return found.mapInArrow(_cut_texts(length), f"doc_id {found.schema['doc_id'].dataType.simpleString()}, text string")
+    """doc_id, the text that is left, in whole characters, and what was carried."""
+    return found.mapInArrow(_cut_texts(length), found.drop("found").schema)
