@@ -1,8 +1,11 @@
 """Token ids of many texts from a public tokenizer file, by word.
 
-The tokenizer drops white space and never joins across it, so a text's ids are
-the ids of its space-separated words, one after another.  A task encodes each
-different word of its texts once and lays the ids out with array operations.
+The tokenizer drops white space and never joins across it, nor across the
+border of a letter and most punctuation, so a text's ids are the ids of its
+words and punctuation runs, one after another.  A task encodes each different
+piece of its texts once and lays the ids out with array operations.  Pieces of
+Latin letters only, which are nearly all of them, need no further splitting
+and go straight to the tokenizer's merge model; all others take its full path.
 """
 
 from __future__ import annotations
@@ -11,13 +14,28 @@ import os
 
 import numpy as np
 
-from .kernels import NOT_SPACE, U64, Words, ragged
+from .kernels import NOT_SPACE, U64, Words, byte_class, ragged
 
 VOCABULARY = "word_bpe_49k.json"
-#: Words remembered by a task before it starts to remember anew.
-REMEMBER = 400_000
-#: The characters between words; the tokenizer takes all of them as white space.
-_BREAK = NOT_SPACE
+#: Pieces remembered by a task before it starts to remember anew.
+REMEMBER = 1_500_000
+_ASCII_LETTER = byte_class(lambda b: 0x41 <= b <= 0x5A or 0x61 <= b <= 0x7A)
+#: Second bytes, after 0xC3, of the letters U+00C0 to U+00FF (not of the two signs there).
+_LATIN_TAIL = byte_class(lambda b: 0x80 <= b <= 0xBF and b not in (0x97, 0xB7))
+#: Punctuation that may be cut from letters: not the apostrophe, which starts
+#: contractions, nor the characters of special tokens.
+_PUNCTUATION = byte_class(lambda b: chr(b) in "!\"#$%&()*+,-./:;=?@[\\]^_`{}~")
+
+
+def _byte_symbols() -> dict[int, str]:
+    """Byte-level vocabularies write printable Latin-1 as itself and the other
+    bytes, in order, as the characters from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+_SYMBOLS = _byte_symbols()
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -26,6 +44,16 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+def letters(data: np.ndarray) -> np.ndarray:
+    """Bytes of ASCII letters and of the two-byte letters of Latin-1."""
+    out = _ASCII_LETTER[data]
+    if len(data) > 1:
+        lead = np.flatnonzero((data[:-1] == 0xC3) & _LATIN_TAIL[data[1:]])
+        out[lead] = True
+        out[lead + 1] = True
+    return out
+
+
 class WordEncoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -34,51 +62,77 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.merge = self.tokenizer.model.tokenize
         self._forget()
 
     def _forget(self):
         self.keys = np.zeros(0, U64)
         self.slot = np.zeros(0, np.int64)
-        self.ids: list[np.ndarray] = []
-        self.flat = np.zeros(0, np.uint32)
-        self.off = np.zeros(1, np.int64)
-
-    def _learn(self, words: Words, hashes: np.ndarray, at: np.ndarray) -> None:
-        # A lone carriage return and the like inside a "word" cannot occur:
-        # every byte that ends a word here is white space for the tokenizer.
-        raw = [words.raw[words.start[i] : words.end[i]].tobytes().decode("utf-8", "replace") for i in at.tolist()]
-        found = self.tokenizer.encode_batch_fast(raw, add_special_tokens=False)
-        ids = [e.ids for e in found]
+        self.flat = np.zeros(1 << 16, np.uint32)
+        self.off = np.zeros(1 << 14, np.int64)
+        self.known = 0
+
+    def _learn(self, raw: bytes, hashes: np.ndarray, start: list[int], end: list[int], plain: list[bool]) -> None:
+        ids: list[list[int]] = []
+        whole: list[str] = []
+        place: list[int] = []
+        for i, (a, b, simple) in enumerate(zip(start, end, plain, strict=True)):
+            piece = raw[a:b]
+            if simple:
+                if not piece.isascii():
+                    piece = piece.decode().lower().encode().decode("latin-1").translate(_SYMBOLS)
+                else:
+                    piece = piece.decode("ascii").lower()
+                ids.append([t.id for t in self.merge(piece)])
+            else:
+                whole.append(piece.decode("utf-8", "replace"))
+                place.append(i)
+                ids.append([])
+        if whole:
+            for i, e in zip(place, self.tokenizer.encode_batch_fast(whole, add_special_tokens=False), strict=True):
+                ids[i] = e.ids
         counts = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((x for i in ids for x in i), np.uint32, int(counts.sum()))
-        base = len(self.off) - 1
-        self.off = np.concatenate([self.off, self.off[-1] + np.cumsum(counts)])
-        self.flat = np.concatenate([self.flat, flat])
-        keys = np.concatenate([self.keys, hashes])
-        slot = np.concatenate([self.slot, base + np.arange(len(at))])
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.slot = keys[order], slot[order]
+        flat = np.array([x for i in ids for x in i], np.uint32)
+        used, n = int(self.off[self.known]), len(ids)
+        if used + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(max(len(self.flat), len(flat)), np.uint32)])
+        if self.known + n + 1 > len(self.off):
+            self.off = np.concatenate([self.off, np.zeros(max(len(self.off), n + 1), np.int64)])
+        self.flat[used : used + len(flat)] = flat
+        self.off[self.known + 1 : self.known + n + 1] = used + np.cumsum(counts)
+        at = np.searchsorted(self.keys, hashes)
+        self.keys = np.insert(self.keys, at, hashes)
+        self.slot = np.insert(self.slot, at, self.known + np.arange(n))
+        self.known += n
 
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the rows of a slice, and how many each row has."""
-        words = Words(data, off, _BREAK)
-        words.raw = data
+        letter, mark = letters(data), _PUNCTUATION[data]
+        split = np.zeros(len(data), bool)
+        split[1:] = letter[:-1] & mark[1:] | mark[:-1] & letter[1:]
+        words = Words(data, off, NOT_SPACE, split)
         n_rows = len(off) - 1
         if len(words.hash) == 0:
             return np.zeros(0, np.uint32), np.zeros(n_rows, np.int64)
         unique, at, back = np.unique(words.hash, return_index=True, return_inverse=True)
-        if len(self.keys) + len(unique) > REMEMBER and len(self.keys):
+        if self.known + len(unique) > REMEMBER and self.known:
             self._forget()
         place = np.searchsorted(self.keys, unique)
-        known = np.zeros(len(unique), bool)
+        new = np.ones(len(unique), bool)
         inside = place < len(self.keys)
-        known[inside] = self.keys[place[inside]] == unique[inside]
-        if not known.all():
-            self._learn(words, unique[~known], at[~known])
+        new[inside] = self.keys[place[inside]] != unique[inside]
+        if new.any():
+            at = at[new]
+            start, end = words.start[at], words.end[at]
+            sums = np.zeros(len(data) + 1, np.int32)
+            np.cumsum(letter, out=sums[1:])
+            plain = sums[end] - sums[start] == end - start
+            self._learn(data.tobytes(), unique[new], start.tolist(), end.tolist(), plain.tolist())
             place = np.searchsorted(self.keys, unique)
-        slot = self.slot[place][back]
-        counts = self.off[slot + 1] - self.off[slot]
-        ids = self.flat[ragged(self.off[slot], counts)]
+        slot = self.slot[place]
+        first, many = self.off[slot], self.off[slot + 1] - self.off[slot]
+        counts = many[back]
+        ids = self.flat[ragged(first[back], counts)]
         sums = np.zeros(len(counts) + 1, np.int64)
         np.cumsum(counts, out=sums[1:])
         return ids, sums[words.first[1:]] - sums[words.first[:-1]]

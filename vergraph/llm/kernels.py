@@ -104,7 +104,8 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = SLICE_BYTES
 class Words:
     """The words of a slice: where they start and end, their row and hash."""
 
-    def __init__(self, data: np.ndarray, off: np.ndarray, inside: np.ndarray):
+    def __init__(self, data: np.ndarray, off: np.ndarray, inside: np.ndarray, split: np.ndarray | None = None):
+        """``split``: bytes at which a new word starts in any case."""
         self.data = low = LOWER[data]
         self.off, n = off, len(low)
         if n == 0:
@@ -117,6 +118,9 @@ class Words:
             edge = off[(off > 0) & (off < n)]
             before[edge] = False
             after[edge - 1] = False
+            if split is not None:
+                before &= ~split
+                after[:-1] &= ~split[1:]
             self.start = np.flatnonzero(m & ~before)
             self.end = np.flatnonzero(m & ~after) + 1
             self.row = np.searchsorted(off, self.start, side="right") - 1
