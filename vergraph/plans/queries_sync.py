@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from vergraph.functions.values import backoff_seconds, difference_ms, micros
 from vergraph.operators import migrate, relations, replica, sync, versions as ver, windows
-from vergraph.sources import star
+from vergraph.sources import snapshots, star
+from vergraph.streaming.attempts import limited_stream
+from vergraph.streaming.changes import STORE, Store, sync_stream
 
 from .oracle import sql
 
@@ -161,3 +163,58 @@ add("u5_retention", lambda s, d: windows.retained(backups(s, d), 1_704_326_400_0
 add("u6_query_log", lambda s, d: windows.query_log(star.table(s, d, "events").select("event_id", "event_type", F.col("user_id").cast("string").alias("identifier"), micros("ts").alias("at_us")), ["error"], "3", limit=20).select("event_id", "at_us"), f"SELECT event_id, at_us FROM {ERRORS} WHERE identifier = '3' ORDER BY at_us DESC LIMIT 20")
 add("u6_report", lambda s, d: windows.audit_report(star.table(s, d, "events").select("event_type", F.col("user_id").alias("identifier"))), "SELECT event_type, count(*) AS n_events, count(DISTINCT user_id) AS n_identifiers FROM events GROUP BY 1")
 add("u7_active_tokens", lambda s, d: windows.active_tokens(star.table(s, d, "events").select("event_id", (micros("ts") + 3_600_000_000).alias("expires_us")), 1_704_110_400_000_000).select("event_id"), "SELECT event_id FROM events WHERE epoch_us(ts) + 3600000000 > 1704110400000000")
+
+
+# sources, sinks and streams
+def _backup(s, d):
+    rows = star.entities(s, d).where("entity_type in ('zone', 'home')").select("id", "name", "entity_type")
+    return snapshots.restore(s, snapshots.backup(rows, snapshots.shared_folder(s, "backup"), "test"))
+
+
+add("snk8_backup_restore", _backup, sql("SELECT id, name, entity_type FROM entities WHERE entity_type IN ('zone', 'home')", "entities"))
+
+
+def _json(s, d):
+    folder = snapshots.write_json(star.entities(s, d).where("entity_type = 'zone'").select("id", "name"), snapshots.shared_folder(s, "json"))
+    return s.read.schema("id string, name string").json(folder)
+
+
+add("snk10_json_lines", _json, sql("SELECT id, name FROM entities WHERE entity_type = 'zone'", "entities"))
+
+
+def _snapshot(s, d):
+    return snapshots.read_snapshot(s, snapshots.write_snapshot(star.entities(s, d).where("entity_type <> 'automation'"), snapshots.shared_folder(s, "snapshot"))).groupBy("entity_type").agg(F.count("*").alias("n"))
+
+
+add("snk1_snapshot", _snapshot, sql("SELECT entity_type, count(*) AS n FROM entities WHERE entity_type <> 'automation' GROUP BY 1", "entities"))
+
+
+def _limits(s, d):
+    folder = snapshots.shared_folder(s, "attempts")
+    rows = crowded(s, d).groupBy("identifier", "at_us").agg(F.first("success").alias("success"))
+    rows.write.parquet(f"{folder}/in")
+    stream = s.readStream.schema("identifier string, at_us long, success boolean").parquet(f"{folder}/in")
+    limited_stream(stream).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return s.read.parquet(f"{folder}/out").groupBy("allowed").agg(F.count("*").alias("n"))
+
+
+add("u2_limiter_stream", _limits)
+
+
+def _sync_stream(s, d):
+    """Three micro-batches of creates and updates, each based on the version before."""
+    folder = snapshots.shared_folder(s, "sync")
+    w = Window.partitionBy("id").orderBy("server_seq")
+    v = star.versions(s, d).withColumn("before", F.lag("version").over(w))
+    rows = v.select(F.col("server_seq").cast("int").alias("pos"), micros("created_at").alias("apply_us"), F.when(F.col("before").isNull(), "create").otherwise("update").alias("change_type"), "id", "version", "content", F.when(F.col("before").isNull(), F.array().cast("array<string>")).otherwise(F.array("before")).alias("parent_versions"))
+    top = rows.agg(F.max("pos").alias("top"))
+    rows = rows.crossJoin(top).withColumn("part", F.least(F.lit(2), F.floor(F.col("pos") * 3 / (F.col("top") + 1))))  # one row
+    for part in range(3):
+        rows.where(F.col("part") == part).drop("part", "top").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = s.readStream.schema("pos int, apply_us long, change_type string, id string, version string, content string, parent_versions array<string>").option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    store = Store(s, f"{folder}/store", STORE)
+    sync_stream(stream, store, f"{folder}/state").awaitTermination()
+    return store.at(100).groupBy("id").agg(F.count("*").alias("n"), F.count_if(F.col("is_latest")).alias("n_latest"), F.max_by("version", F.when(F.col("is_latest"), F.col("server_seq"))).alias("latest"))
+
+
+add("syn1_sync_stream", _sync_stream, sql("SELECT v.id, count(*) AS n, 1 AS n_latest, max(c.version) AS latest FROM vers v JOIN cur c USING (id) GROUP BY 1", "cur"))
