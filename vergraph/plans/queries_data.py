@@ -159,8 +159,8 @@ add("sch5_stop_words", lambda s, d: ranked(search.search_engine(star.entities(s,
 add("sch5_blank", lambda s, d: ranked(search.search_engine(star.entities(s, d), "  ", ["device"]), "name"), f"SELECT id, name, 0.0::DOUBLE AS score FROM {DEVICES} WHERE false")
 add("sch6_properties", lambda s, d: ranked(search.search_properties(star.entities(s, d), PROPERTIES, ["device"])), f"SELECT id, CAST(m / 2 AS DOUBLE) AS score FROM (SELECT 'part-' || p_partkey AS id, {MATCH} AS m FROM part) WHERE m > 0 ORDER BY score DESC, id LIMIT 10")
 NEAR = "near AS (SELECT id, min(distance) AS distance FROM (SELECT id, 1 AS distance FROM ways WHERE at_id = 'supplier-1' UNION ALL SELECT b.id, 2 FROM ways a JOIN ways b ON b.at_id = a.id WHERE a.at_id = 'supplier-1' AND a.id <> 'supplier-1') GROUP BY 1)"
-QUERY7 = "CASE WHEN contains(lower(name), 'small ring') THEN 3.0 ELSE 2.0 * len(list_intersect(" + tokens("name") + ", ['ring', 'small'])) / 2 END"
-add("sch7_connected", lambda s, d: ranked(search.search_connected(_small(s, d), "small ring", "supplier-1"), "distance"), sql(f"SELECT id, distance, round(CAST(score * (1 + 1 / (distance + 1)) AS DOUBLE), 9) AS score FROM (SELECT e.id, distance, {QUERY7} AS score FROM near JOIN entities e USING (id) WHERE entity_type <> 'manual') WHERE score > 0 ORDER BY score DESC, id LIMIT 10", "entities", "ways", recursive=NEAR))
+QUERY7 = "CASE WHEN contains(lower(name), 'small ring') THEN 3.0 ELSE 2.0 * len(list_intersect(" + tokens("name") + ", ['ring', 'small'])) / 2 END + CASE WHEN p_type IS NULL THEN 0 WHEN contains(lower(p_type), 'small ring') THEN 3.0 ELSE 2.0 * len(list_intersect(" + tokens("p_type") + ", ['ring', 'small'])) / 2 END"
+add("sch7_connected", lambda s, d: ranked(search.search_connected(_small(s, d), "small ring", "supplier-1"), "distance"), sql(f"SELECT id, distance, round(CAST(score * (1 + 1 / (distance + 1)) AS DOUBLE), 9) AS score FROM (SELECT e.id, distance, {QUERY7} AS score FROM near JOIN entities e USING (id) LEFT JOIN part ON 'part-' || p_partkey = e.id WHERE entity_type <> 'manual') WHERE score > 0 ORDER BY score DESC, id LIMIT 10", "entities", "ways", recursive=NEAR))
 
 
 def _small(s, d):

@@ -1,9 +1,7 @@
-"""Vocabulary and schemas of the versioned property graph."""
+"""Vocabulary and schemas (as DDL) of the versioned property graph."""
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
 # The names of the graph's data model.
 ENTITY_TYPES = ("home", "room", "device", "zone", "door", "window", "procedure", "manual", "note", "schedule", "automation", "app")
 SOURCE_TYPES = ("homekit", "matter", "manual", "imported", "generated")
@@ -28,19 +26,19 @@ VALID_ENDPOINTS = {
     "has_blob": (("device", "note"), ("manual", "note"), ("app", "note"), ("home", "note")),
 }
 
-ENTITY = T.StructType.fromDDL(
+ENTITY = (
     "id string, version string, entity_type string, name string, content string, source_type string, user_id string, "
     "parent_versions array<string>, created_at timestamp, updated_at timestamp, sync_id string, is_latest boolean, server_seq bigint"
 )
-RELATIONSHIP = T.StructType.fromDDL(
+RELATIONSHIP = (
     "id string, from_entity_id string, from_entity_version string, to_entity_id string, to_entity_version string, "
     "relationship_type string, properties string, user_id string, created_at timestamp, updated_at timestamp, sync_id string, rel_ord bigint"
 )
-CHANGE = T.StructType.fromDDL(
+CHANGE = (
     "batch_id bigint, pos int, apply_us bigint, change_type string, id string, version string, entity_type string, name string, "
     "content string, source_type string, user_id string, parent_versions array<string>"
 )
-BLOB = T.StructType.fromDDL(
+BLOB = (
     "id string, name string, blob_type string, mime_type string, size bigint, data binary, blob_metadata string, checksum string, "
     "sync_status string, server_url string, last_sync_at timestamp, user_id string, summary string, created_at timestamp, updated_at timestamp, sync_id string"
 )
