@@ -51,23 +51,27 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the tables staged so far; call when what was made of them is written."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while _staged:
-        path = jvm.org.apache.hadoop.fs.Path(_staged.pop())
-        path.getFileSystem(conf).delete(path, True)
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def release(spark: SparkSession, using: DataFrame | None = None) -> None:
+    """Delete the tables staged so far, but for those that ``using`` still reads;
+    call when what was made of them is written."""
+    files = using.inputFiles() if using is not None else []
+    for path in list(_staged):
+        if not any(path.rsplit("/", 1)[-1] in f for f in files):
+            _staged.remove(path)
+            _delete(spark, path)
 
 
 def drop_staged(df: DataFrame) -> None:
     """Delete one staged table that nothing will read again."""
-    spark = df.sparkSession
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for f in df.inputFiles()[:1]:
-        for path in [p for p in _staged if p.split(":", 1)[-1].lstrip("/") in f]:
+        for path in [p for p in _staged if p.rsplit("/", 1)[-1] in f]:
             _staged.remove(path)
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(conf).delete(at, True)
+            _delete(df.sparkSession, path)
 
 
 def running_start(df: DataFrame, group: list[str], order: str, value: Column, out: str, name: str) -> DataFrame:
