@@ -108,10 +108,10 @@ def edits(s, d):
 
 
 def acked(s, d):
-    return star.versions(s, d).select("id").distinct().where(F.col("id").endswith("7"))
+    return flagged(s, d).where("is_latest and user_id = 'click'").select("id")
 
 
-PENDING = f"SELECT id, arg_min(operation, at_us) AS operation, min(at_us) AS entry_us FROM {EDITS} WHERE id NOT LIKE '%7' GROUP BY id"
+PENDING = sql(f"SELECT id, arg_min(operation, at_us) AS operation, min(at_us) AS entry_us FROM {EDITS} WHERE id NOT IN (SELECT id FROM cur WHERE user_id = 'click') GROUP BY id", "cur")
 add("cli3_pending", lambda s, d: replica.pending_state(edits(s, d), acked(s, d)), PENDING)
 add("cli2_push_payload", lambda s, d: replica.push_payload(replica.pending_state(star.entities(s, d).where("entity_type = 'zone'").select("id", F.lit("update").alias("operation"), F.lit(1).alias("at_us"))), star.entities(s, d), star.relationships(s, d).where("from_entity_id like 'nation-%' or from_entity_id = 'part-7'")).select("id", "operation", F.size("relationships").alias("n_edges")), sql("SELECT 'nation-' || n_nationkey AS id, 'update' AS operation, (SELECT count(*) FROM rels WHERE src = 'nation-' || n_nationkey) AS n_edges FROM nation UNION ALL SELECT 'part-7', NULL, count(*) FROM rels WHERE src = 'part-7'", "rels"))
 add("cli4_apply_pull", lambda s, d: replica.apply_pull(flagged(s, d).where("server_seq <= 600"), flagged(s, d).where("server_seq > 400")).where("is_latest").select("id", "version"), sql("SELECT id, version FROM cur", "cur"))
@@ -156,10 +156,10 @@ add("u4_suspicious", lambda s, d: windows.suspicious(attempts(s, d), "12 hours",
 
 
 def backups(s, d):
-    return star.table(s, d, "events").where("event_id % 50 = 0").select(F.concat(F.lit("b"), "event_id").alias("name"), micros("ts").alias("created_us"))
+    return star.table(s, d, "events").select(F.concat(F.lit("b"), "event_id").alias("name"), micros("ts").alias("created_us"))
 
 
-add("u5_retention", lambda s, d: windows.retained(backups(s, d), 1_704_326_400_000_000, 2, 60, True).select("name", "keep"), "SELECT name, (created_us >= 1704326400000000 - 2 * 86400000000 AND r <= 60) OR r = 1 AS keep FROM (SELECT 'b' || event_id AS name, epoch_us(ts) AS created_us, row_number() OVER (ORDER BY ts DESC) AS r FROM events WHERE event_id % 50 = 0)")
+add("u5_retention", lambda s, d: windows.retained(backups(s, d), 1_704_326_400_000_000, 2, 60, True).select("name", "keep"), "SELECT name, (created_us >= 1704326400000000 - 2 * 86400000000 AND r <= 60) OR r = 1 AS keep FROM (SELECT 'b' || event_id AS name, epoch_us(ts) AS created_us, row_number() OVER (ORDER BY ts DESC) AS r FROM events)")
 add("u6_query_log", lambda s, d: windows.query_log(star.table(s, d, "events").select("event_id", "event_type", F.col("user_id").cast("string").alias("identifier"), micros("ts").alias("at_us")), ["error"], "3", limit=20).select("event_id", "at_us"), f"SELECT event_id, at_us FROM {ERRORS} WHERE identifier = '3' ORDER BY at_us DESC LIMIT 20")
 add("u6_report", lambda s, d: windows.audit_report(star.table(s, d, "events").select("event_type", F.col("user_id").alias("identifier"))), "SELECT event_type, count(*) AS n_events, count(DISTINCT user_id) AS n_identifiers FROM events GROUP BY 1")
 add("u7_active_tokens", lambda s, d: windows.active_tokens(star.table(s, d, "events").select("event_id", (micros("ts") + 3_600_000_000).alias("expires_us")), 1_704_110_400_000_000).select("event_id"), "SELECT event_id FROM events WHERE epoch_us(ts) + 3600000000 > 1704110400000000")
