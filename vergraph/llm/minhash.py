@@ -7,21 +7,20 @@ band), and the two low bits of every minimum, packed into four longs (the
 collision-corrected estimate of the similarity by bit counts).  A pair above
 the threshold misses all bands with probability below 5e-7.
 
-Candidates are confirmed in rounds, so that large groups never need all pairs:
+Candidates are confirmed in two rounds, so that large groups never need all
+pairs:
 
 1. every class against the smallest id of each of its bands;
-2. where a band still holds several components, every class against the class
-   of another component that the estimate puts nearest;
-3. all remaining candidate pairs across components whose estimate is not five
-   standard errors under the threshold.
+2. where a band still holds several components, its texts meet in one task (in
+   pairs of chunks, if they are many), which compares full sets across
+   components, skips pairs whose estimate is five standard errors under the
+   threshold, and sends on only links that join two components.
 
-A round only tests pairs across components as they then are, and a pair that
-was tested is not tested again: every candidate pair ends in one component or
-was tested (or estimated far below).  Confirming ships each text to its
-partner's group and compares full shingle sets.
+A pair is compared in the first band that it shares.  Every candidate pair
+ends in one component, was compared on full sets, or was estimated far below.
 
 Nulls and empties: a null text, or one without words, has an empty set and is
-its own component.  With fewer than five words the whole sequence is the only
+its own component; a null doc_id has a null component.  With fewer than five words the whole sequence is the only
 shingle.  Repeated doc_ids with different texts are linked through their id.
 An empty table gives an empty result.  Other columns are ignored.
 """
@@ -34,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .kernels import NOT_SPACE, U64, Words, mix, slices
+from .kernels import NOT_SPACE, U64, Words, mix, ragged, slices
 from .workspace import ship, stage
 
 SHINGLE, HASHES, BANDS, ROWS = 5, 128, 25, 5
@@ -148,70 +147,85 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataF
     fans = pairs.groupBy("hub").agg(F.ceil(F.count("*") / FAN).cast("int").alias("fans"))
     members = pairs.join(fans, "hub").select("hub", F.pmod(F.xxhash64("member"), F.col("fans")).cast("int").alias("fan"), "member")
     hubs = fans.select("hub", F.explode(F.sequence(F.lit(0), F.col("fans") - 1)).alias("fan"), F.col("hub").alias("member"))
-    rows = members.union(hubs).join(texts, F.col("member") == F.col("doc_id")).select("hub", "fan", "member", "text")
+    rows = members.union(hubs).join(texts.hint("merge"), F.col("member") == F.col("doc_id")).select("hub", "fan", "member", "text")
     rows = rows.repartition("hub", "fan").sortWithinPartitions("hub", "fan", F.col("hub") != F.col("member"))
     return rows.mapInArrow(_confirm(percent), "a long, b long")
 
 
-def _across(nearest_only: bool, least: float):
-    """Rows (band, id, comp, bits) sorted by band: candidate pairs across
-    components.  A band's members are compared block by block; at most
-    ``2 * BLOCK`` signatures are compared at once."""
-
-    def compare(ids, comps, bits):
-        n = len(ids)
-        best = np.full(n, -1.0)
-        mate = np.full(n, -1)
-        out = []
-        for i in range(0, n, BLOCK):
-            for j in range(0, n, BLOCK) if nearest_only else range(i, n, BLOCK):
-                s = similarity(bits[i : i + BLOCK, None, :], bits[None, j : j + BLOCK, :])
-                s[comps[i : i + BLOCK, None] == comps[None, j : j + BLOCK]] = -1
-                if nearest_only:
-                    k = s.argmax(axis=1)
-                    v = s[np.arange(len(s)), k]
-                    up = v > best[i : i + BLOCK]
-                    best[i : i + BLOCK][up] = v[up]
-                    mate[i : i + BLOCK][up] = j + k[up]
-                else:
-                    x, y = np.nonzero(s >= least)
-                    out += [(i + p, j + q) for p, q in zip(x.tolist(), y.tolist(), strict=True) if i + p < j + q]
-        if nearest_only:
-            out = [(p, int(mate[p])) for p in np.flatnonzero(best >= least).tolist()]
-        return [(min(ids[p], ids[q]), max(ids[p], ids[q])) for p, q in out]
+#: Members of a band that one task compares with each other, or with as many others.
+CHUNK = 1024
+
+
+def joining_links(ids: list[int], comps: list[int], sides: list[int], bits: np.ndarray, bands: np.ndarray, at: int, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links between members of band number ``at`` that join two components.
+    With two ``sides`` only pairs across them are compared."""
+    n = len(ids)
+    root = {c: c for c in comps}
+
+    def find(c):
+        while root[c] != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
+
+    size = np.array([len(x) for x in sets])
+    shingles, owner = np.concatenate(sets), np.repeat(np.arange(n), size)
+    order = np.argsort(shingles, kind="stable")
+    shingles, owner = shingles[order], owner[order]
+    side, two, least = np.array(sides), len(set(sides)) > 1, percent / 100 - 5 * SIGMA
+    out = []
+    for i in range(n - 1):
+        mine = find(comps[i])
+        other = np.array([find(c) != mine for c in comps[i + 1 :]])
+        if two:
+            other &= side[i + 1 :] != side[i]
+        near = i + 1 + np.flatnonzero(other)
+        if not len(near):
+            continue
+        near = near[similarity(bits[i], bits[near]) >= least]
+        near = near[(bands[near, :at] != bands[i, :at]).all(axis=1)]  # not met in a band before
+        if not len(near):
+            continue
+        if len(near) > 32:
+            first, last = np.searchsorted(shingles, sets[i], "left"), np.searchsorted(shingles, sets[i], "right")
+            both = np.bincount(owner[ragged(first, last - first)], minlength=n)[near]
+        else:
+            both = np.array([np.intersect1d(sets[i], sets[j], assume_unique=True).size for j in near])
+        for j in near[100 * both >= percent * (size[i] + size[near] - both)].tolist():
+            x, y = find(comps[i]), find(comps[j])
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                out.append((ids[i], ids[j]))
+    return out
+
+
+def _meet(percent: int):
+    """Rows sorted by (band, lo, hi): joining links of each group."""
 
     def run(batches):
-        key, ids, comps, bits = None, [], [], []
-        found: set = set()
-
-        def flush():
-            nonlocal found
-            if len(ids) > 1:
-                found |= set(compare(ids, np.array(comps), np.array(bits, np.int64).view(U64).reshape(len(ids), 4)))
-
-        def emit():
-            nonlocal found
-            rows = sorted(found)
-            found = set()
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], ["hub", "member"])
-
-        for batch in batches:
-            for k, i, c, b in zip(*(batch.column(x).to_pylist() for x in ("band", "id", "comp", "bits")), strict=True):
-                if k != key:
-                    flush()
-                    key, ids, comps, bits = k, [], [], []
-                    if len(found) > 100_000:
-                        yield emit()
-                ids.append(i)
-                comps.append(c)
-                bits.append(b)
-        flush()
-        yield emit()
+        key, rows = None, []
 
-    return run
+        def links():
+            if len(rows) < 2:
+                return []
+            ids, comps, sides, bits, bands, sets = zip(*rows, strict=True)
+            bands = np.array(bands, np.int64)
+            at = int(np.flatnonzero(bands[0] == key[0])[0])
+            return joining_links(list(ids), list(comps), list(sides), np.array(bits, np.int64).view(U64), bands, at, list(sets), percent)
 
+        for batch, data, off in slices(batches, "text"):
+            found = []
+            columns = [batch.column(c).to_pylist() for c in ("band", "lo", "hi", "id", "comp", "side", "bits", "bands")]
+            for band, lo, hi, *row, s in zip(*columns, shingle_sets(data, off), strict=True):
+                if (band, lo, hi) != key:
+                    found += links()
+                    key, rows = (band, lo, hi), []
+                rows.append((*row, s))
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
+        found = links()
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
 
-BLOCK = 512
+    return run
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -225,34 +239,29 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
     bands = stage(reps.select(F.col("doc_id").alias("id"), F.explode("bands").alias("band")), "minhash-bands")
     shared = bands.groupBy("band").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot < last").select("band", "pivot")
     bands = stage(bands.join(shared, "band"), "minhash-shared")  # only bands of at least two classes
-    bits = reps.select(F.col("doc_id").alias("id"), "bits")
-    bits = stage(bits.join(bands.select("id").distinct(), "id"), "minhash-bits")
-    texts = rows.join(bits.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    near = stage(reps.select(F.col("doc_id").alias("id"), "bits", "bands").join(bands.select("id").distinct(), "id"), "minhash-near")
+    # what is joined here grows with the corpus: always by shuffle, never by broadcast
+    texts = stage(rows.join(near.select(F.col("id").alias("doc_id")).hint("merge"), "doc_id", "left_semi"), "minhash-texts")
     least = percent / 100 - 5 * SIGMA
 
     def estimate(pairs):
         """Pairs that the packed signatures don't rule out."""
-        x, y = bits.select(F.col("id").alias("hub"), F.col("bits").alias("x")), bits.select(F.col("id").alias("member"), F.col("bits").alias("y"))
+        x, y = near.select(F.col("id").alias("hub"), F.col("bits").alias("x")), near.select(F.col("id").alias("member"), F.col("bits").alias("y"))
         unequal = F.lit(0)
         for i in range(4):
             d = F.col("x")[i].bitwiseXOR(F.col("y")[i])
             unequal = unequal + F.bit_count((d.bitwiseOR(F.shiftrightunsigned(d, 1))).bitwiseAND(F.lit(0x5555555555555555)))
-        near = (1 - unequal / HASHES - 0.25) / 0.75 >= least
-        return pairs.join(x, "hub").join(y, "member").where(near).select("hub", "member")
+        close = (1 - unequal / HASHES - 0.25) / 0.75 >= least
+        return pairs.join(x, "hub").join(y, "member").where(close).select("hub", "member")
 
-    tested = stage(bands.where("id <> pivot").select(F.col("pivot").alias("hub"), F.col("id").alias("member")).distinct(), "minhash-tested")
+    tested = bands.where("id <> pivot").select(F.col("pivot").alias("hub"), F.col("id").alias("member")).distinct()
     links = stage(confirm(estimate(tested), texts, percent), "minhash-links")
-    for nearest in (True, False):
-        comps = components(links)
-        placed = bands.select("band", "id").join(comps, "id", "left").select("band", "id", F.coalesce("component", "id").alias("comp"))
-        mixed = placed.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band")
-        across = placed.join(mixed, "band").join(bits, "id").repartition("band").sortWithinPartitions("band", "id")
-        pairs = across.select("band", "id", "comp", "bits").mapInArrow(_across(nearest, least), "hub long, member long").distinct()
-        pairs = stage(pairs.join(tested, ["hub", "member"], "left_anti"), "minhash-pairs")
-        if pairs.isEmpty():
-            break
-        tested = tested.union(pairs)
-        links = links.union(stage(confirm(pairs, texts, percent), "minhash-links"))
+    placed = bands.select("band", "id").join(components(links), "id", "left").select("band", "id", F.coalesce("component", "id").alias("comp"))
+    mixed = placed.groupBy("band").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count("*").alias("n")).where("least < most").select("band", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
+    members = placed.join(mixed, "band").withColumn("side", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("lo", F.least("side", "other")).withColumn("hi", F.greatest("side", "other"))
+    met = members.join(near, "id").join(texts.hint("merge"), F.col("id") == F.col("doc_id")).select("band", "lo", "hi", "id", "comp", "side", "bits", "bands", "text")
+    links = links.union(stage(met.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi", "id").mapInArrow(_meet(percent), "a long, b long"), "minhash-links"))
     # several ids of one class, and one id in several classes, are links too
     same = full.join(classes, ["n_shingles", "d1", "d2"]).select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     comps = components(links.union(same.where("a <> b")))
