@@ -24,34 +24,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def select_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose chance of the top grade is at least one half."""
-    workspace.release(spark)
+    workspace.release(spark, docs)
     return quality.select_texts(docs, quality.grades_of(table(spark, sf_dir, "labels")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of every group of near-duplicates."""
-    workspace.release(spark)
+    workspace.release(spark, docs)
     kept = minhash.near_duplicates(docs).where("kept").select("doc_id")
     return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages of 200 bytes or more that occur again."""
-    workspace.release(spark)
+    workspace.release(spark, docs)
     found = repeats.find_repeats(docs, carry=tuple(c for c in docs.columns if c not in ("doc_id", "text")))
-    left = repeats.without_repeats(found)
+    left = repeats.without_repeats(found).select("doc_id", "text", "carried.*")
     return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of the benchmark."""
-    workspace.release(spark)
+    workspace.release(spark, docs)
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of training sequences, mixed by source."""
-    workspace.release(spark)
+    workspace.release(spark, docs)
     return packing.pack(docs)
 
 

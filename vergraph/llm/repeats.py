@@ -96,12 +96,17 @@ def _keys(length: int):
             if len(data) >= length:
                 anchors = Anchors(data, off, length)
                 at = anchors.anchors()
-                keys = anchors.gram[at].view(np.int64)
-                bounds = np.searchsorted(at, off)
+                row, keys = np.searchsorted(off, at, side="right") - 1, anchors.gram[at].view(np.int64)
+                order = np.lexsort((keys, row))
+                row, keys = row[order], keys[order]
+                first = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (keys[1:] != keys[:-1]))) if len(row) else row
+                times = np.diff(np.append(first, len(row)))
+                row, keys = row[first], keys[first]
             else:
-                keys, bounds = np.zeros(0, np.int64), np.zeros(len(off), np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(keys))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rid"), lists], ["doc_id", "rid", "keys"])
+                row = keys = times = np.zeros(0, np.int64)
+            bounds = pa.array(np.searchsorted(row, np.arange(len(off))), pa.int32())
+            pairs = pa.StructArray.from_arrays([pa.array(keys), pa.array(times, pa.int32())], names=["key", "n"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("rid"), pa.ListArray.from_arrays(bounds, pairs)], ["doc_id", "rid", "keys"])
 
     return run
 
@@ -227,15 +232,17 @@ def _search_shards(length: int):
 
 def find_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, text, found (array of start, runs of repeated window starts from
-    there) and the columns to carry: one row per document, ``found`` null where
-    nothing is repeated."""
+    there), and the columns to carry, if any, as the struct ``carried``: one row
+    per document, ``found`` null where nothing is repeated."""
     ship(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(F.col(id_col), text).alias("rid"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    anchors = stage(rows.mapInArrow(_keys(length), f"doc_id {kind}, rid long, keys array<bigint>"), "repeat-anchors")
-    places = anchors.select("doc_id", "rid", F.explode("keys").alias("key"))
-    again = places.groupBy("key").count().where("count > 1").select("key", (F.col("count") > hot).alias("hot"))
+    anchors = stage(rows.mapInArrow(_keys(length), f"doc_id {kind}, rid long, keys array<struct<key: bigint, n: int>>"), "repeat-anchors")
+    places = anchors.select("doc_id", "rid", F.explode("keys").alias("k")).select("doc_id", "rid", "k.key", "k.n")
+    # written, so that both sides of the join come from shuffles, and a hot key's part can be split
+    again = stage(places.groupBy("key").agg(F.sum("n").alias("places")).where("places > 1").select("key", (F.col("places") > hot).alias("hot")), "repeat-keys")
+    places = places.drop("n")
     own = places.join(again, "key").groupBy("doc_id", "rid").agg(F.collect_set("key").alias("keys"), F.collect_set(F.when(F.col("hot"), F.col("key"))).alias("hot_keys"))
     cut = rows.join(own, ["doc_id", "rid"]).select("doc_id", "rid", "text", "keys", "hot_keys")
     cut = stage(cut.mapInArrow(_cut_pieces(length), f"doc_id {kind}, rid long, refs array<struct<d1: bigint, d2: bigint, start: int>>, new array<struct<key: bigint, d1: bigint, d2: bigint, bytes: binary>>"), "repeat-pieces")
@@ -243,8 +250,8 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT, id_col:
     flags = stage(pieces.mapInArrow(_search_shards(length), "d1 long, d2 long, runs array<int>"), "repeat-flags")
     refs = cut.select("doc_id", "rid", F.explode("refs").alias("r")).select("doc_id", "rid", "r.*")
     found = refs.join(flags, ["d1", "d2"]).groupBy("doc_id", "rid").agg(F.collect_set(F.struct("start", "runs")).alias("found"))
-    carried = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(F.col(id_col), text).alias("rid"), *[F.col(c) for c in carry]) if carry else rows
-    return carried.join(found, ["doc_id", "rid"], "left").select("doc_id", "text", "found", *carry)
+    carried = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(F.col(id_col), text).alias("rid"), F.struct(*carry).alias("carried")) if carry else rows
+    return carried.join(found, ["doc_id", "rid"], "left").select("doc_id", "text", "found", *["carried"] * bool(carry))
 
 
 def spans_of(found: list | None, length: int) -> list[tuple[int, int]]:
