@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import ALNUM, NOT_SPACE, U64, Words, slices
+from .kernels import ALNUM, NOT_SPACE, U64, Words, binary_rows, slices
 from .workspace import ship
 
 BITS, MAX_LABELLED, LEAST = 18, 20_000, 0.5
@@ -117,7 +117,7 @@ class CumulativeLink:
 def _features(batches):
     for batch, data, off in slices(batches, "text"):
         index, bounds = features(data, off)
-        yield pa.RecordBatch.from_arrays([batch.column("grade"), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(index, pa.int32()))], ["grade", "index"])
+        yield pa.RecordBatch.from_arrays([batch.column("grade"), binary_rows(index.astype("<i4"), np.diff(bounds))], ["grade", "index"])
 
 
 def fit(docs: DataFrame, graded: DataFrame, grades: int = 3, max_labelled: int = MAX_LABELLED) -> CumulativeLink | None:
@@ -125,11 +125,11 @@ def fit(docs: DataFrame, graded: DataFrame, grades: int = 3, max_labelled: int =
     ship(docs.sparkSession)
     usable = graded.select("doc_id", F.col("grade").cast("int").alias("grade")).where(F.col("doc_id").isNotNull() & F.col("grade").between(0, grades - 1))
     sample = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "grade").limit(max_labelled)
-    found = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "grade").mapInArrow(_features, "grade int, index array<int>").toPandas()
+    found = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "grade").mapInArrow(_features, "grade int, index binary").toPandas()
     if not len(found):
         return None
     model = CumulativeLink(grades)
-    rows = [np.asarray(x, np.int64) for x in found["index"]]
+    rows = [np.frombuffer(x, "<i4") for x in found["index"]]
     order = sorted(range(len(rows)), key=lambda i: (found["grade"][i], len(rows[i]), rows[i].tobytes()))  # whatever order the rows come in
     model.fit([rows[i] for i in order], found["grade"].to_numpy()[order])
     return model
