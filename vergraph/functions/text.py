@@ -79,7 +79,8 @@ def match_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def content_preview(content: Column) -> Column:
-    """First three keys with their values cut to 50 characters."""
+    """First three keys with their values cut to 50 characters, then dots; null
+    for content without keys (PRJ5)."""
     keys = F.json_object_keys(content)
     shown = F.transform(F.slice(keys, 1, 3), lambda k: F.concat(k, F.lit(": "), F.substring(F.element_at(F.from_json(content, "map<string,string>"), k), 1, 50)))
-    return F.concat(F.array_join(shown, ", "), F.when(F.size(keys) > 3, "...").otherwise(""))
+    return F.when(F.size(keys) > 0, F.concat(F.array_join(shown, ", "), F.lit("...")))

@@ -85,3 +85,17 @@ def replace_touching(edges: DataFrame, ids: DataFrame, new: DataFrame) -> DataFr
     for side in ("from_entity_id", "to_entity_id"):
         edges = edges.join(ids.select(F.col("id").alias(side)), side, "left_anti")
     return edges.unionByName(new, allowMissingColumns=True)
+
+
+def upkeep(graph: Graph, nodes: DataFrame, edges: DataFrame) -> Graph:
+    """The loaded graph after a batch of node and edge rows: of each id the last
+    (``pos``) counts, a tombstone takes the node out with its edges, and an edge
+    whose endpoints are both there comes in (TRV20, SYN15)."""
+    from vergraph.functions.values import is_tombstoned
+    from vergraph.operators.replica import keep_last
+
+    last = keep_last(nodes, ["id"], "pos").drop("pos")
+    stored = graph.latest().join(last.select("id"), "id", "left_anti").unionByName(last, allowMissingColumns=True)
+    alive = stored.where(~is_tombstoned(F.col("content")))
+    kept = existing(upsert_edges(graph.relationships, edges), alive)
+    return Graph(alive, kept)

@@ -68,3 +68,22 @@ def type_index(entities: DataFrame) -> DataFrame:
 def without_ids(rows: DataFrame, ids: DataFrame) -> DataFrame:
     """Hard delete (generic CRUD)."""
     return rows.join(ids.select("id"), "id", "left_anti")
+
+
+def unsent_edges(pending: DataFrame, edges: DataFrame) -> DataFrame:
+    """Pending edges without a pending source (JON11)."""
+    return edges.join(pending.select(F.col("id").alias("from_entity_id")), "from_entity_id", "left_anti")
+
+
+def sync_cycle(local: DataFrame, server: DataFrame, edits: DataFrame, cursor: int, size: int = 500) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One cycle: the pending ids are those before the pull; the pulled page is
+    applied; the pending ids' local rows are pushed; what the server took leaves
+    the pending set (CLI1).  Returns the local rows after the pull, the rows to
+    push, and the edits still pending when ``push`` is acknowledged."""
+    from vergraph.operators.versions import changed_since
+
+    waiting = pending_state(edits)
+    pulled = changed_since(server.where("is_latest"), cursor).orderBy("server_seq").limit(size)
+    after = apply_pull(local, pulled)
+    push = local.where("is_latest").join(waiting.select("id"), "id", "left_semi")
+    return after, push, edits.join(push.select("id"), "id", "left_anti")

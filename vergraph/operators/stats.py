@@ -76,3 +76,11 @@ def sync_counters(outcomes: DataFrame) -> DataFrame:
         .groupBy("client_id", "last_success_us")
         .agg(F.count("*").alias("total_syncs"), F.sum("conflicts").alias("total_conflicts"), F.count_if(~F.col("ok") & (F.col("at_us") > F.coalesce("last_success_us", F.lit(-(1 << 62))))).alias("sync_failures"))
     )
+
+
+def drifted(rows: DataFrame, marker: DataFrame) -> DataFrame:
+    """One row: whether the rows still have the marker taken before (SYN16)."""
+    now = generation_marker(rows)
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in now.columns]
+    both = now.alias("a").crossJoin(marker.alias("b"))  # single rows
+    return both.select((~F.forall(F.array(*same), lambda x: x)).alias("drifted"))
