@@ -1,5 +1,8 @@
 """The driver's contract, and SQL for the registered queries."""
 
+import subprocess
+import sys
+
 import duckdb
 import pytest
 
@@ -15,6 +18,11 @@ def test_entry(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
+def test_queries_need_no_session():
+    code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries())"
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=120)
+
+
 @pytest.fixture(scope="module")
 def tables():
     con = duckdb.connect()

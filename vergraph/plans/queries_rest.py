@@ -127,8 +127,8 @@ def _gaps(s, d):
 add("dat1_differences", lambda s, d: _gaps(s, d).select("server_seq", difference_ms(F.col("us"), F.col("before")).alias("ms")), sql(f"SELECT server_seq, CAST(trunc((before - us) / 1000) AS BIGINT) AS ms FROM ({GAPS}) WHERE before IS NOT NULL", "vers"))
 add("mth1_averages", lambda s, d: traverse.degrees(star.graph(s, d)).agg(F.round(F.try_divide(F.sum("degree"), F.count("*")), 2).alias("average_degree"), F.try_divide(F.sum("degree"), F.count_if(F.col("degree") < 0)).alias("guarded")), sql("SELECT round((2 * (SELECT count(*) FROM rels)) / (SELECT count(*) FROM entities), 2) AS average_degree, CAST(NULL AS DOUBLE) AS guarded", "entities", "rels"))
 add("arr1_capabilities", lambda s, d: devices(s, d).select("id", F.get(F.slice(list_field(F.col("content"), "capabilities"), 1, 1), F.lit(0)).alias("capability"), F.array_contains(list_field(F.col("content"), "capabilities"), "ECO").alias("eco")), "SELECT 'part-' || p_partkey AS id, p_type AS capability, p_type = 'ECO' AS eco FROM part")
-MERGED = F.lit('{"size":1,"room":{"a":[1]}}')
-add("map1_merged_content", lambda s, d: devices(s, d).withColumn("m", merged_content(F.col("content"), MERGED)).select("id", text_field(F.col("m"), "size").alias("size"), text_field(F.col("m"), "brand").alias("brand"), text_field(F.col("m"), "room").alias("room")), "SELECT 'part-' || p_partkey AS id, '1' AS size, p_brand AS brand, '{\"a\":[1]}' AS room FROM part")
+MERGED = '{"size":1,"room":{"a":[1]}}'
+add("map1_merged_content", lambda s, d: devices(s, d).withColumn("m", merged_content(F.col("content"), F.lit(MERGED))).select("id", text_field(F.col("m"), "size").alias("size"), text_field(F.col("m"), "brand").alias("brand"), text_field(F.col("m"), "room").alias("room")), "SELECT 'part-' || p_partkey AS id, '1' AS size, p_brand AS brand, '{\"a\":[1]}' AS room FROM part")
 add("jsn1_content_text", lambda s, d: devices(s, d).select("id", text.content_text("content").alias("content_text")), """SELECT 'part-' || p_partkey AS id, lower('{"brand": "' || p_brand || '", "type": "' || p_type || '", "size": ' || p_size || ', "capabilities": ["' || p_type || '"]}') AS content_text FROM part""")
 add("jsn2_leaves", lambda s, d: devices(s, d).select("id", F.explode(text.leaves("content")).alias("leaf")).select("id", "leaf.path", "leaf.value"), "SELECT 'part-' || p_partkey AS id, path, value FROM part, (VALUES ('brand'), ('type'), ('capabilities[0]')) t(path), LATERAL (SELECT CASE path WHEN 'brand' THEN p_brand ELSE p_type END AS value)")
 add("jsn3_same_content", lambda s, d: devices(s, d).select("id", (F.to_json(F.parse_json("content")) == F.to_json(F.parse_json(merged_content(F.lit("{}"), F.col("content"))))).alias("same"), is_tombstoned(F.col("content")).alias("deleted")), "SELECT 'part-' || p_partkey AS id, true AS same, false AS deleted FROM part")
