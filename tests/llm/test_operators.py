@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vergraph.llm import ann, brown, decontaminate, html_text, minhash, packing, quality, repeats, sharding, suffix, token_store
+from vergraph.llm import ann, brown, decontaminate, html_text, kernels, minhash, packing, quality, repeats, sharding, suffix, token_store
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, extra string"
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
@@ -239,6 +239,43 @@ def test_language_model(docs, empty):
     assert brown.fit_and_score(empty).count() == 0
 
 
+def test_every_training_word_is_placed(spark):
+    """Rare words that behave as frequent ones join their classes, in the table or not."""
+    left, right = [f"a{i}" for i in range(40)], [f"b{i}" for i in range(40)]
+    rng = np.random.default_rng(8)
+    pick = lambda words: words[min(int(rng.exponential(6)), 39)]
+    texts = [" ".join(w for _ in range(20) for w in (pick(left), pick(right))) for _ in range(60)] + ["a39 b39 b38"]
+    train = spark.createDataFrame([(t,) for t in texts], "text string")
+    words = Counter(w for t in texts for w in t.split())
+    for known in (8, 1000):
+        model, rare = brown.fit(train, classes=4, clustered=6, known=known)
+        rows = {r["key"]: r for r in rare.collect()}
+        assert (model.cls < 4).all() and all(r["cls"] < 4 for r in rows.values()) and len(model.cls) + len(rows) == len(words)
+        assert sum(model.counts) + sum(r["n"] for r in rows.values()) == sum(words.values()) == model.total - len(texts)
+        assert np.allclose((10 ** model.log_transition[:, :6]).sum(axis=1), 1)
+
+        def class_of(word):
+            key = kernels.Words(np.frombuffer(word.encode(), np.uint8), np.array([0, len(word)]), kernels.NOT_SPACE).hash
+            slot, cls = model.classes_of(key, -1)
+            return int(cls[0]) if slot[0] >= 0 else rows[int(key.view(np.int64)[0])]["cls"]
+
+        sides = [{class_of(w) for w in side if words[w] > 3} for side in (left, right)]
+        assert not sides[0] & sides[1]
+
+
+def test_scores_do_not_depend_on_the_table(docs):
+    """Words scored through the join get what they would get from the table."""
+    train = docs.select("text").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2)
+    model, rare = brown.fit(train, classes=4, clustered=8, known=1000)
+    rows = docs.select("doc_id", "text", F.lit(True).alias("held_out"))
+    want = sorted((r["doc_id"], r["n_known"], round(r["base_score"], 6), round(r["score"], 6)) for r in brown.score(rows, model, rare).collect())
+    less = brown.Model(model.index.keys[: model.index.n][::9], model.counts[::9], model.total, model.types, model.docs, 4)
+    less.cls, less.log_transition, less.log_size = model.cls[::9], model.log_transition, model.log_size
+    away = [(int(k), int(c), int(n)) for i, (k, c, n) in enumerate(zip(model.index.keys[: model.index.n].view(np.int64), model.cls, model.counts, strict=True)) if i % 9]
+    got = brown.score(rows, less, docs.sparkSession.createDataFrame(away, "key long, cls int, n long"))
+    assert sorted((r["doc_id"], r["n_known"], round(r["base_score"], 6), round(r["score"], 6)) for r in got.collect()) == want
+
+
 def test_exchange_finds_groups():
     rng = np.random.default_rng(2)
     pairs = np.zeros((20, 20))

@@ -1,21 +1,22 @@
 """Operator 9: scoring by a class-based bigram model with exchange clustering.
 
-1. Words of all training texts are counted (a distributed count).
-2. Bigrams among the ``clustered`` most frequent words are counted over the
-   whole training set; the exchange algorithm moves words between ``classes``
-   classes while that raises the likelihood of the class bigram model.
-3. A further scan counts, for each of the ``assigned`` most frequent words,
-   the classes before it; words that were not clustered join the class that
-   explains these contexts best.  All other words form the tail class.
-4. A scan counts class transitions over the whole training set.
-5. The last scan scores: log10 P(class | class before) + log10 P(word | class).
+1. One scan counts all bigrams of the training set, a start before and an end
+   after every text; everything below but the scoring reads these counts.
+2. Among the ``clustered`` most frequent words the exchange algorithm moves
+   words one by one between ``classes`` classes while that raises the
+   likelihood of the class bigram model.
+3. Then every training word, however rare, is placed: executors collect the
+   classes before and after each word, and choose the class that explains them
+   best.  This is repeated with all words' new classes, at most ``rounds``
+   times; a round that does not raise the likelihood is taken back.
+4. The last scan scores: log10 P(class | class before) + log10 P(word | class).
    Transitions are smoothed with the class unigram, emissions by adding one.
-   Counts of the ``known`` most frequent words are broadcast (a bounded
-   table); those of all rarer words come from a join.
+   Counts and classes of the ``known`` most frequent words are broadcast (a
+   bounded table); those of all rarer words come from a join.
 
 The first class follows a start class; every text ends with one end token, a
-class of its own.  A tail word keeps the class before it as context for the
-next word.
+class of its own.  Words that no training text holds form the tail class: they
+follow, and are followed by, what training words of a single occurrence are.
 
 Nulls and empties: a null or word-less text is its end token alone.  A null
 doc_id counts as the empty text in the fold rule.  Repeated rows are scored
@@ -30,37 +31,67 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import NOT_SPACE, U64, HashIndex, Tally, Words, slices
-from .workspace import ship, stage
+from .kernels import NOT_SPACE, U64, HashIndex, Words, slices
+from .workspace import drop_staged, ship, stage
 
-CLASSES, CLUSTERED, ASSIGNED, KNOWN, PRIOR = 64, 1024, 65_536, 262_144, 16.0
+CLASSES, CLUSTERED, KNOWN, PRIOR, ROUNDS = 64, 2048, 262_144, 16.0, 3
+#: Stand for the start and the end of a text among word hashes.
+START, END = U64(0x5851F42D4C957F2D), U64(0x14057B7EF767814F)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 7 == 2
 
 
-def _rows(k: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(n.astype(np.int64))], ["key", "n"])
+def _distinct(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different pairs, with the sums of their counts."""
+    if not len(a):
+        return a, b, n
+    key = a * U64(0x9E3779B97F4A7C15) + b
+    order = np.argsort(key)
+    a, b, n = a[order], b[order], n[order]
+    first = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
+    return a[first], b[first], np.add.reduceat(n, first)
 
 
-def _count(keys_of):
-    """Counts of the 64-bit keys that ``keys_of`` finds in every slice."""
+def _count_pairs(most: int = 1_500_000):
+    """Counts of the pairs (token, next token) of a task's rows."""
 
     def run(batches):
-        tally = Tally()
+        parts, held = [], 0
+
+        def take():
+            return _distinct(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+
+        def rows(a, b, n):
+            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(n)], ["a", "b", "n"])
+
         for _, data, off in slices(batches, "text"):
-            if tally.add(keys_of(Words(data, off, NOT_SPACE))):
-                yield _rows(*tally.take())
-        yield _rows(*tally.take())
+            words = Words(data, off, NOT_SPACE)
+            full = words.count > 0
+            before = np.append(START, words.hash[:-1])[: len(words.hash)]
+            before[words.first[:-1][full]] = START
+            last = np.full(len(full), START)
+            last[full] = words.hash[words.first[1:][full] - 1]
+            a, b = np.append(before, last), np.append(words.hash, np.full(len(full), END))
+            parts.append(_distinct(a, b, np.ones(len(a), np.int64)))
+            held += len(parts[-1][0])
+            if held > most:
+                parts = [take()]
+                held = len(parts[0][0])
+                if held > most // 2:
+                    yield rows(*parts[0])
+                    parts, held = [], 0
+        if parts:
+            yield rows(*take())
 
     return run
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """key (word hash as a signed long), n: over all rows of ``docs``."""
+def pair_counts(docs: DataFrame) -> DataFrame:
+    """a, b (word hashes as signed longs, or START and END), n: over all rows of ``docs``."""
     ship(docs.sparkSession)
-    return docs.select("text").mapInArrow(_count(lambda w: w.hash), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(_count_pairs(), "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
 def most_frequent(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -76,8 +107,8 @@ def most_frequent(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]
         least = r["least"]
     if least is None:
         return np.zeros(0, U64), np.zeros(0, np.int64)
-    found = counts.where(F.col("n") >= least).toPandas()
-    keys, n = found["key"].to_numpy(np.int64).view(U64), found["n"].to_numpy(np.int64)
+    found = counts.where(F.col("n") >= least).select("key", "n").toArrow()
+    keys, n = found["key"].to_numpy().view(U64), found["n"].to_numpy()
     order = np.lexsort((keys, -n))
     return keys[order], n[order]
 
@@ -135,52 +166,8 @@ def sorted_index(keys: np.ndarray, values: np.ndarray) -> tuple[HashIndex, np.nd
     return HashIndex(keys[order]), values[order]
 
 
-def _before(words: Words, cls: np.ndarray, tail: int, start: int) -> np.ndarray:
-    """The class before each word: of the last word that is not in the tail,
-    in the same row, or the start class."""
-    n = len(cls)
-    at = np.where(cls != tail, np.arange(n), -1)
-    last = np.maximum.accumulate(at) if n else at
-    prev = np.empty(n, np.int64)
-    if n:
-        prev[0] = -1
-        prev[1:] = last[:-1]
-    ok = prev >= words.first[words.row]
-    return np.where(ok, cls[np.maximum(prev, 0)], start)
-
-
-def _last(words: Words, cls: np.ndarray, tail: int, start: int) -> np.ndarray:
-    """The class before each row's end token."""
-    n = len(cls)
-    last = np.maximum.accumulate(np.where(cls != tail, np.arange(n), -1)) if n else np.zeros(0, np.int64)
-    end = words.first[1:]
-    out = np.full(len(end), start)
-    full = np.flatnonzero(words.count > 0)
-    at = last[end[full] - 1]
-    ok = at >= words.first[full]
-    out[full[ok]] = cls[at[ok]]
-    return out
-
-
-def _best_class(share: np.ndarray):
-    """Rows (word, contexts): the class that explains the contexts best, for
-    words that were seen after a class at all."""
-
-    def run(batches):
-        classes = share.shape[1]
-        for batch in batches:
-            words, best = [], []
-            for word, contexts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                n = np.zeros(classes)
-                for c in contexts:
-                    if c["before"] < classes:
-                        n[c["before"]] = c["n"]
-                if n.any():
-                    words.append(word)
-                    best.append(int(np.argmax(n @ share)))
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.int64()), pa.array(best, pa.int32())], ["word", "cls"])
-
-    return run
+def longs(column: pa.Array) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False)
 
 
 class Model:
@@ -189,89 +176,189 @@ class Model:
     def __init__(self, known: np.ndarray, counts: np.ndarray, total: int, types: int, docs: int, classes: int):
         self.index, self.counts = sorted_index(known, counts)
         self.total, self.types, self.docs = total, types, docs
-        self.tail, self.end, self.start = classes, classes + 1, classes + 2
+        self.tail, self.end, self.start, self.width = classes, classes + 1, classes + 2, classes + 3
         self.cls = np.full(len(known), self.tail, np.int64)
         self.log_transition = np.zeros((classes + 3, classes + 3))
         self.log_size = np.zeros(classes + 3)
 
-    def classes_of(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
-        slot = self.index.find(words.hash)
+    def classes_of(self, keys: np.ndarray, away: int) -> tuple[np.ndarray, np.ndarray]:
+        """Slot in the table, and class: ``away`` for words that are not in it."""
+        slot = self.index.find(keys)
         if not len(self.cls):
-            return slot, np.full(len(slot), self.tail)
-        return slot, np.where(slot >= 0, self.cls[np.maximum(slot, 0)], self.tail)
+            return slot, np.full(len(slot), away)
+        return slot, np.where(slot >= 0, self.cls[np.maximum(slot, 0)], away)
+
+
+def _core_pairs(top: HashIndex):
+    def run(batches):
+        for batch in batches:
+            at, to = (top.find(longs(batch.column(c)).view(U64)).astype(np.int64) for c in ("a", "b"))
+            ok = (at >= 0) & (to >= 0)
+            yield pa.RecordBatch.from_arrays([pa.array(at[ok] * top.n + to[ok]), pa.array(longs(batch.column("n"))[ok])], ["cell", "n"])
+
+    return run
+
+
+def _contexts(shared, placed: bool, away: bool):
+    """(word, c, n): c is the class before, or ``width`` + the class after.  With
+    ``away`` the contexts whose own class is not in the broadcast table, as
+    (word, shift, other, n).  Before all words are ``placed``, those are the tail."""
+
+    def run(batches):
+        m: Model = shared.value
+        for batch in batches:
+            a, b, n = longs(batch.column("a")).view(U64), longs(batch.column("b")).view(U64), longs(batch.column("n"))
+            slot, before = m.classes_of(a, -1 if placed else m.tail)
+            after = m.classes_of(b, -1 if placed else m.tail)[1]
+            before[a == START] = m.start
+            after[b == END] = m.end
+            use_b, use_a = (before < 0, (after < 0) & (a != START)) if away else (before >= 0, (after >= 0) & (a != START))
+            word, count = np.append(b[use_b], a[use_a]).view(np.int64), np.append(n[use_b], n[use_a])
+            once = (slot >= 0) & (m.counts[np.maximum(slot, 0)] == 1) if placed and len(m.counts) else np.zeros(len(a), bool)
+            if away:
+                shift = np.append(np.zeros(use_b.sum(), np.int32), np.full(use_a.sum(), m.width, np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(shift), pa.array(np.append(a[use_b], b[use_a]).view(np.int64)), pa.array(count)], ["word", "shift", "other", "n"])
+            else:
+                c = np.concatenate([before[use_b], after[use_a] + m.width, np.full(once.sum(), 2 * m.width + m.tail)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(np.append(word, b[once].view(np.int64))), pa.array(c), pa.array(np.append(count, n[once]))], ["word", "c", "n"])
+
+    return run
+
+
+def contexts(pairs: DataFrame, model: Model, rare: DataFrame | None) -> DataFrame:
+    """word, seen: how often each training word (and the end) stood after and
+    before each class, and, as 2 * width + tail, after words of one occurrence; the
+    word's own class, if not broadcast, as 2 * width + class."""
+    shared = pairs.sparkSession.sparkContext.broadcast(model)
+    rows = pairs.mapInArrow(_contexts(shared, rare is not None, False), "word long, c int, n long")
+    if rare is not None:
+        away = pairs.mapInArrow(_contexts(shared, True, True), "word long, shift int, other long, n long")
+        own = F.col("shift") + F.col("cls")
+        own = F.when((F.col("shift") == 0) & (rare["n"] == 1), F.array(own, F.lit(2 * model.width + model.tail))).otherwise(F.array(own))
+        away = away.join(rare.hint("merge"), F.col("other") == F.col("key")).select("word", F.explode(own).alias("c"), away["n"])
+        rows = rows.union(away).union(rare.select("key", F.col("cls") + 2 * model.width, F.lit(0).cast("long")))
+    rows = rows.groupBy("word", "c").agg(F.sum("n").alias("n"))
+    return rows.groupBy("word").agg(F.collect_list(F.struct("c", "n")).alias("seen"))  # at most 2 * width + 2 in a list
+
+
+def _seen(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words, and the row, c and n of all their contexts."""
+    seen = batch.column("seen")
+    flat = seen.flatten()
+    row = np.repeat(np.arange(len(seen)), longs(seen.value_lengths()))
+    return longs(batch.column("word")).view(U64), row, longs(flat.field(0)).astype(np.int64), longs(flat.field(1))
+
+
+def _transitions(shared):
+    """Counts (before * width + class) of a task's words.  What stands around
+    words of one occurrence is counted for the tail as well."""
 
+    def run(batches):
+        m: Model = shared.value
+        w = m.width
+        table = np.zeros(w * w, np.int64)
+        for batch in batches:
+            word, row, c, n = _seen(batch)
+            cls = m.classes_of(word, m.tail)[1]
+            cls[word == END] = m.end
+            single = c == 2 * w + m.tail
+            own = (c >= 2 * w) & ~single
+            cls[row[own]] = c[own] - 2 * w
+            before = (c < w) & (c != m.tail)
+            at = before & (cls[row] != m.tail)
+            np.add.at(table, c[at] * w + cls[row[at]], n[at])
+            once = (np.bincount(row[c < w], weights=n[c < w], minlength=len(word)) == 1) & (word != END)
+            np.add.at(table, c[before & once[row]] * w + m.tail, 1)
+            np.add.at(table, m.tail * w + cls[row[single]], n[single])
+            np.add.at(table, m.tail * w + m.tail, int((single & once[row]).sum()))
+        cell = np.flatnonzero(table)
+        yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(table[cell])], ["cell", "n"])
+
+    return run
+
+
+def _place(shared, logs: np.ndarray):
+    """The class of each word that explains what it stood after and before best."""
+
+    def run(batches):
+        m: Model = shared.value
+        for batch in batches:
+            word, row, c, n = _seen(batch)
+            use = c < 2 * m.width
+            seen = np.bincount(row[use] * 2 * m.width + c[use], weights=n[use], minlength=len(word) * 2 * m.width).reshape(len(word), -1)
+            best, count = np.argmax(seen @ logs, axis=1), seen[:, : m.width].sum(axis=1).astype(np.int64)
+            ok = word != END
+            yield pa.RecordBatch.from_arrays([pa.array(word[ok].view(np.int64)), pa.array(best[ok].astype(np.int32)), pa.array(count[ok]), pa.array(m.index.find(word[ok]))], ["key", "cls", "n", "slot"])
+
+    return run
+
+
+def likelihood(table: np.ndarray, classes: int) -> float:
+    """Of the class bigram model, but for a term that no class changes."""
+    seen = np.delete(np.delete(table, classes, axis=0), classes, axis=1)
+    return float(xlogx(seen).sum() - xlogx(seen.sum(axis=1)).sum() - xlogx(seen[:, :classes].sum(axis=0)).sum())
 
-def fit(train: DataFrame, classes: int = CLASSES, clustered: int = CLUSTERED, assigned: int = ASSIGNED, known: int = KNOWN, prior: float = PRIOR) -> tuple[Model, DataFrame]:
-    """The model, and the counts of all training words (key, n)."""
-    spark = train.sparkSession
-    sc = spark.sparkContext
-    counts = stage(word_counts(train), "lm-counts")
+
+def fit(train: DataFrame, classes: int = CLASSES, clustered: int = CLUSTERED, assigned: int | None = None, known: int = KNOWN, prior: float = PRIOR, rounds: int = ROUNDS) -> tuple[Model, DataFrame]:
+    """The model, and class and count (key, cls, n) of the training words that
+    are not in its table.  ``assigned`` has no effect: every word is placed."""
+    sc = train.sparkSession.sparkContext
+    pairs = stage(pair_counts(train), "lm-pairs")
+    end = F.lit(int(END.view(np.int64)))
+    counts = stage(pairs.where(F.col("b") != end).groupBy(F.col("b").alias("key")).agg(F.sum("n").alias("n")), "lm-counts")
     sums = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
-    docs = train.count()
+    docs = pairs.where(F.col("b") == end).agg(F.sum("n")).first()[0] or 0
     keys, n = most_frequent(counts, known)
+    drop_staged(counts)
     model = Model(keys, n, (sums["n"] or 0) + docs, sums["v"] + (docs > 0), docs, classes)
     top = HashIndex(np.sort(keys[:clustered]))
-    k = top.n
-
-    def bigrams(words):
-        at = top.find(words.hash).astype(np.int64)
-        ok = (at[:-1] >= 0) & (at[1:] >= 0) & (words.row[:-1] == words.row[1:])
-        return (at[:-1][ok] * k + at[1:][ok]).astype(U64)
-
-    pairs = np.zeros((k, k))
+    k, width = top.n, model.width
+    core = np.zeros((k, k))
     if k:
-        found = train.select("text").mapInArrow(_count(bigrams), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toPandas()  # at most clustered ** 2 rows
-        pairs.flat[found["key"].to_numpy()] = found["n"].to_numpy()
-    by_count = np.argsort(-(pairs.sum(axis=0) + pairs.sum(axis=1)), kind="stable")
+        found = pairs.mapInArrow(_core_pairs(top), "cell long, n long").toArrow()  # at most clustered ** 2 rows
+        core.flat[found["cell"].to_numpy()] = found["n"].to_numpy()
+        del found
+    by_count = np.argsort(-(core.sum(axis=0) + core.sum(axis=1)), kind="stable")
     own = np.empty(k, np.int64)
-    own[by_count] = exchange(pairs[np.ix_(by_count, by_count)], classes)
-    slot = model.index.find(top.keys[:k])
-    model.cls[slot] = own
+    own[by_count] = exchange(core[np.ix_(by_count, by_count)], classes)
+    del core
+    model.cls[model.index.find(top.keys[:k])] = own
 
-    if len(keys) > clustered:
+    rare, best = None, None
+    for step in range(rounds + 1):
+        seen = stage(contexts(pairs, model, rare), "lm-contexts")
         shared = sc.broadcast(model)
-        width = classes + 3
-        more = HashIndex(np.sort(keys[clustered:assigned]))
-
-        def contexts(words):
-            m = shared.value
-            at = more.find(words.hash).astype(np.int64)
-            before = _before(words, m.classes_of(words)[1], m.tail, m.start)
-            ok = at >= 0
-            return (at[ok] * width + before[ok]).astype(U64)
-
-        one = np.zeros((k, classes))
-        one[np.arange(k), own] = 1
-        seen = one.T @ pairs @ one
-        share = np.log((seen + 0.5) / (seen.sum(axis=0) + 0.5 * classes))  # log P(class before | class)
-        found = train.select("text").mapInArrow(_count(contexts), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-        found = found.select(F.floor(F.col("key") / width).cast("long").alias("word"), F.struct((F.col("key") % width).cast("int").alias("before"), "n").alias("c")).groupBy("word").agg(F.collect_list("c").alias("c"))  # at most classes + 3 in a list
-        placed = found.mapInArrow(_best_class(share), "word long, cls int").toPandas()  # at most ``assigned`` rows
-        model.cls[model.index.find(more.keys[placed["word"].to_numpy()])] = placed["cls"].to_numpy()
-
-    shared = sc.broadcast(model)
-    wide = classes + 3
-
-    def transitions(words):
-        m = shared.value
-        cls = m.classes_of(words)[1]
-        before = _before(words, cls, m.tail, m.start)
-        last = _last(words, cls, m.tail, m.start)
-        return np.concatenate([before * wide + cls, last * wide + m.end]).astype(U64)
-
-    found = train.select("text").mapInArrow(_count(transitions), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toPandas()  # at most (classes + 3) ** 2 rows
-    table = np.zeros((wide, wide))
-    table.flat[found["key"].to_numpy()] = found["n"].to_numpy()
+        found = seen.mapInArrow(_transitions(shared), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most width ** 2 rows
+        table = np.zeros((width, width))
+        table.flat[found["cell"].to_numpy()] = found["n"].to_numpy()
+        reached = likelihood(table, classes)
+        if step and (best is None or reached > best[0]):
+            best = reached, model.cls, rare, table
+        elif step:
+            break
+        if step == rounds:
+            break
+        part = np.delete(table, model.tail, axis=1)[:, :classes], np.delete(table, model.tail, axis=0)[:classes].T
+        logs = np.concatenate([np.log((x + 0.5) / (x.sum(axis=0) + 0.5 * width)) for x in part])  # log P(class before | class), log P(class after | class)
+        logs[[model.tail, width + model.tail]] = 0  # words without a class say nothing
+        placed = stage(seen.mapInArrow(_place(shared, logs), "key long, cls int, n long, slot int"), "lm-placed")
+        drop_staged(seen)
+        found = placed.where("slot >= 0").select("slot", "cls").toArrow()  # at most ``known`` rows
+        model.cls = np.full(len(keys), model.tail, np.int64)
+        model.cls[found["slot"].to_numpy()] = found["cls"].to_numpy()
+        rare = placed.where("slot < 0").select("key", "cls", "n")
+    _, model.cls, rare, table = best
+
     of_class = table.sum(axis=0)[: classes + 2] + 1.0
     unigram = of_class / of_class.sum()
-    model.log_transition[:, : classes + 2] = np.log10((table[:, : classes + 2] + prior * unigram) / (table.sum(axis=1, keepdims=True) + prior))
-    members = np.bincount(model.cls, minlength=wide).astype(float)
-    mass = np.bincount(model.cls, weights=model.counts, minlength=wide)
-    in_table = int((model.cls != model.tail).sum())
-    members[model.tail] = (model.types - (docs > 0)) - in_table + 1  # and one place for all unseen words
-    mass[model.tail] = (model.total - docs) - mass[: classes].sum()
-    model.log_size = np.log10(np.maximum(mass + members, 1.0))
-    return model, counts
+    model.log_transition[:, : classes + 2] = np.log10((table[:, : classes + 2] + prior * unigram) / (table[:, : classes + 2].sum(axis=1, keepdims=True) + prior))
+    members = np.bincount(model.cls, minlength=width).astype(float)
+    for r in rare.groupBy("cls").count().collect():
+        members[r["cls"]] += r["count"]
+    members[model.tail] = 1  # the place of an unseen word
+    model.log_size = np.log10(np.maximum(table.sum(axis=0) + members, 1.0))
+    model.log_size[model.end] = 0
+    return model, rare
 
 
 def _score(shared):
@@ -286,44 +373,75 @@ def _score(shared):
         for batch, data, off in slices(batches, "text"):
             words = Words(data, off, NOT_SPACE)
             n = batch.num_rows
-            slot, cls = m.classes_of(words)
-            before = _before(words, cls, m.tail, m.start)
+            slot, cls = m.classes_of(words.hash, -1)
+            full = words.count > 0
+            first, last = words.first[:-1][full], words.first[1:][full] - 1
+            before, after = np.append(m.start, cls[:-1])[: len(cls)], np.append(cls[1:], m.end)[: len(cls)]
+            before[first] = m.start
+            after[last] = m.end
             here = slot >= 0
             log_n = np.where(here, log_counts[np.maximum(slot, 0)], 0.0) if len(m.cls) else np.zeros(len(slot))
-            per_word = m.log_transition[before, cls] - m.log_size[cls] + log_n
+            # what has a word outside the table on either side is added when its class is known
+            per_word = np.where(here, log_n - m.log_size[np.maximum(cls, 0)] + np.where(before >= 0, m.log_transition[before, cls], 0.0), 0.0)
+            per_end = np.full(n, m.log_transition[m.start, m.end])
+            per_end[full] = np.where(here[last], m.log_transition[cls[last], m.end], 0.0)
 
             def by_row(x, words=words, n=n):
                 return np.bincount(words.row, weights=x, minlength=n)
 
             tokens = words.count + 1
             base = by_row(log_n) + end_log - tokens * base_size
-            score = by_row(per_word) + m.log_transition[_last(words, cls, m.tail, m.start), m.end]
+            score = by_row(per_word) + per_end
             known = by_row(here.astype(float)).astype(np.int64) + (m.docs > 0)
             away = np.flatnonzero(~here)
-            tail = [words.hash[a].view(np.int64) for a in np.split(away, np.searchsorted(words.row[away], np.arange(1, n)))]
+            bounds = np.searchsorted(words.row[away], np.arange(n + 1))
+            tail = pa.StructArray.from_arrays([pa.array(words.hash[away].view(np.int64)), pa.array(away.astype(np.int32)), pa.array(before[away].astype(np.int32)), pa.array(after[away].astype(np.int32))], names=["key", "pos", "before", "after"])
             ids = row_id + np.arange(n)
             row_id += n
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("held_out"), pa.array(ids, pa.int64()), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(score), pa.array(tail, pa.list_(pa.int64()))],
+                [batch.column("doc_id"), batch.column("held_out"), pa.array(ids, pa.int64()), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(score), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), tail)],
                 ["doc_id", "held_out", "row_id", "n_tokens", "n_known", "base_score", "score", "tail"],
             )
 
     return run
 
 
-def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
+def _score_tail(shared):
+    """What a row's words outside the table, in order, add to its sums."""
+
+    def run(batches):
+        m: Model = shared.value
+        for batch in batches:
+            tail = batch.column("tail")
+            row = np.repeat(np.arange(len(tail)), longs(tail.value_lengths()))
+            pos, before, after, cls, n = (longs(tail.flatten().field(i)).astype(np.int64) for i in range(5))
+            order = np.lexsort((pos, row))
+            row, before, after, cls, n = row[order], before[order], after[order], cls[order], n[order]
+            before = np.where(before < 0, np.append(0, cls[:-1])[: len(cls)], before)  # then the word before is the one just before here
+            log_n = np.log10(n + 1.0)
+            score = m.log_transition[before, cls] - m.log_size[cls] + log_n + np.where(after >= 0, m.log_transition[cls, after], 0.0)
+            sums = [np.bincount(row, weights=x, minlength=len(tail)) for x in (n > 0, log_n, score)]
+            yield pa.RecordBatch.from_arrays([batch.column("row_id"), pa.array(sums[0].astype(np.int64)), pa.array(sums[1]), pa.array(sums[2])], ["row_id", "more", "gain", "rest"])
+
+    return run
+
+
+def score(docs: DataFrame, model: Model, rare: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     ship(spark)
+    shared = spark.sparkContext.broadcast(model)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    local = docs.select("doc_id", "held_out", "text").mapInArrow(_score(spark.sparkContext.broadcast(model)), f"doc_id {kind}, held_out boolean, row_id long, n_tokens long, n_known long, base_score double, score double, tail array<bigint>")
+    local = docs.select("doc_id", "held_out", "text").mapInArrow(_score(shared), f"doc_id {kind}, held_out boolean, row_id long, n_tokens long, n_known long, base_score double, score double, tail array<struct<key: bigint, pos: int, before: int, after: int>>")
     local = stage(local, "lm-scored")
-    away = local.select("row_id", F.explode("tail").alias("key")).join(counts, "key").groupBy("row_id").agg(F.count("*").alias("more"), F.sum(F.log10(F.col("n") + 1)).alias("gain"))
-    more, gain = F.coalesce("more", F.lit(0)), F.coalesce("gain", F.lit(0.0))
-    return local.drop("tail").join(away, "row_id", "left").select("doc_id", "held_out", "n_tokens", (F.col("n_known") + more).alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"), (F.col("base_score") + gain).alias("base_score"), (F.col("score") + gain).alias("score"))
+    away = local.select("row_id", F.explode("tail").alias("t")).select("row_id", "t.*").join(rare.hint("merge"), "key", "left")
+    away = away.select("row_id", F.struct("pos", "before", "after", F.coalesce("cls", F.lit(model.tail)).alias("cls"), F.coalesce("n", F.lit(0)).alias("n")).alias("t")).groupBy("row_id").agg(F.collect_list("t").alias("tail"))
+    away = away.mapInArrow(_score_tail(shared), "row_id long, more long, gain double, rest double")
+    more, gain, rest = F.coalesce("more", F.lit(0)), F.coalesce("gain", F.lit(0.0)), F.coalesce("rest", F.lit(0.0))
+    return local.drop("tail").join(away, "row_id", "left").select("doc_id", "held_out", "n_tokens", (F.col("n_known") + more).alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"), (F.col("base_score") + gain).alias("base_score"), (F.col("score") + rest).alias("score"))
 
 
 def fit_and_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **sizes) -> DataFrame:
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), held_out(id_col).alias("held_out"))
-    model, counts = fit(rows.where(~F.col("held_out")), **sizes)
-    return score(rows, model, counts)
+    model, rare = fit(rows.where(~F.col("held_out")), **sizes)
+    return score(rows, model, rare)
