@@ -28,10 +28,14 @@ def select_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return quality.select_texts(docs, quality.grades_of(table(spark, sf_dir, "labels")))
 
 
+#: The stage's own threshold; that of op4_minhash is its query's contract.
+NEAR_PERCENT = 80
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of every group of near-duplicates."""
     workspace.release(spark, docs)
-    kept = minhash.near_duplicates(docs).where("kept").select("doc_id")
+    kept = minhash.near_duplicates(docs, percent=NEAR_PERCENT).where("kept").select("doc_id")
     return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
 
 

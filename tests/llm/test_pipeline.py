@@ -1,6 +1,7 @@
 """The pipeline over the smallest tables, stage by stage."""
 
 import corpus_pipeline
+from vergraph.llm import minhash
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -25,3 +26,23 @@ def test_empty(spark):
         out = stage(spark, docs, SMALL)
         assert out.count() == 0
         docs = docs if "sequence_id" in out.columns else out
+
+
+def text_pairs(n):
+    """Pairs of texts with a similarity from 0.80 to under 0.85."""
+    for k in range(n):
+        base = [f"w{k}x{i}" for i in range(204)]
+        cut = base[:50] + ["other"] + base[51:90] + ["more"] + base[91:130] + ["again"] + base[131:170] + ["last"] + base[171:]
+        yield " ".join(base), " ".join(cut)
+
+
+def test_near_copies_at_the_stage_threshold(spark):
+    rows = [(2 * k + j, text, len(text)) for k, pair in enumerate(text_pairs(30)) for j, text in enumerate(pair)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, SMALL)
+    assert sorted(r["doc_id"] for r in kept.collect()) == [2 * k for k in range(30)]
+    assert minhash.near_duplicates(docs).where("kept").count() == 60
+    for percent in (50, 80, 85, 95):
+        bands, size = minhash.layout(percent)
+        assert bands * size <= minhash.HASHES and (1 - (percent / 100) ** size) ** bands < 5e-7
+    assert minhash.layout(85) == (25, 5)

@@ -2,8 +2,8 @@
 
 A document's set holds the hashes of its distinct five-word shingles.  Equal
 sets form one class, represented by its smallest doc_id; only classes go on.
-128 minima per class give 25 bands of five (candidates: classes that share a
-band), and the two low bits of every minimum, packed into four longs (the
+128 minima per class give bands (candidates: classes that share one; at 85 % 25
+bands of five, at 80 % 28 of four), and the two low bits of every minimum, packed into four longs (the
 collision-corrected estimate of the similarity by bit counts).  A pair above
 the threshold misses all bands with probability below 5e-7.
 
@@ -27,6 +27,8 @@ An empty table gives an empty result.  Other columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,7 +38,7 @@ from .graph import components
 from .kernels import NOT_SPACE, U64, Words, mix, ragged, slices
 from .workspace import ship, stage
 
-SHINGLE, HASHES, BANDS, ROWS = 5, 128, 25, 5
+SHINGLE, HASHES, MISS = 5, 128, 5e-7
 #: Links need 100 * intersection >= 85 * union.
 PERCENT = 85
 _seeds = mix(np.arange(1, HASHES + 1, dtype=U64) * U64(0x9E3779B97F4A7C15))
@@ -45,6 +47,23 @@ _multiply, _add = _seeds | U64(1), mix(_seeds)
 SIGMA = 0.038
 
 
+def layout(percent: int) -> tuple[int, int]:
+    """Bands, and rows of a band: the longest rows with which a pair at the
+    threshold misses all bands with a probability below MISS."""
+    s = percent / 100
+    for rows in range(HASHES if s < 1 else 1, 0, -1):
+        bands = math.ceil(math.log(MISS) / math.log1p(-(s**rows))) if s < 1 else 1
+        if bands * rows <= HASHES:
+            return bands, rows
+    raise ValueError(f"{HASHES} minima are too few to find pairs of similarity {s}")
+
+
+def least_estimate(percent: int) -> float:
+    """Five standard errors under the threshold."""
+    equal = 0.25 + 0.75 * percent / 100
+    return percent / 100 - 5 * max(SIGMA, math.sqrt(equal * (1 - equal) / HASHES) / 0.75)
+
+
 def shingle_sets(data: np.ndarray, off: np.ndarray, k: int = SHINGLE) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of every row of a slice."""
     words = Words(data, off, NOT_SPACE)
@@ -77,11 +96,11 @@ def low_bits(m: np.ndarray) -> np.ndarray:
     return np.bitwise_or.reduce(two.reshape(4, 32) << shift[None, :], axis=1)
 
 
-def band_keys(m: np.ndarray) -> np.ndarray:
-    h = np.zeros(BANDS, U64)
-    for i in range(ROWS):
-        h = mix(h ^ m[: BANDS * ROWS].reshape(BANDS, ROWS)[:, i]) + U64(i + 1)
-    return mix(h ^ (np.arange(BANDS, dtype=U64) << U64(32)))
+def band_keys(m: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    h = np.zeros(bands, U64)
+    for i in range(rows):
+        h = mix(h ^ m[: bands * rows].reshape(bands, rows)[:, i]) + U64(i + 1)
+    return mix(h ^ (np.arange(bands, dtype=U64) << U64(32)))
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -92,22 +111,25 @@ def similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (1 - unequal / HASHES - 0.25) / 0.75
 
 
-def _signatures(batches):
-    for batch, data, off in slices(batches, "text"):
-        n, d1, d2, bits, bands = [], [], [], [], []
-        for s in shingle_sets(data, off):
-            n.append(len(s))
-            d1.append(int(s.sum(dtype=U64).view(np.int64)) if len(s) else 0)
-            d2.append(int(mix(s ^ U64(0x5DEECE66D)).sum(dtype=U64).view(np.int64)) if len(s) else 0)
-            if len(s):
-                m = minima(s)
-                bits.append(low_bits(m).view(np.int64).tolist())
-                bands.append(band_keys(m).view(np.int64).tolist())
-            else:
-                bits.append([])
-                bands.append([])
-        longs = pa.list_(pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(bits, longs), pa.array(bands, longs)], ["doc_id", "n_shingles", "d1", "d2", "bits", "bands"])
+def _signatures(shape: tuple[int, int]):
+    def run(batches):
+        for batch, data, off in slices(batches, "text"):
+            n, d1, d2, bits, bands = [], [], [], [], []
+            for s in shingle_sets(data, off):
+                n.append(len(s))
+                d1.append(int(s.sum(dtype=U64).view(np.int64)) if len(s) else 0)
+                d2.append(int(mix(s ^ U64(0x5DEECE66D)).sum(dtype=U64).view(np.int64)) if len(s) else 0)
+                if len(s):
+                    m = minima(s)
+                    bits.append(low_bits(m).view(np.int64).tolist())
+                    bands.append(band_keys(m, *shape).view(np.int64).tolist())
+                else:
+                    bits.append([])
+                    bands.append([])
+            longs = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(bits, longs), pa.array(bands, longs)], ["doc_id", "n_shingles", "d1", "d2", "bits", "bands"])
+
+    return run
 
 
 def _confirm(percent: int):
@@ -172,7 +194,7 @@ def joining_links(ids: list[int], comps: list[int], sides: list[int], bits: np.n
     shingles, owner = np.concatenate(sets), np.repeat(np.arange(n), size)
     order = np.argsort(shingles, kind="stable")
     shingles, owner = shingles[order], owner[order]
-    side, two, least = np.array(sides), len(set(sides)) > 1, percent / 100 - 5 * SIGMA
+    side, two, least = np.array(sides), len(set(sides)) > 1, least_estimate(percent)
     out = []
     for i in range(n - 1):
         mine = find(comps[i])
@@ -232,7 +254,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
     """doc_id, n_shingles, component_id, kept: one row per document."""
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = stage(rows.mapInArrow(_signatures, "doc_id long, n_shingles long, d1 long, d2 long, bits array<bigint>, bands array<bigint>"), "minhash-signed")
+    signed = stage(rows.mapInArrow(_signatures(layout(percent)), "doc_id long, n_shingles long, d1 long, d2 long, bits array<bigint>, bands array<bigint>"), "minhash-signed")
     full = signed.where("n_shingles > 0")
     classes = stage(full.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep")), "minhash-classes")
     reps = full.join(classes.select(F.col("rep").alias("doc_id"), "n_shingles", "d1", "d2"), ["doc_id", "n_shingles", "d1", "d2"])
@@ -242,7 +264,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
     near = stage(reps.select(F.col("doc_id").alias("id"), "bits", "bands").join(bands.select("id").distinct(), "id"), "minhash-near")
     # what is joined here grows with the corpus: always by shuffle, never by broadcast
     texts = stage(rows.join(near.select(F.col("id").alias("doc_id")).hint("merge"), "doc_id", "left_semi"), "minhash-texts")
-    least = percent / 100 - 5 * SIGMA
+    least = least_estimate(percent)
 
     def estimate(pairs):
         """Pairs that the packed signatures don't rule out."""
