@@ -33,10 +33,12 @@ NEAR_PERCENT = 80
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of every group of near-duplicates."""
+    """One row, that of the smallest id, of every group of near-duplicates; rows
+    without an id are groups of their own."""
     workspace.release(spark, docs)
-    kept = minhash.near_duplicates(docs, percent=NEAR_PERCENT).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    rows = workspace.with_row_ids(docs, "_row", "pipeline-rows")
+    kept = minhash.near_duplicates(rows, percent=NEAR_PERCENT, row_col="_row").where("kept").select("_row")
+    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

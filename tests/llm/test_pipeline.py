@@ -46,3 +46,18 @@ def test_near_copies_at_the_stage_threshold(spark):
         bands, size = minhash.layout(percent)
         assert bands * size <= minhash.HASHES and (1 - (percent / 100) ** size) ** bands < 5e-7
     assert minhash.layout(85) == (25, 5)
+
+
+def test_rows_are_told_apart_without_ids(spark):
+    """Repeated rows, null ids, and one id with two texts."""
+    text = {k: " ".join(f"{k}{i}" for i in range(120)) for k in "abcdef"}
+    near = {k: t.replace(f"{k}60 ", "") for k, t in text.items()}
+    rows = [(1, text["a"]), (1, text["a"]), (None, text["b"]), (None, text["c"]), (2, text["d"]), (2, text["e"]), (3, near["d"]), (4, near["e"]), (2, near["e"].replace("e20 ", "")), (5, text["f"] + " " + text["c"])]
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in rows], "doc_id long, text string, n_chars long")
+    got = [(r["doc_id"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(docs).collect()]
+    assert sorted(got, key=str) == sorted([(1, 1, True), (1, 1, False), (None, None, True), (None, None, True), (2, 2, True), (2, 2, True), (3, 2, False), (4, 2, False), (2, 2, False), (5, 5, True)], key=str)
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, SMALL)
+    left = {(r["doc_id"], r["text"]) for r in corpus_pipeline.cut_repeats(spark, kept, SMALL).collect()}
+    assert kept.count() == 6 and {i for i, _ in left} == {1, None, 2, 5}
+    assert (1, text["a"]) in left and (None, text["b"]) in left and (None, "") in left and (2, text["d"]) in left
+    assert all(t.startswith(text["f"]) and len(t) < len(text["f"]) + 5 for i, t in left if i == 5)

@@ -19,9 +19,14 @@ pairs:
 A pair is compared in the first band that it shares.  Every candidate pair
 ends in one component, was compared on full sets, or was estimated far below.
 
+Rows are told apart by an internal number, never by doc_id: a component is
+named by its smallest doc_id, and exactly one of its rows, the first with that
+id, is kept.  Repeated rows are one component; rows of one doc_id whose texts
+differ are linked only if they are similar enough.
+
 Nulls and empties: a null text, or one without words, has an empty set and is
-its own component; a null doc_id has a null component.  With fewer than five words the whole sequence is the only
-shingle.  Repeated doc_ids with different texts are linked through their id.
+its own component; so is a row with a null doc_id, and it is kept.  With fewer
+than five words the whole sequence is the only shingle.
 An empty table gives an empty result.  Other columns are ignored.
 """
 
@@ -36,7 +41,7 @@ from pyspark.sql import functions as F
 
 from .graph import components
 from .kernels import NOT_SPACE, U64, Words, mix, ragged, slices
-from .workspace import ship, stage
+from .workspace import ship, stage, with_row_ids
 
 SHINGLE, HASHES, MISS = 5, 128, 5e-7
 #: Links need 100 * intersection >= 85 * union.
@@ -127,7 +132,7 @@ def _signatures(shape: tuple[int, int]):
                     bits.append([])
                     bands.append([])
             longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(bits, longs), pa.array(bands, longs)], ["doc_id", "n_shingles", "d1", "d2", "bits", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("name"), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(bits, longs), pa.array(bands, longs)], ["doc_id", "name", "n_shingles", "d1", "d2", "bits", "bands"])
 
     return run
 
@@ -250,12 +255,15 @@ def _meet(percent: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row per document."""
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: one row per row of ``docs``.  With
+    ``row_col``, a column of different longs, that column comes first."""
     ship(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = stage(rows.mapInArrow(_signatures(layout(percent)), "doc_id long, n_shingles long, d1 long, d2 long, bits array<bigint>, bands array<bigint>"), "minhash-signed")
-    full = signed.where("n_shingles > 0")
+    name, text = F.col(id_col).cast("long").alias("name"), F.col(text_col).alias("text")
+    # ``doc_id`` is the row's number from here to the end
+    rows = docs.select(F.col(row_col).alias("doc_id"), name, text) if row_col else with_row_ids(docs.select(name, text), "doc_id", "minhash-rows")
+    signed = stage(rows.mapInArrow(_signatures(layout(percent)), "doc_id long, name long, n_shingles long, d1 long, d2 long, bits array<bigint>, bands array<bigint>"), "minhash-signed")
+    full = signed.where("n_shingles > 0 and name is not null")
     classes = stage(full.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep")), "minhash-classes")
     reps = full.join(classes.select(F.col("rep").alias("doc_id"), "n_shingles", "d1", "d2"), ["doc_id", "n_shingles", "d1", "d2"])
     bands = stage(reps.select(F.col("doc_id").alias("id"), F.explode("bands").alias("band")), "minhash-bands")
@@ -263,7 +271,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
     bands = stage(bands.join(shared, "band"), "minhash-shared")  # only bands of at least two classes
     near = stage(reps.select(F.col("doc_id").alias("id"), "bits", "bands").join(bands.select("id").distinct(), "id"), "minhash-near")
     # what is joined here grows with the corpus: always by shuffle, never by broadcast
-    texts = stage(rows.join(near.select(F.col("id").alias("doc_id")).hint("merge"), "doc_id", "left_semi"), "minhash-texts")
+    texts = stage(rows.select("doc_id", "text").join(near.select(F.col("id").alias("doc_id")).hint("merge"), "doc_id", "left_semi"), "minhash-texts")
     least = least_estimate(percent)
 
     def estimate(pairs):
@@ -284,9 +292,11 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("lo", F.least("side", "other")).withColumn("hi", F.greatest("side", "other"))
     met = members.join(near, "id").join(texts.hint("merge"), F.col("id") == F.col("doc_id")).select("band", "lo", "hi", "id", "comp", "side", "bits", "bands", "text")
     links = links.union(stage(met.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi", "id").mapInArrow(_meet(percent), "a long, b long"), "minhash-links"))
-    # several ids of one class, and one id in several classes, are links too
+    # several rows of one class are links too
     same = full.join(classes, ["n_shingles", "d1", "d2"]).select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     comps = components(links.union(same.where("a <> b")))
-    out = signed.join(comps, F.col("doc_id") == F.col("id"), "left")
-    component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (component == F.col("doc_id")).alias("kept"))
+    out = signed.join(comps, F.col("doc_id") == F.col("id"), "left").select(F.col("doc_id").alias("row"), "name", "n_shingles", F.coalesce("component", "doc_id").alias("component"))
+    first = out.groupBy("component").agg(F.min(F.struct("name", "row")).alias("first"))
+    out = out.join(first, "component")
+    number = [F.col("row").alias(row_col)] if row_col else []
+    return out.select(*number, F.col("name").alias("doc_id"), "n_shingles", F.col("first.name").alias("component_id"), (F.col("first.row") == F.col("row")).alias("kept"))

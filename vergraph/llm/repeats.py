@@ -15,8 +15,8 @@ Its suffix array comes from induced sorting; a window is repeated if its common
 prefix with a neighbour in the array reaches ``length``, or its piece has
 several copies (which would be its neighbours).
 
-Nulls and empties: a null text is empty and loses nothing.  Repeated rows are
-copies of each other like any others.  Very long texts are cut into pieces as
+Nulls and empties: a null text is empty and loses nothing.  A null doc_id is an
+id like any other, and repeated rows are copies of each other.  Very long texts are cut into pieces as
 they are.  Empty tables give an empty result.  Other columns are ignored.
 """
 
@@ -235,6 +235,7 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT, id_col:
     there), and the columns to carry, if any, as the struct ``carried``: one row
     per document, ``found`` null where nothing is repeated."""
     ship(docs.sparkSession)
+    same = (F.col("rid") == F.col("_rid")) & F.col("doc_id").eqNullSafe(F.col("_id"))  # null ids meet, too
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(F.col(id_col), text).alias("rid"))
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -244,14 +245,14 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT, id_col:
     again = stage(places.groupBy("key").agg(F.sum("n").alias("places")).where("places > 1").select("key", (F.col("places") > hot).alias("hot")), "repeat-keys")
     places = places.drop("n")
     own = places.join(again, "key").groupBy("doc_id", "rid").agg(F.collect_set("key").alias("keys"), F.collect_set(F.when(F.col("hot"), F.col("key"))).alias("hot_keys"))
-    cut = rows.join(own, ["doc_id", "rid"]).select("doc_id", "rid", "text", "keys", "hot_keys")
+    cut = rows.join(own.withColumnsRenamed({"doc_id": "_id", "rid": "_rid"}), same).select("doc_id", "rid", "text", "keys", "hot_keys")
     cut = stage(cut.mapInArrow(_cut_pieces(length), f"doc_id {kind}, rid long, refs array<struct<d1: bigint, d2: bigint, start: int>>, new array<struct<key: bigint, d1: bigint, d2: bigint, bytes: binary>>"), "repeat-pieces")
     pieces = cut.select(F.explode("new").alias("p")).select("p.*").repartition("key").sortWithinPartitions("key", "d1", "d2")
     flags = stage(pieces.mapInArrow(_search_shards(length), "d1 long, d2 long, runs array<int>"), "repeat-flags")
     refs = cut.select("doc_id", "rid", F.explode("refs").alias("r")).select("doc_id", "rid", "r.*")
     found = refs.join(flags, ["d1", "d2"]).groupBy("doc_id", "rid").agg(F.collect_set(F.struct("start", "runs")).alias("found"))
     carried = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(F.col(id_col), text).alias("rid"), F.struct(*carry).alias("carried")) if carry else rows
-    return carried.join(found, ["doc_id", "rid"], "left").select("doc_id", "text", "found", *["carried"] * bool(carry))
+    return carried.join(found.withColumnsRenamed({"doc_id": "_id", "rid": "_rid"}), same, "left").select("doc_id", "text", "found", *["carried"] * bool(carry))
 
 
 def spans_of(found: list | None, length: int) -> list[tuple[int, int]]:

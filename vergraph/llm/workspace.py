@@ -51,6 +51,11 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def with_row_ids(df: DataFrame, out: str, name: str) -> DataFrame:
+    """Adds ``out``, a number of each row's own, written once so that every scan sees the same."""
+    return stage(df.withColumn(out, F.monotonically_increasing_id()), name)
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
