@@ -347,3 +347,19 @@ def test_html(spark):
     assert len(got) == 6 and all(r["n_chars"] == len(r["text"]) for r in got)
     assert {r["page_id"]: r["text"] for r in got}[4] == "Only one short line here"
     assert html_text.second_pass([1, 0, 0, 0, -1], [False] * 5) == [1, 1, 1, -1, -1]
+
+
+def test_html_containers_with_names():
+    text = "This is the text of the article, and it is long enough to be one that was written for the page by people who have more to say. It goes on for a while."
+    article = f"<article><h1>Head</h1><p>{text}</p></article>"
+    for name in ("class='content-with-sidebar'", "class='no-sidebar'", "id='page-has-header'", "class='layout-sidebar'", "class='social'", "class=\"a widget-area\""):
+        for inner in (article, article.replace("article>", "main>")):
+            page = f"<body><div class=ad><p>{text} Buy.</p></div><div {name}><div>{inner}</div></div><div class='site-footer'><p>{text} Imprint.</p></div></body>"
+            assert html_text.main_text(page) == f"Head\n{text}"
+    page = "<body><div class='{}'><p>" + text + "</p><p>" + text + " More.</p></div><div class='{}'><p>" + text + " Left out.</p></div></body>"
+    assert html_text.main_text(page.format("page-sidebar", "comments")) == f"{text}\n{text} More."
+    for name in ("ad", "site-header", "cookie-notice", "sidebar-left", "comments", "nav-links", "ad-slot-2"):
+        page = f"<body><p>{text}</p><p>{text} More.</p><div class='{name}'><p>{text} Left out.</p></div></body>"
+        assert html_text.main_text(page) == f"{text}\n{text} More."
+    page = f"<body>{article}<div id=comments><article><p>{text} A comment.</p></article></div></body>"
+    assert html_text.main_text(page) == f"Head\n{text}"

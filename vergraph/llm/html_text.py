@@ -3,7 +3,11 @@
 A page is read as a stream of tags and text and cut into blocks at
 block-level tags.  What lies in elements that never hold article text
 (scripts, styles, forms, navigation, and containers whose class, id or role
-names them as menus, adverts, notices, comments and so on) makes no block.
+names them as menus, adverts, notices, comments and so on) makes no block.  A
+name counts as a whole or as the end of a compound (site-header), not where it
+only describes a layout (no-sidebar).  A container named so is kept after all if
+it holds the page's main element or its only article, or, where its name is a
+compound, most of the unlinked text of a page that marks no article.
 
 Pass one decides each block by its length, share of linked text, share of stop
 words and whether it lies in an article or main element: good, bad or
@@ -42,6 +46,9 @@ SKIPPED_NAMES = frozenset(
 )
 SKIPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 KEPT_CONTAINERS = frozenset("html body article main".split())
+#: Parts of compounds: those that may follow a name, and those that make it a remark on a layout.
+FOLLOWING = frozenset("area bar block body bottom box button buttons container content form group heading inner item items left link links list outer panel right row section slot text title top unit wrap wrapper".split())
+LAYOUT = frozenset("has have hide is no not show with without".split())
 STOP_WORDS = frozenset(
     (
         "the of and a to in is was that for it with as on be by are this from at he his an they not have or but were which their had has you we all one there will would can if so what who when about into more its no than then some could them these two may other do out up "
@@ -56,27 +63,46 @@ WORD = re.compile(r"\w+")
 LONG, SHORT, LINKED, DENSE, SPARSE = 140, 60, 0.5, 0.25, 0.1
 
 
-def named_out(tag: str, attributes: str) -> bool:
-    """Whether an element's attributes say that it holds no article text."""
+PLAIN, COMPOUND = 1, 2
+
+
+def skipped_name(name: str) -> int:
+    """Whether a class or id names what holds no article text: PLAIN, COMPOUND or 0."""
+    parts = [p for p in re.split(r"[^a-z0-9]+", name) if p]
+    if not parts or not LAYOUT.isdisjoint(parts) or SKIPPED_NAMES.isdisjoint(parts):
+        return 0
+    if SKIPPED_NAMES.issuperset(parts):
+        return PLAIN
+    while parts[-1] in FOLLOWING or parts[-1].isdigit():
+        parts.pop()
+    return COMPOUND if parts[-1] in SKIPPED_NAMES else 0
+
+
+def named_out(tag: str, attributes: str) -> tuple[bool, int]:
+    """Whether an element's attributes say for certain that it holds no article
+    text, and whether its class or id names it so."""
     if tag in KEPT_CONTAINERS or not attributes or attributes.isspace():
-        return False
+        return False, 0
+    names = set()
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
-        if name in ("class", "id") and not SKIPPED_NAMES.isdisjoint(re.split(r"[^a-z0-9]+", value)):
-            return True
+        if name in ("class", "id"):
+            names.update(skipped_name(x) for x in value.split())
         if name == "role" and value in SKIPPED_ROLES or name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
-            return True
-    return False
+            return True, 0
+    return False, PLAIN if PLAIN in names else max(names, default=0)
 
 
 def blocks(html: str) -> list[tuple[str, int, bool, bool]]:
     """(text, linked characters, heading, in an article) of every block."""
     out: list[tuple[str, int, bool, bool]] = []
+    owners: list[int] = []  # of each block: its outermost named container, 0 for none
+    kinds, mains, alone = [0], [0], [0]  # of each container: its name's kind, its main elements and articles
     parts: list[str] = []
     linked = 0
     heading = False
-    stack: list[tuple[str, bool]] = []  # open elements that matter: name, skipped
-    skipped = links = articles = breaks = 0
+    stack: list[tuple[str, bool, bool]] = []  # open elements that matter: name, skipped, a container
+    skipped = links = articles = breaks = owner = 0
     at = 0
 
     def close_block():
@@ -85,6 +111,7 @@ def blocks(html: str) -> list[tuple[str, int, bool, bool]]:
             text = " ".join(unescape("".join(parts)).split())
             if text:
                 out.append((text, linked, heading, articles > 0))
+                owners.append(owner)
             parts.clear()
         linked = 0
 
@@ -97,6 +124,14 @@ def blocks(html: str) -> list[tuple[str, int, bool, bool]]:
             if not raw.isspace():
                 breaks = 0
 
+    def leave() -> str:
+        nonlocal skipped, owner
+        name, was, container = stack.pop()
+        skipped -= was
+        if container:
+            owner = 0
+        return name
+
     find = TOKEN.search
     while True:
         m = find(html, at)
@@ -129,17 +164,26 @@ def blocks(html: str) -> list[tuple[str, int, bool, bool]]:
                 end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(html, at)
                 at = end.end() if end else (len(html) if tag in ("script", "style") else at)
                 continue
-            out_of = tag in SKIPPED_TAGS and tag != "head" or tag == "header" and not articles or named_out(tag, attributes)
+            out_of = tag in SKIPPED_TAGS and tag != "head" or tag == "header" and not articles
+            certain, kind = named_out(tag, attributes)
+            out_of = out_of or certain or kind > 0 and tag not in BLOCK_TAGS
             if tag == "body":  # ends whatever of the head was left open
                 while stack and stack[-1][0] != "html":
-                    skipped -= stack.pop()[1]
+                    leave()
             if tag == "head":
                 out_of = True
             if tag == "p" and stack and stack[-1][0] == "p" or tag == "li" and stack and stack[-1][0] == "li":
-                skipped -= stack.pop()[1]
+                leave()
             if out_of or tag in BLOCK_TAGS or tag == "a" or tag == "head":
-                stack.append((tag, out_of))
+                container = kind > 0 and not out_of and not owner and not skipped
+                stack.append((tag, out_of, container))
                 skipped += out_of
+                if container:
+                    owner = len(kinds)
+                    for x, first in ((kinds, kind), (mains, 0), (alone, 0)):
+                        x.append(first)
+                if tag in ARTICLE_TAGS and not articles and not skipped:
+                    (mains if tag == "main" else alone)[owner] += 1
                 links += tag == "a"
                 articles += tag in ARTICLE_TAGS
             heading = tag in HEADINGS if tag in BLOCK_TAGS else heading
@@ -150,16 +194,22 @@ def blocks(html: str) -> list[tuple[str, int, bool, bool]]:
             close_block()
             breaks = 0
             heading = False
-        if any(name == tag for name, _ in reversed(stack)):
+        if any(x[0] == tag for x in reversed(stack)):
             while stack:
-                name, was = stack.pop()
-                skipped -= was
+                name = leave()
                 links -= name == "a"
                 articles -= name in ARTICLE_TAGS
                 if name == tag:
                     break
     close_block()
-    return out
+    if len(kinds) == 1:
+        return out
+    free = [0] * len(kinds)  # unlinked characters
+    for (text, linked, *_), o in zip(out, owners, strict=True):
+        free[o] += max(0, len("".join(text.split())) - linked)
+    marked, only = mains[0] + alone[0] > 0, sum(alone) == 1
+    kept = {0} | {o for o in range(1, len(kinds)) if not marked and (mains[o] or only and alone[o] or kinds[o] == COMPOUND and not sum(mains) + sum(alone) and 2 * free[o] > sum(free))}
+    return [b for b, o in zip(out, owners, strict=True) if o in kept]
 
 
 GOOD, BAD, UNSURE = 1, -1, 0
