@@ -363,3 +363,15 @@ def test_html_containers_with_names():
         assert html_text.main_text(page) == f"{text}\n{text} More."
     page = f"<body>{article}<div id=comments><article><p>{text} A comment.</p></article></div></body>"
     assert html_text.main_text(page) == f"Head\n{text}"
+
+
+def test_lost_chunk(spark, docs):
+    folder = token_store.write_store(docs)
+    chunks = spark.read.parquet(f"{folder}/chunks")
+    lost = chunks.orderBy("digest").first()["digest"]
+    chunks.where(F.col("digest") != F.lit(bytes(lost))).write.parquet(f"{folder}-lost/chunks")
+    for name in ("recipes", "manifest"):
+        spark.read.parquet(f"{folder}/{name}").write.parquet(f"{folder}-lost/{name}")
+    for read in (token_store.read_store, token_store.read_ids):
+        with pytest.raises(Exception, match="missing"):
+            read(spark, f"{folder}-lost").collect()

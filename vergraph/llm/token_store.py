@@ -215,6 +215,8 @@ def _join_crcs(batches):
             crc = n = 0
             parts.sort(key=lambda p: p["pos"])
             for p in parts:
+                if p["n"] is None:
+                    raise ValueError(f"stored chunk {p['digest'].hex()} is missing")
                 crc = crc_join(crc, p["crc"], 4 * p["n"])
                 n += p["n"]
             if merkle([p["digest"] for p in parts]) != root:
@@ -239,7 +241,7 @@ def read_store(spark: SparkSession, folder: str, width: int = 2) -> DataFrame:
         raise ValueError("the manifest does not match the recipes")
     checked = spark.read.parquet(f"{folder}/chunks").select("digest", "n", "ids").mapInArrow(_check_chunks(width), "digest binary, n int, crc long")
     recipes = spark.read.parquet(f"{folder}/recipes")
-    found = _recipe_rows(recipes).join(checked, "digest", "left").select("row", "doc_id", "part", "root", F.struct("pos", "digest", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("crc", F.lit(0)).alias("crc")).alias("p"))
+    found = _recipe_rows(recipes).join(checked, "digest", "left").select("row", "doc_id", "part", "root", F.struct("pos", "digest", "n", "crc").alias("p"))
     whole = found.groupBy("row", "doc_id", "part", "root").agg(F.collect_list("p").alias("parts")).mapInArrow(_join_crcs, "doc_id long, part int, n_tokens long, ids_crc32 long")
     whole = stage(whole, "token-documents")
     parts = whole.groupBy("part").agg(F.sum("n_tokens").alias("n"))
@@ -256,9 +258,12 @@ def read_ids(spark: SparkSession, folder: str, width: int = 2) -> DataFrame:
 
     def rebuild(batches):
         for batch in batches:
+            for x in batch.column("parts").to_pylist():
+                if any(p["ids"] is None for p in x):
+                    raise ValueError("a stored chunk is missing")
             ids = [np.concatenate([np.frombuffer(p["ids"], kind) for p in sorted(x, key=lambda p: p["pos"])]).tolist() for x in batch.column("parts").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     chunks = spark.read.parquet(f"{folder}/chunks").select("digest", "ids")
-    rows = _recipe_rows(spark.read.parquet(f"{folder}/recipes")).join(chunks, "digest")
+    rows = _recipe_rows(spark.read.parquet(f"{folder}/recipes")).join(chunks, "digest", "left")
     return rows.groupBy("row", "doc_id").agg(F.collect_list(F.struct("pos", "ids")).alias("parts")).mapInArrow(rebuild, "doc_id long, ids array<int>")
