@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .kernels import BYTE_BASE, LETTER, U64, WORD_BASE, Prefix, mix, powers, ragged, slices
 from .suffix import permuted_lcp, suffix_array
-from .workspace import ship, stage
+from .workspace import drop_staged, ship, stage
 
 LENGTH, GRAM, HOT, STEP = 200, 32, 2000, 16
 SHARD_BYTES = 1 << 20
@@ -247,10 +247,12 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT, id_col:
     own = places.join(again, "key").groupBy("doc_id", "rid").agg(F.collect_set("key").alias("keys"), F.collect_set(F.when(F.col("hot"), F.col("key"))).alias("hot_keys"))
     cut = rows.join(own.withColumnsRenamed({"doc_id": "_id", "rid": "_rid"}), same).select("doc_id", "rid", "text", "keys", "hot_keys")
     cut = stage(cut.mapInArrow(_cut_pieces(length), f"doc_id {kind}, rid long, refs array<struct<d1: bigint, d2: bigint, start: int>>, new array<struct<key: bigint, d1: bigint, d2: bigint, bytes: binary>>"), "repeat-pieces")
+    drop_staged(anchors, again)
     pieces = cut.select(F.explode("new").alias("p")).select("p.*").repartition("key").sortWithinPartitions("key", "d1", "d2")
     flags = stage(pieces.mapInArrow(_search_shards(length), "d1 long, d2 long, runs array<int>"), "repeat-flags")
     refs = cut.select("doc_id", "rid", F.explode("refs").alias("r")).select("doc_id", "rid", "r.*")
-    found = refs.join(flags, ["d1", "d2"]).groupBy("doc_id", "rid").agg(F.collect_set(F.struct("start", "runs")).alias("found"))
+    found = stage(refs.join(flags, ["d1", "d2"]).groupBy("doc_id", "rid").agg(F.collect_set(F.struct("start", "runs")).alias("found")), "repeat-found")
+    drop_staged(cut, flags)
     carried = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(F.col(id_col), text).alias("rid"), F.struct(*carry).alias("carried")) if carry else rows
     return carried.join(found.withColumnsRenamed({"doc_id": "_id", "rid": "_rid"}), same, "left").select("doc_id", "text", "found", *["carried"] * bool(carry))
 

@@ -57,5 +57,5 @@ def shard_by_load(docs: DataFrame, shards: int = 8, grain: int = GRAIN, id_col:
     marked = rows.join(F.broadcast(spark.createDataFrame(large or [("",)], "group string").withColumn("large", F.lit(True))), "group", "left")
     marked = marked.withColumn("unit", F.when(F.col("large"), F.col("group")).otherwise(F.pmod(F.xxhash64("group"), F.lit(bins)).cast("string")))
     out = marked.join(F.broadcast(placed), "unit").select("doc_id", "size", "text_crc32", "shard")
-    out = running_start(out, ["shard"], "doc_id", F.lit(1), "slot", "shard-slots")
+    out = running_start(out, ["shard"], ["doc_id"], F.lit(1), "slot", "shard-slots")
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
