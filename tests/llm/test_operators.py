@@ -225,7 +225,7 @@ def test_sharding(docs, empty):
 
 
 def test_language_model(docs, empty):
-    rows = {(r["doc_id"], r["held_out"]): r for r in brown.fit_and_score(docs, classes=4, clustered=8, assigned=14, known=16).collect()}
+    rows = {(r["doc_id"], r["held_out"]): r for r in brown.fit_and_score(docs, classes=4, clustered=8, known=16).collect()}
     tokens = [(i, re.findall(r"[^\x20\x09-\x0D]+", low(t)), zlib.crc32(str(i).encode()) % 7 == 2) for i, t in ROWS]
     c = Counter(w for _, words, held in tokens if not held for w in words)
     n_docs = sum(not held for *_, held in tokens)
@@ -239,6 +239,22 @@ def test_language_model(docs, empty):
     assert brown.fit_and_score(empty).count() == 0
 
 
+def word_key(word: str) -> np.ndarray:
+    raw = np.frombuffer(word.encode(), np.uint8)
+    return kernels.Words(raw, np.array([0, len(raw)]), kernels.NOT_SPACE).hash
+
+
+def class_finder(model, rare):
+    rows = {r["key"]: r["cls"] for r in rare.collect()}
+
+    def class_of(word):
+        key = word_key(word)
+        slot = int(model.slots(key)[0])
+        return int(model.cls[slot]) if slot < model.size else rows.get(int(key.view(np.int64)[0]), model.tail)
+
+    return class_of
+
+
 def test_every_training_word_is_placed(spark):
     """Rare words that behave as frequent ones join their classes, in the table or not."""
     left, right = [f"a{i}" for i in range(40)], [f"b{i}" for i in range(40)]
@@ -249,31 +265,55 @@ def test_every_training_word_is_placed(spark):
     words = Counter(w for t in texts for w in t.split())
     for known in (8, 1000):
         model, rare = brown.fit(train, classes=4, clustered=6, known=known)
-        rows = {r["key"]: r for r in rare.collect()}
-        assert (model.cls < 4).all() and all(r["cls"] < 4 for r in rows.values()) and len(model.cls) + len(rows) == len(words)
-        assert sum(model.counts) + sum(r["n"] for r in rows.values()) == sum(words.values()) == model.total - len(texts)
+        class_of = class_finder(model, rare)
+        rows = rare.collect()
+        assert (model.cls < 4).all() and all(r["cls"] < 4 for r in rows) and len(model.cls) + len(rows) == len(words)
+        assert sum(model.counts) + sum(r["n"] for r in rows) == sum(words.values()) == model.total - len(texts)
         assert np.allclose((10 ** model.log_transition[:, :6]).sum(axis=1), 1)
-
-        def class_of(word):
-            key = kernels.Words(np.frombuffer(word.encode(), np.uint8), np.array([0, len(word)]), kernels.NOT_SPACE).hash
-            slot, cls = model.classes_of(key, -1)
-            return int(cls[0]) if slot[0] >= 0 else rows[int(key.view(np.int64)[0])]["cls"]
-
         sides = [{class_of(w) for w in side if words[w] > 3} for side in (left, right)]
         assert not sides[0] & sides[1]
 
 
-def test_scores_do_not_depend_on_the_table(docs):
-    """Words scored through the join get what they would get from the table."""
-    train = docs.select("text").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2)
-    model, rare = brown.fit(train, classes=4, clustered=8, known=1000)
-    rows = docs.select("doc_id", "text", F.lit(True).alias("held_out"))
-    want = sorted((r["doc_id"], r["n_known"], round(r["base_score"], 6), round(r["score"], 6)) for r in brown.score(rows, model, rare).collect())
-    less = brown.Model(model.index.keys[: model.index.n][::9], model.counts[::9], model.total, model.types, model.docs, 4)
-    less.cls, less.log_transition, less.log_size = model.cls[::9], model.log_transition, model.log_size
-    away = [(int(k), int(c), int(n)) for i, (k, c, n) in enumerate(zip(model.index.keys[: model.index.n].view(np.int64), model.cls, model.counts, strict=True)) if i % 9]
-    got = brown.score(rows, less, docs.sparkSession.createDataFrame(away, "key long, cls int, n long"))
-    assert sorted((r["doc_id"], r["n_known"], round(r["base_score"], 6), round(r["score"], 6)) for r in got.collect()) == want
+@pytest.mark.parametrize("known", [3, 12, 1000])
+def test_scores_by_brute_force(docs, known):
+    """Given the words' classes, every score follows from plain counts, wherever
+    a word's class is kept; after any word all outcomes sum to one."""
+    train = docs.where(~brown.held_out())
+    model, rare = brown.fit(train.select("text"), classes=4, clustered=8, known=known)
+    class_of = class_finder(model, rare)
+    tokens = [(i, re.findall(r"[^\x20\x09-\x0D]+", low(t)), zlib.crc32(str(i).encode()) % 7 == 2) for i, t in ROWS]
+    count = Counter(w for _, words, held in tokens if not held for w in words)
+    tail, end, start = 4, 5, 6
+    table = np.zeros((7, 7))
+    for _, words, held in tokens:
+        if not held:
+            c = [start, *map(class_of, words), end]
+            np.add.at(table, (c[:-1], c[1:]), 1)
+            for k, w in enumerate(words):
+                if count[w] == 1:  # what stands around it, but for rare words around rare ones
+                    for side, other in ((-1, words[k - 1] if k else None), (1, words[k + 1] if k + 1 < len(words) else None)):
+                        if other is None or model.slots(word_key(other))[0] < model.size:
+                            cell = (c[k], tail) if side < 0 else (tail, c[k + 2])
+                            table[cell] += 1
+    filled = [any(class_of(w) == c for w in count) or c >= tail for c in range(6)]
+    unigram = table.sum(axis=0)[:6] + filled
+    move = np.log10(np.maximum((table[:, :6] + brown.PRIOR * unigram / unigram.sum()) / (table[:, :6].sum(axis=1, keepdims=True) + brown.PRIOR), 1e-300))
+    members, sizes = Counter(map(class_of, count)), Counter()
+    for w, n in count.items():
+        sizes[class_of(w)] += n
+
+    def emit(w):
+        c = class_of(w)
+        return math.log10((count[w] + 1) / (sizes[c] + members[c])) if c != tail else 0.0
+
+    got = {(r["doc_id"], r["n_tokens"]): r["score"] for r in brown.score(docs.select("doc_id", "text", brown.held_out().alias("held_out")), model, rare).collect()}
+    for i, words, _ in tokens:
+        c = [start, *map(class_of, words), end]
+        assert got[i, len(words) + 1] == pytest.approx(sum(move[a, b] for a, b in zip(c, c[1:], strict=False)) + sum(map(emit, words)), abs=1e-6)
+    for before in ("", "alpha", "omega", "neverseen"):
+        row = move[class_of(before) if before else start]
+        total = sum(10 ** (row[class_of(w)] + emit(w)) for w in count) + 10 ** row[tail] + 10 ** row[end]
+        assert total == pytest.approx(1)
 
 
 def test_exchange_finds_groups():

@@ -1,27 +1,34 @@
 """Operator 9: scoring by a class-based bigram model with exchange clustering.
 
-1. One scan counts all bigrams of the training set, a start before and an end
-   after every text; everything below but the scoring reads these counts.
-2. Among the ``clustered`` most frequent words the exchange algorithm moves
-   words one by one between ``classes`` classes while that raises the
-   likelihood of the class bigram model.
-3. Then every training word, however rare, is placed: executors collect the
-   classes before and after each word, and choose the class that explains them
-   best.  This is repeated with all words' new classes, at most ``rounds``
-   times; a round that does not raise the likelihood is taken back.
-4. The last scan scores: log10 P(class | class before) + log10 P(word | class).
+1. One scan counts the training words.  The ``known`` most frequent ones are
+   broadcast with their counts and classes (a bounded table); the others are
+   the rare words.
+2. A second scan writes, for every word outside the core, the words before and
+   after each of its occurrences, dealt by word; bigrams inside the core (the
+   ``clustered`` most frequent words) as counts; and bigrams of two rare words.
+3. The exchange algorithm moves the words of the core one by one between
+   ``classes`` classes while that raises the likelihood of the class bigram
+   model.
+4. All other known words are then exchanged in rounds on executors: each goes
+   to the class that explains best what stood around it, given the classes of
+   the round before.  A round that does not raise the likelihood is taken back
+   and ends the exchange.
+5. The rare words are placed the same way, all of them, given the classes of
+   the known words.  Bigrams of two rare words join their classes.
+6. The last scan scores: log10 P(class | class before) + log10 P(word | class).
    Transitions are smoothed with the class unigram, emissions by adding one.
-   Counts and classes of the ``known`` most frequent words are broadcast (a
-   bounded table); those of all rarer words come from a join.
+   Counts and classes of rare words come from a join.
 
 The first class follows a start class; every text ends with one end token, a
 class of its own.  Words that no training text holds form the tail class: they
 follow, and are followed by, what training words of a single occurrence are.
+The probabilities of all words, the end and one unseen word sum to one.
 
 Nulls and empties: a null or word-less text is its end token alone.  A null
 doc_id counts as the empty text in the fold rule.  Repeated rows are scored
 and counted one by one.  With no training rows N = V = 0: every token scores
-log10(1) in the base.  Other columns are ignored.
+log10(1) in the base.  Very long texts are read in slices of words.  Equal
+counts are ordered by the words' hashes.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,67 +38,39 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import NOT_SPACE, U64, HashIndex, Words, slices
+from .kernels import NOT_SPACE, U64, HashIndex, Tally, Words, binary_rows, slices, text_bytes
 from .workspace import drop_staged, ship, stage
 
-CLASSES, CLUSTERED, KNOWN, PRIOR, ROUNDS = 64, 2048, 262_144, 16.0, 3
-#: Stand for the start and the end of a text among word hashes.
-START, END = U64(0x5851F42D4C957F2D), U64(0x14057B7EF767814F)
+CLASSES, CLUSTERED, KNOWN, PRIOR, ROUNDS = 64, 2048, 262_144, 16.0, 2
+#: Stands for the end of a text among word hashes.
+END = U64(0x14057B7EF767814F)
+#: Words of a task that are sorted by word and written at once.
+CHUNK_WORDS = 2_000_000
+KNOWN_WORD, RARE_WORD, CORE_CELL, RARE_PAIR = range(4)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 7 == 2
 
 
-def _distinct(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Different pairs, with the sums of their counts."""
-    if not len(a):
-        return a, b, n
-    key = a * U64(0x9E3779B97F4A7C15) + b
-    order = np.argsort(key)
-    a, b, n = a[order], b[order], n[order]
-    first = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
-    return a[first], b[first], np.add.reduceat(n, first)
-
-
-def _count_pairs(most: int = 1_500_000):
-    """Counts of the pairs (token, next token) of a task's rows."""
-
-    def run(batches):
-        parts, held = [], 0
-
-        def take():
-            return _distinct(*(np.concatenate(x) for x in zip(*parts, strict=True)))
-
-        def rows(a, b, n):
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(n)], ["a", "b", "n"])
+def longs(column: pa.Array) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False)
 
-        for _, data, off in slices(batches, "text"):
-            words = Words(data, off, NOT_SPACE)
-            full = words.count > 0
-            before = np.append(START, words.hash[:-1])[: len(words.hash)]
-            before[words.first[:-1][full]] = START
-            last = np.full(len(full), START)
-            last[full] = words.hash[words.first[1:][full] - 1]
-            a, b = np.append(before, last), np.append(words.hash, np.full(len(full), END))
-            parts.append(_distinct(a, b, np.ones(len(a), np.int64)))
-            held += len(parts[-1][0])
-            if held > most:
-                parts = [take()]
-                held = len(parts[0][0])
-                if held > most // 2:
-                    yield rows(*parts[0])
-                    parts, held = [], 0
-        if parts:
-            yield rows(*take())
 
-    return run
+def _count_words(batches):
+    """Counts of the words of a task's texts, and of the texts under END."""
+    tally = Tally()
 
+    def rows(keys, n):
+        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], ["key", "n"])
 
-def pair_counts(docs: DataFrame) -> DataFrame:
-    """a, b (word hashes as signed longs, or START and END), n: over all rows of ``docs``."""
-    ship(docs.sparkSession)
-    return docs.select("text").mapInArrow(_count_pairs(), "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    docs = 0
+    for batch, data, off in slices(batches, "text"):
+        docs += batch.num_rows
+        if tally.add(Words(data, off, NOT_SPACE).hash):
+            yield rows(*tally.take())
+    yield rows(*tally.take())
+    yield rows(np.array([END]), np.array([docs], np.int64))
 
 
 def most_frequent(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -161,203 +140,326 @@ def exchange(pairs: np.ndarray, classes: int, rounds: int = 8) -> np.ndarray:
     return own
 
 
-def sorted_index(keys: np.ndarray, values: np.ndarray) -> tuple[HashIndex, np.ndarray]:
-    order = np.argsort(keys)
-    return HashIndex(keys[order]), values[order]
-
-
-def longs(column: pa.Array) -> np.ndarray:
-    return column.to_numpy(zero_copy_only=False)
-
-
 class Model:
-    """What a scan needs: bounded tables of counts and classes."""
+    """What a scan needs: bounded tables of counts and classes.  Slots number the
+    known words by falling count; after them come the rare words, END and START."""
 
     def __init__(self, known: np.ndarray, counts: np.ndarray, total: int, types: int, docs: int, classes: int):
-        self.index, self.counts = sorted_index(known, counts)
+        order = np.argsort(known)
+        self.index, self.rank = HashIndex(known[order]), np.append(order, 0).astype(np.int32)
+        self.counts, self.size = counts, len(known)
         self.total, self.types, self.docs = total, types, docs
         self.tail, self.end, self.start, self.width = classes, classes + 1, classes + 2, classes + 3
-        self.cls = np.full(len(known), self.tail, np.int64)
+        self.cls = np.full(len(known), self.tail, np.int16)
         self.log_transition = np.zeros((classes + 3, classes + 3))
         self.log_size = np.zeros(classes + 3)
 
-    def classes_of(self, keys: np.ndarray, away: int) -> tuple[np.ndarray, np.ndarray]:
-        """Slot in the table, and class: ``away`` for words that are not in it."""
-        slot = self.index.find(keys)
-        if not len(self.cls):
-            return slot, np.full(len(slot), away)
-        return slot, np.where(slot >= 0, self.cls[np.maximum(slot, 0)], away)
+    def slots(self, keys: np.ndarray) -> np.ndarray:
+        """Slots of words; those that are not in the table all get ``size``."""
+        at = self.index.find(keys)
+        return np.where(at >= 0, self.rank[at], self.size).astype(np.int32)
 
+    def of_slot(self) -> np.ndarray:
+        """Classes by slot, the tail for rare words."""
+        return np.concatenate([self.cls, np.array([self.tail, self.end, self.start], np.int16)])
+
+
+SCANNED = "kind byte, key long, n long, slot int, around binary"
+
+
+def _neighbours(shared, core: int):
+    """Rows of all four kinds: (word, slot, codes of the slots before and after
+    each occurrence), core cells with counts, and pairs of rare words."""
 
-def _core_pairs(top: HashIndex):
     def run(batches):
-        for batch in batches:
-            at, to = (top.find(longs(batch.column(c)).view(U64)).astype(np.int64) for c in ("a", "b"))
-            ok = (at >= 0) & (to >= 0)
-            yield pa.RecordBatch.from_arrays([pa.array(at[ok] * top.n + to[ok]), pa.array(longs(batch.column("n"))[ok])], ["cell", "n"])
+        model: Model = shared.value
+        rare, end, start = model.size, model.size + 1, model.size + 2
+        parts, held = [], 0
+
+        def rows(kind, key, n=None, slot=None, around=None):
+            size = len(key)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(np.full(size, kind, np.int8)), pa.array(key), pa.array(n) if n is not None else pa.nulls(size, pa.int64()), pa.array(slot, pa.int32()) if slot is not None else pa.nulls(size, pa.int32()), around if around is not None else pa.nulls(size, pa.binary())],
+                ["kind", "key", "n", "slot", "around"],
+            )
+
+        def take():
+            key, slot, before, after = (np.concatenate(x) for x in zip(*parts, strict=True))
+            inside = slot < core
+            cell = np.concatenate([before[inside & (before < core)].astype(np.int64) * core + slot[inside & (before < core)], core * core + 2 * slot[inside & (before == start)], core * core + 2 * slot[inside & (after == end)] + 1])
+            cell, n = np.unique(cell, return_counts=True)
+            yield rows(CORE_CELL, cell, n)
+            key, slot, before, after = (x[~inside] for x in (key, slot, before, after))
+            order = np.argsort(key, kind="stable")
+            key, slot, before, after = key[order], slot[order], before[order], after[order]
+            first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+            count = np.diff(np.append(first, len(key)))
+            around = np.empty(2 * len(key), "<u4")
+            at = np.arange(len(key)) + np.repeat(first, count)
+            around[at] = before
+            around[at + np.repeat(count, count)] = after
+            kind = np.where(slot[first] == rare, RARE_WORD, KNOWN_WORD).astype(np.int8)
+            yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(key[first].view(np.int64)), pa.nulls(len(first), pa.int64()), pa.array(slot[first]), binary_rows(around, 2 * count)], ["kind", "key", "n", "slot", "around"])
+
+        empty = 0
+        for _, data, off in slices(batches, "text"):
+            words = Words(data, off, NOT_SPACE)
+            slot, n, full = model.slots(words.hash), len(words.hash), words.count > 0
+            before, after = np.append(start, slot[:-1])[:n].astype(np.int32), np.append(slot[1:], end)[:n].astype(np.int32)
+            before[words.first[:-1][full]] = start
+            after[words.first[1:][full] - 1] = end
+            at = np.flatnonzero((slot == rare) & (before == rare))
+            if len(at):
+                yield rows(RARE_PAIR, words.hash[at - 1].view(np.int64), words.hash[at].view(np.int64))
+            parts.append((words.hash, slot, before, after))
+            empty += int((~full).sum())
+            held += n
+            if held > CHUNK_WORDS:
+                yield from take()
+                parts, held = [], 0
+        if parts:
+            yield from take()
+        if empty:
+            yield rows(CORE_CELL, np.array([core * core + 2 * core]), np.array([empty]))
 
     return run
 
 
-def _contexts(shared, placed: bool, away: bool):
-    """(word, c, n): c is the class before, or ``width`` + the class after.  With
-    ``away`` the contexts whose own class is not in the broadcast table, as
-    (word, shift, other, n).  Before all words are ``placed``, those are the tail."""
+def _contexts(shared, core: int):
+    """slot, key, cells, n: what stood around a word, one row for each word of a
+    batch (its rows are next to each other).  Cells: the class before; or, from
+    ``width`` on, the class after; or, from 2 * ``width`` on, the class after
+    where that is a word of the core or the end, which have no rows of their own."""
 
     def run(batches):
-        m: Model = shared.value
+        model: Model = shared.value
+        width, wide = model.width, 3 * model.width
+        before = model.of_slot().astype(np.int64)
+        after = before + width
+        after[:core] += width
+        after[model.size + 1] += width
         for batch in batches:
-            a, b, n = longs(batch.column("a")).view(U64), longs(batch.column("b")).view(U64), longs(batch.column("n"))
-            slot, before = m.classes_of(a, -1 if placed else m.tail)
-            after = m.classes_of(b, -1 if placed else m.tail)[1]
-            before[a == START] = m.start
-            after[b == END] = m.end
-            use_b, use_a = (before < 0, (after < 0) & (a != START)) if away else (before >= 0, (after >= 0) & (a != START))
-            word, count = np.append(b[use_b], a[use_a]).view(np.int64), np.append(n[use_b], n[use_a])
-            once = (slot >= 0) & (m.counts[np.maximum(slot, 0)] == 1) if placed and len(m.counts) else np.zeros(len(a), bool)
-            if away:
-                shift = np.append(np.zeros(use_b.sum(), np.int32), np.full(use_a.sum(), m.width, np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(shift), pa.array(np.append(a[use_b], b[use_a]).view(np.int64)), pa.array(count)], ["word", "shift", "other", "n"])
-            else:
-                c = np.concatenate([before[use_b], after[use_a] + m.width, np.full(once.sum(), 2 * m.width + m.tail)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(np.append(word, b[once].view(np.int64))), pa.array(c), pa.array(np.append(count, n[once]))], ["word", "c", "n"])
+            if not batch.num_rows:
+                continue
+            key, slot, around = longs(batch.column("key")), longs(batch.column("slot")), batch.column("around")
+            raw, off = text_bytes(around)
+            codes, off = raw.view("<u4"), off // 4
+            many = np.diff(off)
+            new = np.append(True, key[1:] != key[:-1])
+            place = np.arange(len(codes)) - np.repeat(off[:-1], many)
+            cell = np.repeat((np.cumsum(new) - 1) * wide, many) + np.where(place < np.repeat(many // 2, many), before[codes], after[codes])
+            cell, n = np.unique(cell, return_counts=True)
+            first = np.flatnonzero(new)
+            size = np.bincount(cell // wide, minlength=len(first))
+            yield pa.RecordBatch.from_arrays([pa.array(slot[first]), pa.array(key[first]), binary_rows((cell % wide).astype("<i2"), size), binary_rows(n.astype("<i8"), size)], ["slot", "key", "cells", "n"])
+
+    return run
+
+
+CONTEXTS = "slot int, key long, cells binary, n binary"
+
+
+def _words_of(batches, wide: int):
+    """Blocks of words (slots, keys, contexts [word, cell]) from rows sorted by
+    word; the last word of a batch waits for the next one."""
+    kept = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key, slot = longs(batch.column("key")), longs(batch.column("slot"))
+        cells, off = text_bytes(batch.column("cells"))
+        n = text_bytes(batch.column("n"))[0].view("<i8")
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        word = np.searchsorted(first, np.arange(len(key)), side="right") - 1
+        seen = np.bincount(np.repeat(word, np.diff(off) // 2) * wide + cells.view("<i2"), weights=n, minlength=len(first) * wide).astype(np.int64).reshape(-1, wide)
+        slots, keys = slot[first], key[first]
+        if kept is not None and kept[1][0] == keys[0]:
+            seen[0] += kept[2][0]
+        elif kept is not None:
+            slots, keys, seen = np.append(kept[0], slots), np.append(kept[1], keys), np.concatenate([kept[2], seen])
+        kept = slots[-1:], keys[-1:], seen[-1:]
+        if len(keys) > 1:
+            yield slots[:-1], keys[:-1], seen[:-1]
+    if kept is not None:
+        yield kept
+
+
+def _transitions(shared, final: bool):
+    """Counts (before * width + class) of the pairs that end in a word outside
+    the core, and of those from such a word to one of the core or the end."""
+
+    def run(batches):
+        model: Model = shared.value
+        w, tail = model.width, model.tail
+        table = np.zeros((w, w), np.int64)
+        for slots, _, seen in _words_of(batches, 3 * w):
+            cls = model.cls[slots].astype(np.int64)
+            before, after = seen[:, :w].copy(), seen[:, 2 * w :].copy()
+            if final:  # pairs with a rare word are counted where those are placed
+                before[:, tail] = 0
+            else:  # rare words as one class
+                after[:, tail] += seen[:, w + tail]
+            _add(table, cls, before, after)
+            if final:
+                _add_once(table, seen, model, model.counts[slots] == 1)
+        cell = np.flatnonzero(table)
+        yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(table.ravel()[cell])], ["cell", "n"])
 
     return run
 
 
-def contexts(pairs: DataFrame, model: Model, rare: DataFrame | None) -> DataFrame:
-    """word, seen: how often each training word (and the end) stood after and
-    before each class, and, as 2 * width + tail, after words of one occurrence; the
-    word's own class, if not broadcast, as 2 * width + class."""
-    shared = pairs.sparkSession.sparkContext.broadcast(model)
-    rows = pairs.mapInArrow(_contexts(shared, rare is not None, False), "word long, c int, n long")
-    if rare is not None:
-        away = pairs.mapInArrow(_contexts(shared, True, True), "word long, shift int, other long, n long")
-        own = F.col("shift") + F.col("cls")
-        own = F.when((F.col("shift") == 0) & (rare["n"] == 1), F.array(own, F.lit(2 * model.width + model.tail))).otherwise(F.array(own))
-        away = away.join(rare.hint("merge"), F.col("other") == F.col("key")).select("word", F.explode(own).alias("c"), away["n"])
-        rows = rows.union(away).union(rare.select("key", F.col("cls") + 2 * model.width, F.lit(0).cast("long")))
-    rows = rows.groupBy("word", "c").agg(F.sum("n").alias("n"))
-    return rows.groupBy("word").agg(F.collect_list(F.struct("c", "n")).alias("seen"))  # at most 2 * width + 2 in a list
+def _add(table: np.ndarray, cls: np.ndarray, before: np.ndarray, after: np.ndarray) -> None:
+    """Counts of the pairs (class before, own class) and (own class, class after)."""
+    np.add.at(table.T, cls, before)
+    np.add.at(table, cls, after)
 
 
-def _seen(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words, and the row, c and n of all their contexts."""
-    seen = batch.column("seen")
-    flat = seen.flatten()
-    row = np.repeat(np.arange(len(seen)), longs(seen.value_lengths()))
-    return longs(batch.column("word")).view(U64), row, longs(flat.field(0)).astype(np.int64), longs(flat.field(1))
+def _add_once(table: np.ndarray, seen: np.ndarray, model: Model, once: np.ndarray) -> None:
+    """What stands around words of one occurrence is counted for the tail as well."""
+    w, tail = model.width, model.tail
+    before, after = seen[once, :w].sum(axis=0), seen[once, w : 2 * w].sum(axis=0) + seen[once, 2 * w :].sum(axis=0)
+    before[tail] = after[tail] = 0
+    table[:, tail] += before
+    table[tail] += after
 
 
-def _transitions(shared):
-    """Counts (before * width + class) of a task's words.  What stands around
-    words of one occurrence is counted for the tail as well."""
+def _best(seen: np.ndarray, logs: np.ndarray, w: int) -> np.ndarray:
+    """The class of each word that explains what stood around it best."""
+    return np.argmax(seen[:, : 2 * w] @ logs + seen[:, 2 * w :] @ logs[w:], axis=1)
 
+
+def _place_known(shared, logs: np.ndarray):
     def run(batches):
-        m: Model = shared.value
-        w = m.width
-        table = np.zeros(w * w, np.int64)
-        for batch in batches:
-            word, row, c, n = _seen(batch)
-            cls = m.classes_of(word, m.tail)[1]
-            cls[word == END] = m.end
-            single = c == 2 * w + m.tail
-            own = (c >= 2 * w) & ~single
-            cls[row[own]] = c[own] - 2 * w
-            before = (c < w) & (c != m.tail)
-            at = before & (cls[row] != m.tail)
-            np.add.at(table, c[at] * w + cls[row[at]], n[at])
-            once = (np.bincount(row[c < w], weights=n[c < w], minlength=len(word)) == 1) & (word != END)
-            np.add.at(table, c[before & once[row]] * w + m.tail, 1)
-            np.add.at(table, m.tail * w + cls[row[single]], n[single])
-            np.add.at(table, m.tail * w + m.tail, int((single & once[row]).sum()))
-        cell = np.flatnonzero(table)
-        yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(table[cell])], ["cell", "n"])
+        model: Model = shared.value
+        for slots, _, seen in _words_of(batches, 3 * model.width):
+            yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int32()), pa.array(_best(seen, logs, model.width), pa.int32())], ["slot", "cls"])
 
     return run
 
 
-def _place(shared, logs: np.ndarray):
-    """The class of each word that explains what it stood after and before best."""
+def _place_rare(shared, logs: np.ndarray):
+    """(key, cls, n) of rare words, and under n = null the cells (key) and counts
+    (value) of their pairs with known words."""
 
     def run(batches):
-        m: Model = shared.value
-        for batch in batches:
-            word, row, c, n = _seen(batch)
-            use = c < 2 * m.width
-            seen = np.bincount(row[use] * 2 * m.width + c[use], weights=n[use], minlength=len(word) * 2 * m.width).reshape(len(word), -1)
-            best, count = np.argmax(seen @ logs, axis=1), seen[:, : m.width].sum(axis=1).astype(np.int64)
-            ok = word != END
-            yield pa.RecordBatch.from_arrays([pa.array(word[ok].view(np.int64)), pa.array(best[ok].astype(np.int32)), pa.array(count[ok]), pa.array(m.index.find(word[ok]))], ["key", "cls", "n", "slot"])
+        model: Model = shared.value
+        w, tail = model.width, model.tail
+        table = np.zeros((w, w), np.int64)
+        for _, keys, seen in _words_of(batches, 3 * w):
+            cls, n = _best(seen, logs, w), seen[:, :w].sum(axis=1)
+            before, after = seen[:, :w].copy(), seen[:, w : 2 * w] + seen[:, 2 * w :]
+            before[:, tail] = after[:, tail] = 0  # pairs of two rare words come from a join
+            _add(table, cls, before, after)
+            _add_once(table, seen, model, n == 1)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(cls, pa.int32()), pa.array(n), pa.nulls(len(keys), pa.int64())], ["key", "cls", "n", "value"])
+        cell = np.flatnonzero(table)
+        yield pa.RecordBatch.from_arrays([pa.array(cell), pa.nulls(len(cell), pa.int32()), pa.nulls(len(cell), pa.int64()), pa.array(table.ravel()[cell])], ["key", "cls", "n", "value"])
 
     return run
 
 
-def likelihood(table: np.ndarray, classes: int) -> float:
+def likelihood(table: np.ndarray) -> float:
     """Of the class bigram model, but for a term that no class changes."""
-    seen = np.delete(np.delete(table, classes, axis=0), classes, axis=1)
-    return float(xlogx(seen).sum() - xlogx(seen.sum(axis=1)).sum() - xlogx(seen[:, :classes].sum(axis=0)).sum())
+    return float(xlogx(table).sum() - xlogx(table.sum(axis=1)).sum() - xlogx(table.sum(axis=0)).sum())
 
 
-def fit(train: DataFrame, classes: int = CLASSES, clustered: int = CLUSTERED, assigned: int | None = None, known: int = KNOWN, prior: float = PRIOR, rounds: int = ROUNDS) -> tuple[Model, DataFrame]:
+def _summed(cells: DataFrame, width: int) -> np.ndarray:
+    """The table of (cell, n): at most width ** 2 rows reach the driver."""
+    found = cells.groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    table = np.zeros(width * width)
+    table[found["cell"].to_numpy()] = found["n"].to_numpy()
+    return table.reshape(width, width)
+
+
+def _log_contexts(table: np.ndarray, model: Model) -> np.ndarray:
+    """log P(class before | class) over log P(class after | class)."""
+    tail, classes = model.tail, model.tail
+    part = table[:, :classes], table[:classes].T
+    logs = np.concatenate([np.log((x + 0.5) / (x.sum(axis=0) + 0.5 * model.width)) for x in part])
+    logs[[tail, model.width + tail]] = 0  # words without a class say nothing
+    return logs
+
+
+def fit(train: DataFrame, classes: int = CLASSES, clustered: int = CLUSTERED, known: int = KNOWN, prior: float = PRIOR, rounds: int = ROUNDS) -> tuple[Model, DataFrame]:
     """The model, and class and count (key, cls, n) of the training words that
-    are not in its table.  ``assigned`` has no effect: every word is placed."""
-    sc = train.sparkSession.sparkContext
-    pairs = stage(pair_counts(train), "lm-pairs")
-    end = F.lit(int(END.view(np.int64)))
-    counts = stage(pairs.where(F.col("b") != end).groupBy(F.col("b").alias("key")).agg(F.sum("n").alias("n")), "lm-counts")
-    sums = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
-    docs = pairs.where(F.col("b") == end).agg(F.sum("n")).first()[0] or 0
-    keys, n = most_frequent(counts, known)
+    are not in its table."""
+    spark = train.sparkSession
+    ship(spark)
+    sc = spark.sparkContext
+    texts, end = train.select("text"), F.lit(int(END.view(np.int64)))
+    counts = stage(texts.mapInArrow(_count_words, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "lm-counts")
+    docs = (counts.where(F.col("key") == end).agg(F.sum("n")).first()[0]) or 0
+    words = counts.where(F.col("key") != end)
+    sums = words.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
+    keys, n = most_frequent(words, known)
     drop_staged(counts)
     model = Model(keys, n, (sums["n"] or 0) + docs, sums["v"] + (docs > 0), docs, classes)
-    top = HashIndex(np.sort(keys[:clustered]))
-    k, width = top.n, model.width
-    core = np.zeros((k, k))
-    if k:
-        found = pairs.mapInArrow(_core_pairs(top), "cell long, n long").toArrow()  # at most clustered ** 2 rows
-        core.flat[found["cell"].to_numpy()] = found["n"].to_numpy()
-        del found
-    by_count = np.argsort(-(core.sum(axis=0) + core.sum(axis=1)), kind="stable")
-    own = np.empty(k, np.int64)
-    own[by_count] = exchange(core[np.ix_(by_count, by_count)], classes)
-    del core
-    model.cls[model.index.find(top.keys[:k])] = own
-
-    rare, best = None, None
+    core, width = min(clustered, int((n > 1).sum())), model.width  # a word of one occurrence is no model for others
+    shared = sc.broadcast(model)
+    scanned = stage(texts.mapInArrow(_neighbours(shared, core), SCANNED), "lm-scanned")
+    found = scanned.where(F.col("kind") == CORE_CELL).groupBy("key").agg(F.count("*"), F.sum("n").alias("n")).select("key", "n").toArrow()  # at most clustered ** 2 + 2 * clustered + 1 rows
+    cells = np.zeros(core * core + 2 * core + 1)
+    cells[found["key"].to_numpy()] = found["n"].to_numpy()
+    del found
+    pairs = stage(scanned.where(F.col("kind") == RARE_PAIR).select(F.col("key").alias("a"), F.col("n").alias("b")), "lm-rare-pairs")
+    around = scanned.where(F.col("kind") <= RARE_WORD).select("slot", "key", "around").repartition("key").sortWithinPartitions("slot", "key")
+    around = stage(around, "lm-around")
+    drop_staged(scanned)
+    matrix = cells[: core * core].reshape(core, core)
+    model.cls[:core] = exchange(matrix, classes)
+    fixed = np.zeros((width, width))  # of pairs inside the core, with start and end
+    member = np.zeros((core, width))
+    member[np.arange(core), model.cls[:core]] = 1
+    fixed += member.T @ matrix @ member
+    fixed[model.start] += cells[core * core : -1 : 2] @ member
+    fixed[:, model.end] += cells[core * core + 1 : -1 : 2] @ member
+    fixed[model.start, model.end] += cells[-1]
+    del matrix, cells, member
+
+    best = None
     for step in range(rounds + 1):
-        seen = stage(contexts(pairs, model, rare), "lm-contexts")
         shared = sc.broadcast(model)
-        found = seen.mapInArrow(_transitions(shared), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most width ** 2 rows
-        table = np.zeros((width, width))
-        table.flat[found["cell"].to_numpy()] = found["n"].to_numpy()
-        reached = likelihood(table, classes)
-        if step and (best is None or reached > best[0]):
-            best = reached, model.cls, rare, table
-        elif step:
+        seen = stage(around.where(F.col("slot") < model.size).mapInArrow(_contexts(shared, core), CONTEXTS).repartition("key").sortWithinPartitions("slot", "key"), "lm-contexts")
+        table = fixed + _summed(seen.mapInArrow(_transitions(shared, False), "cell long, n long"), width)
+        reached = likelihood(table)
+        if step and best is not None and reached <= best[0]:
+            drop_staged(seen)
             break
+        if step:
+            if best is not None:
+                drop_staged(best[2])
+            best = reached, model.cls.copy(), seen
         if step == rounds:
             break
-        part = np.delete(table, model.tail, axis=1)[:, :classes], np.delete(table, model.tail, axis=0)[:classes].T
-        logs = np.concatenate([np.log((x + 0.5) / (x.sum(axis=0) + 0.5 * width)) for x in part])  # log P(class before | class), log P(class after | class)
-        logs[[model.tail, width + model.tail]] = 0  # words without a class say nothing
-        placed = stage(seen.mapInArrow(_place(shared, logs), "key long, cls int, n long, slot int"), "lm-placed")
-        drop_staged(seen)
-        found = placed.where("slot >= 0").select("slot", "cls").toArrow()  # at most ``known`` rows
-        model.cls = np.full(len(keys), model.tail, np.int64)
+        found = seen.mapInArrow(_place_known(shared, _log_contexts(table, model)), "slot int, cls int").toArrow()  # at most ``known`` rows
         model.cls[found["slot"].to_numpy()] = found["cls"].to_numpy()
-        rare = placed.where("slot < 0").select("key", "cls", "n")
-    _, model.cls, rare, table = best
+        if not step:
+            drop_staged(seen)
+    model.cls = best[1]
+    shared = sc.broadcast(model)
+    table = fixed + _summed(best[2].mapInArrow(_transitions(shared, True), "cell long, n long"), width)
+    placed = around.where(F.col("slot") == model.size).mapInArrow(_contexts(shared, core), CONTEXTS).repartition("key").sortWithinPartitions("slot", "key")
+    placed = stage(placed.mapInArrow(_place_rare(shared, _log_contexts(table, model)), "key long, cls int, n long, value long"), "lm-rare")
+    table += _summed(placed.where("n is null").select(F.col("key").alias("cell"), F.col("value").alias("n")), width)
+    rare = placed.where("n is not null").select("key", "cls", "n")
+    sides = [rare.select(F.col("key").alias(c), F.col("cls").alias(f"cls_{c}")).hint("merge") for c in "ab"]
+    met = pairs.join(sides[0], "a").join(sides[1], "b")
+    table += _summed(met.select((F.col("cls_a") * width + F.col("cls_b")).cast("long").alias("cell"), F.lit(1).cast("long").alias("n")), width)
+    drop_staged(around, pairs, best[2])
 
-    of_class = table.sum(axis=0)[: classes + 2] + 1.0
-    unigram = of_class / of_class.sum()
-    model.log_transition[:, : classes + 2] = np.log10((table[:, : classes + 2] + prior * unigram) / (table[:, : classes + 2].sum(axis=1, keepdims=True) + prior))
     members = np.bincount(model.cls, minlength=width).astype(float)
     for r in rare.groupBy("cls").count().collect():
         members[r["cls"]] += r["count"]
-    members[model.tail] = 1  # the place of an unseen word
-    model.log_size = np.log10(np.maximum(table.sum(axis=0) + members, 1.0))
-    model.log_size[model.end] = 0
+    has_words = members[: classes + 2] > 0  # a class without words gets no share
+    has_words[[model.tail, model.end]] = True
+    of_class = table.sum(axis=0)[: classes + 2] + has_words
+    unigram = of_class / of_class.sum()
+    model.log_transition[:, : classes + 2] = np.log10(np.maximum((table[:, : classes + 2] + prior * unigram) / (table[:, : classes + 2].sum(axis=1, keepdims=True) + prior), 1e-300))
+    tokens = np.bincount(model.cls, weights=model.counts, minlength=width)
+    for r in rare.groupBy("cls").agg(F.sum("n").alias("n")).collect():
+        tokens[r["cls"]] += r["n"]
+    model.log_size = np.log10(np.maximum(tokens + members, 1.0))
+    model.log_size[[model.tail, model.end]] = 0  # one unseen word, one end
     return model, rare
 
 
@@ -368,19 +470,19 @@ def _score(shared):
         m: Model = shared.value
         row_id = TaskContext.get().partitionId() << 36
         base_size = np.log10(m.total + m.types + 1)
-        log_counts = np.log10(m.counts + 1.0)
+        log_counts, cls_of = np.log10(np.append(m.counts, 0) + 1.0), np.append(m.cls, -1).astype(np.int64)
         end_log = np.log10(m.docs + 1.0)
         for batch, data, off in slices(batches, "text"):
             words = Words(data, off, NOT_SPACE)
             n = batch.num_rows
-            slot, cls = m.classes_of(words.hash, -1)
+            slot = m.slots(words.hash)
+            cls, here = cls_of[slot], slot < m.size
             full = words.count > 0
             first, last = words.first[:-1][full], words.first[1:][full] - 1
             before, after = np.append(m.start, cls[:-1])[: len(cls)], np.append(cls[1:], m.end)[: len(cls)]
             before[first] = m.start
             after[last] = m.end
-            here = slot >= 0
-            log_n = np.where(here, log_counts[np.maximum(slot, 0)], 0.0) if len(m.cls) else np.zeros(len(slot))
+            log_n = log_counts[slot]
             # what has a word outside the table on either side is added when its class is known
             per_word = np.where(here, log_n - m.log_size[np.maximum(cls, 0)] + np.where(before >= 0, m.log_transition[before, cls], 0.0), 0.0)
             per_end = np.full(n, m.log_transition[m.start, m.end])
@@ -436,7 +538,7 @@ def score(docs: DataFrame, model: Model, rare: DataFrame) -> DataFrame:
     local = stage(local, "lm-scored")
     away = local.select("row_id", F.explode("tail").alias("t")).select("row_id", "t.*").join(rare.hint("merge"), "key", "left")
     away = away.select("row_id", F.struct("pos", "before", "after", F.coalesce("cls", F.lit(model.tail)).alias("cls"), F.coalesce("n", F.lit(0)).alias("n")).alias("t")).groupBy("row_id").agg(F.collect_list("t").alias("tail"))
-    away = away.mapInArrow(_score_tail(shared), "row_id long, more long, gain double, rest double")
+    away = stage(away.mapInArrow(_score_tail(shared), "row_id long, more long, gain double, rest double"), "lm-tails")
     more, gain, rest = F.coalesce("more", F.lit(0)), F.coalesce("gain", F.lit(0.0)), F.coalesce("rest", F.lit(0.0))
     return local.drop("tail").join(away, "row_id", "left").select("doc_id", "held_out", "n_tokens", (F.col("n_known") + more).alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"), (F.col("base_score") + gain).alias("base_score"), (F.col("score") + rest).alias("score"))
 

@@ -101,12 +101,29 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = SLICE_BYTES
             row = end
 
 
+#: Bytes of a long row whose hashes are made at once.
+SEGMENT_BYTES = 4 << 20
+
+
+def hash_runs(data: np.ndarray, start: np.ndarray, end: np.ndarray, most: int = SEGMENT_BYTES) -> np.ndarray:
+    """Hashes of ascending runs of bytes, made stretch by stretch: what a long
+    text needs for each byte is held for one stretch only."""
+    out, i = np.empty(len(start), U64), 0
+    while i < len(start):
+        j = max(i + 1, int(np.searchsorted(end, start[i] + most, side="right")))
+        a, b = int(start[i]), int(end[j - 1])
+        out[i:j] = Prefix(LETTER[data[a:b]], BYTE_BASE).ranges(start[i:j] - a, end[i:j] - a)
+        i = j
+    return out
+
+
 class Words:
     """The words of a slice: where they start and end, their row and hash."""
 
-    def __init__(self, data: np.ndarray, off: np.ndarray, inside: np.ndarray, split: np.ndarray | None = None):
-        """``split``: bytes at which a new word starts in any case."""
-        self.data = low = LOWER[data]
+    def __init__(self, data: np.ndarray, off: np.ndarray, inside: np.ndarray, split: np.ndarray | None = None, fold: bool = True):
+        """``split``: bytes at which a new word starts in any case; ``fold``:
+        take A-Z as a-z."""
+        self.data = low = LOWER[data] if fold else data
         self.off, n = off, len(low)
         if n == 0:
             self.start = self.end = self.row = np.zeros(0, np.int64)
@@ -124,7 +141,7 @@ class Words:
             self.start = np.flatnonzero(m & ~before)
             self.end = np.flatnonzero(m & ~after) + 1
             self.row = np.searchsorted(off, self.start, side="right") - 1
-            self.hash = Prefix(LETTER[low], BYTE_BASE).ranges(self.start, self.end)
+            self.hash = hash_runs(low, self.start, self.end)
         #: The first word of every row, and the number of all words last.
         self.first = np.searchsorted(self.row, np.arange(len(off)), side="left")
         self.count = np.diff(self.first)
