@@ -3,22 +3,24 @@
 Every source is a queue: the token stream of its documents.  Queues are served
 in quanta of ``quantum`` tokens; a window of ``window`` tokens takes the next
 window / quantum quanta.  Each queue's credit grows with its target share of
-every window, and the quantum goes to the queue that is owed most; what is
-still owed is carried to the next window.  With target shares equal to the
-sources' shares of the corpus, quantum k of a queue of n quanta falls due at
-(2k + 1) / 2n of the whole run, so what each queue has been given before any
-window follows from the window's number alone.  Tasks work on any stretch of
-any queue with the right carried credit, without asking their neighbours, and
-all queues run dry together: only a queue's last, shorter quantum leaves
-padding.
-
-A first pass writes ids and per-task stream positions; a task's place in a
-queue comes from the per-task totals.  A document with other sources than the
-``queues`` largest ones joins the queue "" (null sources do, too).
-
-Nulls and empties: a null or empty text is the end id alone.  Repeated rows
-are packed like any others.  An empty table gives no pieces.  Extra columns
-are ignored; a source column is optional.
+every window, and the next quantum goes to the queue that is owed most; what is
+still owed is carried to the next window.  So quantum k of a queue of weight w
+falls due at (2k + 1) / 2w, and the quanta in the order of their dues are what
+the round-robin serves, over all windows and partitions.  Weights are target
+proportions given by the user, or the queues' own sizes, with which all queues
+run dry together; when one runs dry, the others go on in their proportions.
+Queues without a given weight come after those that have one.
+
+A task cuts each queue's documents into quanta as it encodes them; the quanta
+are numbered over all tasks by range parts.  The last, shorter quanta of every
+task follow in one run at the end, in the order of their dues, cut where windows
+end.  So there may be any number of queues, and only the last window is padded.
+
+Nulls and empties: a null or empty text is the end id alone; a null source is
+the queue "".  Repeated rows are packed like any others, each by itself.  An
+empty table gives no pieces.  A very long text is many pieces.  Equal dues are
+served in the order of the queues' names.  Extra columns are ignored; a source
+column is optional.
 """
 
 from __future__ import annotations
@@ -31,154 +33,129 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .encoding import encoder, vocabulary_path, with_end
-from .kernels import binary_rows, ragged, slices
-from .workspace import ship, stage
+from .kernels import ragged, slices
+from .workspace import running_start, ship, stage
 
-WINDOW, QUANTUM, QUEUES = 2048, 256, 256
+WINDOW, QUANTUM = 2048, 256
+PIECES = "queue string, part int, k long, place long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
 
 
-def _encode(path: str, end_id: int):
+def _cut(path: str, end_id: int, quantum: int, kind: pa.DataType):
+    """A row for each part of a document in a quantum of its queue: the quantum
+    (part, k), the place in it, and the ids where the quantum stays short."""
+    numbers = ("k", "place", "start", "length", "ids_crc32", "doc_tokens")
+
     def run(batches):
         from pyspark import TaskContext
 
-        coder, part, given = encoder(path), TaskContext.get().partitionId(), {}
+        coder, part = encoder(path), TaskContext.get().partitionId()
+        given: dict[str, int] = {}
+        open_: dict[str, list[tuple]] = {}  # pieces of each queue's unfinished quantum
+
+        def rows(docs, queues, columns, ids):
+            n = len(queues)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(docs, kind), pa.array(queues, pa.string()), pa.array(np.full(n, part), pa.int32()), *[pa.array(c, pa.int64()) for c in columns], pa.array(ids, pa.binary()) if ids else pa.nulls(n, pa.binary())],
+                ["doc_id", "queue", "part", *numbers, "ids"],
+            )
+
         for batch, data, off in slices(batches, "text"):
             ids, counts = with_end(*coder.encode(data, off), end_id)
-            starts = []
-            for q, n in zip(batch.column("queue").to_pylist(), counts.tolist(), strict=True):
-                starts.append(given.get(q, 0))
-                given[q] = starts[-1] + n
-            n = batch.num_rows
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("queue"), pa.array(np.full(n, part), pa.int32()), pa.array(starts, pa.int64()), pa.array(counts, pa.int64()), binary_rows(ids.astype("<u2"), counts)],
-                ["doc_id", "queue", "part", "part_start", "doc_tokens", "ids"],
-            )
+            doc, queue = batch.column("doc_id").to_pylist(), batch.column("queue").to_pylist()
+            begin = np.empty(len(counts), np.int64)
+            for i, (q, n) in enumerate(zip(queue, counts.tolist(), strict=True)):
+                begin[i] = given.get(q, 0)
+                given[q] = int(begin[i]) + n
+            many = (begin + counts - 1) // quantum - begin // quantum + 1
+            row, k = np.repeat(np.arange(len(counts)), many), ragged(begin // quantum, many)
+            start = np.maximum(k * quantum - begin[row], 0)
+            length = np.minimum((k + 1) * quantum - begin[row], counts[row]) - start
+            place = begin[row] + start - k * quantum
+            raw, at = memoryview(ids.astype("<u4").tobytes()), (np.cumsum(counts) - counts)[row] + start
+            crc = np.array([zlib.crc32(raw[4 * a : 4 * (a + n)]) for a, n in zip(at.tolist(), length.tolist(), strict=True)], np.int64)
+            columns = (k, place, start, length, crc, counts[row])
+            last = np.array([given[q] // quantum for q in queue])
+            late = k >= last[row]  # in the quantum that is still open
+            done = np.flatnonzero(~late)
+            yield rows([doc[i] for i in row[done].tolist()], [queue[i] for i in row[done].tolist()], [c[done] for c in columns], None)
+            free = [p for q in set(queue) for p in open_.get(q, []) if p[2] < given[q] // quantum]
+            if free:
+                docs, queues, *rest = zip(*free, strict=True)
+                yield rows(docs, queues, rest[:-1], None)
+            for q in set(queue):
+                open_[q] = [p for p in open_.get(q, []) if p[2] >= given[q] // quantum]
+            for j in np.flatnonzero(late).tolist():
+                i = int(row[j])
+                open_[queue[i]].append((doc[i], queue[i], *[int(c[j]) for c in columns], bytes(raw[4 * int(at[j]) : 4 * int(at[j] + length[j])])))
+        left = [p for own in open_.values() for p in own]
+        if left:
+            docs, queues, *rest = zip(*left, strict=True)
+            yield rows(docs, queues, rest[:-1], list(rest[-1]))
 
     return run
 
 
-class Schedule:
-    """Which quanta of which queue each window takes."""
-
-    def __init__(self, tokens: list[tuple[str, int]], window: int, quantum: int):
-        self.names = [q for q, _ in tokens]
-        self.index = {q: i for i, q in enumerate(self.names)}
-        self.tokens = np.array([t for _, t in tokens], np.int64)
-        self.quanta = -(-self.tokens // quantum)
-        self.window, self.quantum, self.per = window, quantum, window // quantum
-        big = int(self.quanta.sum()) ** 2 >= 1 << 60
-        #: Exact integers beyond 64 bits where the products need them.
-        self.n = self.quanta.astype(object) if big else self.quanta
-        self.kind = object if big else np.int64
-
-    def rank(self, s: int, b: np.ndarray) -> np.ndarray:
-        """How many quanta of all queues are served before quantum b of queue s."""
-        b = b.astype(self.kind)
-        out = b.copy()
-        for r in range(len(self.n)):
-            if r == s:
-                continue
-            # quanta k of r with (2k+1)/2n_r < (2b+1)/2n_s; a tie goes to the smaller queue number
-            k = ((2 * b + 1) * self.n[r] + self.n[s] - (r > s)) // (2 * self.n[s])
-            out = out + np.minimum(k, self.n[r])
-        return out.astype(np.int64)
-
-    def taken(self, w: np.ndarray) -> np.ndarray:
-        """Quanta given to each queue before window w: array [queue, window]."""
-        total = int(self.quanta.sum())
-        m = np.minimum(w * self.per, total)
-        k = np.empty((len(self.n), len(w)), self.kind)
-        mm = m.astype(self.kind)
-        for s in range(len(self.n)):
-            k[s] = np.minimum((mm * 2 * self.n[s] + total) // (2 * total), self.n[s])
-        while True:
-            left = m - k.sum(axis=0).astype(np.int64)
-            more, less = np.flatnonzero(left > 0), np.flatnonzero(left < 0)
-            if not len(more) and not len(less):
-                return k.astype(np.int64)
-            if len(more):
-                self._step(k, more, 1)
-            if len(less):
-                self._step(k, less, -1)
-
-    def _step(self, k: np.ndarray, at: np.ndarray, sign: int) -> None:
-        """Give the next due quantum to (or take the last one from) a queue."""
-        best = np.full(len(at), -1)
-        for s in range(len(self.n)):
-            own = k[s, at]
-            can = own < self.n[s] if sign > 0 else own > 0
-            due = 2 * own + 1 if sign > 0 else 2 * own - 1
-            if s == 0:
-                best[can.astype(bool)] = 0
-                top = due * 1
-                continue
-            first = best < 0
-            held = self.n[np.maximum(best, 0)]
-            # due / n_s against top / n_best; of equals the smaller queue is first served, last taken back
-            better = due * held < top * self.n[s] if sign > 0 else due * held >= top * self.n[s]
-            use = can.astype(bool) & (first | better.astype(bool))
-            best[use] = s
-            top = np.where(use, due, top)
-        for s in range(len(self.n)):
-            k[s, at[best == s]] += sign
-
-
-def _pieces(shared):
+def _split(window: int):
+    """Pieces with their ``position`` in the run of all windows, cut where a window ends."""
+
     def run(batches):
-        plan: Schedule = shared.value
-        per, quantum = plan.per, plan.quantum
         for batch in batches:
-            doc, queue = batch.column("doc_id").to_pylist(), batch.column("queue").to_pylist()
-            begin, n = batch.column("start").to_numpy(), batch.column("doc_tokens").to_numpy()
-            ids = [x.as_buffer() for x in batch.column("ids")]
-            s = np.array([plan.index[q] for q in queue], np.int64)
-            if not len(s):
-                continue
-            # one row per quantum that a document has a part of
-            count = (begin + n - 1) // quantum - begin // quantum + 1
-            row, b = np.repeat(np.arange(len(n)), count), ragged(begin // quantum, count)
-            w = np.empty(len(b), np.int64)
-            for q in np.unique(s).tolist():
-                at = np.flatnonzero(s[row] == q)
-                w[at] = plan.rank(q, b[at]) // per
-            windows = np.unique(np.concatenate([w, w + 1]))
-            given = np.minimum(plan.taken(windows) * quantum, plan.tokens[:, None])
-            before = np.zeros_like(given)
-            before[1:, :-1] = np.cumsum(given[:, 1:] - given[:, :-1], axis=0)[:-1]
-            new = np.ones(len(b), bool)
-            new[1:] = (row[1:] != row[:-1]) | (w[1:] != w[:-1])
-            first = np.flatnonzero(new)
-            last = np.append(first[1:], len(b)) - 1
-            row, w, q = row[first], w[first], s[row[first]]
-            start = np.maximum(begin[row], b[first] * quantum)
-            end = np.minimum(begin[row] + n[row], (b[last] + 1) * quantum)
-            place = np.searchsorted(windows, w)
-            offset = before[q, place] + start - given[q, place]
-            raw = [np.frombuffer(x, "<u2").astype("<u4") for x in ids]
-            inside = start - begin[row]
-            crc = [zlib.crc32(raw[i][a : a + k]) for i, a, k in zip(row.tolist(), inside.tolist(), (end - start).tolist(), strict=True)]
-            out = {"doc_id": [doc[i] for i in row.tolist()], "start": inside, "length": end - start, "ids_crc32": crc, "doc_tokens": n[row], "sequence_id": w, "offset": offset}
-            yield pa.RecordBatch.from_arrays([pa.array(v, batch.schema.field("doc_id").type if k == "doc_id" else pa.int64()) for k, v in out.items()], list(out))
+            position, length = batch.column("position").to_numpy(), batch.column("length").to_numpy()
+            many = (position + length - 1) // window - position // window + 1
+            row, w = np.repeat(np.arange(len(many)), many), ragged(position // window, many)
+            begin = np.maximum(w * window, position[row])
+            size = np.minimum((w + 1) * window, (position + length)[row]) - begin
+            inside = begin - position[row]
+            ids = batch.column("ids").to_pylist()
+            crc = [zlib.crc32(ids[i][4 * a : 4 * (a + n)]) for i, a, n in zip(row.tolist(), inside.tolist(), size.tolist(), strict=True)]
+            own = batch.select(["doc_id", "doc_tokens", "queue"]).take(pa.array(row))
+            yield pa.RecordBatch.from_arrays(
+                [own.column(0), pa.array(batch.column("start").to_numpy()[row] + inside), pa.array(size), pa.array(crc, pa.int64()), own.column(1), pa.array(w), pa.array(begin - w * window), own.column(2)],
+                ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "queue"],
+            )
 
     return run
 
 
-def pack(docs: DataFrame, window: int = WINDOW, quantum: int = QUANTUM, end_id: int = 1, tokenizer: str | None = None, queues: int = QUEUES, id_col: str = "doc_id", text_col: str = "text", source_col: str | None = "source") -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset: one row per piece."""
+def quantum_positions(quanta: DataFrame, quantum: int, weights: dict[str, float] | None = None) -> DataFrame:
+    """queue, part, k, position (tokens before it) of every quantum, from
+    ``quanta``: queue, part, k, n (tokens in it)."""
+    by_part = quanta.groupBy("queue", "part").agg(F.count("*").alias("own"))
+    before = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    weight = F.sum("own").over(Window.partitionBy("queue")).cast("double")
+    by_part = by_part.select("queue", "part", F.coalesce(F.sum("own").over(before), F.lit(0)).alias("first"), weight.alias("weight"), F.lit(0.0).alias("wait"))
+    if weights:
+        asked = quanta.sparkSession.createDataFrame([(q, float(w)) for q, w in weights.items() if w > 0], "queue string, asked double")
+        by_part = by_part.join(F.broadcast(asked), "queue", "left").withColumn("wait", F.when(F.col("asked").isNull(), 1e18).otherwise(0.0)).withColumn("weight", F.coalesce("asked", "weight")).drop("asked")
+    due = F.col("wait") + (2 * (F.col("first") + F.col("k")) + 1) / (2 * F.col("weight"))
+    dued = quanta.join(by_part, ["queue", "part"]).select("queue", "part", "k", "n", due.alias("due"))
+    order = ["due", "queue", "part", "k"]
+    full = running_start(dued.where(F.col("n") == quantum), [], order, F.lit(1), "position", "pack-full")
+    short = running_start(dued.where(F.col("n") < quantum), [], order, F.col("n"), "position", "pack-short")
+    base = quanta.where(F.col("n") == quantum).count() * quantum
+    return full.select("queue", "part", "k", (F.col("position") * quantum).alias("position")).union(short.select("queue", "part", "k", F.col("position") + base))
+
+
+def pack(docs: DataFrame, window: int = WINDOW, quantum: int = QUANTUM, end_id: int = 1, tokenizer: str | None = None, weights: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str | None = "source") -> DataFrame:
+    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, queue: one row per piece."""
+    if window % quantum:
+        raise ValueError("a window must hold whole quanta")
     spark = docs.sparkSession
     ship(spark)
     queue = F.coalesce(F.col(source_col).cast("string"), F.lit("")) if source_col and source_col in docs.columns else F.lit("")
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), queue.alias("queue"))
-    if source_col and source_col in docs.columns:
-        largest = rows.groupBy("queue").count().orderBy(F.desc("count"), "queue").limit(queues).collect()
-        if len(largest) >= queues:
-            rows = rows.withColumn("queue", F.when(F.col("queue").isin([r["queue"] for r in largest]), F.col("queue")).otherwise(""))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    coded = stage(rows.mapInArrow(_encode(tokenizer or vocabulary_path(), end_id), f"doc_id {kind}, queue string, part int, part_start long, doc_tokens long, ids binary"), "pack-ids")
-    parts = stage(coded.groupBy("queue", "part").agg(F.sum("doc_tokens").alias("n")), "pack-parts")
-    totals = [(r["queue"], r["n"]) for r in parts.groupBy("queue").agg(F.sum("n").alias("n")).orderBy("queue").collect()]  # at most queues + 1
-    before = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.select("queue", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    plan = spark.sparkContext.broadcast(Schedule(totals, window, quantum))
-    placed = coded.join(parts, ["queue", "part"]).select("doc_id", "queue", (F.col("part_start") + F.col("before")).alias("start"), "doc_tokens", "ids")
-    return placed.mapInArrow(_pieces(plan), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    arrow = pa.string() if kind == "string" else {"int": pa.int32(), "smallint": pa.int16(), "tinyint": pa.int8()}.get(kind, pa.int64())
+    pieces = stage(rows.mapInArrow(_cut(tokenizer or vocabulary_path(), end_id, quantum, arrow), f"doc_id {kind}, {PIECES}"), "pack-pieces")
+    quanta = stage(pieces.groupBy("queue", "part", "k").agg(F.sum("length").alias("n")), "pack-quanta")
+    placed = pieces.join(quantum_positions(quanta, quantum, weights), ["queue", "part", "k"]).withColumn("position", F.col("position") + F.col("place"))
+    w = F.lit(window)
+    whole = placed.where("ids is null").select("doc_id", "start", "length", "ids_crc32", "doc_tokens", F.floor(F.col("position") / w).alias("sequence_id"), F.pmod("position", w).alias("offset"), "queue")
+    short = placed.where("ids is not null").select("doc_id", "start", "length", "doc_tokens", "queue", "position", "ids")
+    return whole.union(short.mapInArrow(_split(window), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, queue string"))
+
+
+def window_shares(pieces: DataFrame) -> DataFrame:
+    """sequence_id, queue, share: which part of a window's tokens each queue has."""
+    own = pieces.groupBy("sequence_id", "queue").agg(F.sum("length").alias("tokens"))
+    return own.select("sequence_id", "queue", (F.col("tokens") / F.sum("tokens").over(Window.partitionBy("sequence_id"))).alias("share"))

@@ -5,7 +5,7 @@ chunks (at least 64, at most 4096 ids, about 320 on average).  A chunk's name
 is its digest; equal chunks are written once.  The store is three Parquet
 tables under one folder:
 
-* ``chunks``  - digest, n, ids (little-endian, ``width`` bytes an id)
+* ``chunks``  - digest, n, ids (little-endian, two or four bytes an id)
 * ``recipes`` - doc_id, n_tokens, digests (16 bytes each), root, part; files in
   ascending doc_id order
 * ``manifest`` - part, docs, root: the Merkle root over the part's documents
@@ -31,9 +31,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .encoding import encoder, vocabulary_path, with_end
+from .encoding import encoder, id_width, vocabulary_path, with_end
 from .kernels import U64, Prefix, mix, slices
-from .workspace import shared_dir, ship, stage
+from .workspace import drop_staged, shared_dir, ship, stage
 
 ROLL, LEAST, MOST, MASK = 8, 64, 4096, U64(255)
 BASE = U64(0xB5026F5AA96619E9)
@@ -133,18 +133,22 @@ def _part_roots(batches):
         yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([len(leaves)], pa.int64()), pa.array([merkle(leaves)], pa.binary())], ["part", "docs", "root"])
 
 
-def write_store(docs: DataFrame, folder: str | None = None, tokenizer: str | None = None, end_id: int = 2, width: int = 2, id_col: str = "doc_id", text_col: str = "text") -> str:
-    """Write the three tables; returns the folder."""
+def write_store(docs: DataFrame, folder: str | None = None, tokenizer: str | None = None, end_id: int = 2, width: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> str:
+    """Write the three tables; returns the folder.  ``width``: bytes an id, by
+    default two where all ids of the tokenizer fit, else four."""
     spark = docs.sparkSession
     ship(spark)
+    tokenizer = tokenizer or vocabulary_path()
+    width = id_width(tokenizer, width)
     folder = folder or f"{shared_dir(spark)}/vergraph/token-store-{uuid.uuid4().hex}"
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    cut = stage(source.mapInArrow(_cut_documents(tokenizer or vocabulary_path(), end_id, width), "doc_id long, n_tokens long, digests binary, root binary, new array<struct<digest: binary, n: int, ids: binary>>"), "token-chunks")
+    cut = stage(source.mapInArrow(_cut_documents(tokenizer, end_id, width), "doc_id long, n_tokens long, digests binary, root binary, new array<struct<digest: binary, n: int, ids: binary>>"), "token-chunks")
     chunks = cut.select(F.explode("new").alias("c")).select("c.digest", "c.n", "c.ids")
     chunks = chunks.repartition("digest").sortWithinPartitions("digest").mapInArrow(_unique, chunks.schema)
     chunks.write.option("compression", "zstd").mode("overwrite").parquet(f"{folder}/chunks")
     recipes = cut.select("doc_id", "n_tokens", "digests", "root").repartitionByRange("doc_id").sortWithinPartitions("doc_id").withColumn("part", F.spark_partition_id())
     recipes.write.mode("overwrite").parquet(f"{folder}/recipes")
+    drop_staged(cut)
     manifest(spark, folder).coalesce(1).write.mode("overwrite").parquet(f"{folder}/manifest")
     return folder
 
@@ -192,20 +196,19 @@ def crc_join(first: int, second: int, second_bytes: int) -> int:
     return _times(_power(second_bytes), first) ^ second if first else second
 
 
-def _check_chunks(width: int):
-    kind = np.dtype("<u2" if width == 2 else "<u4")
+def stored_ids(payload: bytes, n: int) -> np.ndarray:
+    """The ids of a chunk, of two or four bytes each."""
+    return np.frombuffer(payload, "<u2" if len(payload) == 2 * n else "<u4")
 
-    def run(batches):
-        for batch in batches:
-            crcs = []
-            for name, n, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                ids = np.frombuffer(payload, kind)
-                if digest(payload) != name or len(ids) != n:
-                    raise ValueError(f"stored chunk {name.hex()} is damaged")
-                crcs.append(zlib.crc32(ids.astype("<u4").tobytes()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(crcs, pa.int64())], ["digest", "n", "crc"])
 
-    return run
+def _check_chunks(batches):
+    for batch in batches:
+        crcs = []
+        for name, n, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            if digest(payload) != name or len(payload) not in (2 * n, 4 * n):
+                raise ValueError(f"stored chunk {name.hex()} is damaged")
+            crcs.append(zlib.crc32(stored_ids(payload, n).astype("<u4").tobytes()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(crcs, pa.int64())], ["digest", "n", "crc"])
 
 
 def _join_crcs(batches):
@@ -233,13 +236,13 @@ def _recipe_rows(recipes: DataFrame) -> DataFrame:
     return rows.select("row", "doc_id", "part", "root", F.posexplode(names).alias("pos", "digest"))
 
 
-def read_store(spark: SparkSession, folder: str, width: int = 2) -> DataFrame:
+def read_store(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 from the stored files, all verified."""
     ship(spark)
     want, have = (x.select("part", "docs", F.hex("root").alias("root")) for x in (spark.read.parquet(f"{folder}/manifest"), manifest(spark, folder)))
     if want.exceptAll(have).union(have.exceptAll(want)).limit(1).count():
         raise ValueError("the manifest does not match the recipes")
-    checked = spark.read.parquet(f"{folder}/chunks").select("digest", "n", "ids").mapInArrow(_check_chunks(width), "digest binary, n int, crc long")
+    checked = spark.read.parquet(f"{folder}/chunks").select("digest", "n", "ids").mapInArrow(_check_chunks, "digest binary, n int, crc long")
     recipes = spark.read.parquet(f"{folder}/recipes")
     found = _recipe_rows(recipes).join(checked, "digest", "left").select("row", "doc_id", "part", "root", F.struct("pos", "digest", "n", "crc").alias("p"))
     whole = found.groupBy("row", "doc_id", "part", "root").agg(F.collect_list("p").alias("parts")).mapInArrow(_join_crcs, "doc_id long, part int, n_tokens long, ids_crc32 long")
@@ -251,19 +254,18 @@ def read_store(spark: SparkSession, folder: str, width: int = 2) -> DataFrame:
     return whole.withColumn("_in", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(parts, "part").select("doc_id", (F.col("_before") + F.col("_in")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def read_ids(spark: SparkSession, folder: str, width: int = 2) -> DataFrame:
+def read_ids(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id and its ids as an array, rebuilt from recipe and chunks."""
     ship(spark)
-    kind = np.dtype("<u2" if width == 2 else "<u4")
 
     def rebuild(batches):
         for batch in batches:
             for x in batch.column("parts").to_pylist():
                 if any(p["ids"] is None for p in x):
                     raise ValueError("a stored chunk is missing")
-            ids = [np.concatenate([np.frombuffer(p["ids"], kind) for p in sorted(x, key=lambda p: p["pos"])]).tolist() for x in batch.column("parts").to_pylist()]
+            ids = [np.concatenate([stored_ids(p["ids"], p["n"]) for p in sorted(x, key=lambda p: p["pos"])]).tolist() for x in batch.column("parts").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    chunks = spark.read.parquet(f"{folder}/chunks").select("digest", "ids")
+    chunks = spark.read.parquet(f"{folder}/chunks").select("digest", "n", "ids")
     rows = _recipe_rows(spark.read.parquet(f"{folder}/recipes")).join(chunks, "digest", "left")
-    return rows.groupBy("row", "doc_id").agg(F.collect_list(F.struct("pos", "ids")).alias("parts")).mapInArrow(rebuild, "doc_id long, ids array<int>")
+    return rows.groupBy("row", "doc_id").agg(F.collect_list(F.struct("pos", "n", "ids")).alias("parts")).mapInArrow(rebuild, "doc_id long, ids array<int>")
