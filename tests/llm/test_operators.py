@@ -239,13 +239,20 @@ def test_decontaminate(spark, docs, empty):
                     found |= windows[tuple(w[a : a + k])]
                     hit |= set(range(a, a + k))
         want.append((i, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)))
-    for part in (10**6, 1):
-        got = decontaminate.report(decontaminate.find_contamination(docs.dropDuplicates(["doc_id"]), items, part=part))
-        assert sorted(tuple(r) for r in got.collect()) == sorted(set(want))
-    kept = {r["doc_id"] for r in decontaminate.drop_contaminated(docs, items).collect()}
-    assert kept == {r[0] for r in want if not r[5]}
-    cut = {r["doc_id"]: r["text"] for r in decontaminate.remove_spans(docs.dropDuplicates(["doc_id"]), items).collect()}
-    assert cut[6] == "" and cut[8] == "" and cut[3] is None
+    twice = docs.union(spark.createDataFrame([(6, "nothing of it", "en", None, 0, ""), (2, PASSAGE, "en", None, 0, "")], DOCS))  # ids that repeat with other texts
+    hit = {i for i, *_, c in want if c}
+    for part in (10**6, 200):
+        got = decontaminate.report(decontaminate.find_contamination(docs, items, part_bytes=part))
+        assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+        got = [tuple(r)[:3] for r in decontaminate.report(decontaminate.find_contamination(twice, items, part_bytes=part)).collect()]
+        assert len(got) == len(ROWS) + 2 and (6, 3, 0) in got and (6, 2, 2) in got and sum(g[0] == 2 for g in got) == 2
+        kept = decontaminate.drop_contaminated(twice, items, part_bytes=part)
+        assert kept.columns == docs.columns and Counter(r["doc_id"] for r in kept.collect()) == Counter([i for i, _ in ROWS if i not in hit] + [6])
+        clash = docs.withColumnsRenamed({"extra": "runs", "lang": "row"})
+        cut = decontaminate.remove_spans(clash, items, part_bytes=part)
+        assert cut.columns == clash.columns
+        cut = {r["doc_id"]: r["text"] for r in cut.collect()}
+        assert cut[6] == "" and cut[8] == "" and cut[3] is None and cut[15] == "" and len(cut) == len({i for i, _ in ROWS})
     assert decontaminate.report(decontaminate.find_contamination(empty, items)).count() == 0
     none = items.limit(0)
     assert decontaminate.report(decontaminate.find_contamination(docs, none)).where("contaminated").count() == 0
@@ -266,7 +273,26 @@ def test_sharding(docs, empty):
         where.setdefault(texts[r["doc_id"]] or "", set()).add(r["shard"])
     assert all(len(v) == 1 for v in where.values())
     assert sharding.shard_by_load(empty).count() == 0
-    assert sharding.schedule([(7, "a"), (5, "b"), (4, "c"), (3, "d")], 2) == {"a": 0, "b": 1, "c": 1, "d": 0}
+    # the same loads as one group at a time from a heap
+    loads = [0] * 3
+    for load in sorted((sum(size[i] for i, t in ROWS if (t or "") == g) for g in {t or "" for _, t in ROWS}), reverse=True):
+        loads[loads.index(min(loads))] += load
+    assert sorted(sum(r["size"] for r in got if r["shard"] == s) for s in range(3)) == sorted(loads)
+
+
+def test_runs_are_dealt_as_from_a_heap():
+    rng = np.random.default_rng(12)
+    for _ in range(300):
+        shards = int(rng.integers(1, 9))
+        runs = [(int(x), int(rng.integers(1, 200))) for x in set(rng.integers(1, 50, 6).tolist())] + [(5000, 1)] * int(rng.integers(2))
+        loads = [0] * shards
+        for load, got in sharding.schedule(runs, shards):
+            want = [0] * shards
+            for _ in range(dict(runs)[load]):
+                s = loads.index(min(loads))
+                loads[s] += load
+                want[s] += 1
+            assert got == want
 
 
 def test_language_model(docs, empty):

@@ -1,74 +1,107 @@
 """Operator 7: benchmark decontamination by a broadcast set of word windows.
 
 The windows of the benchmark (``width`` consecutive words; an item with fewer
-is one window of its own length) are hashed into sorted arrays that every
-task gets.  Tasks hash all windows of the documents' words, look them up, and
-verify each hit word by word.  The set is broadcast in parts of at most
-``part`` windows; a larger benchmark takes further scans, so memory is
-bounded whatever its size.
+is one window of its own length) are made in Spark and packed into sorted hash
+arrays with their words beside them.  Tasks hash all windows of the documents'
+words, look them up, and verify each hit word by word.  The set is broadcast in
+parts of about ``part_bytes``, by hash; a larger benchmark takes further scans,
+one after another, and each part's broadcast is gone before the next is made:
+memory is bounded whatever the benchmark's size.
 
 Nulls and empties: a null or word-less document has n_words = 0 and no hit; a
-null or word-less item has no window.  Repeated items or documents are handled
-one by one (an item id is listed once per document).  Empty tables give an
-empty result, or no hits.  Other columns are ignored.
+null or word-less item has no window; a null item_id is listed as "".  Repeated
+documents are rows of their own, repeated items are listed once per document.
+Very long texts are read whole, their hashes made stretch by stretch.  Windows
+that several items share list them all.  Empty tables give an empty result, or
+no hits.  Other columns are ignored, or, where documents come back, kept,
+whatever their names.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
-
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import ALNUM, Words, slices, text_bytes
-from .workspace import ship, stage
+from .kernels import ALNUM, U64, Words, slices
+from .workspace import ship, stage, unused, with_row_ids
 
 WIDTH = 10
-PART = 2_000_000
-
-
-def item_windows(item_ids: list, texts: list, width: int) -> list[tuple[int, int, bytes, object]]:
-    """(length, hash, words, item) of every window of every item."""
-    words = Words(*text_bytes(pa.array(texts, pa.string())), ALNUM)
-    out = []
-    for row, item in enumerate(item_ids):
-        first, n = int(words.first[row]), int(words.count[row])
-        k = min(n, width)
-        if k == 0:
-            continue
-        at = np.arange(first, first + n - k + 1)
-        for i, h in zip(at.tolist(), words.prefix.ranges(at, at + k).tolist(), strict=True):
-            out.append((k, h, b" ".join(words.text(j) for j in range(i, i + k)), item))
-    return out
-
-
-def lookup(windows: list[tuple[int, int, bytes, object]]) -> dict[int, tuple[np.ndarray, dict]]:
-    """By window length: sorted hashes, and hash -> words -> items."""
-    out: dict[int, dict] = defaultdict(lambda: defaultdict(lambda: defaultdict(set)))
-    for k, h, w, item in windows:
-        out[k][h][w].add(item)
-    return {k: (np.array(sorted(v), np.uint64), {h: {w: frozenset(i) for w, i in x.items()} for h, x in v.items()}) for k, v in out.items()}
-
-
-def hits(table: dict, data: np.ndarray, off: np.ndarray) -> tuple[Words, list[list[tuple[int, int]]], list[set]]:
-    """The words of a slice and, per row, verified windows and their items."""
-    words = Words(data, off, ALNUM)
-    n = len(off) - 1
-    runs: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-    items: list[set] = [set() for _ in range(n)]
-    for k, (known, detail) in table.items():
-        at, h = words.windows(k)
-        place = np.minimum(np.searchsorted(known, h), len(known) - 1)
-        for i, key in zip(at[hit := known[place] == h].tolist(), h[hit].tolist(), strict=True):
-            found = detail[key].get(b" ".join(words.text(j) for j in range(i, i + k)))
-            if found:
-                row = int(words.row[i])
-                items[row] |= found
-                a = i - int(words.first[row])
-                runs[row].append((a, a + k))
-    return words, runs, items
+PART_BYTES = 32 << 20
+
+
+def _item_windows(width: int):
+    """(k, hash, words, item) of every window of every item."""
+
+    def run(batches):
+        for batch, data, off in slices(batches, "text"):
+            words, items = Words(data, off, ALNUM), batch.column("item").to_pylist()
+            k, h, w, own = [], [], [], []
+            for row, item in enumerate(items):
+                first, n = int(words.first[row]), int(words.count[row])
+                size = min(n, width)
+                if not size:
+                    continue
+                at = np.arange(first, first + n - size + 1)
+                k += [size] * len(at)
+                h += words.prefix.ranges(at, at + size).view(np.int64).tolist()
+                w += [b" ".join(words.text(j) for j in range(i, i + size)) for i in at.tolist()]
+                own += [item] * len(at)
+            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(h, pa.int64()), pa.array(w, pa.binary()), pa.array(own, pa.string())], ["k", "hash", "words", "item"])
+
+    return run
+
+
+class WindowSet:
+    """Windows sorted by hash, for each length: one entry per window and item."""
+
+    def __init__(self, table: pa.Table):
+        k, h = table["k"].to_numpy(), table["hash"].to_numpy().view(U64)
+        words, items = table["words"].combine_chunks(), table["item"].combine_chunks()
+        self.by_length = {}
+        for size in np.unique(k).tolist():
+            own = np.flatnonzero(k == size)
+            own = own[np.argsort(h[own], kind="stable")]
+            self.by_length[size] = h[own], words.take(pa.array(own)), items.take(pa.array(own))
+
+    def hits(self, words: Words, n: int) -> tuple[list[list[tuple[int, int]]], list[set]]:
+        """Per row of a slice: verified windows, as first and last word, and their items."""
+        runs: list[list[tuple[int, int]]] = [[] for _ in range(n)]
+        found: list[set] = [set() for _ in range(n)]
+        for k, (known, texts, items) in self.by_length.items():
+            at, h = words.windows(k)
+            first = np.searchsorted(known, h)
+            hit = np.flatnonzero(known[np.minimum(first, len(known) - 1)] == h)
+            last = np.searchsorted(known, h[hit], side="right")
+            for i, a, b in zip(at[hit].tolist(), first[hit].tolist(), last.tolist(), strict=True):
+                own = b" ".join(words.text(j) for j in range(i, i + k))
+                same = [items[j].as_py() for j in range(a, b) if texts[j].as_py() == own]
+                if same:
+                    row = int(words.row[i])
+                    found[row].update(same)
+                    begin = i - int(words.first[row])
+                    runs[row].append((begin, begin + k))
+        return runs, found
+
+
+def window_parts(benchmark: DataFrame, width: int = WIDTH, part_bytes: int = PART_BYTES, item_col: str = "item_id", item_text_col: str = "text"):
+    """The broadcasts of all parts of the set, one at a time; each is destroyed
+    when the next is asked for, so use it in a job that has ended by then.  A
+    set of one part is left to its user, and may be used lazily."""
+    spark = benchmark.sparkSession
+    ship(spark)
+    items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col(item_text_col).alias("text"))
+    windows = stage(items.mapInArrow(_item_windows(width), "k int, hash long, words binary, item string").distinct(), "leak-windows")
+    size = windows.agg(F.sum(F.octet_length("words") + F.octet_length("item") + 24)).first()[0] or 0
+    parts = -(-size // part_bytes) or 1
+    for i in range(parts):
+        own = windows.where(F.pmod(F.xxhash64("hash"), F.lit(parts)) == i)
+        shared = spark.sparkContext.broadcast(WindowSet(own.toArrow()))  # about part_bytes
+        yield parts, shared
+        if parts > 1:
+            shared.destroy()
 
 
 def merged(own: list[tuple[int, int]]) -> list[int]:
@@ -82,23 +115,25 @@ def merged(own: list[tuple[int, int]]) -> list[int]:
     return flat
 
 
-def scan(shared):
+def scan(shared: Broadcast):
     """Per document: word count, covered word indexes as runs, items found."""
 
     def run(batches):
         for batch, data, off in slices(batches, "text"):
-            words, runs, items = hits(shared.value, data, off)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words.count, pa.int64()), pa.array([merged(r) for r in runs], pa.list_(pa.int64())), pa.array([sorted(map(str, x)) for x in items], pa.list_(pa.string()))], ["doc_id", "n_words", "runs", "items"])
+            words = Words(data, off, ALNUM)
+            runs, items = shared.value.hits(words, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words.count, pa.int64()), pa.array([merged(r) for r in runs], pa.list_(pa.int64())), pa.array([sorted(x) for x in items], pa.list_(pa.string()))], ["doc_id", "n_words", "runs", "items"])
 
     return run
 
 
-def keep_clean(shared, text_col: str):
+def keep_clean(shared: Broadcast, text_col: str):
     """The rows without any hit, as they are."""
 
     def run(batches):
         for batch, data, off in slices(batches, text_col):
-            yield batch.filter(pa.array([not x for x in hits(shared.value, data, off)[2]], pa.bool_()))
+            found = shared.value.hits(Words(data, off, ALNUM), batch.num_rows)[1]
+            yield batch.filter(pa.array([not x for x in found], pa.bool_()))
 
     return run
 
@@ -106,38 +141,29 @@ def keep_clean(shared, text_col: str):
 SCAN = "n_words long, runs array<bigint>, items array<string>"
 
 
-def window_tables(benchmark: DataFrame, width: int, part: int, item_col: str = "item_id", item_text_col: str = "text") -> list[dict]:
-    """Lookup tables of the benchmark's windows, of about ``part`` windows each."""
-    tables, held = [], []
-    for row in benchmark.select(item_col, item_text_col).toLocalIterator():
-        held += item_windows([row[0]], [row[1]], width)
-        if len(held) >= part:
-            tables.append(lookup(held))
-            held = []
-    return [*tables, lookup(held)] if held or not tables else tables
-
-
-def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, part: int = PART, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, part_bytes: int = PART_BYTES, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_words, runs (covered word indexes as
     start, end, start, end, ...) and items (sorted ids as strings)."""
-    spark = docs.sparkSession
-    ship(spark)
+    ship(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
-    tables = window_tables(benchmark, width, part, item_col, item_text_col)
-    scans = [source.mapInArrow(scan(spark.sparkContext.broadcast(t)), f"doc_id {kind}, {SCAN}") for t in tables]
-    if len(scans) == 1:
-        return scans[0]
-    every = stage(scans[0].withColumn("slice", F.lit(0)), "decontaminate-0")
-    for i, s in enumerate(scans[1:], 1):
-        every = every.unionByName(stage(s.withColumn("slice", F.lit(i)), f"decontaminate-{i}"))
-    merged = every.groupBy("doc_id", "n_words").agg(F.collect_list("runs").alias("r"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return merged.mapInArrow(_join_runs, f"doc_id {kind}, {SCAN}")
+    rows = every = None
+    for parts, shared in window_parts(benchmark, width, part_bytes, item_col, item_text_col):
+        if parts == 1:
+            return source.mapInArrow(scan(shared), f"doc_id {kind}, {SCAN}")
+        if rows is None:
+            rows = with_row_ids(source, "row", "leak-rows")
+        found = rows.select("row", "text").mapInArrow(scan(shared), f"doc_id long, {SCAN}")
+        found = stage(found, "leak-part")  # rows, not doc_ids: those may repeat
+        every = found if every is None else every.unionByName(found)
+    whole = every.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("runs")).alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    whole = whole.mapInArrow(_join_runs, f"doc_id long, {SCAN}").withColumnRenamed("doc_id", "row")
+    return rows.select("row", "doc_id").join(whole, "row").select("doc_id", "n_words", "runs", "items")
 
 
 def _join_runs(batches):
     for batch in batches:
-        out = [merged([(x[i], x[i + 1]) for x in lists for i in range(0, len(x), 2)]) for lists in batch.column("r").to_pylist()]
+        out = [merged(list(zip(x[::2], x[1::2], strict=True))) for x in batch.column("runs").to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_words"), pa.array(out, pa.list_(pa.int64())), batch.column("items")], ["doc_id", "n_words", "runs", "items"])
 
 
@@ -149,36 +175,40 @@ def report(found: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("items") > 0).alias("contaminated"))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, part: int = PART, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, part_bytes: int = PART_BYTES, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The documents without any benchmark window, with all their columns."""
-    spark = docs.sparkSession
-    ship(spark)
-    for table in window_tables(benchmark, width, part, item_col, item_text_col):
-        docs = docs.mapInArrow(keep_clean(spark.sparkContext.broadcast(table), text_col), docs.schema)
+    for parts, shared in window_parts(benchmark, width, part_bytes, item_col, item_text_col):
+        docs = docs.mapInArrow(keep_clean(shared, text_col), docs.schema)
+        if parts > 1:
+            docs = stage(docs, "leak-kept")
     return docs
 
 
-def cut_spans(words_text: str | None, runs: list[int], pattern) -> str:
-    """The text without the words of the given runs (a helper for span removal)."""
-    if not words_text or not runs:
-        return words_text or ""
-    spans = [m.span() for m in pattern.finditer(words_text)]
-    out, last = [], 0
-    for a, b in zip(runs[::2], runs[1::2], strict=True):
-        out.append(words_text[last : spans[a][0]])
-        last = spans[b - 1][1]
-    return "".join(out) + words_text[last:]
+def _cut_spans(text_col: str, runs_col: str):
+    """The texts without the words of their runs, word by word of the same cut."""
 
+    def run(batches):
+        for batch, data, off in slices(batches, text_col):
+            words, out = Words(data, off, ALNUM), []
+            texts, runs = batch.column(text_col), batch.column(runs_col).to_pylist()
+            for row, own in enumerate(runs):
+                if not own:
+                    out.append(texts[row].as_py())
+                    continue
+                first, at, parts = int(words.first[row]), int(off[row]), []
+                for a, b in zip(own[::2], own[1::2], strict=True):
+                    parts.append(data[at : int(words.start[first + a])].tobytes())
+                    at = int(words.end[first + b - 1])
+                out.append((b"".join(parts) + data[at : off[row + 1]].tobytes()).decode())
+            names = [c for c in batch.schema.names if c != runs_col]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if c == text_col else batch.column(c) for c in names], names)
 
-def remove_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """All documents, hit words cut out of the text; doc_id must be unique."""
-    found = find_contamination(docs, benchmark, id_col=id_col, text_col=text_col, **how).where(F.size("items") > 0).select(F.col("doc_id").alias("_hit"), "runs")
-
-    @F.udf("string")
-    def cut(text, runs):
-        import re
+    return run
 
-        return cut_spans(text, runs or [], re.compile(r"[0-9A-Za-z\u0080-\U0010FFFF]+"))
 
-    joined = docs.join(found, F.col(id_col) == F.col("_hit"), "left")
-    return joined.withColumn(text_col, F.when(F.col("runs").isNull(), F.col(text_col)).otherwise(cut(F.col(text_col), F.col("runs")))).select(*docs.columns)
+def remove_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **how) -> DataFrame:
+    """All documents, with all their columns, hit words cut out of the text."""
+    row, runs = unused(docs, "row"), unused(docs, "runs")
+    rows = with_row_ids(docs, row, "leak-documents")
+    found = find_contamination(rows, benchmark, id_col=row, text_col=text_col, **how).where(F.size("items") > 0).select(F.col("doc_id").alias(row), F.col("runs").alias(runs))
+    return rows.join(found, row, "left").drop(row).mapInArrow(_cut_spans(text_col, runs), docs.schema)

@@ -2,16 +2,21 @@
 
 Documents with equal texts form a group that must stay together.  Groups go,
 largest first, to the shard with the least bytes so far, taken from a heap.
-The driver never sees all groups: only those of at least 1/``grain`` of a
-shard's fair share are scheduled one by one (at most shards * grain of them
-exist), smaller ones are first gathered by hash into ``grain`` * shards bins
-of nearly equal size, which are scheduled like groups.  The loads of two
-shards differ by little more than one bin, unless one group alone exceeds a
-shard's share.
+The schedule needs only how many groups there are of each load: a run of equal
+loads is dealt to the heap's shards in one step, and then group number i of the
+run, in the order of their digests, gets the shard that the i-th place of the
+run went to.  So the driver holds one pair of numbers for each different load,
+of which there can be no more than the square root of twice all bytes (14
+million at 100 TB), and no group is dealt by anything but its size.
+
+Groups with at least 1/``grain`` of a shard's fair share, of which there are at
+most shards * grain, are joined by broadcast, so that no task gets all rows of
+one; all others meet their rows by a shuffle.
 
 Nulls and empties: a null text counts as the empty text (size 1, crc32 0, one
-group).  Repeated rows (same doc_id twice) are kept; each takes a slot.  An
-empty table gives an empty result.  Other columns are ignored.
+group).  Repeated rows (same doc_id twice) are kept; each takes a slot, in an
+order among them that is not specified.  Very long texts count by their bytes.
+An empty table gives an empty result.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,41 +26,66 @@ import heapq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .workspace import running_start, stage
+from .workspace import drop_staged, running_start, stage
 
 GRAIN = 512
 
 
-def schedule(units: list[tuple[int, str]], shards: int) -> dict[str, int]:
-    """Longest first, ties by name, each to the least-loaded shard."""
-    heap = [(0, s) for s in range(shards)]
-    out = {}
-    for load, unit in sorted(units, key=lambda u: (-u[0], u[1])):
-        least, shard = heapq.heappop(heap)
-        out[unit] = shard
-        heapq.heappush(heap, (least + load, shard))
-    return out
+def deal_run(loads: list[int], load: int, n: int) -> list[int]:
+    """How many of ``n`` groups of one load each shard gets when they go, one
+    after another, to the shard with the least so far (the first of equals);
+    ``loads`` is brought up to date."""
+    shards = len(loads)
+    got = [0] * shards
+    if n > 4 * shards:  # most of them at once, to one group under the level that all can reach
+        low = list(range(shards))
+        while True:
+            level = (sum(loads[s] for s in low) + load * n) // len(low)
+            if all(loads[s] < level for s in low):
+                break
+            low = [s for s in low if loads[s] < level]
+        for s in low:
+            got[s] = max(0, (level - loads[s]) // load - 1)
+    heap = [(loads[s] + got[s] * load, s) for s in range(shards)]
+    heapq.heapify(heap)
+    for _ in range(n - sum(got)):
+        least, s = heapq.heappop(heap)
+        got[s] += 1
+        heapq.heappush(heap, (least + load, s))
+    for s in range(shards):
+        loads[s] += got[s] * load
+    return got
+
+
+def schedule(runs: list[tuple[int, int]], shards: int) -> list[tuple[int, list[int]]]:
+    """For each (load, number of groups), largest load first: how many go to each shard."""
+    loads = [0] * shards
+    return [(load, deal_run(loads, load, n)) for load, n in sorted(runs, reverse=True)]
 
 
 def shard_by_load(docs: DataFrame, shards: int = 8, grain: int = GRAIN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, size, text_crc32, law ('bytes'), shard, slot, grown_shard (null)."""
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = stage(
-        docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.sha2(text, 256).alias("group")), "shard-rows"
-    )
-    groups = rows.groupBy("group").agg(F.sum("size").alias("load"))
-    total = groups.agg(F.sum("load")).first()[0] or 0
+    group = F.substring(F.unhex(F.sha2(text, 256)), 1, 16)
+    rows = stage(docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), group.alias("group")), "shard-rows")
+    groups = stage(rows.groupBy("group").agg(F.sum("size").alias("load")), "shard-groups")
+    runs = groups.groupBy("load").agg(F.count("*").alias("n"))
+    plan = schedule([(r["load"], r["n"]) for r in runs.collect()], shards)  # one row per different load
+    empty = "doc_id {}, size long, text_crc32 long, law string, shard int, slot long, grown_shard int"
+    if not plan:
+        return spark.createDataFrame([], empty.format(rows.schema["doc_id"].dataType.simpleString()))
+    ends = [[load, *[sum(got[: s + 1]) for s in range(shards)]] for load, got in plan]
+    bounds = spark.createDataFrame([(e[0], e[1:]) for e in ends], "load long, ends array<long>")
+    ranked = running_start(groups, ["load"], ["group"], F.lit(1), "place", "shard-ranks")
+    shard = F.size(F.filter("ends", lambda e: e <= F.col("place"))).cast("int")
+    placed = stage(ranked.join(bounds, "load").select("group", "load", shard.alias("shard")), "shard-placed")
+    total = sum(load * sum(got) for load, got in plan)
     floor = max(1, total // (shards * grain))
-    bins = shards * grain
-    unit = F.when(F.col("load") >= floor, F.col("group")).otherwise(F.pmod(F.xxhash64("group"), F.lit(bins)).cast("string"))
-    units = groups.withColumn("unit", unit)
-    loads = [(r["load"], r["unit"]) for r in units.groupBy("unit").agg(F.sum("load").alias("load")).collect()]  # at most 2 * shards * grain rows
-    plan = schedule(loads, shards)
-    placed = spark.createDataFrame(list(plan.items()) or [("", 0)], "unit string, shard int")
-    large = [(u,) for _, u in loads if len(u) == 64]
-    marked = rows.join(F.broadcast(spark.createDataFrame(large or [("",)], "group string").withColumn("large", F.lit(True))), "group", "left")
-    marked = marked.withColumn("unit", F.when(F.col("large"), F.col("group")).otherwise(F.pmod(F.xxhash64("group"), F.lit(bins)).cast("string")))
-    out = marked.join(F.broadcast(placed), "unit").select("doc_id", "size", "text_crc32", "shard")
-    out = running_start(out, ["shard"], ["doc_id"], F.lit(1), "slot", "shard-slots")
+    large, small = placed.where(F.col("load") >= floor).select("group", "shard"), placed.where(F.col("load") < floor).select("group", "shard")
+    marked = rows.join(F.broadcast(large.withColumnRenamed("shard", "large")), "group", "left")  # at most shards * grain rows
+    out = marked.where("large is not null").select("doc_id", "size", "text_crc32", F.col("large").alias("shard"))
+    out = out.union(marked.where("large is null").join(small.hint("merge"), "group").select("doc_id", "size", "text_crc32", "shard"))
+    out = running_start(stage(out, "shard-dealt"), ["shard"], ["doc_id"], F.lit(1), "slot", "shard-slots")
+    drop_staged(ranked, rows, groups, placed)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
