@@ -1,8 +1,10 @@
 """The ten operators against brute force on small fixtures with odd rows."""
 
 import hashlib
+import html
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -486,3 +488,35 @@ def test_lost_chunk(spark, docs):
     for read in (token_store.read_store, token_store.read_ids):
         with pytest.raises(Exception, match="missing"):
             read(spark, f"{folder}-lost").collect()
+
+
+def test_html_marks_are_evidence():
+    text = "This is the text of the article, and it is long enough to be one that was written for the page by people who have more to say. It goes on for a while."
+    body = f"<h1>Head</h1><p>{text}</p><p>Short one.</p><p>{text} More.</p>"
+    want = f"Head\n{text}\nShort one.\n{text} More."
+    nav = "<ul><li><a href=/a>One link</a></li><li><a href=/b>Another link</a></li></ul>"
+    for start, end in (("<form action=/x>", "</form>"), ("<div class='layout has-sidebar'>", "</div>"), ("<div class='post-content no-sidebar'>", "</div>"), ("<div class='elementor-widget-text'>", "</div>"), ("<div class='wrapper header-fixed'>", "</div>")):
+        for inner in (body, f"<article>{body}</article>"):
+            assert html_text.main_text(f"<body>{start}{nav}<div>{inner}</div>{end}<footer><p>{text} Imprint.</p></footer></body>") == want
+    # an article element with little of the page's good text marks nothing
+    teaser = f"<body><div>{body}</div><article><a href=/x>A teaser with a link to some other page of the site</a></article></body>"
+    assert html_text.main_text(teaser) == want
+    # inside an article links still go
+    assert html_text.main_text(f"<article><p>{text}</p><p><a href=/>Some other text that is all link, in an article</a></p><p>{text}</p></article>") == f"{text}\n{text}"
+    # without any name or mark the measures alone decide
+    assert html_text.main_text(f"<body><div>{nav}</div><div>{body}</div><div><a href=/>Terms of use</a> <a href=/>Contact</a></div></body>") == want
+    for page in ("<div>" * 20_000 + "</x>" * 20_000, "<noscript>" * 20_000 + "text", "<p>" + "<b class='" * 20_000):
+        start = time.time()
+        html_text.main_text(page)
+        assert time.time() - start < 5
+
+
+def test_html_without_article_marks(spark):
+    """The rules find the marked articles of whole pages when the marks are gone."""
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()
+    for r in pages:
+        marked = re.search(r"<article>(.*)</article>", r["html"], re.S)[1]
+        gold = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", b)).split()) for b in re.split(r"</?(?:p|h1|h2|h3|ul|ol|li|div|blockquote|table|tr|td)\b[^>]*>", re.sub(r"<br/?>\s*", " ", marked))]
+        gold = "\n".join(b for b in gold if b)
+        assert html_text.main_text(r["html"]) == gold
+        assert html_text.main_text(re.sub("</?article>", "", r["html"])) == gold

@@ -1,32 +1,42 @@
 """Operator 6: main text of HTML pages by two passes of block rules.
 
-A page is read as a stream of tags and text and cut into blocks at
-block-level tags.  What lies in elements that never hold article text
-(scripts, styles, forms, navigation, and containers whose class, id or role
-names them as menus, adverts, notices, comments and so on) makes no block.  A
-name counts as a whole or as the end of a compound (site-header), not where it
-only describes a layout (no-sidebar).  A container named so is kept after all if
-it holds the page's main element or its only article, or, where its name is a
-compound, most of the unlinked text of a page that marks no article.
-
-Pass one decides each block by its length, share of linked text, share of stop
-words and whether it lies in an article or main element: good, bad or
-ambiguous.  Pass two lets ambiguous short blocks inherit the label of the
-nearest decided neighbours; where both sides differ, the nearer one counts,
-and a tie is good.  Headings before good text count as good.  In a page that
-marks its article, blocks outside it are bad.
+A page is read as a stream of tags and text and cut into blocks at block-level
+tags.  Scripts, styles, form controls and hidden elements make no block.
+
+Pass one labels each block by its own measures - length, share of linked text,
+share of stop words - as good, bad or ambiguous.  What encloses a block is
+evidence that is weighed against the good text of the page:
+
+* An article or main element marks the article if it holds a third of the good
+  text; then what lies outside it goes, and inside it doubtful blocks are
+  ambiguous instead of bad.
+* Elements for menus, headers, footers, sidebars and forms, and containers whose
+  class, id or role names them as such, or as adverts, notices, comments and so
+  on, speak against their blocks.  They are pardoned, from the outermost inwards,
+  if they hold the page's main element or its only article, or most of the
+  good text of a page that marks no article, unless a plain name says what they
+  are.  A name counts as a whole or as the end of a compound (site-header), not
+  where it only describes a layout (no-sidebar).
+
+Pass two lets ambiguous blocks inherit the label of the nearest decided
+neighbours among the blocks that are left; where both sides differ, the nearer
+one counts, and a tie is good.  Headings take the label of what follows.  With
+nothing decided, what is left is the text.
 
 Character references are decoded, white space inside a block becomes one
 space, blocks are trimmed and joined by one line feed.
 
 Nulls and empties: a null or empty html gives the empty text.  Repeated rows
-and extra columns pass by untouched; very long pages are read whole.
+and extra columns pass by untouched; very long pages, deep nesting and tags
+that are never closed take time in proportion to their length.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,7 +46,8 @@ from .workspace import ship
 
 # Element names, and words by which pages name their containers.
 BLOCK_TAGS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
-SKIPPED_TAGS = frozenset("script style noscript template head title iframe object svg math canvas video audio select button textarea input form nav aside footer menu dialog label datalist".split())
+HIDDEN_TAGS = frozenset("script style noscript template head title iframe object svg math canvas video audio select button textarea input label datalist".split())
+SIDE_TAGS = frozenset("form nav aside footer header menu dialog".split())
 RAW_TAGS = frozenset("script style noscript template iframe title textarea svg math xmp".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -61,6 +72,8 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 WORD = re.compile(r"\w+")
 LONG, SHORT, LINKED, DENSE, SPARSE = 140, 60, 0.5, 0.25, 0.1
+#: Share of a page's good text that makes a mark, or the pardon of a container, credible.
+MARKED, MOST = 1 / 3, 1 / 2
 
 
 PLAIN, COMPOUND = 1, 2
@@ -79,8 +92,8 @@ def skipped_name(name: str) -> int:
 
 
 def named_out(tag: str, attributes: str) -> tuple[bool, int]:
-    """Whether an element's attributes say for certain that it holds no article
-    text, and whether its class or id names it so."""
+    """Whether an element is hidden, and whether its class, id or role names what
+    holds no article text."""
     if tag in KEPT_CONTAINERS or not attributes or attributes.isspace():
         return False, 0
     names = set()
@@ -88,152 +101,163 @@ def named_out(tag: str, attributes: str) -> tuple[bool, int]:
         name, value = name.lower(), value.strip("\"'").lower()
         if name in ("class", "id"):
             names.update(skipped_name(x) for x in value.split())
-        if name == "role" and value in SKIPPED_ROLES or name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
+        elif name == "role" and value in SKIPPED_ROLES:
+            names.add(PLAIN)
+        elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
             return True, 0
     return False, PLAIN if PLAIN in names else max(names, default=0)
 
 
-def blocks(html: str) -> list[tuple[str, int, bool, bool]]:
-    """(text, linked characters, heading, in an article) of every block."""
-    out: list[tuple[str, int, bool, bool]] = []
-    owners: list[int] = []  # of each block: its outermost named container, 0 for none
-    kinds, mains, alone = [0], [0], [0]  # of each container: its name's kind, its main elements and articles
-    parts: list[str] = []
-    linked = 0
-    heading = False
-    stack: list[tuple[str, bool, bool]] = []  # open elements that matter: name, skipped, a container
-    skipped = links = articles = breaks = owner = 0
-    at = 0
-
-    def close_block():
-        nonlocal linked
-        if parts:
-            text = " ".join(unescape("".join(parts)).split())
+class Container:
+    """An element that speaks against its blocks."""
+
+    def __init__(self, kind: int):
+        self.kind, self.mains, self.articles = kind, 0, 0
+
+
+class Block(NamedTuple):
+    text: str
+    linked: int  # characters of links
+    heading: bool
+    inside: bool  # an article or main element
+    around: tuple[Container, ...]  # from the outermost inwards
+
+
+class Reader:
+    """Cuts a page into blocks."""
+
+    def __init__(self) -> None:
+        self.blocks: list[Block] = []
+        self.parts: list[str] = []
+        self.stack: list[tuple[str, bool, Container | None]] = []  # open elements that matter: name, hidden, container
+        self.open: Counter = Counter()  # how many of each name are on the stack
+        self.around: list[Container] = []
+        self.linked = self.hidden = self.breaks = 0
+        self.heading = False
+        self.free_mains = self.free_articles = 0  # not in any container
+
+    def close_block(self) -> None:
+        if self.parts:
+            text = " ".join(unescape("".join(self.parts)).split())
             if text:
-                out.append((text, linked, heading, articles > 0))
-                owners.append(owner)
-            parts.clear()
-        linked = 0
-
-    def add(raw: str):
-        nonlocal linked, breaks
-        if not skipped and raw:
-            parts.append(raw)
-            if links:
-                linked += len("".join(raw.split()))
+                self.blocks.append(Block(text, self.linked, self.heading, self.open["article"] + self.open["main"] > 0, tuple(self.around)))
+            self.parts.clear()
+        self.linked = 0
+
+    def add(self, raw: str) -> None:
+        if raw and not self.hidden:
+            self.parts.append(raw)
+            if self.open["a"]:
+                self.linked += len("".join(raw.split()))
             if not raw.isspace():
-                breaks = 0
+                self.breaks = 0
 
-    def leave() -> str:
-        nonlocal skipped, owner
-        name, was, container = stack.pop()
-        skipped -= was
+    def enter(self, tag: str, hidden: bool, container: Container | None) -> None:
+        self.stack.append((tag, hidden, container))
+        self.open[tag] += 1
+        self.hidden += hidden
         if container:
-            owner = 0
-        return name
+            self.around.append(container)
 
-    find = TOKEN.search
-    while True:
-        m = find(html, at)
-        if m is None:
-            add(html[at:])
-            break
-        add(html[at : m.start()])
-        at = m.end()
-        tag = m[2]
-        if tag is None:
-            if m[0].startswith("<![CDATA["):
-                add(m[0][9:].removesuffix("]]>"))
-            continue
-        tag, attributes = tag.lower(), m[3]
-        if not m[1]:
-            if tag == "br":
-                breaks += 1
-                if breaks > 1:
-                    close_block()
-                else:
-                    add(" ")
-                    breaks = 1
-                continue
-            if tag in BLOCK_TAGS:
-                close_block()
-                breaks = 0
-            if tag in VOID_TAGS or attributes.endswith("/") and tag not in BLOCK_TAGS:
-                continue
-            if tag in RAW_TAGS:
-                end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(html, at)
-                at = end.end() if end else (len(html) if tag in ("script", "style") else at)
-                continue
-            out_of = tag in SKIPPED_TAGS and tag != "head" or tag == "header" and not articles
-            certain, kind = named_out(tag, attributes)
-            out_of = out_of or certain or kind > 0 and tag not in BLOCK_TAGS
-            if tag == "body":  # ends whatever of the head was left open
-                while stack and stack[-1][0] != "html":
-                    leave()
-            if tag == "head":
-                out_of = True
-            if tag == "p" and stack and stack[-1][0] == "p" or tag == "li" and stack and stack[-1][0] == "li":
-                leave()
-            if out_of or tag in BLOCK_TAGS or tag == "a" or tag == "head":
-                container = kind > 0 and not out_of and not owner and not skipped
-                stack.append((tag, out_of, container))
-                skipped += out_of
-                if container:
-                    owner = len(kinds)
-                    for x, first in ((kinds, kind), (mains, 0), (alone, 0)):
-                        x.append(first)
-                if tag in ARTICLE_TAGS and not articles and not skipped:
-                    (mains if tag == "main" else alone)[owner] += 1
-                links += tag == "a"
-                articles += tag in ARTICLE_TAGS
-            heading = tag in HEADINGS if tag in BLOCK_TAGS else heading
-            if not out_of and tag not in BLOCK_TAGS and tag == "img":
-                add(" ")
-            continue
+    def leave(self) -> str:
+        tag, hidden, container = self.stack.pop()
+        self.open[tag] -= 1
+        self.hidden -= hidden
+        if container:
+            self.around.pop()
+        return tag
+
+    def start(self, tag: str, attributes: str) -> None:
+        if tag == "br":
+            if self.breaks:
+                self.close_block()
+            else:
+                self.add(" ")
+            self.breaks += 1
+            return
+        is_block = tag in BLOCK_TAGS
+        if is_block:
+            self.close_block()
+            self.breaks = 0
+            self.heading = tag in HEADINGS
+        if tag in VOID_TAGS:
+            if tag == "img":
+                self.add(" ")
+            return
+        if tag == "body":  # ends whatever of the head was left open
+            while self.stack and self.stack[-1][0] != "html":
+                self.leave()
+        if tag in ("p", "li") and self.stack and self.stack[-1][0] == tag:
+            self.leave()
+        hidden, kind = named_out(tag, attributes)
+        hidden = hidden or tag in HIDDEN_TAGS or kind > 0 and not is_block
+        in_article = self.open["article"] + self.open["main"] > 0
+        if tag in SIDE_TAGS and not (tag == "header" and in_article):
+            kind = COMPOUND if tag == "form" and kind != PLAIN else PLAIN
+        if hidden or is_block or tag == "a":
+            if tag in ARTICLE_TAGS and not in_article and not self.hidden:
+                for c in self.around:
+                    c.mains += tag == "main"
+                    c.articles += tag == "article"
+                if not self.around:
+                    self.free_mains += tag == "main"
+                    self.free_articles += tag == "article"
+            self.enter(tag, hidden, Container(kind) if kind and not hidden and is_block else None)
+
+    def end(self, tag: str) -> None:
         if tag in BLOCK_TAGS:
-            close_block()
-            breaks = 0
-            heading = False
-        if any(x[0] == tag for x in reversed(stack)):
-            while stack:
-                name = leave()
-                links -= name == "a"
-                articles -= name in ARTICLE_TAGS
-                if name == tag:
-                    break
-    close_block()
-    if len(kinds) == 1:
-        return out
-    free = [0] * len(kinds)  # unlinked characters
-    for (text, linked, *_), o in zip(out, owners, strict=True):
-        free[o] += max(0, len("".join(text.split())) - linked)
-    marked, only = mains[0] + alone[0] > 0, sum(alone) == 1
-    kept = {0} | {o for o in range(1, len(kinds)) if not marked and (mains[o] or only and alone[o] or kinds[o] == COMPOUND and not sum(mains) + sum(alone) and 2 * free[o] > sum(free))}
-    return [b for b, o in zip(out, owners, strict=True) if o in kept]
+            self.close_block()
+            self.breaks = 0
+            self.heading = False
+        if self.open[tag] > 0:
+            while self.leave() != tag:
+                pass
+
+    def read(self, html: str) -> None:
+        at, unclosed = 0, set()
+        while (m := TOKEN.search(html, at)) is not None:
+            self.add(html[at : m.start()])
+            at, tag = m.end(), m[2]
+            if tag is None:
+                if m[0].startswith("<![CDATA["):
+                    self.add(m[0][9:].removesuffix("]]>"))
+                continue
+            tag = tag.lower()
+            if m[1]:
+                self.end(tag)
+            elif tag in RAW_TAGS and not (tag in ("svg", "math") and m[3].endswith("/")):
+                end = None if tag in unclosed else re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(html, at)
+                if end:
+                    at = end.end()
+                elif tag in ("script", "style"):
+                    at = len(html)
+                else:
+                    unclosed.add(tag)  # nor will it be closed further on
+            else:
+                self.start(tag, m[3])
+        self.add(html[at:])
+        self.close_block()
 
 
 GOOD, BAD, UNSURE = 1, -1, 0
 
 
-def first_pass(text: str, linked: int, heading: bool, inside: bool, marked: bool) -> int:
-    """Label of a block by its own measures."""
-    if marked and not inside:
-        return BAD
+def first_pass(text: str, linked: int, inside: bool = False) -> int:
+    """Label of a block by its length, share of links and share of stop words.
+    Inside an article what would be bad for want of them is ambiguous."""
     size = len("".join(text.split()))
     link_share = min(1.0, linked / max(1, size))
     if link_share > LINKED:
-        return BAD if not (inside and len(text) > LONG) else UNSURE
-    if inside:
-        return GOOD if len(text) >= SHORT or link_share < 0.2 else UNSURE
+        return UNSURE if inside and len(text) > LONG else BAD
     words = WORD.findall(text.lower())
     density = sum(w in STOP_WORDS for w in words) / max(1, len(words))
     if len(text) < SHORT:
-        return UNSURE if link_share == 0 else BAD
-    if density >= DENSE:
+        return UNSURE if link_share == 0 or inside else BAD
+    if density >= DENSE or inside and density >= SPARSE:
         return GOOD
-    if density >= SPARSE or len(text) >= LONG and link_share < 0.1:
-        return GOOD if len(text) >= LONG and link_share < 0.2 else UNSURE
-    return UNSURE if link_share < 0.2 else BAD
+    if len(text) >= LONG and link_share < 0.2 and (density >= SPARSE or link_share < 0.1):
+        return GOOD
+    return UNSURE if link_share < 0.2 or inside else BAD
 
 
 def second_pass(labels: list[int], headings: list[bool]) -> list[int]:
@@ -256,7 +280,7 @@ def second_pass(labels: list[int], headings: list[bool]) -> list[int]:
     for i, own in enumerate(labels):
         if own != UNSURE:
             out.append(own)
-        elif headings[i]:
+        elif headings[i] and after[i][1] <= n:
             out.append(after[i][0])
         elif before[i][0] == after[i][0]:
             out.append(before[i][0])
@@ -267,14 +291,38 @@ def second_pass(labels: list[int], headings: list[bool]) -> list[int]:
     return out
 
 
+def pardoned(reader: Reader, good: list[int]) -> set[Container]:
+    """The containers whose names are no evidence after all.  ``good``: characters
+    of each block that are good by its own measures."""
+    free, total = set(), sum(good)
+    while True:
+        held: dict[Container, int] = {}
+        for b, n in zip(reader.blocks, good, strict=True):
+            first = next((c for c in b.around if c not in free), None)
+            if first is not None:
+                held[first] = held.get(first, 0) + n
+        marks = reader.free_mains + reader.free_articles
+        more = {c for c, n in held.items() if not marks and (c.mains or c.articles == 1) or c.kind == COMPOUND and not marks and not c.articles and n > MOST * total}
+        if not more:
+            return free
+        free |= more
+
+
 def main_text(html: str | None) -> str:
     if not html:
         return ""
-    found = blocks(html)
-    marked = any(b[3] for b in found)
-    labels = [first_pass(*b, marked) for b in found]
-    keep = second_pass(labels, [b[2] for b in found])
-    return "\n".join(b[0] for b, label in zip(found, keep, strict=True) if label == GOOD)
+    reader = Reader()
+    reader.read(html)
+    labels = [first_pass(b.text, b.linked) for b in reader.blocks]
+    good = [len(b.text) if label == GOOD else 0 for b, label in zip(reader.blocks, labels, strict=True)]
+    free = pardoned(reader, good)
+    left = [i for i, b in enumerate(reader.blocks) if all(c in free for c in b.around)]
+    inside, total = [i for i in left if reader.blocks[i].inside], sum(good[i] for i in left)
+    if inside and sum(good[i] for i in inside) >= MARKED * total:
+        left = inside
+        labels = [first_pass(b.text, b.linked, True) for b in reader.blocks]
+    keep = second_pass([labels[i] for i in left], [reader.blocks[i].heading for i in left])
+    return "\n".join(reader.blocks[i].text for i, label in zip(left, keep, strict=True) if label == GOOD)
 
 
 def _extract(batches):
