@@ -6,12 +6,16 @@ residual x - code, the part parallel to x, which changes large inner products,
 weighs ``eta`` times as much as the rest.  Codebooks are fitted on at most
 ``sample`` vectors (those with the smallest hashes); every vector is coded.
 
-Rows live in blocks of ``block`` vectors, each with its codes and originals.
-Every query meets every block: per-query tables of 16 entries a pair, scaled
-to one byte, are summed over the codes.  A query's floor is its 2(k + 1)-th best exact
-score in the sample; rows whose coded score comes within the codes' measured
-error of the floor get their exact inner product in double precision, and
-those not under the floor go on.
+Rows live in blocks of ``block`` vectors at most, each with its codes and
+originals; queries in tiles of ``tile``.  Every tile meets every block in one
+task: per-query tables of 16 entries a pair, scaled to one byte, are summed over
+the codes.  Rows whose coded score comes within the codes' measured error of the
+query's floor get their exact inner product in double precision, and the best of
+a block that are not under the floor go on.  The first floor is the
+2(k + 1)-th best exact score in ``floor_sample`` vectors; blocks are scanned in
+waves, each ``WAVE`` times as large as all before, and after each the floor
+rises to the (k + 1)-th best score found, so the number of exact scores grows
+with the logarithm of the rows.
 
 Equal vectors are coded and scored once, as one key; a key stands for its
 k + 1 smallest ids, which are all that can be among k nearest.
@@ -33,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .workspace import ship, stage
 
-SAMPLE, BLOCK, ETA_AT = 16_384, 4096, 0.2
+SAMPLE, FLOOR_SAMPLE, BLOCK, TILE, WAVE, ETA_AT = 16_384, 4096, 65_536, 16_384, 16, 0.2
 
 
 def _usable(batches):
@@ -150,7 +154,7 @@ def _encode_rows(shared):
                 continue
             x = np.frombuffer(b"".join(batch.column("v").to_pylist()), "<f8").reshape(batch.num_rows, books.dim)
             codes = np.ascontiguousarray(books.encode(x).T)
-            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("block"), pa.array([False] * batch.num_rows), batch.column("v"), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(np.zeros(batch.num_rows))], ["key", "block", "is_query", "v", "code", "floor"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "least", "block", "v")), pa.array([c.tobytes() for c in codes], pa.binary())], ["key", "least", "block", "v", "code"])
 
     return run
 
@@ -179,58 +183,61 @@ def inner_products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def _scan(shared, k: int):
+    """Rows sorted by block, tile and kind: the rows of a block, then the queries of a tile."""
+
     def run(batches):
         books, _ = shared.value
-        block, keys, rows, codes = None, [], [], []
-        ready = None
+        place, keys, least, rows, codes, ready = None, [], [], [], [], None
         for batch in batches:
-            # runs of equal block and kind, in order: rows of a block come before its queries
-            b, isq = batch.column("block").to_numpy(), batch.column("is_query").to_numpy(zero_copy_only=False)
-            edges = np.flatnonzero(np.append(True, (b[1:] != b[:-1]) | (isq[1:] != isq[:-1]))) if len(b) else []
+            b, t, isq = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("block", "tile", "is_query"))
+            edges = np.flatnonzero(np.append(True, (b[1:] != b[:-1]) | (t[1:] != t[:-1]) | (isq[1:] != isq[:-1]))) if len(b) else []
             for start, end in zip(edges, [*edges[1:], len(b)], strict=True):
                 part = batch.slice(start, end - start)
-                if b[start] != block:
-                    block, keys, rows, codes, ready = b[start], [], [], [], None
+                if (b[start], t[start]) != place:
+                    place, keys, least, rows, codes, ready = (b[start], t[start]), [], [], [], [], None
                 if not isq[start]:
                     keys += part.column("key").to_pylist()
+                    least += part.column("least").to_pylist()
                     rows += part.column("v").to_pylist()
                     codes += part.column("code").to_pylist()
-                    ready = None
                     continue
                 if not keys:
                     continue
                 if ready is None:
-                    ready = (np.frombuffer(b"".join(rows), "<f8").reshape(len(keys), -1), np.ascontiguousarray(np.frombuffer(b"".join(codes), np.uint8).reshape(len(keys), -1).T))
-                x, code = ready
+                    ready = np.array(least), np.frombuffer(b"".join(rows), "<f8").reshape(len(keys), -1), np.ascontiguousarray(np.frombuffer(b"".join(codes), np.uint8).reshape(len(keys), -1).T)
                 for at in range(0, part.num_rows, 128):
-                    yield _best(books, keys, x, code, part.slice(at, 128), k)
+                    yield _best(books, keys, *ready, part.slice(at, 128), k)
 
     return run
 
 
-def _best(books, keys, x, code, queries, k):
+def _best(books, keys, least, x, code, queries, k):
     """Rows whose coded score comes within the margin of the query's floor are
-    scored exactly; those at or over the floor, k at most, go on."""
+    scored exactly; the k best at or over the floor go on."""
     q = np.frombuffer(b"".join(queries.column("v").to_pylist()), "<f8").reshape(queries.num_rows, books.dim)
     floor, names = queries.column("floor").to_numpy(), queries.column("key").to_pylist()
     table, scale, zero = books.tables(q)
     total = np.zeros((len(q), len(keys)), np.uint16)
     for byte in range(len(code)):
         total += np.take(table[:, byte], code[byte], axis=1)
-    least = (floor - books.margin - zero) * scale - books.pairs / 4
-    qi, xi = np.nonzero(total >= np.clip(least, 0, 65535)[:, None])
+    enough = (floor - books.margin - zero) * scale - books.pairs / 4
+    qi, xi = np.nonzero(total >= np.clip(enough, 0, 65535)[:, None])
     exact = np.concatenate([inner_products(q[qi[i : i + 65536]], x[xi[i : i + 65536]]) for i in range(0, max(1, len(qi)), 65536)])
     over = exact >= floor[qi]
     qi, xi, exact = qi[over], xi[over], exact[over]
-    order = np.lexsort((-exact, qi))
+    order = np.lexsort((least[xi], -exact, qi))
     qi, xi, exact = qi[order], xi[order], exact[order]
-    first = np.searchsorted(qi, np.arange(len(q) + 1))
-    cut = exact[np.minimum(first[:-1] + k, first[1:]) - 1] if len(exact) else np.zeros(len(q))
-    keep = np.flatnonzero(exact >= cut[qi]) if len(exact) else []  # ties of the k-th stay
-    return pa.RecordBatch.from_arrays([pa.array([names[i] for i in qi[keep].tolist()] if len(exact) else [], pa.binary()), pa.array([keys[i] for i in xi[keep].tolist()] if len(exact) else [], pa.binary()), pa.array(exact[keep] if len(exact) else [], pa.float64())], ["query_key", "key", "score"])
+    keep = np.arange(len(qi)) - np.searchsorted(qi, qi) < k
+    qi, xi, exact = qi[keep], xi[keep], exact[keep]
+    return pa.RecordBatch.from_arrays([pa.array([names[i] for i in qi.tolist()], pa.binary()), pa.array([keys[i] for i in xi.tolist()], pa.binary()), pa.array(least[xi], pa.int64()), pa.array(exact, pa.float64())], ["query_key", "key", "least", "score"])
+
+
+def _top(near: DataFrame, k: int) -> DataFrame:
+    """The k best keys of each query, ties to the smaller id."""
+    return near.withColumn("n", F.row_number().over(Window.partitionBy("query_key").orderBy(F.desc("score"), "least"))).where(F.col("n") <= k).drop("n")
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 20, sample: int = SAMPLE, block: int = BLOCK, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = 20, sample: int = SAMPLE, floor_sample: int = FLOOR_SAMPLE, block: int = BLOCK, tile: int = TILE, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest of every row that is a query."""
     spark = vectors.sparkSession
     ship(spark)
@@ -244,23 +251,34 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, sample: int = SAMP
     first = found.groupBy("key").agg(F.min("vec_id").alias("least"), F.max("query").alias("asked"))
     distinct = found.join(first, "key").where(F.col("vec_id") == F.col("least")).select("key", "least", "v", "asked").dropDuplicates(["key"])
     distinct = stage(distinct, "ann-distinct")
-    n = distinct.count()
+    size = distinct.agg(F.count("*").alias("n"), F.count_if("asked").alias("asked")).first()
     held = [r["v"] for r in distinct.orderBy("key").limit(sample).select("v").collect()]  # at most ``sample`` vectors
     x = np.frombuffer(b"".join(bytes(v) for v in held), "<f8").reshape(len(held), common["dim"])
     books = Codebooks(x)
     books.measure(x)
-    shared = spark.sparkContext.broadcast((books, x))
-    blocks = max(1, -(-n // block))
-    rows = distinct.select("key", "v", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int").alias("block")).mapInArrow(_encode_rows(shared), "key binary, block int, is_query boolean, v binary, code binary, floor double")
+    shared = spark.sparkContext.broadcast((books, x[:floor_sample]))
+    own = min(block, max(4096, -(-size["n"] // (2 * spark.sparkContext.defaultParallelism))))  # smaller blocks where few would leave cores idle
+    own = min(own, block)
+    blocks, tiles = max(1, -(-size["n"] // own)), max(1, -(-size["asked"] // tile))
+    coded = distinct.select("key", "least", F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("int").alias("block"), "v")
+    coded = stage(coded.mapInArrow(_encode_rows(shared), "key binary, least long, block int, v binary, code binary"), "ann-coded")
     queries = distinct.where("asked").select("key", "v").mapInArrow(_floors(shared, 2 * (k + 1)), "key binary, v binary, floor double")
-    queries = queries.select("key", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(True).alias("is_query"), "v", F.lit(None).cast("binary").alias("code"), "floor")
-    near = rows.unionByName(queries).repartition("block").sortWithinPartitions("block", "is_query").mapInArrow(_scan(shared, k + 1), "query_key binary, key binary, score double")
+    queries = stage(queries.withColumn("tile", F.pmod(F.xxhash64("key"), F.lit(tiles)).cast("int")), "ann-queries")
+    best, start = None, 0
+    while start < blocks:
+        end = min(blocks, max(-(-WAVE * floor_sample // own), start * (WAVE + 1), 1))
+        rows = coded.where((F.col("block") >= start) & (F.col("block") < end)).withColumn("tile", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))).withColumn("is_query", F.lit(False))
+        asked = queries.withColumn("block", F.explode(F.sequence(F.lit(start), F.lit(end - 1)))).withColumn("is_query", F.lit(True))
+        near = rows.unionByName(asked, allowMissingColumns=True).repartition("block", "tile").sortWithinPartitions("block", "tile", "is_query")
+        near = near.mapInArrow(_scan(shared, k + 1), "query_key binary, key binary, least long, score double")
+        best = stage(_top(near if best is None else near.union(best), k + 1), "ann-near")
+        if end < blocks:
+            raised = best.groupBy(F.col("query_key").alias("key")).agg(F.count("*").alias("n"), F.min("score").alias("least_score")).where(F.col("n") == k + 1).select("key", "least_score")
+            queries = stage(queries.join(raised, "key", "left").withColumn("floor", F.greatest("floor", F.coalesce("least_score", "floor"))).drop("least_score"), "ann-queries")
+        start = end
     names = found.select("key", "vec_id").withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("vec_id"))).where(F.col("n") <= k + 1)
-    near = near.join(distinct.select("key", "least"), "key")
-    near = near.withColumn("n", F.row_number().over(Window.partitionBy("query_key").orderBy(F.desc("score"), "least"))).where(F.col("n") <= k + 1).drop("n", "least")
-    near = near.join(names.select("key", "vec_id"), "key").select("query_key", "vec_id", "score")
-    near = near.withColumn("n", F.row_number().over(Window.partitionBy("query_key").orderBy(F.desc("score"), "vec_id"))).where(F.col("n") <= k + 1).drop("n")
-    near = near.groupBy("query_key").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))).alias("list"))  # k + 1 at most
+    near = best.join(names.select("key", "vec_id"), "key").select("query_key", F.col("vec_id").alias("least"), "score")
+    near = _top(near, k + 1).groupBy("query_key").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("least").alias("vec_id")))).alias("list"))  # k + 1 at most
     asked = found.where("query").select(F.col("vec_id").alias("query_id"), F.col("key").alias("query_key")).join(near, "query_key")
-    own = F.slice(F.filter("list", lambda e: e["vec_id"] != F.col("query_id")), 1, k)
-    return asked.select("query_id", F.posexplode(own).alias("pos", "e")).select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("e.vec_id").alias("vec_id"), (-F.col("e.s")).alias("score"))
+    others = F.slice(F.filter("list", lambda e: e["vec_id"] != F.col("query_id")), 1, k)
+    return asked.select("query_id", F.posexplode(others).alias("pos", "e")).select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("e.vec_id").alias("vec_id"), (-F.col("e.s")).alias("score"))
