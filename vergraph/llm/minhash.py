@@ -11,10 +11,11 @@ Candidates are confirmed in two rounds, so that large groups never need all
 pairs:
 
 1. every class against the smallest id of each of its bands;
-2. where a band still holds several components, its texts meet in one task (in
-   pairs of chunks, if they are many), which compares full sets across
-   components, skips pairs whose estimate is five standard errors under the
-   threshold, and sends on only links that join two components.
+2. where a band still holds several components, the members outside its largest
+   one meet each other and those inside it, in pairs of chunks: first their
+   signatures only, which leave the members that some estimate does not put five
+   standard errors under the threshold; then their texts, whose full sets are
+   compared across components.  Only links that join two components are sent on.
 
 A pair is compared in the first band that it shares.  Every candidate pair
 ends in one component, was compared on full sets, or was estimated far below.
@@ -183,9 +184,31 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataF
 CHUNK = 1024
 
 
-def joining_links(ids: list[int], comps: list[int], sides: list[int], bits: np.ndarray, bands: np.ndarray, at: int, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+def candidates(i: int, other: np.ndarray, bits: np.ndarray, bands: np.ndarray, at: int, least: float) -> np.ndarray:
+    """Of the members after ``i`` marked in ``other``, those that it may be similar
+    to, and did not meet in a band before number ``at``."""
+    near = i + 1 + np.flatnonzero(other)
+    if len(near):
+        near = near[similarity(bits[i], bits[near]) >= least]
+    return near[(bands[near, :at] != bands[i, :at]).all(axis=1)] if len(near) else near
+
+
+def likely_members(ids: np.ndarray, comps: np.ndarray, sides: np.ndarray, bits: np.ndarray, bands: np.ndarray, at: int, cross: bool, percent: int) -> np.ndarray:
+    """The members that have a candidate in another component."""
+    hit, least = np.zeros(len(ids), bool), least_estimate(percent)
+    for i in range(len(ids) - 1):
+        other = comps[i + 1 :] != comps[i]
+        if cross:
+            other &= sides[i + 1 :] != sides[i]
+        near = candidates(i, other, bits, bands, at, least)
+        hit[near] = True
+        hit[i] |= len(near) > 0
+    return ids[hit]
+
+
+def joining_links(ids: list[int], comps: list[int], sides: list[int], bits: np.ndarray, bands: np.ndarray, at: int, cross: bool, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Links between members of band number ``at`` that join two components.
-    With two ``sides`` only pairs across them are compared."""
+    With ``cross`` only pairs of different sides are compared."""
     n = len(ids)
     root = {c: c for c in comps}
 
@@ -199,18 +222,14 @@ def joining_links(ids: list[int], comps: list[int], sides: list[int], bits: np.n
     shingles, owner = np.concatenate(sets), np.repeat(np.arange(n), size)
     order = np.argsort(shingles, kind="stable")
     shingles, owner = shingles[order], owner[order]
-    side, two, least = np.array(sides), len(set(sides)) > 1, least_estimate(percent)
+    side, least = np.array(sides), least_estimate(percent)
     out = []
     for i in range(n - 1):
         mine = find(comps[i])
         other = np.array([find(c) != mine for c in comps[i + 1 :]])
-        if two:
+        if cross:
             other &= side[i + 1 :] != side[i]
-        near = i + 1 + np.flatnonzero(other)
-        if not len(near):
-            continue
-        near = near[similarity(bits[i], bits[near]) >= least]
-        near = near[(bands[near, :at] != bands[i, :at]).all(axis=1)]  # not met in a band before
+        near = candidates(i, other, bits, bands, at, least)
         if not len(near):
             continue
         if len(near) > 32:
@@ -226,35 +245,65 @@ def joining_links(ids: list[int], comps: list[int], sides: list[int], bits: np.n
     return out
 
 
-def _meet(percent: int):
-    """Rows sorted by (band, lo, hi): joining links of each group."""
+GROUP = ("band", "lo", "hi")
+
+
+def _meet(percent: int, texts: bool):
+    """Rows sorted by (band, lo, hi).  With ``texts`` the joining links of each
+    group (a, b), else the members with candidates (band, id)."""
+    names = ["a", "b"] if texts else ["band", "id"]
+
+    def pairs(found):
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names)
 
     def run(batches):
         key, rows = None, []
 
-        def links():
+        def found():
             if len(rows) < 2:
                 return []
             ids, comps, sides, bits, bands, sets = zip(*rows, strict=True)
-            bands = np.array(bands, np.int64)
+            bits, bands, cross = np.array(bits, np.int64).view(U64), np.array(bands, np.int64), key[1] != key[2]
             at = int(np.flatnonzero(bands[0] == key[0])[0])
-            return joining_links(list(ids), list(comps), list(sides), np.array(bits, np.int64).view(U64), bands, at, list(sets), percent)
-
-        for batch, data, off in slices(batches, "text"):
-            found = []
-            columns = [batch.column(c).to_pylist() for c in ("band", "lo", "hi", "id", "comp", "side", "bits", "bands")]
-            for band, lo, hi, *row, s in zip(*columns, shingle_sets(data, off), strict=True):
+            if texts:
+                return joining_links(list(ids), list(comps), list(sides), bits, bands, at, cross, list(sets), percent)
+            return [(key[0], int(x)) for x in likely_members(np.array(ids), np.array(comps), np.array(sides), bits, bands, at, cross, percent)]
+
+        for batch, data, off in slices(batches, "text") if texts else ((b, None, None) for b in batches):
+            out = []
+            columns = [batch.column(c).to_pylist() for c in (*GROUP, "id", "comp", "side", "bits", "bands")]
+            sets = shingle_sets(data, off) if texts else [None] * batch.num_rows
+            for band, lo, hi, *row, s in zip(*columns, sets, strict=True):
                 if (band, lo, hi) != key:
-                    found += links()
+                    out += found()
                     key, rows = (band, lo, hi), []
                 rows.append((*row, s))
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
-        found = links()
-        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
+            yield pairs(out)
+        yield pairs(found())
 
     return run
 
 
+def meetings(members: DataFrame) -> DataFrame:
+    """band, lo, hi, side and the columns of ``members`` (band, id, comp), once for
+    each group that a member of a band with several components meets in: members
+    outside the band's largest component in pairs (lo, hi) of their chunks, and
+    each of those chunks with each chunk of the largest one (hi < 0)."""
+    sizes = members.groupBy("band", "comp").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy("band").agg(F.max(F.struct("n", F.col("comp").alias("main"))).alias("top"), F.sum("n").alias("all"), F.count("*").alias("comps")).where("comps > 1")
+    chunks = [F.greatest(F.ceil(x / CHUNK), F.lit(1)).cast("int") for x in (F.col("all") - F.col("top.n"), F.col("top.n"))]
+    rows = members.join(mixed.select("band", "top.main", chunks[0].alias("few"), chunks[1].alias("many")), "band").withColumn("inside", F.col("comp") == F.col("main"))
+    own = F.pmod(F.xxhash64("id"), F.when(F.col("inside"), F.col("many")).otherwise(F.col("few"))).cast("int")
+    rows = rows.withColumn("own", own)
+    few, many = F.sequence(F.lit(0), F.col("few") - 1), F.sequence(F.lit(0), F.col("many") - 1)
+    meet = F.when(F.col("inside"), F.transform(few, lambda i: F.struct(i.alias("lo"), (-1 - F.col("own")).alias("hi"), F.lit(-1).alias("side"))))
+    outside = F.concat(
+        F.transform(few, lambda i: F.struct(F.least(i, "own").alias("lo"), F.greatest(i, "own").alias("hi"), F.col("own").alias("side"))),
+        F.transform(many, lambda j: F.struct(F.col("own").alias("lo"), (-1 - j).alias("hi"), F.col("own").alias("side"))),
+    )
+    return rows.withColumn("m", F.explode(meet.otherwise(outside))).select("band", "id", "comp", "m.lo", "m.hi", "m.side")
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per row of ``docs``.  With
     ``row_col``, a column of different longs, that column comes first."""
@@ -287,11 +336,11 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
     tested = bands.where("id <> pivot").select(F.col("pivot").alias("hub"), F.col("id").alias("member")).distinct()
     links = stage(confirm(estimate(tested), texts, percent), "minhash-links")
     placed = bands.select("band", "id").join(components(links), "id", "left").select("band", "id", F.coalesce("component", "id").alias("comp"))
-    mixed = placed.groupBy("band").agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count("*").alias("n")).where("least < most").select("band", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
-    members = placed.join(mixed, "band").withColumn("side", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
-    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("lo", F.least("side", "other")).withColumn("hi", F.greatest("side", "other"))
-    met = members.join(near, "id").join(texts.hint("merge"), F.col("id") == F.col("doc_id")).select("band", "lo", "hi", "id", "comp", "side", "bits", "bands", "text")
-    links = links.union(stage(met.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi", "id").mapInArrow(_meet(percent), "a long, b long"), "minhash-links"))
+    placed = stage(placed, "minhash-placed")
+    likely = meetings(placed).join(near, "id").repartition(*GROUP).sortWithinPartitions(*GROUP, "id").mapInArrow(_meet(percent, False), "band long, id long").distinct()
+    likely = stage(likely, "minhash-likely")
+    met = meetings(placed.join(likely, ["band", "id"], "left_semi")).join(near, "id").join(texts.hint("merge"), F.col("id") == F.col("doc_id")).select(*GROUP, "id", "comp", "side", "bits", "bands", "text")
+    links = links.union(stage(met.repartition(*GROUP).sortWithinPartitions(*GROUP, "id").mapInArrow(_meet(percent, True), "a long, b long"), "minhash-links"))
     # several rows of one class are links too
     same = full.join(classes, ["n_shingles", "d1", "d2"]).select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     comps = components(links.union(same.where("a <> b")))
