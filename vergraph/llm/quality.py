@@ -6,15 +6,19 @@ length).  One weight vector, shared by all thresholds, gives a latent score f;
 ordered thresholds t turn it into P(grade <= k) = logistic(t_k - f).  Fitting
 is follow-the-regularised-leader with an L1 penalty, on at most
 ``max_labelled`` labelled rows (the rows with the smallest hashes of their
-id), which is the bound of what the driver holds.  Scoring runs over all rows.
+id) and, in the same order, at most ``max_bytes`` of their features, which are
+the bounds of what the driver holds.  Scoring runs over all rows.
 
 Grades here: 0 toxic, 1 low quality, 2 good.  A text is selected when the
 tail probability P(grade >= 2) is at least ``least``.
 
 Nulls and empties: a null text is the empty text, with the shape features
 only.  Labels that are null, or whose document is missing, are left out; a
-doc_id labelled twice counts twice.  Without any usable label every text gets
-the prior (all grades equal) and is kept.  Extra columns are ignored.
+doc_id labelled twice counts twice, a document that is there several times once.
+Without any usable label every text gets the prior (all grades equal) and is
+kept; a chance of exactly ``least`` is enough.  Very long texts are read whole,
+their hashes made stretch by stretch.  Extra columns are ignored, or, where
+documents come back, kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,9 +29,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import ALNUM, NOT_SPACE, U64, Words, binary_rows, slices
-from .workspace import ship
+from .workspace import ship, stage
 
-BITS, MAX_LABELLED, LEAST = 18, 20_000, 0.5
+BITS, MAX_LABELLED, MAX_BYTES, LEAST = 18, 20_000, 64 << 20, 0.5
 EDGES = np.array([0.01, 0.02, 0.04, 0.07, 0.1, 0.15, 0.2, 0.3, 0.45, 0.6, 0.8])
 
 
@@ -88,8 +92,10 @@ class CumulativeLink:
         base = np.bincount(grade, minlength=k + 1).astype(float) + 1
         below = np.cumsum(base)[:-1] / base.sum()
         self.t = np.log(below / (1 - below))
-        # a few labels are gone over more often, many at least twelve times
+        # a few labels are gone over more often, many at least twelve times, until the loss stays
+        least, stale = np.inf, 0
         for epoch in range(min(400, max(12, -(-steps * batch // max(1, n))))):
+            loss = 0.0
             rate = 0.05 / (1 + epoch)
             order = rng.permutation(n)
             for i in range(0, n, batch):
@@ -101,6 +107,7 @@ class CumulativeLink:
                 low = np.append(-np.inf, self.t)[y] - f
                 a, b = np.where(np.isinf(high), 1.0, logistic(high)), np.where(np.isinf(low), 0.0, logistic(low))
                 p = np.maximum(a - b, 1e-9)
+                loss -= np.log(p).sum()
                 at, back = np.unique(index, return_inverse=True)
                 g = np.bincount(back, weights=np.repeat(1 - a - b, np.diff(bounds)))  # of the loss
                 new = s[at] + g * g
@@ -112,22 +119,34 @@ class CumulativeLink:
                 np.add.at(dt, y, -b * (1 - b) / p)
                 self.t = self.t + rate * dt[1 : k + 1] / len(own) * 4
                 self.t = np.maximum.accumulate(self.t + 1e-3 * np.arange(k)) - 1e-3 * np.arange(k)
+            stale = 0 if loss < least * 0.998 else stale + 1
+            least = min(least, loss)
+            if epoch >= 11 and stale >= 4:
+                break
 
 
 def _features(batches):
     for batch, data, off in slices(batches, "text"):
         index, bounds = features(data, off)
-        yield pa.RecordBatch.from_arrays([batch.column("grade"), binary_rows(index.astype("<i4"), np.diff(bounds))], ["grade", "index"])
+        yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("grade"), binary_rows(index.astype("<i4"), np.diff(bounds))], ["label", "grade", "index"])
 
 
-def fit(docs: DataFrame, graded: DataFrame, grades: int = 3, max_labelled: int = MAX_LABELLED) -> CumulativeLink | None:
+def fit(docs: DataFrame, graded: DataFrame, grades: int = 3, max_labelled: int = MAX_LABELLED, max_bytes: int = MAX_BYTES) -> CumulativeLink | None:
     """``docs``: doc_id, text; ``graded``: doc_id, grade (0 to grades - 1)."""
-    ship(docs.sparkSession)
+    spark = docs.sparkSession
+    ship(spark)
     usable = graded.select("doc_id", F.col("grade").cast("int").alias("grade")).where(F.col("doc_id").isNotNull() & F.col("grade").between(0, grades - 1))
-    sample = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "grade").limit(max_labelled)
-    found = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "grade").mapInArrow(_features, "grade int, index binary").toPandas()
-    if not len(found):
+    sample = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "grade").limit(max_labelled).collect()
+    if not sample:
+        return None
+    numbered = spark.createDataFrame([(i, r["doc_id"], r["grade"]) for i, r in enumerate(sample)], usable.select(F.lit(0).alias("label"), "doc_id", "grade").schema)
+    found = docs.select("doc_id", "text").join(F.broadcast(numbered), "doc_id").select("label", "grade", "text").mapInArrow(_features, "label int, grade int, index binary")
+    found = stage(found.groupBy("label", "grade").agg(F.min("index").alias("index")), "quality-features")
+    sizes = found.select("label", F.octet_length("index").alias("n")).orderBy("label").toPandas()  # at most max_labelled rows
+    fitting = sizes.label[sizes.n.cumsum() <= max(max_bytes, sizes.n.iloc[0] if len(sizes) else 0)]
+    if not len(fitting):
         return None
+    found = found.where(F.col("label") <= int(fitting.max())).toPandas()
     model = CumulativeLink(grades)
     rows = [np.frombuffer(x, "<i4") for x in found["index"]]
     order = sorted(range(len(rows)), key=lambda i: (found["grade"][i], len(rows[i]), rows[i].tobytes()))  # whatever order the rows come in
