@@ -64,9 +64,10 @@ def test_suffix_arrays():
             assert (before[i], lcp[i]) == (j, k)
 
 
-@pytest.mark.parametrize("hot", [2000, 0])
-def test_repeats(docs, empty, hot):
-    """With hot = 0 every repeated key is split further; nothing may change."""
+@pytest.mark.parametrize(("hot", "stretch"), [(2000, 4 << 20), (0, 4 << 20), (2000, 1500)])
+def test_repeats(docs, empty, hot, stretch):
+    """With hot = 0 every repeated key is split further, with a short stretch long
+    rows are cut; nothing may change."""
     raw = [(i, (t or "").encode()) for i, t in ROWS]
     counts = Counter(b[k : k + 200] for _, b in raw for k in range(len(b) - 199))
     want = []
@@ -77,9 +78,9 @@ def test_repeats(docs, empty, hot):
                 gone[k : k + 200] = True
         spans = int((gone[1:] & ~gone[:-1]).sum() + (gone[0] if len(b) else 0))
         want.append((i, len(b), int(gone.sum()), spans, hashlib.sha256(np.frombuffer(b, np.uint8)[~gone].tobytes()).hexdigest()))
-    got = [tuple(r) for r in repeats.report(repeats.find_repeats(docs, hot=hot)).collect()]
+    got = [tuple(r) for r in repeats.report(repeats.find_repeats(docs, hot=hot, stretch=stretch)).collect()]
     assert sorted(got) == sorted(want)
-    if hot:
+    if hot and stretch > 1500:
         assert repeats.report(repeats.find_repeats(empty)).count() == 0
         left = {r["doc_id"]: r["text"] for r in repeats.without_repeats(repeats.find_repeats(docs)).collect()}
         assert left[0] == "" and PASSAGE not in left[9] and left[6] == "one two"
@@ -115,6 +116,23 @@ def test_near_duplicates(spark, docs, empty):
     assert minhash.near_duplicates(docs).count() == len(ROWS)
 
 
+def test_many_components_in_a_band(spark, monkeypatch):
+    """Chunks of two members: groups meet in pairs and nothing is lost."""
+    monkeypatch.setattr(minhash, "CHUNK", 2)
+    base = prose(70, 400).split()
+    rows = [(k, " ".join(base[: 400 - 3 * k] + [f"other{k}x{i}" for i in range(3 * k)])) for k in range(0, 60)] + [(100 + k, " ".join(base[:300] + [f"end{k}x{i}" for i in range(100)])) for k in range(12)]
+    sets = {i: shingles(t) for i, t in rows}
+    want = {i: {i} for i in sets}
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]) and want[a] is not want[b]:
+                want[a] |= want[b]
+                for i in want[b]:
+                    want[i] = want[a]
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: min(own) for i, own in want.items()} and len({min(own) for own in want.values()}) > 10
+
+
 def encoded(end):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -421,6 +439,11 @@ def test_quality(spark, empty):
     assert all(got[i]["p_1"] >= got[i]["p_2"] for i in range(400))
     kept = quality.select_texts(frame, quality.grades_of(given))
     assert kept.columns == frame.columns and {r["doc_id"] for r in kept.collect()} == {i for i, r in got.items() if r["keep"]}
+    twice = frame.union(frame.where("doc_id < 30"))  # copies of a document count once, few bytes of features are few rows
+    again = {r["doc_id"]: r for r in quality.grade_texts(twice, quality.grades_of(given)).collect()}
+    assert all(again[i]["p_2"] == got[i]["p_2"] for i in got)
+    few = quality.fit(frame, quality.grades_of(given), max_bytes=5000)
+    assert few is not None and few.w.astype(bool).sum() < 200
     nothing = given.limit(0)
     assert quality.grade_texts(frame, quality.grades_of(nothing)).where("keep").count() == 402
     assert quality.grade_texts(empty, quality.grades_of(given)).count() == 0
@@ -444,11 +467,31 @@ def test_nearest_neighbours(spark):
         assert all(r[2] == pytest.approx(s[r[1]]) for r in got[q])
         hits += len({r[1] for r in got[q]} & set(order))
     assert set(got) == set(range(0, 900, 20)) and hits >= 0.97 * 20 * 45
+    again: dict = {}  # in many blocks, tiles and waves with a rising floor
+    for r in ann.search(frame, F.col("vec_id") % 20 == 0, sample=256, floor_sample=64, block=40, tile=10).orderBy("query_id", "rank").collect():
+        again.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    assert set(again) == set(got) and sum(len({r[1] for r in got[q]} & {r[1] for r in again[q]}) for q in got) >= 0.97 * 20 * 45
     few = ann.search(frame.where("vec_id < 5"), F.col("vec_id") % 20 == 0)
     assert few.count() == 4
     assert ann.search(frame.where("vec_id = 900"), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_recall_beyond_the_sample(spark):
+    """Against brute force on four times as many vectors as the codebooks and floors see."""
+    rng = np.random.default_rng(31)
+    x = rng.normal(size=(20_000, 24)) * rng.uniform(0.5, 2, (20_000, 1))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got: dict = {}
+    for r in ann.search(frame, F.col("vec_id") % 400 == 0, sample=4096, floor_sample=512).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    hits = 0
+    for q in range(0, 20_000, 400):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits += len(got[q] & set(np.argsort(-s)[:20].tolist()))
+    assert hits >= 0.97 * 20 * 50
+
+
 def test_html(spark):
     page = (
         "<html><head><title>T</title><script>if (a < b) '<p>no</p>'</script></head><body><nav><ul><li><a href=1>Home</a></li></ul></nav><div class='cookie-notice'>We use cookies.</div>"

@@ -16,8 +16,10 @@ prefix with a neighbour in the array reaches ``length``, or its piece has
 several copies (which would be its neighbours).
 
 Nulls and empties: a null text is empty and loses nothing.  A null doc_id is an
-id like any other, and repeated rows are copies of each other.  Very long texts are cut into pieces as
-they are.  Empty tables give an empty result.  Other columns are ignored.
+id like any other, and repeated rows are copies of each other, which lose all
+that they share.  Very long texts are read stretch by stretch, with the overlap
+of one window.  Empty tables give an empty result.  Other columns are ignored,
+or carried along whatever their names.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import BYTE_BASE, LETTER, U64, WORD_BASE, Prefix, mix, powers, ragged, slices
+from .kernels import BYTE_BASE, LETTER, SLICE_BYTES, U64, WORD_BASE, Prefix, mix, powers, ragged, slices
 from .suffix import permuted_lcp, suffix_array
 from .workspace import drop_staged, ship, stage
 
@@ -90,13 +92,32 @@ class Anchors:
         return first[good], last[good]
 
 
-def _keys(length: int):
+def stretches(data: np.ndarray, off: np.ndarray, length: int, most: int):
+    """(start, bytes, row offsets) of a slice: all of it, or the stretches of its
+    one long row, in which every window lies whole exactly once."""
+    if len(data) <= most:
+        yield 0, data, off
+        return
+    for start in range(0, len(data) - length + 1, most):
+        part = data[start : start + most + length - 1]
+        yield start, part, np.array([0, len(part)])
+
+
+#: Bytes of a long row that are worked on at once.
+STRETCH = 4 << 20
+
+
+def _keys(length: int, most: int = STRETCH):
     def run(batches):
-        for batch, data, off in slices(batches, "text"):
+        for batch, data, off in slices(batches, "text", min(SLICE_BYTES, most)):
             if len(data) >= length:
-                anchors = Anchors(data, off, length)
-                at = anchors.anchors()
-                row, keys = np.searchsorted(off, at, side="right") - 1, anchors.gram[at].view(np.int64)
+                row, keys = [], []
+                for _, part, bounds in stretches(data, off, length, most):
+                    anchors = Anchors(part, bounds, length)
+                    at = anchors.anchors()
+                    row.append(np.searchsorted(bounds, at, side="right") - 1)
+                    keys.append(anchors.gram[at].view(np.int64))
+                row, keys = np.concatenate(row), np.concatenate(keys)
                 order = np.lexsort((keys, row))
                 row, keys = row[order], keys[order]
                 first = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (keys[1:] != keys[:-1]))) if len(row) else row
@@ -132,32 +153,42 @@ def _split_hot(anchors: Anchors, first: np.ndarray, last: np.ndarray, key: np.nd
     return start[begin], start[end], mix(key[piece[begin]] ^ shared ^ (stretch[begin].astype(U64) + U64(1)) * U64(0x9E3779B97F4A7C15))
 
 
-def _cut_pieces(length: int):
+def _pieces(data: np.ndarray, off: np.ndarray, length: int, wanted: np.ndarray, heat: np.ndarray) -> tuple[np.ndarray, ...]:
+    """First and last window, key and two digests of every piece with a wanted key."""
+    anchors = Anchors(data, off, length)
+    first, last = anchors.pieces(off)
+    key = anchors.least[first]
+    found = np.isin(key, wanted)
+    first, last, key = first[found], last[found], key[found]
+    warm = np.isin(key, heat)
+    if warm.any():
+        more = _split_hot(anchors, first[warm], last[warm], key[warm])
+        first, last, key = (np.concatenate([x[~warm], y]) for x, y in zip((first, last, key), more, strict=True))
+        order = np.argsort(first, kind="stable")
+        first, last, key = first[order], last[order], key[order]
+    d1 = anchors.first.ranges(first, last + length).view(np.int64)
+    d2 = Prefix(LETTER[data], WORD_BASE).ranges(first, last + length).view(np.int64)
+    return first, last, key, d1, d2
+
+
+def _cut_pieces(length: int, most: int = STRETCH):
     piece_type = pa.struct([("key", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("bytes", pa.binary())])
     ref_type = pa.struct([("d1", pa.int64()), ("d2", pa.int64()), ("start", pa.int32())])
 
     def run(batches):
         seen: dict[tuple[int, int], int] = {}
-        for batch, data, off in slices(batches, "text"):
+        for batch, data, off in slices(batches, "text", min(SLICE_BYTES, most)):
             rows = batch.num_rows
             if len(data) < length:
                 continue
             lists = batch.column("keys")
             wanted = np.unique(lists.flatten().to_numpy(zero_copy_only=False).view(U64))
             heat = np.unique(batch.column("hot_keys").flatten().to_numpy(zero_copy_only=False).view(U64))
-            anchors = Anchors(data, off, length)
-            first, last = anchors.pieces(off)
-            key = anchors.least[first]
-            found = np.isin(key, wanted)
-            first, last, key = first[found], last[found], key[found]
-            warm = np.isin(key, heat)
-            if warm.any():
-                more = _split_hot(anchors, first[warm], last[warm], key[warm])
-                first, last, key = (np.concatenate([x[~warm], y]) for x, y in zip((first, last, key), more, strict=True))
-                order = np.argsort(first, kind="stable")
-                first, last, key = first[order], last[order], key[order]
-            d1 = anchors.first.ranges(first, last + length).view(np.int64)
-            d2 = Prefix(LETTER[data], WORD_BASE).ranges(first, last + length).view(np.int64)
+            cut = []
+            for start, part, bounds in stretches(data, off, length, most):
+                first, last, *rest = _pieces(part, bounds, length, wanted, heat)
+                cut.append((first + start, last + start, *rest))
+            first, last, key, d1, d2 = (np.concatenate(x) for x in zip(*cut, strict=True))
             row = np.searchsorted(off, first, side="right") - 1
             bounds = np.searchsorted(row, np.arange(rows + 1))
             refs = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.StructArray.from_arrays([pa.array(d1), pa.array(d2), pa.array(first - off[row], pa.int32())], fields=list(ref_type)))
@@ -230,7 +261,7 @@ def _search_shards(length: int):
     return run
 
 
-def find_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+def find_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), stretch: int = STRETCH) -> DataFrame:
     """doc_id, text, found (array of start, runs of repeated window starts from
     there), and the columns to carry, if any, as the struct ``carried``: one row
     per document, ``found`` null where nothing is repeated."""
@@ -239,14 +270,14 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT, id_col:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), F.xxhash64(F.col(id_col), text).alias("rid"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    anchors = stage(rows.mapInArrow(_keys(length), f"doc_id {kind}, rid long, keys array<struct<key: bigint, n: int>>"), "repeat-anchors")
+    anchors = stage(rows.mapInArrow(_keys(length, stretch), f"doc_id {kind}, rid long, keys array<struct<key: bigint, n: int>>"), "repeat-anchors")
     places = anchors.select("doc_id", "rid", F.explode("keys").alias("k")).select("doc_id", "rid", "k.key", "k.n")
     # written, so that both sides of the join come from shuffles, and a hot key's part can be split
     again = stage(places.groupBy("key").agg(F.sum("n").alias("places")).where("places > 1").select("key", (F.col("places") > hot).alias("hot")), "repeat-keys")
     places = places.drop("n")
     own = places.join(again, "key").groupBy("doc_id", "rid").agg(F.collect_set("key").alias("keys"), F.collect_set(F.when(F.col("hot"), F.col("key"))).alias("hot_keys"))
     cut = rows.join(own.withColumnsRenamed({"doc_id": "_id", "rid": "_rid"}), same).select("doc_id", "rid", "text", "keys", "hot_keys")
-    cut = stage(cut.mapInArrow(_cut_pieces(length), f"doc_id {kind}, rid long, refs array<struct<d1: bigint, d2: bigint, start: int>>, new array<struct<key: bigint, d1: bigint, d2: bigint, bytes: binary>>"), "repeat-pieces")
+    cut = stage(cut.mapInArrow(_cut_pieces(length, stretch), f"doc_id {kind}, rid long, refs array<struct<d1: bigint, d2: bigint, start: int>>, new array<struct<key: bigint, d1: bigint, d2: bigint, bytes: binary>>"), "repeat-pieces")
     drop_staged(anchors, again)
     pieces = cut.select(F.explode("new").alias("p")).select("p.*").repartition("key").sortWithinPartitions("key", "d1", "d2")
     flags = stage(pieces.mapInArrow(_search_shards(length), "d1 long, d2 long, runs array<int>"), "repeat-flags")
