@@ -2,10 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes
 it as Parquet and reads it back as the next one's ``docs``.  All but the last
-return the columns of ``documents``; where a stage shortens texts, n_chars
-follows.  A classifier trained on the labels, a similarity graph and suffix
-arrays are beyond SQL, so there is no ORACLE_SQL; tests check ``run`` against
-brute force.
+return the columns of ``documents`` (and any others that came with them, whatever
+their names); where a stage shortens texts, n_chars follows.  A classifier
+trained on the labels, a similarity graph and suffix arrays are beyond SQL, so
+there is no ORACLE_SQL; tests check ``run`` against brute force.
+
+In all stages a null text is the empty text, empty tables give empty results,
+and texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -17,15 +20,29 @@ from pyspark.sql import functions as F
 
 from vergraph.llm import decontaminate, minhash, packing, quality, repeats, workspace
 
+_tables = workspace.Scope()  # of the stage that ran last
+
+
+def _own_tables(spark: SparkSession, docs: DataFrame) -> workspace.Scope:
+    """What the stage before this one left behind goes, if ``docs`` does not read
+    it; no other table is touched."""
+    global _tables
+    left, _tables = _tables, workspace.Scope()
+    left.release(spark, docs)
+    _tables.paths += left.paths
+    return _tables
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def select_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose chance of the top grade is at least one half."""
-    workspace.release(spark, docs)
-    return quality.select_texts(docs, quality.grades_of(table(spark, sf_dir, "labels")))
+    """Documents whose chance of the top grade is at least one half.  Every row is
+    judged by its own text, repeated rows and null ids included; without usable
+    labels all stay."""
+    with _own_tables(spark, docs):
+        return quality.select_texts(docs, quality.grades_of(table(spark, sf_dir, "labels")))
 
 
 #: The stage's own threshold; that of op4_minhash is its query's contract.
@@ -33,32 +50,35 @@ NEAR_PERCENT = 80
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row, that of the smallest id, of every group of near-duplicates; rows
-    without an id are groups of their own."""
-    workspace.release(spark, docs)
-    rows = workspace.with_row_ids(docs, "_row", "pipeline-rows")
-    kept = minhash.near_duplicates(rows, percent=NEAR_PERCENT, row_col="_row").where("kept").select("_row")
-    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
+    """One row, that of the smallest id, of every group of near-duplicates; of
+    repeated rows one stays.  Rows without an id, or without words, are groups of
+    their own."""
+    with _own_tables(spark, docs):
+        row = workspace.unused(docs, "row")
+        rows = workspace.with_row_ids(docs, row, "pipeline-rows")
+        kept = minhash.near_duplicates(rows, percent=NEAR_PERCENT, row_col=row).where("kept").select(row)
+        return rows.join(kept, row, "left_semi").select(*docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages of 200 bytes or more that occur again."""
-    workspace.release(spark, docs)
-    found = repeats.find_repeats(docs, carry=tuple(c for c in docs.columns if c not in ("doc_id", "text")))
-    left = repeats.without_repeats(found).select("doc_id", "text", "carried.*")
-    return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    """Texts without the passages of 200 bytes or more that occur again; rows stay,
+    with the empty text if nothing is left.  A null text comes back empty."""
+    with _own_tables(spark, docs):
+        found = repeats.find_repeats(docs, carry=tuple(c for c in docs.columns if c not in ("doc_id", "text")))
+        left = repeats.without_repeats(found).select("doc_id", "text", "carried.*")
+        return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no window of the benchmark."""
-    workspace.release(spark, docs)
-    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+    """Documents that hold no window of the benchmark; every row by its own text."""
+    with _own_tables(spark, docs):
+        return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of training sequences, mixed by source."""
-    workspace.release(spark, docs)
-    return packing.pack(docs)
+    """Pieces of training sequences, mixed by source; null sources are one."""
+    with _own_tables(spark, docs):
+        return packing.pack(docs)
 
 
 STAGES = [
@@ -79,5 +99,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         out = stage(spark, docs, sf_dir)
         out.write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
-    workspace.release(spark)
+    _own_tables(spark, docs)
     return docs
