@@ -36,7 +36,7 @@ def normal(rows, columns):
     return sorted((tuple(round(r[i], 6) if isinstance(r[i], float) else r[i] for i in order) for r in rows), key=str)
 
 
-@pytest.mark.parametrize("name", NAMES[::4])
+@pytest.mark.parametrize("name", NAMES)
 def test_against_sql(spark, tables, name):
     df = catalog.queries()[name](spark, SMALL)
     want = tables.execute(catalog.oracle_sql()[name])

@@ -80,6 +80,14 @@ def upsert_edges(stored: DataFrame, new: DataFrame) -> DataFrame:
     return stored.join(last.select("id"), "id", "left_anti").unionByName(last, allowMissingColumns=True)
 
 
+def with_ids(edges: DataFrame) -> DataFrame:
+    """Edges without an id get one, shaped as a uuid, from what they connect: a
+    batch that runs again gives the same ids (SNK3)."""
+    h = F.md5(F.concat_ws("|", "relationship_type", "from_entity_id", "to_entity_id"))
+    made = F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+    return edges.withColumn("id", F.coalesce("id", made))
+
+
 def replace_touching(edges: DataFrame, ids: DataFrame, new: DataFrame) -> DataFrame:
     """Edges that touch any of the ids give way to the new ones (SNK7)."""
     for side in ("from_entity_id", "to_entity_id"):

@@ -12,6 +12,14 @@ def keep_last(rows: DataFrame, keys: list[str], arrival: str) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
+def listed_by_type(rows: DataFrame, entity_type: str, arrival: str) -> DataFrame:
+    """The latest row of every id that ever had the type, with ``stale`` where it
+    has another one now: the client's index keeps re-typed ids (FLT8); without
+    the stale rows it is the plain lookup by type."""
+    had = rows.where(F.col("entity_type") == entity_type).select("id").distinct()
+    return keep_last(rows.join(had, "id", "left_semi"), ["id"], arrival).withColumn("stale", F.col("entity_type") != entity_type)
+
+
 def pending_state(edits: DataFrame, acks: DataFrame | None = None) -> DataFrame:
     """id, operation, entry_us: an id that was created locally stays ``create``
     until acknowledged; acknowledged ids leave (CLI3).  ``edits``: id, operation, at_us."""

@@ -75,6 +75,11 @@ def search_engine(rows: DataFrame, query: str, entity_types: list[str] | None =
     return top(score_engine(rows, query), limit, min_score)
 
 
+def search_rest(rows: DataFrame, query: str, entity_types: list[str] | None = None, limit: int = 10) -> DataFrame:
+    """The same as asked over the wire, where no more than 100 come back (SCH13)."""
+    return search_engine(rows, query, entity_types, min(limit, 100))
+
+
 def property_matches(rows: DataFrame, wanted: dict[str, str]) -> Column:
     """1 for an equal value, a half for a contained string (FLT15)."""
     total = F.lit(0.0)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from vergraph.functions.values import is_tombstoned, remote_wins, resolution_reason, version_micros
 
-from .versions import as_change, changed_since, filtered
+from .versions import as_change, changed_since, filtered, numbered
 
 _STEP = "struct<pos: int, outcome: string, becomes_latest: boolean, inserted: boolean, version: string, parents: array<string>, resolved_version: string, reason: string>"
 _STATE = f"struct<version: string, updated_us: bigint, deleted: boolean, seen: array<string>, log: array<{_STEP}>>"
@@ -93,14 +93,13 @@ def inserted_rows(log: DataFrame, changes: DataFrame) -> DataFrame:
 
 def apply_batch(stored: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The store after a batch, and the log of outcomes.  Rows that lose stay as
-    history; new rows get the next sequence numbers in order of arrival.  The
-    numbering covers one batch, not the store."""
+    history; new rows get the next sequence numbers in order of arrival."""
     log = apply_changes(stored, changes)
     new = inserted_rows(log, changes)
     last = Window.partitionBy("id").orderBy(F.desc(F.when(F.col("becomes_latest"), F.col("pos"))))
     new = new.withColumn("is_latest", F.col("becomes_latest") & (F.row_number().over(last) == 1))
     top = stored.agg(F.coalesce(F.max("server_seq"), F.lit(0)).alias("_top"))
-    new = new.withColumn("server_seq", F.row_number().over(Window.orderBy("pos"))).crossJoin(top).withColumn("server_seq", (F.col("server_seq") + F.col("_top")).cast("long"))  # one row
+    new = numbered(new, ["pos", "id", "version"], "server_seq").crossJoin(top).withColumn("server_seq", (F.col("server_seq") + F.col("_top")).cast("long"))  # one row
     moved = new.where("is_latest").select("id", F.lit(True).alias("_moved"))
     kept = stored.join(moved, "id", "left").withColumn("is_latest", F.col("is_latest") & F.col("_moved").isNull()).drop("_moved")
     return kept.unionByName(new.drop("_top", "pos", "becomes_latest"), allowMissingColumns=True), log

@@ -2,8 +2,9 @@
 
 A level is one join of the frontier with the edges and one anti-join with the
 ids already seen; each level ends in a checkpoint, so plans stay short and a
-lost executor repeats one level at most.  Only the emptiness of the frontier
-is looked at from the driver.
+lost executor repeats one level at most.  The driver looks at the number of ids
+of a level only: small levels are broadcast, large ones meet the edges by a
+shuffle.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vergraph.plans.graph import Graph, cut
+from vergraph.plans.graph import Graph, cut, small
 from vergraph.schema import CHILD_TO_PARENT
 
 
@@ -26,32 +27,30 @@ def _levels(steps: DataFrame, start: DataFrame, nodes: DataFrame | None, max_dep
     """id, depth of all ids reached from ``start`` over ``steps`` (src, dst).
     Ids that are not among ``nodes`` are seen, but neither returned nor left.
     ``visit`` gives a condition on frontier rows under which they are expanded."""
-    steps = steps.select("src", "dst").persist()  # read once for all levels
-    nodes = None if nodes is None else nodes.persist()
-    first = start if nodes is None else start.join(nodes, "id", "left_semi")
-    frontier = found = cut(first.withColumn("depth", F.lit(0)))
-    seen = found.select("id")
+    steps = steps.select("src", "dst")
+    if nodes is not None:  # tested once, not at every level
+        start, steps = start.join(nodes, "id", "left_semi"), steps.join(nodes.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst")
+    steps = steps.persist()
+    frontier = found = cut(start.withColumn("depth", F.lit(0)))
+    size = total = frontier.count()
     depth = 0
-    while max_depth is None or depth < max_depth:
+    while size and (max_depth is None or depth < max_depth):
         depth += 1
         ahead = frontier if visit is None else frontier.where(visit(frontier))
-        reached = steps.join(ahead.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti")
-        level = cut(reached.withColumn("depth", F.lit(depth)))
-        if level.isEmpty():
-            break
-        seen = seen.union(level.select("id"))
-        frontier = level if nodes is None else cut(level.join(nodes, "id", "left_semi"))
-        found = found.union(frontier)
+        reached = steps.join(small(ahead.select(F.col("id").alias("src")), size), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
+        frontier = cut(reached.join(small(found.select("id"), total), "id", "left_anti").withColumn("depth", F.lit(depth)))
+        size = frontier.count()
+        total += size
+        if size:
+            found = found.union(frontier)
     steps.unpersist()
-    if nodes is not None:
-        nodes.unpersist()
     return found
 
 
 def bfs(graph: Graph, start: str, max_depth: int | None = None, rel_types: list[str] | None = None, visit: Callable[[DataFrame], Column] | None = None) -> DataFrame:
     """id, depth of everything reached over outgoing edges, the start at 0 (TRV1).
     ``visit`` (UDF1) is a condition on the rows of a level that may go on."""
-    return _levels(graph.edges(rel_types), _start(graph, start), graph.nodes(), max_depth, visit)
+    return _levels(graph.edges(rel_types), _start(graph, start), graph.entities.select("id"), max_depth, visit)
 
 
 def bfs_ranked(graph: Graph, start: str, max_depth: int, rel_types: list[str] | None = None) -> DataFrame:
@@ -135,12 +134,12 @@ def hierarchy(graph: Graph, rel_type: str, upwards: bool) -> DataFrame:
 
 def ancestors(graph: Graph, id_: str, rel_type: str, max_depth: int | None = None) -> DataFrame:
     """id, depth of all above, the start left out (TRV5, TRV6)."""
-    return _levels(hierarchy(graph, rel_type, True), _start(graph, id_), graph.nodes(), max_depth).where("depth > 0")
+    return _levels(hierarchy(graph, rel_type, True), _start(graph, id_), graph.entities.select("id"), max_depth).where("depth > 0")
 
 
 def descendants(graph: Graph, id_: str, rel_type: str, max_depth: int | None = None) -> DataFrame:
     """id, depth of all below (TRV5, TRV7)."""
-    return _levels(hierarchy(graph, rel_type, False), _start(graph, id_), graph.nodes(), max_depth).where("depth > 0")
+    return _levels(hierarchy(graph, rel_type, False), _start(graph, id_), graph.entities.select("id"), max_depth).where("depth > 0")
 
 
 def cyclic_nodes(graph: Graph, rel_types: list[str] | None = None) -> DataFrame:
@@ -215,19 +214,22 @@ def degrees(graph: Graph) -> DataFrame:
 def find_path(graph: Graph, start: str, end: str, max_depth: int = 10, rel_types: list[str] | None = None) -> DataFrame:
     """path, length (hops) of a shortest directed path; of several the one whose
     ids come first (TRV12, TRV13; TRV14 counts nodes: pass one hop less)."""
-    edges, nodes = graph.edges(rel_types).select("src", "dst").persist(), graph.nodes().persist()
+    nodes = graph.entities.select("id")
+    edges = graph.edges(rel_types).select("src", "dst").join(nodes.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst").persist()
     frontier = cut(_start(graph, start).join(nodes, "id", "left_semi").select("id", F.array("id").alias("path")))
-    seen = frontier.select("id")
+    seen, size = frontier.select("id"), frontier.count()
+    total = size
     for hop in range(max_depth + 1):
         hit = frontier.where(F.col("id") == end)
-        if hop == max_depth or not hit.isEmpty():
-            return hit.select("path", (F.size("path") - 1).alias("length"))
-        step = edges.join(frontier.withColumnRenamed("id", "src"), "src").join(seen.withColumnRenamed("id", "dst"), "dst", "left_anti").join(nodes.withColumnRenamed("id", "dst"), "dst", "left_semi")
+        if not size or hop == max_depth or not hit.isEmpty():
+            break
+        step = edges.join(small(frontier.withColumnRenamed("id", "src"), size), "src").join(small(seen.withColumnRenamed("id", "dst"), total), "dst", "left_anti")
         frontier = cut(step.groupBy(F.col("dst").alias("id")).agg(F.min("path").alias("path")).select("id", F.array_append("path", F.col("id")).alias("path")))
-        if frontier.isEmpty():
-            return frontier.select("path", (F.size("path") - 1).alias("length"))
+        size = frontier.count()
+        total += size
         seen = seen.union(frontier.select("id"))
-    raise AssertionError
+    edges.unpersist()
+    return hit.select("path", (F.size("path") - 1).alias("length"))
 
 
 def connected(graph: Graph, id_: str, rel_type: str | None = None, direction: str = "both", max_depth: int = 1) -> DataFrame:
@@ -258,7 +260,7 @@ def subgraph(graph: Graph, id_: str, depth: int = 1, rel_types: list[str] | None
     the nodes that were left, each once (TRV18)."""
     e = graph.edges(rel_types)
     both = e.select("src", "dst").union(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    nodes = _levels(both, _start(graph, id_), graph.nodes(), depth)
+    nodes = _levels(both, _start(graph, id_), graph.entities.select("id"), depth)
     left = nodes.where(F.col("depth") < depth).select("id")
     edges = e.join(left.withColumnRenamed("id", "src"), "src", "left_semi").union(e.join(left.withColumnRenamed("id", "dst"), "dst", "left_semi").select(*e.columns))
     return nodes, edges.dropDuplicates(["rel"])

@@ -84,19 +84,26 @@ def new_version(rows: DataFrame, user: str, now: Column, counter: Column, change
 def append_versions(stored: DataFrame, new: DataFrame) -> DataFrame:
     """Stored rows and those new (id, version) pairs that are not there yet; the
     newcomers of an id, in arrival order (``pos``), take over as latest and get the
-    next sequence numbers (SNK2, SYN5, AGG5).  ``new`` is one micro-batch: its
-    numbering runs in one task, over its rows only."""
+    next sequence numbers, by range parts (SNK2, SYN5, AGG5)."""
     keys = ["id", "version"]
     first = Window.partitionBy(*keys).orderBy("pos")
     fresh = new.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n").join(stored.select(*keys), keys, "left_anti")
     last = Window.partitionBy("id").orderBy(F.desc("pos"))
     top = stored.agg(F.coalesce(F.max("server_seq"), F.lit(0)).alias("_top"))
-    fresh = fresh.withColumn("is_latest", F.row_number().over(last) == 1).withColumn("server_seq", F.row_number().over(Window.orderBy("pos"))).crossJoin(top).withColumn("server_seq", F.col("server_seq") + F.col("_top")).drop("_top")
+    fresh = numbered(fresh.withColumn("is_latest", F.row_number().over(last) == 1), ["pos", "id", "version"], "server_seq")
+    fresh = fresh.crossJoin(top).withColumn("server_seq", F.col("server_seq") + F.col("_top")).drop("_top")  # one row
     touched = fresh.select("id").distinct().withColumn("_new", F.lit(True))
     kept = stored.join(touched, "id", "left").withColumn("is_latest", F.col("is_latest") & F.col("_new").isNull()).drop("_new")
     return kept.unionByName(fresh.drop("pos"), allowMissingColumns=True)
 
 
+def insert_plain(stored: DataFrame, new: DataFrame) -> DataFrame:
+    """The divergent write path of the tools (SNK4): new rows come in as latest,
+    without a sequence number, and demote nothing - so an id may then have several
+    rows recorded as latest, and FLT1 and FLT3 may answer differently."""
+    return stored.unionByName(new.withColumn("is_latest", F.lit(True)).withColumn("server_seq", F.lit(None).cast("long")), allowMissingColumns=True)
+
+
 def backfilled(rows: DataFrame) -> DataFrame:
     """is_latest by the greatest version string, and a dense sequence in
     (created_at, version) order, numbered by range parts (MIG5, AGG8)."""

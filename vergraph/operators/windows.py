@@ -78,9 +78,11 @@ def suspicious(attempts: DataFrame, every: str = "1 minute", span: str = "5 minu
 def retained(backups: DataFrame, now_us: int, days: int, most: int, keep_newest: bool = False) -> DataFrame:
     """Adds keep: not older than ``days``, and among the ``most`` newest (U5);
     optionally the newest stays in any case.  ``backups``: name, created_us."""
-    rank = F.row_number().over(Window.orderBy(F.desc("created_us"), "name"))  # a catalogue of backups, not data
+    from vergraph.operators.versions import numbered
+
+    ranked = numbered(backups.withColumn("_age", -F.col("created_us")), ["_age", "name"], "rank").drop("_age")
     keep = (F.col("created_us") >= now_us - days * 86_400_000_000) & (F.col("rank") <= most)
-    return backups.withColumn("rank", rank).withColumn("keep", (keep | (F.col("rank") == 1)) if keep_newest else keep)
+    return ranked.withColumn("keep", (keep | (F.col("rank") == 1)) if keep_newest else keep)
 
 
 def active_tokens(tokens: DataFrame, now_us: int) -> DataFrame:

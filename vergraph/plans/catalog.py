@@ -13,9 +13,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _modules():
-    from vergraph.plans import queries_data, queries_graph, queries_rest, queries_sync
+    from vergraph.plans import queries_data, queries_graph, queries_more, queries_rest, queries_sync
 
-    return queries_data, queries_graph, queries_sync, queries_rest
+    return queries_data, queries_graph, queries_sync, queries_rest, queries_more
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,22 +5,40 @@ from __future__ import annotations
 import tempfile
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vergraph.functions.values import is_tombstoned
 
 
+def shared_place(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; only where it is unset on one machine, as in tests, a new local folder."""
+    place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not place:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        place = tempfile.mkdtemp(prefix="vergraph-")
+        spark.conf.set("spark.checkpoint.dir", place)
+    return place.rstrip("/")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in the folder that the executors share."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        place = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="vergraph-checkpoints-")
-        sc.setCheckpointDir(place)
+        sc.setCheckpointDir(shared_place(df.sparkSession))
     return df.checkpoint()
 
 
+#: Rows of ids up to which a counted table is broadcast; beyond, joins shuffle.
+BROADCAST_ROWS = 200_000
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` of a counted size, to be broadcast if that is small."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
 @dataclass
 class Graph:
     """``entities``: version rows (with is_latest); ``relationships``: edges."""

@@ -15,7 +15,7 @@ PARTS = {
   UNION ALL SELECT 'customer-' || c_custkey, 'room', c_name, '{{"segment":"' || c_mktsegment || '","balance":' || {CENTS.format("c_acctbal")} || '}}' FROM customer
   UNION ALL SELECT 'part-' || p_partkey, 'device', p_name, '{{"brand":"' || p_brand || '","type":"' || p_type || '","size":' || p_size || ',"capabilities":["' || p_type || '"]}}' FROM part
   UNION ALL SELECT 'order-' || o_orderkey, 'automation', o_orderpriority, '{{"status":"' || o_orderstatus || '","total":' || {CENTS.format("o_totalprice")} || '}}' FROM orders
-  UNION ALL SELECT 'doc-' || doc_id, 'manual', coalesce(substring(text, 1, 60), ''), '{{"lang":"' || lang || '","source":"' || source || '"}}' FROM documents""",
+  UNION ALL SELECT 'doc-' || doc_id, 'manual', coalesce(text, ''), '{{"lang":"' || lang || '","source":"' || source || '"}}' FROM documents""",
     "rels": """
   SELECT 'part_of' AS relationship_type, 'nation-' || n_nationkey AS src, 'region-' || n_regionkey AS dst, '{}' AS properties FROM nation
   UNION ALL SELECT 'located_in', 'supplier-' || s_suppkey, 'nation-' || s_nationkey, '{}' FROM supplier

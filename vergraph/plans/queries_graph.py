@@ -69,6 +69,6 @@ add("tol6_relationship_check", lambda s, d: tools.checked_relationship(graph(s,
 add("tol7_path", lambda s, d: tools.path_between(graph(s, d), "order-0", "region-0").select("found", "length"), sql("SELECT count(*) > 0 AS found, coalesce(min(depth), 0) AS length FROM reach WHERE id = 'region-0'", "rels", recursive=reach("order-0", 10)))
 add("tol7_path_missing", lambda s, d: tools.path_between(graph(s, d), "region-0", "part-7").select("found", "length"), "SELECT false AS found, 0 AS length")
 add("tol8_details", lambda s, d: tools.entity_details(graph(s, d), "part-7").select("id", "name", "entity_type", "version_count", F.size("outgoing").alias("n_out"), F.size("incoming").alias("n_in")), sql("SELECT 'part-7' AS id, p_name AS name, 'device' AS entity_type, 1 AS version_count, (SELECT count(*) FROM rels WHERE src = 'part-7') AS n_out, (SELECT count(*) FROM rels WHERE dst = 'part-7') AS n_in FROM part WHERE p_partkey = 7", "rels"))
-add("tol10_procedures", lambda s, d: tools.procedures_for_device(graph(s, d), "part-7"), "SELECT 'manual' AS kind, 'doc-' || doc_id AS id, coalesce(substring(text, 1, 60), '') AS name FROM documents WHERE doc_id = 7 % (SELECT count(*) FROM documents)")
+add("tol10_procedures", lambda s, d: tools.procedures_for_device(graph(s, d), "part-7"), "SELECT 'manual' AS kind, 'doc-' || doc_id AS id, coalesce(text, '') AS name FROM documents WHERE doc_id = 7 % (SELECT count(*) FROM documents)")
 add("tol11_automations", lambda s, d: tools.automations_in_room(graph(s, d), "supplier-1").select("id", "name", F.array_join("affected", ",").alias("affected")), "SELECT 'order-' || o_orderkey AS id, o_orderpriority AS name, string_agg(DISTINCT 'part-' || l_partkey, ',' ORDER BY 'part-' || l_partkey) AS affected FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_partkey IN (SELECT l_partkey FROM lineitem WHERE l_suppkey = 1) GROUP BY 1, 2")
 add("tol12_update", lambda s, d: tools.updated_entity(graph(s, d), "part-7", '{"size":99,"room":"x"}', "me", F.expr("timestamp_ntz'2025-01-01 00:00:00'")).select("id", "version", F.get_json_object("content", "$.size").alias("size"), F.get_json_object("content", "$.brand").alias("brand"), F.get_json_object("content", "$.room").alias("room"), F.size("parent_versions").alias("n_parents")), "SELECT 'part-7' AS id, '2025-01-01T00:00:00.000000+00:00-000000-me' AS version, '99' AS size, p_brand AS brand, 'x' AS room, 1 AS n_parents FROM part WHERE p_partkey = 7")

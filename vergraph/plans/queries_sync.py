@@ -80,11 +80,13 @@ def _edges(s, d, rename):
 
 
 def _edge_batch(s, d):
-    bad = _edges(s, d, "x").withColumn("to_entity_id", F.when(F.col("from_entity_id") == "nation-3", F.lit("region-99")).otherwise(F.col("to_entity_id")))
-    return bad.withColumn("pos", F.xxhash64("id"))
+    """Every edge once more, one of them to a place that is not there."""
+    bad = (F.col("from_entity_id") == "nation-3") & (F.col("relationship_type") == "part_of")
+    e = star.relationships(s, d).withColumn("properties", F.lit("x"))
+    return e.withColumn("to_entity_id", F.when(bad, F.lit("region-99")).otherwise(F.col("to_entity_id"))).withColumn("pos", F.xxhash64("id"))
 
 
-add("syn8_edge_upsert", lambda s, d: sync.edge_changes(star.entities(s, d), _edges(s, d, None), _edge_batch(s, d))[0].select("id", "properties"), sql("SELECT relationship_type || '|' || src || '|' || dst AS id, CASE WHEN src = 'nation-3' THEN '{}' ELSE 'x' END AS properties FROM rels WHERE relationship_type = 'part_of'", "rels"))
+add("syn8_edge_upsert", lambda s, d: sync.edge_changes(star.entities(s, d), star.relationships(s, d), _edge_batch(s, d))[0].select("id", "properties"), sql("SELECT relationship_type || '|' || src || '|' || dst AS id, CASE WHEN src = 'nation-3' AND relationship_type = 'part_of' THEN '{}' ELSE 'x' END AS properties FROM rels", "rels"))
 add("syn10_pull_page", lambda s, d: sync.pull_page(flagged(s, d), 5000, size=50).select("id", "version", "change_type", "server_seq"), sql("SELECT id, version, CASE WHEN deleted THEN 'delete' ELSE 'update' END AS change_type, server_seq FROM cur WHERE server_seq > 5000 ORDER BY server_seq LIMIT 50", "cur"))
 add("syn10_pull_filtered", lambda s, d: sync.pull_page(flagged(s, d), 0, size=20, modified_by=["click", "error"]).select("id", "change_type"), sql("SELECT id, CASE WHEN deleted THEN 'delete' ELSE 'update' END AS change_type FROM cur WHERE user_id IN ('click', 'error') ORDER BY server_seq LIMIT 20", "cur"))
 add("syn10_next_cursor", lambda s, d: sync.next_cursor(flagged(s, d), 0, 100), sql("SELECT CASE WHEN count(*) > 100 THEN max(server_seq) FILTER (WHERE r <= 100) END AS next_cursor, count(*) > 100 AS has_more FROM (SELECT server_seq, row_number() OVER (ORDER BY server_seq) AS r FROM cur WHERE server_seq > 0)", "cur"))
@@ -113,7 +115,7 @@ def acked(s, d):
 
 PENDING = sql(f"SELECT id, arg_min(operation, at_us) AS operation, min(at_us) AS entry_us FROM {EDITS} WHERE id NOT IN (SELECT id FROM cur WHERE user_id = 'click') GROUP BY id", "cur")
 add("cli3_pending", lambda s, d: replica.pending_state(edits(s, d), acked(s, d)), PENDING)
-add("cli2_push_payload", lambda s, d: replica.push_payload(replica.pending_state(star.entities(s, d).where("entity_type = 'zone'").select("id", F.lit("update").alias("operation"), F.lit(1).alias("at_us"))), star.entities(s, d), star.relationships(s, d).where("from_entity_id like 'nation-%' or from_entity_id = 'part-7'")).select("id", "operation", F.size("relationships").alias("n_edges")), sql("SELECT 'nation-' || n_nationkey AS id, 'update' AS operation, (SELECT count(*) FROM rels WHERE src = 'nation-' || n_nationkey) AS n_edges FROM nation UNION ALL SELECT 'part-7', NULL, count(*) FROM rels WHERE src = 'part-7'", "rels"))
+add("cli2_push_payload", lambda s, d: replica.push_payload(replica.pending_state(star.entities(s, d).where("entity_type <> 'automation'").select("id", F.lit("update").alias("operation"), F.lit(1).alias("at_us"))), star.entities(s, d), star.relationships(s, d)).select("id", "operation", F.size("relationships").alias("n_edges")), sql("SELECT e.id, 'update' AS operation, count(r.src) AS n_edges FROM entities e LEFT JOIN rels r ON r.src = e.id WHERE entity_type <> 'automation' GROUP BY e.id UNION ALL SELECT src, NULL, count(*) FROM rels WHERE src LIKE 'order-%' GROUP BY src", "entities", "rels"))
 add("cli4_apply_pull", lambda s, d: replica.apply_pull(flagged(s, d).where("server_seq <= 600"), flagged(s, d).where("server_seq > 400")).where("is_latest").select("id", "version"), sql("SELECT id, version FROM cur", "cur"))
 add("cli5_pulled_times", lambda s, d: replica.pulled_times(flagged(s, d).where("is_latest").select("id", "version").union(s.createDataFrame([("x", "no-time")], "id string, version string")), 5).select("id", "updated_us"), sql("SELECT id, us AS updated_us FROM cur UNION ALL SELECT 'x', 5", "cur"))
 TRACK = "(SELECT 'user-' || user_id AS id, epoch_us(ts) AS at_us, CASE event_type WHEN 'error' THEN 'conflict' WHEN 'click' THEN 'synced' ELSE 'pending' END AS status FROM events)"
@@ -167,26 +169,26 @@ add("u7_active_tokens", lambda s, d: windows.active_tokens(star.table(s, d, "eve
 
 # sources, sinks and streams
 def _backup(s, d):
-    rows = star.entities(s, d).where("entity_type in ('zone', 'home')").select("id", "name", "entity_type")
+    rows = star.entities(s, d).select("id", "name", "entity_type")
     return snapshots.restore(s, snapshots.backup(rows, snapshots.shared_folder(s, "backup"), "test"))
 
 
-add("snk8_backup_restore", _backup, sql("SELECT id, name, entity_type FROM entities WHERE entity_type IN ('zone', 'home')", "entities"))
+add("snk8_backup_restore", _backup, sql("SELECT id, name, entity_type FROM entities", "entities"))
 
 
 def _json(s, d):
-    folder = snapshots.write_json(star.entities(s, d).where("entity_type = 'zone'").select("id", "name"), snapshots.shared_folder(s, "json"))
+    folder = snapshots.write_json(star.entities(s, d).select("id", "name"), snapshots.shared_folder(s, "json"))
     return s.read.schema("id string, name string").json(folder)
 
 
-add("snk10_json_lines", _json, sql("SELECT id, name FROM entities WHERE entity_type = 'zone'", "entities"))
+add("snk10_json_lines", _json, sql("SELECT id, name FROM entities", "entities"))
 
 
 def _snapshot(s, d):
-    return snapshots.read_snapshot(s, snapshots.write_snapshot(star.entities(s, d).where("entity_type <> 'automation'"), snapshots.shared_folder(s, "snapshot"))).groupBy("entity_type").agg(F.count("*").alias("n"))
+    return snapshots.read_snapshot(s, snapshots.write_snapshot(star.entities(s, d), snapshots.shared_folder(s, "snapshot"))).groupBy("entity_type").agg(F.count("*").alias("n"))
 
 
-add("snk1_snapshot", _snapshot, sql("SELECT entity_type, count(*) AS n FROM entities WHERE entity_type <> 'automation' GROUP BY 1", "entities"))
+add("snk1_snapshot", _snapshot, sql("SELECT entity_type, count(*) AS n FROM entities GROUP BY 1", "entities"))
 
 
 def _limits(s, d):

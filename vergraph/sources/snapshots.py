@@ -2,20 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vergraph.plans.graph import shared_place
+
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder in the place that driver and executors share."""
-    place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not place:
-        place = tempfile.mkdtemp(prefix="vergraph-")
-        spark.conf.set("spark.checkpoint.dir", place)
-    return f"{place.rstrip('/')}/vergraph/{name}-{uuid.uuid4().hex}"
+    return f"{shared_place(spark)}/vergraph/{name}-{uuid.uuid4().hex}"
 
 
 def write_snapshot(rows: DataFrame, folder: str) -> str:
@@ -76,3 +73,57 @@ def changed_since_backup(rows: DataFrame, folder: str) -> bool:
     said = rows.sparkSession.read.schema("n_rows long, checksum string").json(f"{folder}/metadata").first()
     now = content_checksum(rows).first()
     return (said["n_rows"], said["checksum"]) != (now["n_rows"], now["checksum"])
+
+
+def _folder(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def backup_names(spark: SparkSession, root: str) -> list[str]:
+    """Names of the backups under a root, oldest (smallest) first: a folder listing."""
+    fs, at = _folder(spark, root)
+    return sorted(f.getPath().getName() for f in fs.listStatus(at) if f.isDirectory()) if fs.exists(at) else []
+
+
+def list_backups(spark: SparkSession, root: str) -> DataFrame:
+    """name, n_rows, checksum, description of every backup under a root, from the metadata files (SRC6)."""
+    names = backup_names(spark, root)
+    kind = "n_rows long, checksum string, description string"
+    if not names:
+        return spark.createDataFrame([], f"name string, {kind}")
+    said = spark.read.schema(kind).json([f"{root}/{n}/metadata" for n in names])
+    return said.select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -3).alias("name"), "n_rows", "checksum", "description")
+
+
+def delete_backup(spark: SparkSession, root: str, name: str) -> bool:
+    """Whether there was one to delete (SRC6)."""
+    fs, at = _folder(spark, f"{root}/{name}")
+    return fs.delete(at, True)
+
+
+def mirrored_backup(rows: DataFrame, root: str, mirror: str, name: str, keep: int) -> bool:
+    """A new backup, if the rows changed since the newest one, with a copy at the
+    mirror; of both places only the ``keep`` newest stay (SNK9).  Says whether
+    there was anything new."""
+    spark = rows.sparkSession
+    before = backup_names(spark, root)
+    if before and not changed_since_backup(rows, f"{root}/{before[-1]}"):
+        return False
+    backup(rows, f"{root}/{name}", name)
+    backup(restore(spark, f"{root}/{name}"), f"{mirror}/{name}", name)
+    for place in (root, mirror):
+        for old in backup_names(spark, place)[:-keep]:
+            delete_backup(spark, place, old)
+    return True
+
+
+def write_replica(rows: DataFrame, folder: str, files: int) -> str:
+    """Version rows (with ``arrival``) as replica files: each one JSON object of
+    id -> [versions] in stored order, a part of the ids (SRC3)."""
+    version = F.struct("arrival", "id", "version", "entity_type", "name", F.parse_json("content").alias("content"), F.col("created_at").cast("string").alias("created_at"))
+    own = rows.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("arrival", F.to_json(version).alias("json")))).alias("v"))
+    entry = F.concat(F.to_json(F.array("id")).substr(F.lit(2), F.length(F.to_json(F.array("id"))) - 2), F.lit(":["), F.array_join(F.transform("v", lambda x: x["json"]), ","), F.lit("]"))
+    parts = own.select(F.pmod(F.xxhash64("id"), F.lit(files)).alias("file"), entry.alias("entry")).groupBy("file").agg(F.collect_list("entry").alias("e"))
+    parts.select("file", F.concat(F.lit("{"), F.array_join("e", ","), F.lit("}")).alias("value")).repartition(files, "file").write.partitionBy("file").mode("overwrite").text(folder)
+    return folder

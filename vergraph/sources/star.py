@@ -30,7 +30,7 @@ def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
         _node(t("customer"), "room", "concat('customer-', c_custkey)", "c_name", f"""concat('{{"segment":"', c_mktsegment, '","balance":', {cents.format("c_acctbal")}, '}}')"""),
         _node(t("part"), "device", "concat('part-', p_partkey)", "p_name", """concat('{"brand":"', p_brand, '","type":"', p_type, '","size":', p_size, ',"capabilities":["', p_type, '"]}')"""),
         _node(t("orders"), "automation", "concat('order-', o_orderkey)", "o_orderpriority", f"""concat('{{"status":"', o_orderstatus, '","total":', {cents.format("o_totalprice")}, '}}')"""),
-        _node(t("documents"), "manual", "concat('doc-', doc_id)", "coalesce(substring(text, 1, 60), '')", """concat('{"lang":"', lang, '","source":"', source, '"}')"""),
+        _node(t("documents"), "manual", "concat('doc-', doc_id)", "coalesce(text, '')", """concat('{"lang":"', lang, '","source":"', source, '"}')"""),
     ]
     out = parts[0]
     for p in parts[1:]:
