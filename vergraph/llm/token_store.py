@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .encoding import encoder, id_width, vocabulary_path, with_end
 from .kernels import U64, Prefix, mix, slices
-from .workspace import drop_staged, shared_dir, ship, stage
+from .workspace import drop_staged, freeing_shuffles, shared_dir, ship, stage
 
 ROLL, LEAST, MOST, MASK = 8, 64, 4096, U64(255)
 BASE = U64(0xB5026F5AA96619E9)
@@ -145,11 +145,12 @@ def write_store(docs: DataFrame, folder: str | None = None, tokenizer: str | Non
     cut = stage(source.mapInArrow(_cut_documents(tokenizer, end_id, width), "doc_id long, n_tokens long, digests binary, root binary, new array<struct<digest: binary, n: int, ids: binary>>"), "token-chunks")
     chunks = cut.select(F.explode("new").alias("c")).select("c.digest", "c.n", "c.ids")
     chunks = chunks.repartition("digest").sortWithinPartitions("digest").mapInArrow(_unique, chunks.schema)
-    chunks.write.option("compression", "zstd").mode("overwrite").parquet(f"{folder}/chunks")
     recipes = cut.select("doc_id", "n_tokens", "digests", "root").repartitionByRange("doc_id").sortWithinPartitions("doc_id").withColumn("part", F.spark_partition_id())
-    recipes.write.mode("overwrite").parquet(f"{folder}/recipes")
-    drop_staged(cut)
-    manifest(spark, folder).coalesce(1).write.mode("overwrite").parquet(f"{folder}/manifest")
+    with freeing_shuffles(spark):
+        chunks.write.option("compression", "zstd").mode("overwrite").parquet(f"{folder}/chunks")
+        recipes.write.mode("overwrite").parquet(f"{folder}/recipes")
+        drop_staged(cut)
+        manifest(spark, folder).coalesce(1).write.mode("overwrite").parquet(f"{folder}/manifest")
     return folder
 
 
