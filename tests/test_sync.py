@@ -87,6 +87,27 @@ def test_fold_matches_model(spark):
     assert again.count() == rows.count()  # a replay inserts nothing
 
 
+def test_one_hot_id(spark):
+    """A chain of fast-forwards on one id, in shuffled order over many partitions."""
+    n = 5000
+    chain = [version(BASE + i * 1000, "c") for i in range(n + 1)]
+    changes = [(i, BASE + i * 1000, "update", "hot", chain[i + 1], "{}", [chain[i]]) for i in range(n)]
+    random.Random(3).shuffle(changes)
+    s = spark.createDataFrame([("hot", chain[0], True, BASE, "{}", 1)], STORED)
+    rows, log = sync.apply_batch(s, spark.createDataFrame(changes, CHANGES).repartition(13))
+    assert {r["outcome"]: r["count"] for r in log.groupBy("outcome").count().collect()} == {"fast_forward": n}
+    assert [r["version"] for r in rows.where("is_latest").collect()] == [chain[n]]
+
+
+def test_fold_of_nulls_and_nothing(spark):
+    s = spark.createDataFrame([("a", version(BASE), True, None, None, 1)], STORED)
+    odd = [(0, None, None, None, None, None, None), (1, 5, "update", "a", None, None, None), (2, 5, "delete", "zz", "v", None, None), (3, 5, "update", "a", version(BASE + 9), None, None)]
+    got = {r["pos"]: (r["outcome"], r["inserted"], r["parents"]) for r in sync.apply_changes(s, spark.createDataFrame(odd, CHANGES)).collect()}
+    assert got == {0: ("insert", False, []), 1: ("conflict_lost", False, [version(BASE)]), 2: ("noop", False, []), 3: ("conflict_lost", True, [version(BASE)])}
+    assert sync.apply_changes(s, spark.createDataFrame([], CHANGES)).count() == 0
+    assert sync.apply_changes(s.limit(0), spark.createDataFrame(odd[3:], CHANGES)).first()["outcome"] == "insert"
+
+
 @pytest.mark.parametrize(("ms_us", "wins"), [(999_999, False), (1_000_000, True), (-999_999, False), (-1_000_000, False), (0, False)])
 def test_tie_window(spark, ms_us, wins):
     df = spark.createDataFrame([(BASE, "v2", BASE + ms_us, "v1")], "l long, lv string, r long, rv string")

@@ -1,13 +1,15 @@
 """Applying change batches: an ordered fold per id, paging, acknowledgements.
 
 Changes of one id depend on each other in arrival order, and last-writer-wins
-with a tie window is not transitive, so it is no aggregate.  Each id's changes
-are gathered in order behind its stored state and folded by one higher-order
-expression inside the JVM.  Ids are independent: the fold is one shuffle.
+with a tie window is not transitive, so it is no aggregate.  Spark deals stored versions and changes by id
+and sorts them; a task runs through them and keeps the state of one id (its
+current version and the versions seen), so neither an id's changes nor its log
+are ever gathered.  Ids are independent: the fold is one shuffle.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,57 +17,61 @@ from vergraph.functions.values import is_tombstoned, remote_wins, resolution_rea
 
 from .versions import as_change, changed_since, filtered, numbered
 
-_STEP = "struct<pos: int, outcome: string, becomes_latest: boolean, inserted: boolean, version: string, parents: array<string>, resolved_version: string, reason: string>"
-_STATE = f"struct<version: string, updated_us: bigint, deleted: boolean, seen: array<string>, log: array<{_STEP}>>"
-
-
-def _fold(stored: Column, changes: Column) -> Column:
-    none = F.array().cast("array<string>")
-    start = F.struct(
-        stored["version"].alias("version"), stored["updated_us"].alias("updated_us"), F.coalesce(stored["deleted"], F.lit(False)).alias("deleted"),
-        F.coalesce(stored["seen"], none).alias("seen"), F.array().cast(f"array<{_STEP}>").alias("log"),
-    ).cast(_STATE)
-
-    def step(s, c):
-        parents = F.coalesce(c["parent_versions"], none)
-        is_delete = c["change_type"] == "delete"
-        unknown = s["version"].isNull()
-        same = s["version"] == c["version"]
-        based = F.array_contains(parents, s["version"])
-        remote_us = F.coalesce(version_micros(c["version"]), s["updated_us"])
-        wins = remote_wins(s["updated_us"], s["version"], remote_us, c["version"])
-        conflict = ~is_delete & ~unknown & ~same & ~F.coalesce(based, F.lit(False))
-        outcome = (
-            F.when(is_delete & (unknown | s["deleted"]), "noop")
-            .when(is_delete, "tombstone")
-            .when(unknown, "insert")
-            .when(same, "noop")
-            .when(based, "fast_forward")
-            .when(wins, "conflict_won")
-            .otherwise("conflict_lost")
-        )
-        writes = outcome != "noop"
-        # a version that is stored already is not inserted again, even if it would win now
-        inserted = writes & ~F.array_contains(s["seen"], c["version"])
-        latest = inserted & (outcome != "conflict_lost")
-        # blind changes, and deletes that do not know the incumbent, are hung under it
-        adopted = (conflict & (F.size(parents) == 0)) | (is_delete & ~unknown & ~F.coalesce(based, F.lit(False)))
-        kept = F.when(adopted, F.array(s["version"])).otherwise(parents)
-        resolved = F.when(conflict, F.when(wins, c["version"]).otherwise(s["version"]))
-        reason = F.when(conflict, resolution_reason(s["updated_us"], s["version"], remote_us, c["version"]))
-        entry = F.struct(
-            c["pos"].alias("pos"), outcome.alias("outcome"), latest.alias("becomes_latest"), inserted.alias("inserted"), c["version"].alias("version"),
-            kept.alias("parents"), resolved.alias("resolved_version"), reason.alias("reason"),
-        )
-        return F.struct(
-            F.when(latest, c["version"]).otherwise(s["version"]).alias("version"),
-            F.when(latest, c["apply_us"]).otherwise(s["updated_us"]).alias("updated_us"),
-            F.when(latest, is_delete | c["deleted"]).otherwise(s["deleted"]).alias("deleted"),
-            F.when(inserted, F.array_append(s["seen"], c["version"])).otherwise(s["seen"]).alias("seen"),
-            F.array_append(s["log"], entry.cast(_STEP)).alias("log"),
-        ).cast(_STATE)
-
-    return F.aggregate(changes, start, step)
+_LOG = "id string, pos int, outcome string, becomes_latest boolean, inserted boolean, version string, parents array<string>, resolved_version string, reason string"
+_TEXTS = pa.list_(pa.string())
+_LOG_ARROW = pa.schema([("id", pa.string()), ("pos", pa.int32()), ("outcome", pa.string()), ("becomes_latest", pa.bool_()), ("inserted", pa.bool_()), ("version", pa.string()), ("parents", _TEXTS), ("resolved_version", pa.string()), ("reason", pa.string())])
+
+
+def _folder(schema: pa.Schema):
+    """Over rows sorted by id, the stored versions of an id before its changes:
+    one log row for each change.  Only the state of the id at hand is kept."""
+
+    def run(batches):
+        at, now, seen = object(), (None, None, False), set()
+        for batch in batches:
+            log = []
+            for id_, kind, pos, apply_us, change, version, parents, remote_us, deleted in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if id_ != at:
+                    at, now, seen = id_, (None, None, False), set()
+                if kind == 0:
+                    seen.add(version)
+                    if change == "latest":
+                        now = (version, remote_us, deleted)
+                    continue
+                current, current_us, gone = now
+                parents, is_delete = parents or [], change == "delete"
+                based = current is not None and current in parents
+                resolved = reason = None
+                if is_delete:
+                    outcome = "noop" if current is None or gone else "tombstone"
+                elif current is None:
+                    outcome = "insert"
+                elif current == version:
+                    outcome = "noop"
+                elif based:
+                    outcome = "fast_forward"
+                else:
+                    remote_us = current_us if remote_us is None else remote_us
+                    known = remote_us is not None and current_us is not None
+                    near = known and abs(remote_us - current_us) // 1000 < 1000
+                    wins = (version or "") > current if near else known and remote_us > current_us
+                    outcome, resolved = ("conflict_won", version) if wins else ("conflict_lost", current)
+                    side = "remote" if wins else "local"
+                    reason = f"timestamps within 1s, {side} has greater version" if near else f"{side} has newer timestamp"
+                # a version that is stored already is not inserted again, even if it would win now
+                inserted = outcome != "noop" and version is not None and version not in seen
+                latest = inserted and outcome != "conflict_lost"
+                # blind changes, and deletes that do not know the incumbent, are hung under it
+                if (reason is not None and not parents) or (is_delete and current is not None and not based):
+                    parents = [current]
+                log.append((id_, pos, outcome, latest, inserted, version, parents, resolved, reason))
+                if inserted:
+                    seen.add(version)
+                if latest:
+                    now = (version, apply_us, is_delete or deleted)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*log, strict=True) if log else [[]] * len(schema), schema, strict=True)], schema=schema)
+
+    return run
 
 
 def apply_changes(stored: DataFrame, changes: DataFrame) -> DataFrame:
@@ -73,14 +79,17 @@ def apply_changes(stored: DataFrame, changes: DataFrame) -> DataFrame:
     parents, resolved_version, reason (SYN2 to SYN7, SYN9: every row is an
     acknowledgement).  ``stored``: id, version, is_latest, updated_us, content;
     ``changes``: pos (order of arrival), apply_us (server time), change_type
-    (create, update, delete), id, version, content, parent_versions."""
-    held = stored.join(changes.select("id").distinct(), "id", "left_semi").groupBy("id").agg(
-        F.max(F.when(F.col("is_latest"), F.struct("version", "updated_us", is_tombstoned(F.col("content")).alias("deleted")))).alias("now"), F.collect_set("version").alias("seen")
-    )
-    own = changes.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "apply_us", "change_type", "version", "parent_versions", is_tombstoned(F.col("content")).alias("deleted")))).alias("changes"))
-    state = F.struct(F.col("now.version").alias("version"), F.col("now.updated_us").alias("updated_us"), F.col("now.deleted").alias("deleted"), F.col("seen"))
-    folded = own.join(held, "id", "left").select("id", F.explode(_fold(state, F.col("changes"))["log"]).alias("e"))
-    return folded.select("id", "e.*")
+    (create, update, delete), id, version, content, parent_versions.  A change
+    without a version is never inserted."""
+    gone = is_tombstoned(F.col("content")).alias("deleted")
+    none = F.lit(None)
+    held = stored.join(changes.select("id").distinct(), "id", "left_semi").select(
+        "id", F.lit(0).alias("kind"), none.cast("int").alias("pos"), none.cast("long").alias("apply_us"), F.when(F.col("is_latest"), "latest").otherwise("held").alias("change_type"),
+        "version", none.cast("array<string>").alias("parent_versions"), F.col("updated_us").cast("long").alias("remote_us"), gone,
+    )
+    own = changes.select("id", F.lit(1).alias("kind"), F.col("pos").cast("int").alias("pos"), F.col("apply_us").cast("long").alias("apply_us"), "change_type", "version", "parent_versions", version_micros(F.col("version")).alias("remote_us"), gone)
+    rows = held.union(own)
+    return rows.repartition("id").sortWithinPartitions(*rows.columns).mapInArrow(_folder(_LOG_ARROW), _LOG)
 
 
 def inserted_rows(log: DataFrame, changes: DataFrame) -> DataFrame:

@@ -12,12 +12,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vergraph.plans.graph import Graph, cut, small
 from vergraph.schema import CHILD_TO_PARENT
 
+from .versions import numbered
+
 
 def _start(graph: Graph, id_: str) -> DataFrame:
     return graph.relationships.sparkSession.createDataFrame([(id_,)], "id string")
@@ -55,18 +57,22 @@ def bfs(graph: Graph, start: str, max_depth: int | None = None, rel_types: list[
 
 def bfs_ranked(graph: Graph, start: str, max_depth: int, rel_types: list[str] | None = None) -> DataFrame:
     """bfs with the order of visits: first by the rank of the parent, then by the
-    edge's id.  The ranks of a level are numbered in one task, so this is for
-    neighbourhoods, not for whole graphs."""
-    edges, nodes = graph.edges(rel_types), graph.nodes()
+    edge's id.  Levels are numbered by range parts, never in one task."""
+    nodes = graph.nodes()
+    edges = graph.edges(rel_types).join(nodes.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst", "rel").persist()
     found = frontier = cut(_start(graph, start).join(nodes, "id", "left_semi").select("id", F.lit(0).alias("depth"), F.lit(0).cast("long").alias("bfs_rank")))
+    size = total = frontier.count()
     for depth in range(1, max_depth + 1):
-        step = edges.join(frontier.select(F.col("id").alias("src"), "bfs_rank"), "src").groupBy(F.col("dst").alias("id")).agg(F.min(F.struct("bfs_rank", "rel")).alias("by"))
-        step = step.join(found, "id", "left_anti").join(nodes, "id", "left_semi")
-        top = found.agg(F.max("bfs_rank").alias("top"))
-        level = cut(step.crossJoin(top).select("id", F.lit(depth).alias("depth"), (F.col("top") + F.row_number().over(Window.orderBy("by"))).alias("bfs_rank")))
-        if level.isEmpty():
+        if not size:
             break
-        found, frontier = found.union(level), level
+        ahead = small(frontier.select(F.col("id").alias("src"), "bfs_rank"), size)
+        step = edges.join(ahead, "src").groupBy(F.col("dst").alias("id")).agg(F.min(F.struct("bfs_rank", "rel")).alias("by"))
+        step = step.join(small(found.select("id"), total), "id", "left_anti").select("id", F.col("by.bfs_rank").alias("parent"), F.col("by.rel").alias("rel"))
+        frontier = cut(numbered(step, ["parent", "rel", "id"], "n").select("id", F.lit(depth).alias("depth"), (F.lit(total - 1).cast("long") + F.col("n")).alias("bfs_rank")))
+        size = frontier.count()
+        total += size
+        found = found.union(frontier)
+    edges.unpersist()
     return found
 
 

@@ -103,7 +103,7 @@ HIERARCHY = "walk AS (SELECT 'part-7' AS id, 0 AS depth UNION SELECT r.dst, walk
 add("trv5_walk_2", lambda s, d: traverse.ancestors(star.graph(s, d), "part-7", "located_in", 2), sql("SELECT id, min(depth) AS depth FROM walk GROUP BY id HAVING min(depth) >= 1", "rels", recursive=HIERARCHY.format(2)))
 add("trv5_walk_0", lambda s, d: traverse.ancestors(star.graph(s, d), "part-7", "located_in", 0).select("id"), "SELECT '' AS id WHERE false")
 add("sim5_similar", lambda s, d: ranked(similarity.similar_engine(devices(s, d), "part-1", 0.5, 50)), "SELECT id, CAST(score AS DOUBLE) AS score FROM (" + JAC.replace("'part-0'", "'part-1'") + ") WHERE id <> 'part-1' AND score >= 0.5 ORDER BY score DESC, id LIMIT 50")
-add("tol9_similar", lambda s, d: ranked(tools.call(star.graph(s, d), "find_similar_entities", entity_id="part-0", threshold=0.9, limit=5)))
+add("tol9_similar", lambda s, d: ranked(tools.call(star.graph(s, d), "find_similar_entities", entity_id="part-0", threshold=0.9, limit=5)), f"SELECT id, CAST(score AS DOUBLE) AS score FROM ({JAC}) WHERE id <> 'part-0' AND score >= 0.9 ORDER BY score DESC, id LIMIT 5")
 add("set1_neighbours", lambda s, d: traverse.connected(star.graph(s, d), "nation-1").select("id", "direction"), sql("SELECT id, direction FROM ways WHERE at_id = 'nation-1'", "ways"))
 add("set2_shared_words", lambda s, d: devices(s, d).select("id", F.size(F.array_intersect(text.words(F.col("name")), F.array(F.lit("small"), F.lit("ring")))).alias("shared"), F.size(F.array_union(text.words(F.col("name")), F.array(F.lit("small"), F.lit("ring")))).alias("all_words")), f"SELECT id, len(list_intersect(list_distinct(w), ['small', 'ring'])) AS shared, len(list_distinct(list_concat(w, ['small', 'ring']))) AS all_words FROM (SELECT id, string_split(lower(name), ' ') AS w FROM {DEVICES})")
 add("srt1_top_in_type", lambda s, d: star.entities(s, d).withColumn("_n", F.row_number().over(Window.partitionBy("entity_type").orderBy(F.desc(F.length("name")), "id"))).where("_n <= 3").select("id", "entity_type"), sql("SELECT id, entity_type FROM entities QUALIFY row_number() OVER (PARTITION BY entity_type ORDER BY length(name) DESC, id) <= 3", "entities"))
