@@ -1,13 +1,10 @@
-"""Vocabulary and schemas (as DDL) of the versioned property graph."""
+"""Vocabulary of the versioned property graph."""
 
 from __future__ import annotations
 
 # The names of the graph's data model.
 ENTITY_TYPES = ("home", "room", "device", "zone", "door", "window", "procedure", "manual", "note", "schedule", "automation", "app")
-SOURCE_TYPES = ("homekit", "matter", "manual", "imported", "generated")
 RELATIONSHIP_TYPES = ("located_in", "controls", "connects_to", "part_of", "manages", "documented_by", "procedure_for", "triggered_by", "depends_on", "contained_in", "monitors", "automates", "controlled_by_app", "has_blob")
-BLOB_TYPES = ("pdf", "jpeg", "png", "icon", "document", "data")
-BLOB_STATUSES = ("pending_upload", "uploaded", "pending_download", "downloaded", "sync_error")
 #: Edges of these types point from child to parent; all others from parent to child.
 CHILD_TO_PARENT = ("part_of", "located_in", "contained_in")
 #: Endpoint types that each edge type allows; types without an entry are never valid.
@@ -25,21 +22,3 @@ VALID_ENDPOINTS = {
     "controlled_by_app": (("device", "app"), ("home", "app"), ("automation", "app")),
     "has_blob": (("device", "note"), ("manual", "note"), ("app", "note"), ("home", "note")),
 }
-
-ENTITY = (
-    "id string, version string, entity_type string, name string, content string, source_type string, user_id string, "
-    "parent_versions array<string>, created_at timestamp, updated_at timestamp, sync_id string, is_latest boolean, server_seq bigint"
-)
-RELATIONSHIP = (
-    "id string, from_entity_id string, from_entity_version string, to_entity_id string, to_entity_version string, "
-    "relationship_type string, properties string, user_id string, created_at timestamp, updated_at timestamp, sync_id string, rel_ord bigint"
-)
-CHANGE = (
-    "batch_id bigint, pos int, apply_us bigint, change_type string, id string, version string, entity_type string, name string, "
-    "content string, source_type string, user_id string, parent_versions array<string>"
-)
-BLOB = (
-    "id string, name string, blob_type string, mime_type string, size bigint, data binary, blob_metadata string, checksum string, "
-    "sync_status string, server_url string, last_sync_at timestamp, user_id string, summary string, created_at timestamp, updated_at timestamp, sync_id string"
-)
-EDGE_COLUMNS = ("id", "from_entity_id", "from_entity_version", "to_entity_id", "to_entity_version", "relationship_type", "properties", "rel_ord")
