@@ -313,7 +313,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
     rows = docs.select(F.col(row_col).alias("doc_id"), name, text) if row_col else with_row_ids(docs.select(name, text), "doc_id", "minhash-rows")
     signed = stage(rows.mapInArrow(_signatures(layout(percent)), "doc_id long, name long, n_shingles long, d1 long, d2 long, bits array<bigint>, bands array<bigint>"), "minhash-signed")
     full = signed.where("n_shingles > 0 and name is not null")
-    classes = stage(full.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep")), "minhash-classes")
+    first = F.min(F.struct("name", F.col("doc_id").alias("row"))).alias("first")
+    classes = stage(full.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep"), first), "minhash-classes")
     reps = full.join(classes.select(F.col("rep").alias("doc_id"), "n_shingles", "d1", "d2"), ["doc_id", "n_shingles", "d1", "d2"])
     bands = stage(reps.select(F.col("doc_id").alias("id"), F.explode("bands").alias("band")), "minhash-bands")
     shared = bands.groupBy("band").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot < last").select("band", "pivot")
@@ -335,17 +336,22 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_
 
     tested = bands.where("id <> pivot").select(F.col("pivot").alias("hub"), F.col("id").alias("member")).distinct()
     links = stage(confirm(estimate(tested), texts, percent), "minhash-links")
-    placed = bands.select("band", "id").join(components(links), "id", "left").select("band", "id", F.coalesce("component", "id").alias("comp"))
+    stars = stage(components(links), "minhash-stars")
+    placed = bands.select("band", "id").join(stars, "id", "left").select("band", "id", F.coalesce("component", "id").alias("comp"))
     placed = stage(placed, "minhash-placed")
     likely = meetings(placed).join(near, "id").repartition(*GROUP).sortWithinPartitions(*GROUP, "id").mapInArrow(_meet(percent, False), "band long, id long").distinct()
     likely = stage(likely, "minhash-likely")
     met = meetings(placed.join(likely, ["band", "id"], "left_semi")).join(near, "id").join(texts.hint("merge"), F.col("id") == F.col("doc_id")).select(*GROUP, "id", "comp", "side", "bits", "bands", "text")
-    links = links.union(stage(met.repartition(*GROUP).sortWithinPartitions(*GROUP, "id").mapInArrow(_meet(percent, True), "a long, b long"), "minhash-links"))
-    # several rows of one class are links too
-    same = full.join(classes, ["n_shingles", "d1", "d2"]).select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    comps = components(links.union(same.where("a <> b")))
-    out = signed.join(comps, F.col("doc_id") == F.col("id"), "left").select(F.col("doc_id").alias("row"), "name", "n_shingles", F.coalesce("component", "doc_id").alias("component"))
-    first = out.groupBy("component").agg(F.min(F.struct("name", "row")).alias("first"))
-    out = out.join(first, "component")
+    met = stage(met.repartition(*GROUP).sortWithinPartitions(*GROUP, "id").mapInArrow(_meet(percent, True), "a long, b long"), "minhash-met")
+    # the new links lie between components: only those, not their members, are joined
+    for end in ("a", "b"):
+        met = met.join(stars.select(F.col("id").alias(end), "component"), end, "left").withColumn(end, F.coalesce("component", end)).drop("component")
+    joined = components(met).select(F.col("id").alias("star"), F.col("component").alias("whole"))
+    named = classes.join(stars, F.col("rep") == F.col("id"), "left").withColumn("star", F.coalesce("component", "rep")).join(joined, "star", "left")
+    named = named.select("n_shingles", "d1", "d2", "first", F.coalesce("whole", "star").alias("component"))
+    named = named.drop("first").join(named.groupBy("component").agg(F.min("first").alias("first")), "component")
+    # members of a class, however many, are joined once, with their class
+    out = full.join(named, ["n_shingles", "d1", "d2"]).select(F.col("doc_id").alias("row"), "name", "n_shingles", "first")
+    alone = signed.where("n_shingles = 0 or name is null").select(F.col("doc_id").alias("row"), "name", "n_shingles", F.struct("name", F.col("doc_id").alias("row")).alias("first"))
     number = [F.col("row").alias(row_col)] if row_col else []
-    return out.select(*number, F.col("name").alias("doc_id"), "n_shingles", F.col("first.name").alias("component_id"), (F.col("first.row") == F.col("row")).alias("kept"))
+    return out.union(alone).select(*number, F.col("name").alias("doc_id"), "n_shingles", F.col("first.name").alias("component_id"), (F.col("first.row") == F.col("row")).alias("kept"))
