@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators, and their SQL where it exists."""
+"""The registered queries of the operators, and their SQL where it exists."""
 
 from __future__ import annotations
 
@@ -73,8 +73,14 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op11_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .languages import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_ann, op2_quality, op3_repeats, op4_minhash, op5_token_store, op6_html_text, op7_decontaminate, op8_sharding, op9_brown_lm, op10_packing)
+    f.__name__: f for f in (op1_ann, op2_quality, op3_repeats, op4_minhash, op5_token_store, op6_html_text, op7_decontaminate, op8_sharding, op9_brown_lm, op10_packing, op11_languages)
 }
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 SHINGLES = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(LOW, '[^\x20\x09-\x0D]+') AS w FROM documents),
