@@ -9,6 +9,8 @@ are ever gathered.  Ids are independent: the fold is one shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,6 +24,39 @@ _TEXTS = pa.list_(pa.string())
 _LOG_ARROW = pa.schema([("id", pa.string()), ("pos", pa.int32()), ("outcome", pa.string()), ("becomes_latest", pa.bool_()), ("inserted", pa.bool_()), ("version", pa.string()), ("parents", _TEXTS), ("resolved_version", pa.string()), ("reason", pa.string())])
 
 
+def fold_change(now: tuple, seen: Callable[[str], bool], change: str, version: str | None, parents: list[str] | None, remote_us: int | None, apply_us: int | None, deleted: bool) -> tuple[tuple, tuple]:
+    """One change of an id whose current version is ``now`` (version, time,
+    deleted) and whose versions ``seen`` knows.  Returns (outcome, becomes_latest,
+    inserted, parents, resolved_version, reason), and what is current after it."""
+    current, current_us, gone = now
+    parents, is_delete = list(parents) if parents is not None else [], change == "delete"
+    based = current is not None and current in parents
+    resolved = reason = None
+    if is_delete:
+        outcome = "noop" if current is None or gone else "tombstone"
+    elif current is None:
+        outcome = "insert"
+    elif current == version:
+        outcome = "noop"
+    elif based:
+        outcome = "fast_forward"
+    else:
+        remote_us = current_us if remote_us is None else remote_us
+        known = remote_us is not None and current_us is not None
+        near = known and abs(remote_us - current_us) // 1000 < 1000
+        wins = (version or "") > current if near else known and remote_us > current_us
+        outcome, resolved = ("conflict_won", version) if wins else ("conflict_lost", current)
+        side = "remote" if wins else "local"
+        reason = f"timestamps within 1s, {side} has greater version" if near else f"{side} has newer timestamp"
+    # a version that is stored already is not inserted again, even if it would win now
+    inserted = outcome != "noop" and version is not None and not seen(version)
+    latest = inserted and outcome != "conflict_lost"
+    # blind changes, and deletes that do not know the incumbent, are hung under it
+    if (reason is not None and not parents) or (is_delete and current is not None and not based):
+        parents = [current]
+    return (outcome, latest, inserted, parents, resolved, reason), (version, apply_us, is_delete or deleted) if latest else now
+
+
 def _folder(schema: pa.Schema):
     """Over rows sorted by id, the stored versions of an id before its changes:
     one log row for each change.  Only the state of the id at hand is kept."""
@@ -38,37 +73,10 @@ def _folder(schema: pa.Schema):
                     if change == "latest":
                         now = (version, remote_us, deleted)
                     continue
-                current, current_us, gone = now
-                parents, is_delete = parents or [], change == "delete"
-                based = current is not None and current in parents
-                resolved = reason = None
-                if is_delete:
-                    outcome = "noop" if current is None or gone else "tombstone"
-                elif current is None:
-                    outcome = "insert"
-                elif current == version:
-                    outcome = "noop"
-                elif based:
-                    outcome = "fast_forward"
-                else:
-                    remote_us = current_us if remote_us is None else remote_us
-                    known = remote_us is not None and current_us is not None
-                    near = known and abs(remote_us - current_us) // 1000 < 1000
-                    wins = (version or "") > current if near else known and remote_us > current_us
-                    outcome, resolved = ("conflict_won", version) if wins else ("conflict_lost", current)
-                    side = "remote" if wins else "local"
-                    reason = f"timestamps within 1s, {side} has greater version" if near else f"{side} has newer timestamp"
-                # a version that is stored already is not inserted again, even if it would win now
-                inserted = outcome != "noop" and version is not None and version not in seen
-                latest = inserted and outcome != "conflict_lost"
-                # blind changes, and deletes that do not know the incumbent, are hung under it
-                if (reason is not None and not parents) or (is_delete and current is not None and not based):
-                    parents = [current]
+                (outcome, latest, inserted, parents, resolved, reason), now = fold_change(now, seen.__contains__, change, version, parents, remote_us, apply_us, deleted)
                 log.append((id_, pos, outcome, latest, inserted, version, parents, resolved, reason))
                 if inserted:
                     seen.add(version)
-                if latest:
-                    now = (version, apply_us, is_delete or deleted)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*log, strict=True) if log else [[]] * len(schema), schema, strict=True)], schema=schema)
 
     return run
@@ -92,12 +100,18 @@ def apply_changes(stored: DataFrame, changes: DataFrame) -> DataFrame:
     return rows.repartition("id").sortWithinPartitions(*rows.columns).mapInArrow(_folder(_LOG_ARROW), _LOG)
 
 
+def stored_content() -> Column:
+    """What a change stores as content: a delete adds deleted."""
+    held = F.coalesce("content", F.lit("{}"))
+    marked = F.regexp_replace(held, r"\}\s*$", F.when(held.rlike(r"^\s*\{\s*\}\s*$"), '"deleted":true}').otherwise(',"deleted":true}'))
+    return F.when(F.col("change_type") == "delete", marked).otherwise(F.col("content"))
+
+
 def inserted_rows(log: DataFrame, changes: DataFrame) -> DataFrame:
     """The version rows that a batch adds, in order of ``pos``; tombstones carry deleted."""
     body = changes.select("id", "pos", "change_type", "content", "apply_us")
     rows = log.where("inserted").join(body, ["id", "pos"])
-    content = F.when(F.col("change_type") == "delete", F.regexp_replace(F.coalesce("content", F.lit("{}")), r"\}\s*$", F.when(F.coalesce(F.col("content"), F.lit("{}")).rlike(r"^\s*\{\s*\}\s*$"), '"deleted":true}').otherwise(',"deleted":true}'))).otherwise(F.col("content"))
-    return rows.select("id", "version", "pos", content.alias("content"), F.col("parents").alias("parent_versions"), "becomes_latest", F.col("apply_us").alias("updated_us"))
+    return rows.select("id", "version", "pos", stored_content().alias("content"), F.col("parents").alias("parent_versions"), "becomes_latest", F.col("apply_us").alias("updated_us"))
 
 
 def apply_batch(stored: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:

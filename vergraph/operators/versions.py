@@ -85,12 +85,15 @@ def append_versions(stored: DataFrame, new: DataFrame) -> DataFrame:
     """Stored rows and those new (id, version) pairs that are not there yet; the
     newcomers of an id, in arrival order (``pos``), take over as latest and get the
     next sequence numbers, by range parts (SNK2, SYN5, AGG5)."""
+    from vergraph.plans.graph import cut
+
     keys = ["id", "version"]
     first = Window.partitionBy(*keys).orderBy("pos")
     fresh = new.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n").join(stored.select(*keys), keys, "left_anti")
     last = Window.partitionBy("id").orderBy(F.desc("pos"))
     top = stored.agg(F.coalesce(F.max("server_seq"), F.lit(0)).alias("_top"))
-    fresh = numbered(fresh.withColumn("is_latest", F.row_number().over(last) == 1), ["pos", "id", "version"], "server_seq")
+    fresh = cut(fresh.withColumn("is_latest", F.row_number().over(last) == 1))
+    fresh = numbered(fresh, ["pos", "id", "version"], "server_seq", fresh.count())
     fresh = fresh.crossJoin(top).withColumn("server_seq", F.col("server_seq") + F.col("_top")).drop("_top")  # one row
     touched = fresh.select("id").distinct().withColumn("_new", F.lit(True))
     kept = stored.join(touched, "id", "left").withColumn("is_latest", F.col("is_latest") & F.col("_new").isNull()).drop("_new")
@@ -111,11 +114,18 @@ def backfilled(rows: DataFrame) -> DataFrame:
     return numbered(out, ["created_at", "version"], "server_seq")
 
 
-def numbered(rows: DataFrame, order: list[str], out: str) -> DataFrame:
+#: Rows up to which a counted table is put in order by one task.
+ONE_TASK_ROWS = 100_000
+
+
+def numbered(rows: DataFrame, order: list[str], out: str, counted: int | None = None) -> DataFrame:
     """Adds 1, 2, ... in a total order without bringing all rows to one task:
-    rows are dealt by range, counted by part, and numbered inside each part."""
+    rows are dealt by range, counted by part, and numbered inside each part.  Few
+    rows, if their number is given, are put in order by one task."""
     from vergraph.plans.graph import cut
 
+    if counted is not None and counted <= ONE_TASK_ROWS:
+        return rows.withColumn(out, F.row_number().over(Window.orderBy(*order)).cast("long"))
     dealt = cut(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
     parts = dealt.groupBy("_part").agg(F.count("*").alias("_rows"))
     parts = parts.select("_part", (F.sum("_rows").over(Window.orderBy("_part")) - F.col("_rows")).alias("_before"))  # one row per part

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,15 +24,25 @@ def rate_status(attempts: DataFrame, now_us: int) -> DataFrame:
     return attempts.groupBy("identifier").agg(F.count_if(recent).alias("attempts")).withColumn("max_attempts", F.lit(MOST_ATTEMPTS)).withColumn("at_limit", F.col("attempts") >= MOST_ATTEMPTS)
 
 
+SWEEP_US = 3_600_000_000
+
+
 class Limiter:
     """State of one identifier: the lockout grows with every offence, up to six
     times (the stored step is capped at five, one is added when used); success
-    clears it, the plain end of a lockout does not (U1, U2)."""
+    clears it.  A lockout that an attempt finds run out leaves the step as it is; one
+    that the sweep on the hour finds takes the step with it (U1, U2)."""
 
     def __init__(self, recent: list[int] | None = None, locked_until: int = 0, step: int = 0):
         self.recent, self.locked_until, self.step = list(recent or []), locked_until, step
 
+    def sweep_us(self) -> int:
+        """The first sweep that finds the lockout run out."""
+        return (self.locked_until // SWEEP_US + 1) * SWEEP_US
+
     def check(self, now_us: int) -> tuple[bool, int]:
+        if self.locked_until and now_us >= self.sweep_us():
+            self.locked_until = self.step = 0
         if now_us < self.locked_until:
             return False, (self.locked_until - now_us) // 1_000_000
         self.locked_until = 0
@@ -50,18 +62,34 @@ class Limiter:
             self.recent.append(now_us)
         return allowed, wait
 
+    def idle(self, now_us: int) -> bool:
+        """Whether nothing is left that a later attempt could meet."""
+        swept = not self.locked_until or now_us >= self.sweep_us()
+        return swept and (not self.step or bool(self.locked_until)) and all(t <= now_us - WINDOW_US for t in self.recent)
 
-def limited(attempts: DataFrame) -> DataFrame:
-    """identifier, at_us, allowed, retry_after_s: the limiter over each
-    identifier's attempts in order.  ``attempts``: identifier, at_us, success."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        state, out = Limiter(), []
-        for at, success in pdf.sort_values("at_us")[["at_us", "success"]].itertuples(index=False):
-            out.append((pdf.identifier.iloc[0], at, *state.attempt(int(at), bool(success))))
-        return pd.DataFrame(out, columns=["identifier", "at_us", "allowed", "retry_after_s"])
+LIMITED = "identifier string, at_us long, allowed boolean, retry_after_s long"
+
 
-    return attempts.groupBy("identifier").applyInPandas(run, "identifier string, at_us long, allowed boolean, retry_after_s long")
+def limited(attempts: DataFrame) -> DataFrame:
+    """identifier, at_us, allowed, retry_after_s: the limiter over each
+    identifier's attempts in order (at the same time failures first).  Spark deals
+    and sorts; a task holds one identifier's state, never its attempts.
+    ``attempts``: identifier, at_us, success."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state = object(), Limiter()
+        for batch in batches:
+            out = []
+            for identifier, at, success in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if identifier != now:
+                    now, state = identifier, Limiter()
+                out.append(state.attempt(at, bool(success)))
+            allowed, wait = (pa.array([o[i] for o in out], t) for i, t in ((0, pa.bool_()), (1, pa.int64())))
+            yield pa.record_batch([batch.column(0), batch.column(1), allowed, wait], ["identifier", "at_us", "allowed", "retry_after_s"])
+
+    rows = attempts.where("at_us is not null").select("identifier", F.col("at_us").cast("long").alias("at_us"), F.coalesce("success", F.lit(False)).alias("success"))
+    return rows.repartition("identifier").sortWithinPartitions("identifier", "at_us", "success").mapInArrow(run, LIMITED)
 
 
 def suspicious(attempts: DataFrame, every: str = "1 minute", span: str = "5 minutes") -> DataFrame:

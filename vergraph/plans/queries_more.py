@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vergraph.operators import relations, replica, search, versions as ver
 from vergraph.sources import snapshots, star
-from vergraph.streaming.changes import STORE, Store, sync_stream
+from vergraph.streaming.changes import Store, sync_stream
 
 from .oracle import sql
 from .queries_data import _engine_sql, ranked
@@ -73,9 +73,9 @@ def _observed(s, d):
     for part in range(3):
         rows.where(F.pmod(F.xxhash64("id"), F.lit(3)) == part).coalesce(1).write.mode("append").parquet(f"{folder}/in")
     stream = s.readStream.schema("pos int, apply_us long, change_type string, id string, version string, content string, parent_versions array<string>").option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
-    store, seen = Store(s, f"{folder}/store", STORE), []
+    store, seen = Store(s, f"{folder}/store"), []
     sync_stream(stream, store, f"{folder}/state", seen.append).awaitTermination()
-    counts = store.at(100).agg(F.count("*").alias("n_rows"), F.max("server_seq").alias("top"))
+    counts = store.rows().agg(F.count("*").alias("n_rows"), F.max("server_seq").alias("top"))
     return s.createDataFrame([(b,) for b in seen], "batch int").crossJoin(counts)  # three rows, one row
 
 

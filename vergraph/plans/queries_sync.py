@@ -9,7 +9,7 @@ from vergraph.functions.values import backoff_seconds, difference_ms, micros
 from vergraph.operators import migrate, relations, replica, sync, versions as ver, windows
 from vergraph.sources import snapshots, star
 from vergraph.streaming.attempts import limited_stream
-from vergraph.streaming.changes import STORE, Store, sync_stream
+from vergraph.streaming.changes import Store, keyed_state, sync_stream
 
 from .oracle import sql
 
@@ -56,7 +56,6 @@ def _changes(s, d, chained: bool):
 
 
 RANKED = "k AS (SELECT *, lag(deleted) OVER (PARTITION BY id ORDER BY server_seq) AS before, row_number() OVER (PARTITION BY id ORDER BY server_seq) AS n FROM vers)"
-add("syn2_fast_forward", lambda s, d: sync.apply_changes(_store(s, d), _changes(s, d, True).where("change_type = 'update'").withColumn("parent_versions", F.array(F.lag("version").over(Window.partitionBy("id").orderBy("pos")))).where("parent_versions[0] is not null")).groupBy("outcome").agg(F.count("*").alias("n"), F.count_if(F.col("becomes_latest")).alias("n_latest")))
 CHAIN = """CASE WHEN n = 1 THEN NULL WHEN deleted AND before THEN 'noop' WHEN deleted THEN 'tombstone' ELSE 'fast_forward' END"""
 add("syn7_tombstones", lambda s, d: sync.apply_changes(_store(s, d), _changes(s, d, True).where("change_type = 'delete'")).groupBy("id").agg(F.count_if(F.col("outcome") == "tombstone").alias("tombstones"), F.count_if(F.col("outcome") == "noop").alias("noops")), sql("SELECT id, CASE WHEN bool_or(deleted AND n = 1) THEN 0 ELSE 1 END AS tombstones, count(*) FILTER (WHERE deleted AND n > 1) - CASE WHEN bool_or(deleted AND n = 1) THEN 0 ELSE 1 END AS noops FROM k GROUP BY id HAVING count(*) FILTER (WHERE deleted AND n > 1) > 0", "vers", recursive=RANKED))
 
@@ -70,7 +69,24 @@ def _single(s, d):
 
 add("syn4_blind_update", lambda s, d: sync.apply_changes(_store(s, d), _single(s, d)).select("id", "outcome", "version", F.array_join("parents", ",").alias("parents"), "resolved_version"), sql("SELECT l.id, CASE WHEN CASE WHEN abs(l.us - f.us) < 1000000 THEN l.version > f.version ELSE l.us > f.us END THEN 'conflict_won' ELSE 'conflict_lost' END AS outcome, l.version, f.version AS parents, CASE WHEN CASE WHEN abs(l.us - f.us) < 1000000 THEN l.version > f.version ELSE l.us > f.us END THEN l.version ELSE f.version END AS resolved_version FROM k f JOIN cur l ON l.id = f.id AND l.server_seq <> f.server_seq WHERE f.n = 1", "cur", recursive=RANKED))
 add("syn5_apply_batch", lambda s, d: sync.apply_batch(_store(s, d), _single(s, d))[0].groupBy("id").agg(F.count("*").alias("n_rows"), F.count_if(F.col("is_latest")).alias("n_latest"), F.max_by("version", F.when(F.col("is_latest"), F.col("server_seq"))).alias("latest")), sql("SELECT f.id, CASE WHEN l.server_seq = f.server_seq THEN 1 ELSE 2 END AS n_rows, 1 AS n_latest, l.version AS latest FROM k f JOIN cur l ON l.id = f.id WHERE f.n = 1", "cur", recursive=RANKED))
-add("syn2_full_fold", lambda s, d: sync.apply_changes(_store(s, d), _changes(s, d, False)).groupBy("outcome").agg(F.count("*").alias("n")))
+#: The fold in SQL, one change of every user after another: k has the changes in order, ``based`` is whether one names what is current.
+FOLD = """RECURSIVE_K, c AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY server_seq) AS m FROM CHANGES),
+f AS (SELECT id, 1 AS m, version AS now, us AS now_us, deleted AS gone, CAST(NULL AS VARCHAR) AS outcome, server_seq AS pos FROM k WHERE n = 1
+UNION ALL SELECT id, m, CASE WHEN latest THEN version ELSE now END, CASE WHEN latest THEN us ELSE now_us END, CASE WHEN latest THEN deleted ELSE gone END, outcome, pos FROM (
+SELECT *, outcome NOT IN ('noop', 'conflict_lost') AS latest FROM (SELECT f.id, f.m + 1 AS m, now, now_us, gone, c.version, c.us, c.deleted, c.server_seq AS pos,
+CASE WHEN c.deleted THEN CASE WHEN gone THEN 'noop' ELSE 'tombstone' END WHEN c.parent = now THEN 'fast_forward' WHEN CASE WHEN abs(c.us - now_us) < 1000000 THEN c.version > now ELSE c.us > now_us END THEN 'conflict_won' ELSE 'conflict_lost' END AS outcome
+FROM f JOIN c ON c.id = f.id AND c.m = f.m)))"""
+
+
+def fold_sql(changes, select):
+    """``changes``: rows of k with a parent, all after what is stored."""
+    return sql(select, "vers", recursive=FOLD.replace("RECURSIVE_K", RANKED).replace("CHANGES", changes))
+
+
+FOLDED = "SELECT outcome, count(*) AS n FROM f WHERE outcome IS NOT NULL GROUP BY outcome"
+BLIND = "(SELECT *, CAST(NULL AS VARCHAR) AS parent FROM k WHERE n > 1)"
+add("syn2_fast_forward", lambda s, d: sync.apply_changes(_store(s, d), _changes(s, d, True).where("change_type = 'update'").withColumn("parent_versions", F.array(F.lag("version").over(Window.partitionBy("id").orderBy("pos")))).where("parent_versions[0] is not null")).groupBy("outcome").agg(F.count("*").alias("n"), F.count_if(F.col("becomes_latest")).alias("n_latest")), fold_sql("(SELECT * FROM (SELECT *, lag(version) OVER (PARTITION BY id ORDER BY server_seq) AS parent FROM k WHERE n > 1 AND NOT deleted) WHERE parent IS NOT NULL)", "SELECT outcome, count(*) AS n, count(*) FILTER (WHERE outcome NOT IN ('noop', 'conflict_lost')) AS n_latest FROM f WHERE outcome IS NOT NULL GROUP BY outcome"))
+add("syn2_full_fold", lambda s, d: sync.apply_changes(_store(s, d), _changes(s, d, False)).groupBy("outcome").agg(F.count("*").alias("n")), fold_sql(BLIND, FOLDED))
 add("syn9_acknowledgements", lambda s, d: sync.acknowledgements(sync.apply_changes(_store(s, d), _changes(s, d, True))).select("id", "first_pos", "n_changes"), sql("SELECT id, CAST(min(server_seq) FILTER (WHERE n > 1) AS INT) AS first_pos, count(*) FILTER (WHERE n > 1) AS n_changes FROM k GROUP BY id HAVING count(*) > 1", "vers", recursive=RANKED))
 
 
@@ -151,7 +167,23 @@ def crowded(s, d):
 
 
 add("u1_recent_attempts", lambda s, d: windows.attempts_before(crowded(s, d)).groupBy("identifier").agg(F.sum("n_recent").alias("total"), F.max("n_recent").alias("most")), f"SELECT identifier, CAST(sum(n) AS BIGINT) AS total, max(n) AS most FROM (SELECT identifier, count(*) OVER (PARTITION BY identifier ORDER BY at_us RANGE BETWEEN 299999999 PRECEDING AND 1 PRECEDING) AS n FROM (SELECT identifier, at_us % 3600000000 AS at_us FROM {ERRORS})) GROUP BY 1")
-add("u2_limiter", lambda s, d: windows.limited(crowded(s, d).groupBy("identifier", "at_us").agg(F.first("success").alias("success"))).groupBy("allowed").agg(F.count("*").alias("n")))
+def tried(s, d):
+    """All attempts within four hours, by group of fifteen users, some of them good: limits, longer lockouts and sweeps are met."""
+    e = star.table(s, d, "events").where("event_type = 'error'")
+    rows = e.select(F.floor(F.col("user_id") / 15).cast("string").alias("identifier"), (micros("ts") % 14_400_000_000).alias("at_us"), (F.col("event_id") % 17 == 0).alias("success"))
+    return rows.groupBy("identifier", "at_us").agg(F.max("success").alias("success"))
+
+
+LIMITS = """a AS (SELECT *, row_number() OVER (PARTITION BY identifier ORDER BY at_us) AS n FROM (SELECT CAST(user_id // 15 AS VARCHAR) AS identifier, epoch_us(ts) % 14400000000 AS at_us, max(event_id % 17 = 0) AS success FROM events WHERE event_type = 'error' GROUP BY 1, 2)),
+l AS (SELECT DISTINCT identifier, CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS recent, CAST(0 AS BIGINT) AS locked, CAST(0 AS BIGINT) AS step, CAST(NULL AS BIGINT) AS at_us, true AS allowed, CAST(0 AS BIGINT) AS wait FROM a
+UNION ALL SELECT identifier, n, CASE kind WHEN 'blocked' THEN recent WHEN 'full' THEN kept ELSE CASE WHEN success THEN [] ELSE list_append(kept, at_us) END END,
+  CASE kind WHEN 'blocked' THEN locked WHEN 'full' THEN at_us + 900000000 * (step + 1) ELSE 0 END, CASE kind WHEN 'full' THEN least(step + 1, 5) WHEN 'ok' THEN CASE WHEN success THEN 0 ELSE step END ELSE step END,
+  at_us, kind = 'ok', CASE kind WHEN 'blocked' THEN (locked - at_us) // 1000000 WHEN 'full' THEN 900 * (step + 1) ELSE 0 END
+FROM (SELECT *, CASE WHEN at_us < locked THEN 'blocked' WHEN len(kept) >= 5 THEN 'full' ELSE 'ok' END AS kind FROM (
+  SELECT l.identifier, a.n, recent, list_filter(recent, lambda t: t > a.at_us - 300000000) AS kept, a.at_us, a.success, CASE WHEN locked > 0 AND a.at_us >= (locked // 3600000000 + 1) * 3600000000 THEN 0 ELSE locked END AS locked, CASE WHEN locked > 0 AND a.at_us >= (locked // 3600000000 + 1) * 3600000000 THEN 0 ELSE step END AS step
+  FROM l JOIN a ON a.identifier = l.identifier AND a.n = l.n + 1)))"""
+LIMITED = sql("SELECT identifier, at_us, allowed, wait AS retry_after_s FROM l WHERE n > 0", recursive=LIMITS)
+add("u2_limiter", lambda s, d: windows.limited(tried(s, d)), LIMITED)
 add("u3_rate_status", lambda s, d: windows.rate_status(crowded(s, d), 3_600_000_000), f"SELECT identifier, count(*) FILTER (WHERE at_us % 3600000000 > 3300000000) AS attempts, 5 AS max_attempts, count(*) FILTER (WHERE at_us % 3600000000 > 3300000000) >= 5 AS at_limit FROM {ERRORS} GROUP BY 1")
 SLIDES = f"(SELECT m AS window_us, identifier, count(*) AS failures, count(DISTINCT substring(md5(CAST(event_id AS VARCHAR)), 1, 8)) AS prefixes FROM (SELECT *, unnest(range(at_us // 43200000000 * 43200000000 - 129600000000, at_us // 43200000000 * 43200000000 + 43200000000, 43200000000)) AS m FROM {ERRORS}) GROUP BY 1, 2)"
 add("u4_suspicious", lambda s, d: windows.suspicious(attempts(s, d), "12 hours", "48 hours").select(micros(F.col("window_start").cast("timestamp_ntz")).alias("window_us"), "identifier", "pattern", "n"), f"SELECT window_us, identifier, 'excessive_failed_attempts' AS pattern, failures AS n FROM {SLIDES} WHERE failures >= 10 UNION ALL SELECT window_us, identifier, 'credential_stuffing', prefixes FROM {SLIDES} WHERE prefixes >= 5")
@@ -192,15 +224,19 @@ add("snk1_snapshot", _snapshot, sql("SELECT entity_type, count(*) AS n FROM enti
 
 
 def _limits(s, d):
+    """The attempts in three files that are not in order of time, and a last one that moves the watermark past them all."""
     folder = snapshots.shared_folder(s, "attempts")
-    rows = crowded(s, d).groupBy("identifier", "at_us").agg(F.first("success").alias("success"))
-    rows.write.parquet(f"{folder}/in")
-    stream = s.readStream.schema("identifier string, at_us long, success boolean").parquet(f"{folder}/in")
-    limited_stream(stream).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
-    return s.read.parquet(f"{folder}/out").groupBy("allowed").agg(F.count("*").alias("n"))
+    rows = tried(s, d)
+    for part in range(3):
+        rows.where(F.pmod(F.xxhash64("identifier", "at_us"), F.lit(3)) == part).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    s.createDataFrame([("", 1 << 50, False)], "identifier string, at_us long, success boolean").coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = s.readStream.schema("identifier string, at_us long, success boolean").option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    with keyed_state(s):
+        limited_stream(stream, "4 hours").writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return s.read.parquet(f"{folder}/out").where("identifier <> ''")
 
 
-add("u2_limiter_stream", _limits)
+add("u2_limiter_stream", _limits, LIMITED)
 
 
 def _sync_stream(s, d):
@@ -214,9 +250,9 @@ def _sync_stream(s, d):
     for part in range(3):
         rows.where(F.col("part") == part).drop("part", "top").coalesce(1).write.mode("append").parquet(f"{folder}/in")
     stream = s.readStream.schema("pos int, apply_us long, change_type string, id string, version string, content string, parent_versions array<string>").option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
-    store = Store(s, f"{folder}/store", STORE)
+    store = Store(s, f"{folder}/store")
     sync_stream(stream, store, f"{folder}/state").awaitTermination()
-    return store.at(100).groupBy("id").agg(F.count("*").alias("n"), F.count_if(F.col("is_latest")).alias("n_latest"), F.max_by("version", F.when(F.col("is_latest"), F.col("server_seq"))).alias("latest"))
+    return store.rows().groupBy("id").agg(F.count("*").alias("n"), F.count_if(F.col("is_latest")).alias("n_latest"), F.max_by("version", F.when(F.col("is_latest"), F.col("server_seq"))).alias("latest"))
 
 
 add("syn1_sync_stream", _sync_stream, sql("SELECT v.id, count(*) AS n, 1 AS n_latest, max(c.version) AS latest FROM vers v JOIN cur c USING (id) GROUP BY 1", "cur"))
