@@ -563,3 +563,60 @@ def test_html_without_article_marks(spark):
         gold = "\n".join(b for b in gold if b)
         assert html_text.main_text(r["html"]) == gold
         assert html_text.main_text(re.sub("</?article>", "", r["html"])) == gold
+
+
+ARTICLE = "This is the text of the article, and it is long enough to be one that was written for the page by people who have more to say."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<div title="The hidden valley"><article><p>%s</p></article></div>', '<article><p title="hidden gem">%s</p></article>', '<section data-overflow="hidden"><p>%s</p></section>', '<div data-id="sidebar"><p>%s</p></div>',
+        '<div data-role="navigation"><p>%s</p></div>', '<div title="class=comments"><p>%s</p></div>', "<div title=it's><p>%s</p></div>", "<p><img alt=o'clock src=x>%s</p>", '<div data-x=a"b class=x><p>%s</p></div>', "<div class = 'text'\n><p>%s</p></div>",
+    ],
+)
+def test_html_attributes_lose_no_text(page):
+    assert html_text.main_text(f"<body>{page % ARTICLE}</body>") == ARTICLE
+
+
+def test_html_names_inside_a_line():
+    page = f"<article><p>{ARTICLE} A sentence <span class='share'>with</span> words <b class=\"related\">in</b> <span class='notice'>it</span>.</p><p><span class='ad'>{ARTICLE} Buy it.</span></p></article>"
+    assert html_text.main_text(page) == f"{ARTICLE} A sentence with words in it."
+
+
+def test_html_attributes_against_a_parser():
+    from html.parser import HTMLParser
+
+    found = []
+
+    class Tags(HTMLParser):
+        def handle_starttag(self, tag, attrs):
+            found.append({k: v or "" for k, v in reversed(attrs)})
+
+    rng, compared = np.random.default_rng(4), 0
+    pieces = ["class", "id", "data-id", "hidden", "title", " = ", "=", "'", '"', "'a b'", '"it\'s > x"', "x=y", "/", " ", "\n", "it's", "o'clock", '"hidden"', "hidden=hidden", " class=ad ", "é"]
+    for _ in range(12000):
+        # an equals sign where a name should begin is read in more than one way, and quotes may stay open
+        text = " ".join(["".join(pieces[i] for i in rng.integers(0, len(pieces), 4)) for _ in range(3)])
+        if re.search(r"(^|[\s/=\"'])\s*=", text) or text.count('"') % 2 or text.count("'") % 2:
+            continue
+        page = f"<div {text}>"
+        found.clear()
+        Tags(convert_charrefs=False).feed(page)
+        m = html_text.TOKEN.match(page)
+        own = {}
+        for name, value in html_text.ATTRIBUTE.findall(m[3]):
+            own.setdefault(name.lower(), value[1:-1] if value[:1] in ("'", '"') else value)
+        assert page.startswith(m[0])
+        if found and m[0] == page:
+            compared += 1
+            assert {k: own.get(k) for k in ("class", "id", "hidden", "title")} == {k: found[0].get(k) for k in ("class", "id", "hidden", "title")}, page
+    assert compared > 300
+
+
+def test_html_deep_nesting_is_linear():
+    for inner in ("<p>This is paragraph number {} of the text and it is there for the page.</p>", "<article><p>This is number {} of the teasers and it is there for the page.</p></article>"):
+        page = "".join(f"<div class='x-widget'>{inner.format(i)}" for i in range(1600)) + "</div>" * 1600
+        start = time.time()
+        html_text.main_text(page)
+        assert time.time() - start < 1

@@ -17,6 +17,8 @@ evidence that is weighed against the good text of the page:
   good text of a page that marks no article, unless a plain name says what they
   are.  A name counts as a whole or as the end of a compound (site-header), not
   where it only describes a layout (no-sidebar).
+* An element inside a line with such a name speaks against a block that has no
+  text outside of such elements; in the middle of other text it is text.
 
 Pass two lets ambiguous blocks inherit the label of the nearest decided
 neighbours among the blocks that are left; where both sides differ, the nearer
@@ -68,8 +70,10 @@ STOP_WORDS = frozenset(
         "el los las una y del se su por con para al lo como más pero sus o este ha si porque esta entre cuando muy sin sobre también me hasta hay donde quien desde todo nos durante ser es fue"
     ).split()
 )
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+#: A quote opens a value only right after an equals sign.
+VALUE = r"""(?:"[^"]*(?:"|\Z)|'[^']*(?:'|\Z)|[^\s>"'][^\s>]*)"""
+TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]+|=\s*{VALUE}?)*)(?:>|\Z)", re.S)
+ATTRIBUTE = re.compile(rf"([^\s/>=]+)(?:\s*=\s*({VALUE}))?")
 WORD = re.compile(r"\w+")
 LONG, SHORT, LINKED, DENSE, SPARSE = 140, 60, 0.5, 0.25, 0.1
 #: Share of a page's good text that makes a mark, or the pardon of a container, credible.
@@ -96,9 +100,12 @@ def named_out(tag: str, attributes: str) -> tuple[bool, int]:
     holds no article text."""
     if tag in KEPT_CONTAINERS or not attributes or attributes.isspace():
         return False, 0
-    names = set()
+    names, seen = set(), set()
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
+        if name in seen:
+            continue
+        seen.add(name)
         if name in ("class", "id"):
             names.update(skipped_name(x) for x in value.split())
         elif name == "role" and value in SKIPPED_ROLES:
@@ -109,10 +116,13 @@ def named_out(tag: str, attributes: str) -> tuple[bool, int]:
 
 
 class Container:
-    """An element that speaks against its blocks."""
+    """An element that speaks against its blocks.  What is counted belongs to the
+    innermost one first; ``pardon`` sums it up."""
 
-    def __init__(self, kind: int):
-        self.kind, self.mains, self.articles = kind, 0, 0
+    def __init__(self, kind: int, parent: Container | None, inline: bool):
+        self.kind, self.parent, self.inline = kind, parent, inline
+        self.mains = self.articles = self.good = 0
+        self.free = False
 
 
 class Block(NamedTuple):
@@ -120,7 +130,7 @@ class Block(NamedTuple):
     linked: int  # characters of links
     heading: bool
     inside: bool  # an article or main element
-    around: tuple[Container, ...]  # from the outermost inwards
+    around: Container | None  # the innermost one
 
 
 class Reader:
@@ -131,8 +141,12 @@ class Reader:
         self.parts: list[str] = []
         self.stack: list[tuple[str, bool, Container | None]] = []  # open elements that matter: name, hidden, container
         self.open: Counter = Counter()  # how many of each name are on the stack
-        self.around: list[Container] = []
+        self.around: list[Container] = []  # open blocks that are containers
+        self.inline: list[Container] = []  # open named elements inside a line
+        self.containers: list[Container] = []  # all of them, outer ones before inner ones
         self.linked = self.hidden = self.breaks = 0
+        self.plain = False  # whether the block has text outside of named elements inside a line
+        self.named: Container | None = None  # the first of those with text in it
         self.heading = False
         self.free_mains = self.free_articles = 0  # not in any container
 
@@ -140,9 +154,10 @@ class Reader:
         if self.parts:
             text = " ".join(unescape("".join(self.parts)).split())
             if text:
-                self.blocks.append(Block(text, self.linked, self.heading, self.open["article"] + self.open["main"] > 0, tuple(self.around)))
+                around = self.named if not self.plain else self.around[-1] if self.around else None
+                self.blocks.append(Block(text, self.linked, self.heading, self.open["article"] + self.open["main"] > 0, around))
             self.parts.clear()
-        self.linked = 0
+        self.linked, self.plain, self.named = 0, False, None
 
     def add(self, raw: str) -> None:
         if raw and not self.hidden:
@@ -151,20 +166,25 @@ class Reader:
                 self.linked += len("".join(raw.split()))
             if not raw.isspace():
                 self.breaks = 0
+                if self.inline:
+                    self.named = self.named or self.inline[0]
+                else:
+                    self.plain = True
 
     def enter(self, tag: str, hidden: bool, container: Container | None) -> None:
         self.stack.append((tag, hidden, container))
         self.open[tag] += 1
         self.hidden += hidden
         if container:
-            self.around.append(container)
+            self.containers.append(container)
+            (self.inline if container.inline else self.around).append(container)
 
     def leave(self) -> str:
         tag, hidden, container = self.stack.pop()
         self.open[tag] -= 1
         self.hidden -= hidden
         if container:
-            self.around.pop()
+            (self.inline if container.inline else self.around).pop()
         return tag
 
     def start(self, tag: str, attributes: str) -> None:
@@ -190,19 +210,20 @@ class Reader:
         if tag in ("p", "li") and self.stack and self.stack[-1][0] == tag:
             self.leave()
         hidden, kind = named_out(tag, attributes)
-        hidden = hidden or tag in HIDDEN_TAGS or kind > 0 and not is_block
+        hidden = hidden or tag in HIDDEN_TAGS
         in_article = self.open["article"] + self.open["main"] > 0
         if tag in SIDE_TAGS and not (tag == "header" and in_article):
             kind = COMPOUND if tag == "form" and kind != PLAIN else PLAIN
-        if hidden or is_block or tag == "a":
+        if hidden or is_block or tag == "a" or kind:
+            inner = self.around[-1] if self.around else None
             if tag in ARTICLE_TAGS and not in_article and not self.hidden:
-                for c in self.around:
-                    c.mains += tag == "main"
-                    c.articles += tag == "article"
-                if not self.around:
+                if inner:
+                    inner.mains += tag == "main"
+                    inner.articles += tag == "article"
+                else:
                     self.free_mains += tag == "main"
                     self.free_articles += tag == "article"
-            self.enter(tag, hidden, Container(kind) if kind and not hidden and is_block else None)
+            self.enter(tag, hidden, Container(kind, inner, not is_block) if kind and not hidden else None)
 
     def end(self, tag: str) -> None:
         if tag in BLOCK_TAGS:
@@ -291,21 +312,21 @@ def second_pass(labels: list[int], headings: list[bool]) -> list[int]:
     return out
 
 
-def pardoned(reader: Reader, good: list[int]) -> set[Container]:
-    """The containers whose names are no evidence after all.  ``good``: characters
-    of each block that are good by its own measures."""
-    free, total = set(), sum(good)
-    while True:
-        held: dict[Container, int] = {}
-        for b, n in zip(reader.blocks, good, strict=True):
-            first = next((c for c in b.around if c not in free), None)
-            if first is not None:
-                held[first] = held.get(first, 0) + n
-        marks = reader.free_mains + reader.free_articles
-        more = {c for c, n in held.items() if not marks and (c.mains or c.articles == 1) or c.kind == COMPOUND and not marks and not c.articles and n > MOST * total}
-        if not more:
-            return free
-        free |= more
+def pardon(reader: Reader, good: list[int]) -> None:
+    """Free the containers whose names are no evidence after all.  ``good``:
+    characters of each block that are good by its own measures."""
+    for b, n in zip(reader.blocks, good, strict=True):
+        if b.around:
+            b.around.good += n
+    for c in reversed(reader.containers):  # inner ones come after outer ones
+        if c.parent:
+            c.parent.good += c.good
+            c.parent.mains += c.mains
+            c.parent.articles += c.articles
+    marks, total = reader.free_mains + reader.free_articles, sum(good)
+    for c in reader.containers:
+        if c.parent is None or c.parent.free:
+            c.free = not marks and (c.mains > 0 or c.articles == 1) or c.kind == COMPOUND and not marks and not c.articles and c.good > MOST * total
 
 
 def main_text(html: str | None) -> str:
@@ -315,8 +336,8 @@ def main_text(html: str | None) -> str:
     reader.read(html)
     labels = [first_pass(b.text, b.linked) for b in reader.blocks]
     good = [len(b.text) if label == GOOD else 0 for b, label in zip(reader.blocks, labels, strict=True)]
-    free = pardoned(reader, good)
-    left = [i for i, b in enumerate(reader.blocks) if all(c in free for c in b.around)]
+    pardon(reader, good)
+    left = [i for i, b in enumerate(reader.blocks) if b.around is None or b.around.free]
     inside, total = [i for i in left if reader.blocks[i].inside], sum(good[i] for i in left)
     if inside and sum(good[i] for i in inside) >= MARKED * total:
         left = inside
