@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from vergraph.operators import relations, search, similarity, stats, tools, traverse
+from vergraph.operators import cycles, relations, search, similarity, stats, tools, traverse
 from vergraph.plans.graph import Graph
 
 NODES = [
@@ -139,10 +139,10 @@ def test_tools(house):
 
 def test_cycles(spark):
     ring = build(spark, [(x, "device", x, "{}") for x in "abc"] + [("r", "room", "r", "{}")], [("a", "controls", "b", "{}"), ("b", "controls", "c", "{}"), ("c", "controls", "a", "{}"), ("a", "located_in", "r", "{}")])
-    assert rows(traverse.detect_cycles(ring, "a")) == [(("a", "b", "c", "a"),)]
+    assert rows(cycles.detect_cycles(ring, "a")) == [(("a", "b", "c", "a"),)]
     assert rows(traverse.cycles_through(ring, "b")) == [(("b", "c", "a", "b"),)]
-    assert {r["id"] for r in traverse.cyclic_nodes(ring).collect()} == {"a", "b", "c"}
-    assert traverse.cyclic_nodes(ring, ["located_in"]).count() == 0
+    assert {r["id"] for r in cycles.cyclic_nodes(ring).collect()} == {"a", "b", "c"}
+    assert cycles.cyclic_nodes(ring, ["located_in"]).count() == 0
 
 
 def test_dangling_edges(spark):
@@ -181,3 +181,109 @@ def test_random_graphs_against_plain_python(spark):
     assert {tuple(r["path"]) for r in traverse.all_paths(g, "n0", "n1").collect()} == walk(["n0"], set())
     assert traverse.connected(g, "n0", None, "outgoing", 1).count() == len([e for e in edges if e[0] == "n0"])
     assert g.latest().where(F.col("id") == "n0").count() == 1
+
+
+def test_components_and_cycles_on_random_graphs(spark):
+    rng = random.Random(8)
+    for size, n in ((9, 16), (14, 20)):
+        names = [f"n{i:02d}" for i in range(size)]
+        edges = sorted({(rng.choice(names), "controls", rng.choice(names), "{}") for _ in range(n)})
+        g = build(spark, [(x, "device", x, "{}") for x in names], edges)
+        after = {x: {b for a, _, b, _ in edges if a == x} for x in names}
+        reach = {x: set(after[x]) for x in names}
+        for k in names:
+            for x in names:
+                if k in reach[x]:
+                    reach[x] |= reach[k]
+        want = {x: min(y for y in names if y == x or (y in reach[x] and x in reach[y])) for x in names if x in reach[x]}
+        assert {r["id"]: r["component"] for r in cycles.strong_components(g).collect()} == want
+        found = [r["cycle"] for r in cycles.detect_cycles(g).collect()]
+        covered = {(a, b) for c in found for a, b in zip(c, c[1:], strict=False)}
+        assert covered == {(a, b) for a, _, b, _ in edges if a == b or (a in reach[b])}
+        for c in found:
+            assert c[0] == c[-1] == min(c) and len(set(c)) == len(c) - 1 and all(b in after[a] for a, b in zip(c, c[1:], strict=False))
+
+
+def test_walks_end_where_a_visit_is_refused(spark, monkeypatch):
+    """On a to b and c, b to d, c to e: refused at b, the walk has a and b."""
+    g = build(spark, [(x, "device", x, "{}") for x in "abcde"], [("a", "controls", "b", "{}"), ("a", "controls", "c", "{}"), ("b", "controls", "d", "{}"), ("c", "controls", "e", "{}")])
+    for few in (traverse.FEW, 0):  # on the driver, and as tables
+        monkeypatch.setattr(traverse, "FEW", few)
+        monkeypatch.setattr(traverse.few_rows, "__defaults__", (few,))
+        for at, want in (("b", "ab"), ("c", "abc"), ("x", "abcde"), ("a", "a")):
+            assert "".join(r["id"] for r in traverse.bfs_ranked(g, "a", None, None, lambda e, at=at: e.name != at).orderBy("bfs_rank").collect()) == want
+        assert {r["id"] for r in traverse.bfs(g, "a", 1, None, lambda e: e.depth < 1).collect()} == {"a", "b"}
+    for at, want in (("b", "ab"), ("d", "abd"), ("c", "abdc"), ("x", "abdce")):
+        assert "".join(r["id"] for r in traverse.dfs(g, "a", None, None, lambda e, at=at: e.name != at).orderBy("dfs_rank").collect()) == want
+
+
+def test_few_and_many_agree(spark, monkeypatch):
+    """Walks and two-sided paths on the driver and as tables; least ids among equals."""
+    rng = random.Random(12)
+    names = [f"n{i:02d}" for i in range(30)]
+    edges = sorted({(rng.choice(names), "controls", rng.choice(names), "{}") for _ in range(70)})
+    g = build(spark, [(x, "device", x, "{}") for x in names], edges)
+    after = {x: sorted({b for a, _, b, _ in edges if a == x}) for x in names}
+    best, level = {"n00": ["n00"]}, ["n00"]
+    while level:
+        ahead = {}
+        for a in level:
+            for b in after[a]:
+                if b not in best:
+                    ahead[b] = min(ahead.get(b, [*best[a], b]), [*best[a], b])
+        best |= ahead
+        level = list(ahead)
+    for few in (traverse.FEW, 3):
+        monkeypatch.setattr(traverse, "FEW", few)
+        monkeypatch.setattr(traverse.few_rows, "__defaults__", (few,))
+        assert {r["id"]: r["depth"] for r in traverse.bfs(g, "n00").collect()} == {k: len(p) - 1 for k, p in best.items()}
+        for end in names[1:30:6]:
+            found = traverse.find_path(g, "n00", end, 20).first()
+            assert (found["path"] if found else None) == best.get(end)
+
+
+def test_two_sided_paths_reach_few_ids(spark):
+    """On two fans that meet in the middle, neither is walked to its end."""
+    edges = [("s", "controls", "m0", "{}"), ("m0", "controls", "m1", "{}"), ("m1", "controls", "t", "{}")]
+    edges += [("m1", "controls", f"f{i}", "{}") for i in range(300)] + [(f"b{i}", "controls", "m0", "{}") for i in range(300)]
+    names = sorted({x for a, _, b, _ in edges for x in (a, b)})
+    found, reached = traverse._two_sided(build(spark, [(x, "device", x, "{}") for x in names], edges), "s", "t", 10, None)
+    assert found.first()["path"] == ["s", "m0", "m1", "t"] and reached <= 6
+
+
+def test_pruned_paths(spark):
+    """Nodes from which the end is too far are never on a prefix."""
+    edges = [("s", "controls", "a", "{}"), ("a", "controls", "t", "{}")] + [("s", "controls", f"x{i}", "{}") for i in range(40)] + [(f"x{i}", "controls", f"x{j}", "{}") for i in range(40) for j in range(0, 40, 5) if i != j]
+    names = sorted({x for a, _, b, _ in edges for x in (a, b)})
+    g = build(spark, [(x, "device", x, "{}") for x in names], edges)
+    assert rows(traverse.all_paths(g, "s", "t", 5)) == [(("s", "a", "t"), 3)]
+    inside = traverse._hops(g, "t", 4, None)
+    assert {r["dst"] for r in inside.collect()} == {"s", "a", "t"}  # of 42 nodes
+    assert rows(traverse.all_paths(g, "s", "gone", 5)) == [] and rows(traverse.cycles_through(g, "s", 5)) == []
+
+
+def test_stored_adjacency(spark, tmp_path):
+    """A step from few ids reads buckets, a step from many does not shuffle the edges."""
+    from vergraph.sources import adjacency
+
+    names = [f"n{i:04d}" for i in range(2000)]
+    edges = [(names[i], "controls", names[(i * 7 + k) % 2000], "{}") for i in range(2000) for k in range(3)] + [("n0000", "controls", "gone", "{}")]
+    plain = build(spark, [(x, "device", x, "{}") for x in names], edges)
+    kept = adjacency.stored(plain, f"t{random.getrandbits(60):x}")
+    g = Graph(plain.entities, plain.relationships, lambda: kept)
+    for back in (False, True):
+        want = sorted(map(tuple, plain.steps(None, back, False).edges.collect()))
+        assert sorted(map(tuple, kept.steps(None, back, False).edges.collect())) == want
+        few = kept.steps(None, back).from_few(names[:2])
+        assert 2 <= few.count() <= 8
+        few.collect()
+        scan = few._jdf.queryExecution().executedPlan().collectLeaves().head()
+        assert scan.metrics().apply("numOutputRows").value() < 2500  # of 6001: the other buckets are not read
+        many = kept.steps(None, back).from_many(spark.table(kept.by_src).select("src").distinct(), 1 << 40)
+        plan = many._jdf.queryExecution().executedPlan().toString()
+        assert "Bucketed: true" in plan and plan.count("Exchange hashpartitioning(src") + plan.count("Exchange hashpartitioning(dst") <= (1 if back else 0)
+    assert {r["id"]: r["depth"] for r in traverse.bfs(g, "n0000", 3).collect()} == {r["id"]: r["depth"] for r in traverse.bfs(plain, "n0000", 3).collect()}
+    for end in ("n0123", "n1999"):
+        assert traverse.find_path(g, "n0000", end).first() == traverse.find_path(plain, "n0000", end).first()
+    again = adjacency.stored(plain, kept.by_src.removeprefix("vergraph_by_src_"))
+    assert (again.by_src, again.by_dst) == (kept.by_src, kept.by_dst)

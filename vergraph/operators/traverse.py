@@ -1,10 +1,11 @@
-"""Graph traversal as level-by-level joins.
-
-A level is one join of the frontier with the edges and one anti-join with the
-ids already seen; each level ends in a checkpoint, so plans stay short and a
-lost executor repeats one level at most.  The driver looks at the number of ids
-of a level only: small levels are broadcast, large ones meet the edges by a
-shuffle.
+"""Graph traversal, level by level.
+
+A level is one step from the frontier and a difference with the ids already
+seen.  As long as a walk has found few ids (``FEW``), a step names the frontier
+in its filter and the ids come back to the driver: one job a level, which reads
+the stored buckets of these ids only.  Larger levels are joins (broadcast while
+the counted frontier is small, on the bucketed side else) and end in a
+checkpoint, so plans stay short and a lost executor repeats one level at most.
 """
 
 from __future__ import annotations
@@ -15,64 +16,111 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vergraph.plans.graph import Graph, cut, small
+from vergraph.plans.graph import FEW, Graph, Steps, cut, small
 from vergraph.schema import CHILD_TO_PARENT
 
 from .versions import numbered
 
+Visit = Callable[[DataFrame], Column]
+
 
 def _start(graph: Graph, id_: str) -> DataFrame:
     return graph.relationships.sparkSession.createDataFrame([(id_,)], "id string")
 
 
-def _levels(steps: DataFrame, start: DataFrame, nodes: DataFrame | None, max_depth: int | None, visit: Callable[[DataFrame], Column] | None = None) -> DataFrame:
-    """id, depth of all ids reached from ``start`` over ``steps`` (src, dst).
-    Ids that are not among ``nodes`` are seen, but neither returned nor left.
-    ``visit`` gives a condition on frontier rows under which they are expanded."""
-    steps = steps.select("src", "dst")
-    if nodes is not None:  # tested once, not at every level
-        start, steps = start.join(nodes, "id", "left_semi"), steps.join(nodes.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst")
-    steps = steps.persist()
-    frontier = found = cut(start.withColumn("depth", F.lit(0)))
-    size = total = frontier.count()
-    depth = 0
+def _is_node(graph: Graph, id_: str) -> bool:
+    return not graph.entities.where(F.col("id") == id_).limit(1).isEmpty()
+
+
+def few_rows(df: DataFrame, most: int = FEW) -> list | None:
+    """The rows, if there are at most so many."""
+    rows = df.limit(most + 1).collect()
+    return rows if len(rows) <= most else None
+
+
+def _levels(graph: Graph, steps: Steps, start: str, max_depth: int | None, known: bool = True) -> DataFrame:
+    """id, depth of all ids reached from ``start``, which must be a node if ``known``."""
+    spark, schema = graph.relationships.sparkSession, "id string, depth int"
+    found = {start: 0} if not known or _is_node(graph, start) else {}
+    frontier, depth = list(found), 0
+    while frontier and (max_depth is None or depth < max_depth):
+        rows = few_rows(steps.from_few(frontier).select("dst").distinct()) if len(found) <= FEW else None
+        if rows is None:
+            return _many_levels(steps, spark.createDataFrame(list(found.items()), schema), spark.createDataFrame([(i, depth) for i in frontier], schema), len(found), len(frontier), depth, max_depth)
+        depth += 1
+        frontier = sorted({r["dst"] for r in rows} - found.keys())
+        found |= dict.fromkeys(frontier, depth)
+    steps.done()
+    return spark.createDataFrame(list(found.items()), schema)
+
+
+def _many_levels(steps: Steps, found: DataFrame, frontier: DataFrame, total: int, size: int, depth: int, max_depth: int | None) -> DataFrame:
     while size and (max_depth is None or depth < max_depth):
         depth += 1
-        ahead = frontier if visit is None else frontier.where(visit(frontier))
-        reached = steps.join(small(ahead.select(F.col("id").alias("src")), size), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
+        reached = steps.from_many(frontier.select(F.col("id").alias("src")), size).select(F.col("dst").alias("id")).distinct()
         frontier = cut(reached.join(small(found.select("id"), total), "id", "left_anti").withColumn("depth", F.lit(depth)))
         size = frontier.count()
         total += size
         if size:
             found = found.union(frontier)
-    steps.unpersist()
+    steps.done()
     return found
 
 
-def bfs(graph: Graph, start: str, max_depth: int | None = None, rel_types: list[str] | None = None, visit: Callable[[DataFrame], Column] | None = None) -> DataFrame:
+def bfs(graph: Graph, start: str, max_depth: int | None = None, rel_types: list[str] | None = None, visit: Visit | None = None) -> DataFrame:
     """id, depth of everything reached over outgoing edges, the start at 0 (TRV1).
-    ``visit`` (UDF1) is a condition on the rows of a level that may go on."""
-    return _levels(graph.edges(rel_types), _start(graph, start), graph.entities.select("id"), max_depth, visit)
+    ``visit`` (UDF1) as in ``bfs_ranked``."""
+    if visit is not None:
+        return bfs_ranked(graph, start, max_depth, rel_types, visit).select("id", "depth")
+    return _levels(graph, graph.steps(rel_types), start, max_depth)
 
 
-def bfs_ranked(graph: Graph, start: str, max_depth: int, rel_types: list[str] | None = None) -> DataFrame:
+def _refused(graph: Graph, rows: DataFrame, rank: str, visit: Visit) -> int | None:
+    """The first rank at which ``visit`` is not true.  It is given the current
+    entities of the rows, with depth and rank."""
+    seen = graph.latest().join(rows, "id")
+    return seen.where(~F.coalesce(visit(seen), F.lit(False))).agg(F.min(rank)).first()[0]
+
+
+def bfs_ranked(graph: Graph, start: str, max_depth: int | None = None, rel_types: list[str] | None = None, visit: Visit | None = None) -> DataFrame:
     """bfs with the order of visits: first by the rank of the parent, then by the
-    edge's id.  Levels are numbered by range parts, never in one task."""
-    nodes = graph.nodes()
-    edges = graph.edges(rel_types).join(nodes.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst", "rel").persist()
-    found = frontier = cut(_start(graph, start).join(nodes, "id", "left_semi").select("id", F.lit(0).alias("depth"), F.lit(0).cast("long").alias("bfs_rank")))
-    size = total = frontier.count()
-    for depth in range(1, max_depth + 1):
-        if not size:
+    edge's id.  Where ``visit`` is not true of an entity, the walk ends with it (UDF1).
+    Large levels are numbered by range parts, never in one task."""
+    spark, schema = graph.relationships.sparkSession, "id string, depth int, bfs_rank long"
+    steps = graph.steps(rel_types)
+    rank, frontier, depth = {}, [start] if _is_node(graph, start) else [], 0
+    done: list[tuple[str, int, int]] = []
+    while frontier:
+        own = [(i, depth, len(rank) + k) for k, i in enumerate(frontier)]
+        stop = _refused(graph, spark.createDataFrame(own, schema), "bfs_rank", visit) if visit is not None else None
+        done += own if stop is None else own[: stop - len(rank) + 1]
+        rank |= {i: n for i, _, n in own}
+        if stop is not None or depth == max_depth:
             break
-        ahead = small(frontier.select(F.col("id").alias("src"), "bfs_rank"), size)
-        step = edges.join(ahead, "src").groupBy(F.col("dst").alias("id")).agg(F.min(F.struct("bfs_rank", "rel")).alias("by"))
+        rows = few_rows(steps.from_few(frontier).select("src", "dst", "rel")) if len(rank) <= FEW else None
+        if rows is None:
+            return _many_ranked(graph, steps, spark.createDataFrame(done, schema), spark.createDataFrame(own, schema), len(rank), len(own), depth, max_depth, visit)
+        depth += 1
+        frontier = list(dict.fromkeys(r["dst"] for r in sorted(rows, key=lambda r: (rank[r["src"]], r["rel"])) if r["dst"] not in rank))
+    steps.done()
+    return spark.createDataFrame(done, schema)
+
+
+def _many_ranked(graph: Graph, steps: Steps, found: DataFrame, frontier: DataFrame, total: int, size: int, depth: int, max_depth: int | None, visit: Visit | None) -> DataFrame:
+    while size and (max_depth is None or depth < max_depth):
+        depth += 1
+        ahead = frontier.select(F.col("id").alias("src"), "bfs_rank")
+        step = steps.from_many(ahead, size).groupBy(F.col("dst").alias("id")).agg(F.min(F.struct("bfs_rank", "rel")).alias("by"))
         step = step.join(small(found.select("id"), total), "id", "left_anti").select("id", F.col("by.bfs_rank").alias("parent"), F.col("by.rel").alias("rel"))
         frontier = cut(numbered(step, ["parent", "rel", "id"], "n").select("id", F.lit(depth).alias("depth"), (F.lit(total - 1).cast("long") + F.col("n")).alias("bfs_rank")))
+        stop = _refused(graph, frontier, "bfs_rank", visit) if visit is not None else None
+        if stop is not None:
+            found = found.union(frontier.where(F.col("bfs_rank") <= stop))
+            break
         size = frontier.count()
         total += size
         found = found.union(frontier)
-    edges.unpersist()
+    steps.done()
     return found
 
 
@@ -91,10 +139,10 @@ def _reachable(graph: Graph, start: str | None, rel_types: list[str] | None) ->
     return edges
 
 
-def dfs(graph: Graph, start: str, max_depth: int | None = None, rel_types: list[str] | None = None) -> DataFrame:
+def dfs(graph: Graph, start: str, max_depth: int | None = None, rel_types: list[str] | None = None, visit: Visit | None = None) -> DataFrame:
     """id, depth, dfs_rank in pre-order, edges in the order of their ids (TRV2).
     The order depends on every visit before, so one task walks the (bounded)
-    reachable edges."""
+    reachable edges.  Where ``visit`` is not true of an entity, the walk ends with it."""
     nodes = graph.nodes().withColumn("exists", F.lit(True))
     edges = _reachable(graph, start, rel_types).join(nodes.withColumnRenamed("id", "dst"), "dst", "left_semi")
 
@@ -114,22 +162,45 @@ def dfs(graph: Graph, start: str, max_depth: int | None = None, rel_types: list[
         return pd.DataFrame(out, columns=["id", "depth", "dfs_rank"])
 
     alone = _start(graph, start).join(graph.nodes(), "id", "left_semi").select(F.col("id").alias("src"), F.lit("").alias("dst"), F.lit("").alias("rel"))
-    return edges.select("src", "dst", "rel").union(alone).withColumn("all", F.lit(1)).groupBy("all").applyInPandas(walk, "id string, depth int, dfs_rank int")
+    found = edges.select("src", "dst", "rel").union(alone).withColumn("all", F.lit(1)).groupBy("all").applyInPandas(walk, "id string, depth int, dfs_rank int")
+    if visit is None:
+        return found
+    found = cut(found)
+    stop = _refused(graph, found, "dfs_rank", visit)
+    return found if stop is None else found.where(F.col("dfs_rank") <= stop)
+
+
+def _hops(graph: Graph, to: str, most: int, rel_types: list[str] | None) -> DataFrame:
+    """dst, hops: the least number of hops from a node to ``to``, up to ``most``."""
+    return _levels(graph, graph.steps(rel_types, backwards=True, known=False), to, most, known=False).select(F.col("id").alias("dst"), F.col("depth").alias("hops"))
+
+
+def _prefixes(graph: Graph, start: str, end: str, max_hops: int, rel_types: list[str] | None, closed: bool) -> DataFrame:
+    """path, last: every path from ``start`` to ``end`` over at most ``max_hops``
+    edges, simple but for an end that is the start (``closed``).  Levels back from the
+    end come first: a path is extended only by a node from which the rest suffices."""
+    hops = cut(_hops(graph, end, max_hops, rel_types))
+    n, steps = hops.count(), graph.steps(rel_types, known=False)
+    inside = steps.from_many(hops.select(F.col("dst").alias("src")), n).join(small(hops, n), "dst").select("src", "dst", "hops").distinct()
+    inside = cut(inside)
+    paths = cut(hops.where(F.col("dst") == start).select(F.array("dst").alias("path"), F.col("dst").alias("last")))
+    done = paths.where(F.lit(False)) if closed else paths.where(F.col("last") == end)
+    paths = paths if closed else paths.where(F.col("last") != end)
+    for used in range(1, max_hops + 1):
+        step = inside.where(F.col("hops") <= max_hops - used).join(paths, F.col("src") == F.col("last"))
+        ends = F.col("dst") == end
+        step = cut(step.where(ends | ~F.array_contains("path", F.col("dst"))).select(F.array_append("path", F.col("dst")).alias("path"), F.col("dst").alias("last")))
+        if step.isEmpty():
+            break
+        done = done.union(step.where(F.col("last") == end))
+        paths = step.where(F.col("last") != end)
+    steps.done()
+    return done
 
 
 def all_paths(graph: Graph, start: str, end: str, max_length: int = 5, rel_types: list[str] | None = None) -> DataFrame:
     """path (ids), length (nodes): simple paths of at most ``max_length`` nodes (TRV3)."""
-    edges = graph.edges(rel_types).select("src", "dst").distinct()
-    paths = cut(_start(graph, start).select(F.array("id").alias("path"), F.col("id").alias("last")))
-    done = paths.where(F.col("last") == end)
-    paths = paths.where(F.col("last") != end)
-    for _ in range(max_length - 1):
-        paths = cut(edges.join(paths, F.col("src") == F.col("last")).where(~F.array_contains("path", F.col("dst"))).select(F.array_append("path", F.col("dst")).alias("path"), F.col("dst").alias("last")))
-        if paths.isEmpty():
-            break
-        done = done.union(paths.where(F.col("last") == end))
-        paths = paths.where(F.col("last") != end)
-    return done.select("path", F.size("path").alias("length"))
+    return _prefixes(graph, start, end, max_length - 1, rel_types, closed=False).select("path", F.size("path").alias("length"))
 
 
 def hierarchy(graph: Graph, rel_type: str, upwards: bool) -> DataFrame:
@@ -138,74 +209,24 @@ def hierarchy(graph: Graph, rel_type: str, upwards: bool) -> DataFrame:
     return e if (rel_type in CHILD_TO_PARENT) == upwards else e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
 
 
+def _walk_hierarchy(graph: Graph, id_: str, rel_type: str, max_depth: int | None, upwards: bool) -> DataFrame:
+    steps = graph.steps([rel_type], backwards=(rel_type in CHILD_TO_PARENT) != upwards)
+    return _levels(graph, steps, id_, max_depth).where("depth > 0")
+
+
 def ancestors(graph: Graph, id_: str, rel_type: str, max_depth: int | None = None) -> DataFrame:
     """id, depth of all above, the start left out (TRV5, TRV6)."""
-    return _levels(hierarchy(graph, rel_type, True), _start(graph, id_), graph.entities.select("id"), max_depth).where("depth > 0")
+    return _walk_hierarchy(graph, id_, rel_type, max_depth, True)
 
 
 def descendants(graph: Graph, id_: str, rel_type: str, max_depth: int | None = None) -> DataFrame:
     """id, depth of all below (TRV5, TRV7)."""
-    return _levels(hierarchy(graph, rel_type, False), _start(graph, id_), graph.entities.select("id"), max_depth).where("depth > 0")
-
-
-def cyclic_nodes(graph: Graph, rel_types: list[str] | None = None) -> DataFrame:
-    """Ids that lie on a cycle or between cycles: what is left when ids without
-    incoming or without outgoing edges are taken away again and again (TRV8:
-    there is a cycle exactly if any is left)."""
-    edges = cut(graph.edges(rel_types).select("src", "dst").distinct())
-    before = edges.count()
-    while True:
-        edges = cut(edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
-        now = edges.count()
-        if now == before:
-            return edges.select(F.col("src").alias("id")).distinct()
-        before = now
-
-
-def detect_cycles(graph: Graph, start: str | None = None, rel_types: list[str] | None = None) -> DataFrame:
-    """cycle (closed id list): one for each back edge of a depth-first walk over
-    the cyclic part of the graph (TRV8)."""
-    edges = _reachable(graph, start, rel_types)
-    inside = cyclic_nodes(graph, rel_types)
-    edges = edges.join(inside.withColumnRenamed("id", "src"), "src", "left_semi").join(inside.withColumnRenamed("id", "dst"), "dst", "left_semi")
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        after: dict[str, list[str]] = {}
-        for s, d in pdf.sort_values("rel")[["src", "dst"]].itertuples(index=False):
-            after.setdefault(s, []).append(d)
-        found, seen = [], set()
-        for root in ([start] if start in after else []) + sorted(after):
-            if root in seen:
-                continue
-            seen.add(root)
-            path, place, turns = [root], {root: 0}, [iter(after[root])]
-            while turns:
-                nxt = next(turns[-1], None)
-                if nxt is None:
-                    turns.pop()
-                    del place[path.pop()]
-                elif nxt in place:
-                    found.append(path[place[nxt] :] + [nxt])
-                elif nxt not in seen:
-                    seen.add(nxt)
-                    place[nxt] = len(path)
-                    path.append(nxt)
-                    turns.append(iter(after.get(nxt, [])))
-        return pd.DataFrame({"cycle": found})
-
-    return edges.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(walk, "cycle array<string>")
+    return _walk_hierarchy(graph, id_, rel_type, max_depth, False)
 
 
 def cycles_through(graph: Graph, start: str, max_length: int = 5, rel_types: list[str] | None = None) -> DataFrame:
     """cycle: closed simple paths through ``start`` over three to ``max_length`` nodes (TRV9)."""
-    edges = graph.edges(rel_types).select("src", "dst").distinct()
-    paths = cut(_start(graph, start).join(graph.nodes(), "id", "left_semi").select(F.array("id").alias("path"), F.col("id").alias("last")))
-    found = paths.where(F.lit(False)).select("path")
-    for _ in range(max_length):
-        step = cut(edges.join(paths, F.col("src") == F.col("last")))
-        found = found.union(step.where((F.col("dst") == start) & (F.size("path") > 2)).select(F.array_append("path", F.col("dst")).alias("path")))
-        paths = step.where(~F.array_contains("path", F.col("dst"))).select(F.array_append("path", F.col("dst")).alias("path"), F.col("dst").alias("last"))
-    return found.withColumnRenamed("path", "cycle")
+    return _prefixes(graph, start, start, max_length, rel_types, closed=True).where(F.size("path") > 3).select(F.col("path").alias("cycle"))
 
 
 def degrees(graph: Graph) -> DataFrame:
@@ -219,23 +240,69 @@ def degrees(graph: Graph) -> DataFrame:
 
 def find_path(graph: Graph, start: str, end: str, max_depth: int = 10, rel_types: list[str] | None = None) -> DataFrame:
     """path, length (hops) of a shortest directed path; of several the one whose
-    ids come first (TRV12, TRV13; TRV14 counts nodes: pass one hop less)."""
-    nodes = graph.entities.select("id")
-    edges = graph.edges(rel_types).select("src", "dst").join(nodes.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst").persist()
-    frontier = cut(_start(graph, start).join(nodes, "id", "left_semi").select("id", F.array("id").alias("path")))
-    seen, size = frontier.select("id"), frontier.count()
-    total = size
-    for hop in range(max_depth + 1):
-        hit = frontier.where(F.col("id") == end)
-        if not size or hop == max_depth or not hit.isEmpty():
-            break
-        step = edges.join(small(frontier.withColumnRenamed("id", "src"), size), "src").join(small(seen.withColumnRenamed("id", "dst"), total), "dst", "left_anti")
-        frontier = cut(step.groupBy(F.col("dst").alias("id")).agg(F.min("path").alias("path")).select("id", F.array_append("path", F.col("id")).alias("path")))
-        size = frontier.count()
-        total += size
-        seen = seen.union(frontier.select("id"))
-    edges.unpersist()
-    return hit.select("path", (F.size("path") - 1).alias("length"))
+    ids come first (TRV12, TRV13; TRV14 counts nodes: pass one hop less).
+
+    Levels grow from both ends, the smaller one first.  Where they meet for the
+    first time the hops add up to the length, and every shortest path passes there
+    once; the least path to each meeting id and the least one on from it give the
+    least of all."""
+    return _two_sided(graph, start, end, max_depth, rel_types)[0]
+
+
+def _two_sided(graph: Graph, start: str, end: str, max_depth: int, rel_types: list[str] | None) -> tuple[DataFrame, int]:
+    """The path, and how many ids were reached for it."""
+    spark, schema = graph.relationships.sparkSession, "path array<string>, length int"
+    if not _is_node(graph, start) or not _is_node(graph, end):
+        return spark.createDataFrame([], schema), 0
+    sides = [{"steps": graph.steps(rel_types, backwards=b), "seen": {i}, "now": {i: (i,)}} for b, i in ((False, start), (True, end))]
+    hops = 0
+    while True:
+        here, there = (s["now"] for s in sides)
+        met = [here[i] + there[i][1:] for i in here.keys() & there.keys()]
+        reached = sum(len(s["seen"]) for s in sides)
+        if met or hops == max_depth or not here or not there:
+            for s in sides:
+                s["steps"].done()
+            return spark.createDataFrame([(list(p), hops) for p in sorted(met)[:1]], schema), reached
+        k = 0 if (len(here), len(sides[0]["seen"])) <= (len(there), len(sides[1]["seen"])) else 1
+        side = sides[k]
+        rows = few_rows(side["steps"].from_few(list(side["now"])).select("src", "dst").distinct()) if len(side["seen"]) <= FEW else None
+        if rows is None:
+            return _many_sided(spark, sides, hops, max_depth)
+        ahead: dict[str, tuple] = {}
+        for r in rows:
+            if r["dst"] not in side["seen"]:
+                path = side["now"][r["src"]]
+                path = (*path, r["dst"]) if k == 0 else (r["dst"], *path)
+                ahead[r["dst"]] = min(path, ahead.get(r["dst"], path))
+        side["now"] = ahead
+        side["seen"] |= ahead.keys()
+        hops += 1
+
+
+def _many_sided(spark, sides: list[dict], hops: int, max_depth: int) -> tuple[DataFrame, int]:
+    """The same with tables, from where the levels became large."""
+    for s in sides:
+        s["size"], s["total"] = len(s["now"]), len(s["seen"])
+        s["now"] = cut(spark.createDataFrame([(i, list(p)) for i, p in s["now"].items()], "id string, path array<string>"))
+        s["seen"] = spark.createDataFrame([(i,) for i in s["seen"]], "id string")
+    while True:
+        here, there = (s["now"] for s in sides)
+        met = here.join(there.select("id", F.slice("path", 2, 1 << 30).alias("rest")), "id").agg(F.min(F.concat("path", "rest")).alias("path")).where("path is not null")
+        met = cut(met.select("path", F.lit(hops).alias("length")))
+        if hops == max_depth or not all(s["size"] for s in sides) or not met.isEmpty():
+            for s in sides:
+                s["steps"].done()
+            return met, sum(s["total"] for s in sides)
+        k = 0 if (sides[0]["size"], sides[0]["total"]) <= (sides[1]["size"], sides[1]["total"]) else 1
+        side = sides[k]
+        path = F.array_append("path", F.col("id")) if k == 0 else F.array_prepend("path", F.col("id"))
+        step = side["steps"].from_many(side["now"].withColumnRenamed("id", "src"), side["size"]).groupBy(F.col("dst").alias("id")).agg(F.min("path").alias("path"))
+        side["now"] = cut(step.join(small(side["seen"], side["total"]), "id", "left_anti").select("id", path.alias("path")))
+        side["size"] = side["now"].count()
+        side["total"] += side["size"]
+        side["seen"] = side["seen"].union(side["now"].select("id"))
+        hops += 1
 
 
 def connected(graph: Graph, id_: str, rel_type: str | None = None, direction: str = "both", max_depth: int = 1) -> DataFrame:
@@ -266,7 +333,10 @@ def subgraph(graph: Graph, id_: str, depth: int = 1, rel_types: list[str] | None
     the nodes that were left, each once (TRV18)."""
     e = graph.edges(rel_types)
     both = e.select("src", "dst").union(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    nodes = _levels(both, _start(graph, id_), graph.entities.select("id"), depth)
+    known = graph.entities.select("id")
+    for side in ("src", "dst"):
+        both = both.join(known.withColumnRenamed("id", side), side, "left_semi")
+    nodes = _levels(graph, Steps(both.select("src", "dst").persist()), id_, depth)
     left = nodes.where(F.col("depth") < depth).select("id")
     edges = e.join(left.withColumnRenamed("id", "src"), "src", "left_semi").union(e.join(left.withColumnRenamed("id", "dst"), "dst", "left_semi").select(*e.columns))
     return nodes, edges.dropDuplicates(["rel"])

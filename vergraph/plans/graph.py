@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vergraph.functions.values import is_tombstoned
@@ -39,12 +40,68 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+#: Ids that a step may name in its filter, and rows that a walk may hold on the driver.
+FEW = 2_000
+
+
+@dataclass
+class Steps:
+    """src, dst, relationship_type, rel: the edges a walk takes."""
+
+    edges: DataFrame
+
+    def from_few(self, ids: list[str]) -> DataFrame:
+        """Edges that leave one of at most FEW ids."""
+        return self.edges.where(F.col("src").isin(ids))
+
+    def from_many(self, ids: DataFrame, rows: int) -> DataFrame:
+        """Edges that leave an id of a counted table (column src)."""
+        return self.edges.join(small(ids, rows), "src")
+
+    def done(self) -> None:
+        self.edges.unpersist()
+
+
+def turned(backwards: bool) -> list[Column]:
+    """src, dst of edges that are walked forwards or backwards."""
+    ends = [F.col("src"), F.col("dst")]
+    return [e.alias(n) for e, n in zip(ends[::-1] if backwards else ends, ("src", "dst"), strict=True)]
+
+
+@dataclass
+class Adjacency:
+    """Two bucketed tables of the same edges: by source and by target."""
+
+    spark: SparkSession
+    by_src: str
+    by_dst: str
+
+    def steps(self, types: list[str] | None = None, backwards: bool = False, known: bool = True) -> Steps:
+        t = self.spark.table(self.by_dst if backwards else self.by_src)
+        t = t.where(F.col("relationship_type").isin(*types)) if types else t
+        t = t.where("known") if known else t
+        return Steps(t.select(*turned(backwards), "relationship_type", "rel"))
+
+
 @dataclass
 class Graph:
-    """``entities``: version rows (with is_latest); ``relationships``: edges."""
+    """``entities``: version rows (with is_latest); ``relationships``: edges;
+    ``index`` gives their stored adjacency, if they have one."""
 
     entities: DataFrame
     relationships: DataFrame
+    index: Callable[[], Adjacency] | None = None
+
+    def steps(self, types: list[str] | None = None, backwards: bool = False, known: bool = True) -> Steps:
+        """The edges, forwards or turned round, of which both ends are nodes (or all
+        of them): from the stored adjacency, or else kept for the time of the walk
+        (``done``)."""
+        if self.index is not None:
+            return self.index().steps(types, backwards, known)
+        e = self.edges(types)
+        for side in ("src", "dst") if known else ():
+            e = e.join(self.entities.select(F.col("id").alias(side)), side, "left_semi")
+        return Steps(e.select(*turned(backwards), "relationship_type", "rel").persist())
 
     def latest(self, include_deleted: bool = True) -> DataFrame:
         """Current rows: those recorded as latest."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vergraph.operators import tools, traverse
+from vergraph.operators import cycles, tools, traverse
 from vergraph.sources import star
 
 from .oracle import sql
@@ -34,9 +34,26 @@ add("trv1_bfs_1", lambda s, d: traverse.bfs(graph(s, d), "part-7", 1), reached("
 add("trv1_bfs_3", lambda s, d: traverse.bfs(graph(s, d), "part-7", 3), reached("part-7", 3))
 add("trv1_bfs_all", lambda s, d: traverse.bfs(graph(s, d), "order-0"), reached("order-0", 12))
 add("trv1_bfs_types", lambda s, d: traverse.bfs(graph(s, d), "part-7", None, ["located_in", "part_of"]), reached("part-7", 8, "relationship_type IN ('located_in', 'part_of')"))
-add("trv1_bfs_ranked", lambda s, d: traverse.bfs_ranked(graph(s, d), "part-7", 2).select("id", "depth"), reached("part-7", 2))
-add("trv1_bfs_visit", lambda s, d: traverse.bfs(graph(s, d), "part-7", 3, None, lambda f: ~F.col("id").startswith("nation")), reached("part-7", 3, "reach.id NOT LIKE 'nation%'"))
+#: Two levels of a walk from part-7 with the order of visits: by the parent's rank, then by the edge's id.
+ORDERED = """e AS (SELECT src, dst, relationship_type || '|' || src || '|' || dst AS rel FROM rels),
+l0 AS (SELECT 'part-7' AS id, 0 AS depth, CAST(0 AS BIGINT) AS bfs_rank),
+s1 AS (SELECT dst AS id, min((bfs_rank, rel)) AS k FROM e JOIN l0 ON src = id WHERE dst NOT IN (SELECT id FROM l0) GROUP BY dst),
+l1 AS (SELECT id, 1 AS depth, (SELECT count(*) FROM l0) + row_number() OVER (ORDER BY k) - 1 AS bfs_rank FROM s1),
+s2 AS (SELECT dst AS id, min((bfs_rank, rel)) AS k FROM e JOIN l1 ON src = id WHERE dst NOT IN (SELECT id FROM l0 UNION SELECT id FROM l1) GROUP BY dst),
+l2 AS (SELECT id, 2 AS depth, (SELECT count(*) FROM l0) + (SELECT count(*) FROM l1) + row_number() OVER (ORDER BY k) - 1 AS bfs_rank FROM s2),
+walk AS (SELECT * FROM l0 UNION ALL SELECT * FROM l1 UNION ALL SELECT * FROM l2)"""
+add("trv1_bfs_ranked", lambda s, d: traverse.bfs_ranked(graph(s, d), "part-7", 2), sql("SELECT id, depth, bfs_rank FROM walk", "rels", recursive=ORDERED))
+# the walk ends with the first zone that it comes to
+ZONES = "(SELECT min(bfs_rank) FROM walk WHERE id LIKE 'nation-%')"
+add("trv1_bfs_visit", lambda s, d: traverse.bfs_ranked(graph(s, d), "part-7", 2, None, lambda e: e.entity_type != "zone"), sql(f"SELECT id, depth, bfs_rank FROM walk WHERE {ZONES} IS NULL OR bfs_rank <= {ZONES}", "rels", recursive=ORDERED))
 add("trv2_dfs", lambda s, d: traverse.dfs(graph(s, d), "part-7").select("id"), sql("SELECT DISTINCT id FROM reach", "rels", recursive=reach("part-7", 12)))
+# over a type without cycles, pre-order is the order of the least path of edge ids to each node
+CHAINS = "p AS (SELECT 'nation-0' AS id, CAST([] AS VARCHAR[]) AS k UNION ALL SELECT r.dst, list_append(k, relationship_type || '|' || src || '|' || dst) FROM p JOIN (SELECT * FROM rels WHERE relationship_type IN ('part_of', 'located_in')) r ON r.src = p.id)"
+PRE = "SELECT id, CAST(row_number() OVER (ORDER BY k) - 1 AS INT) AS dfs_rank, len(k) AS depth FROM (SELECT id, min(k) AS k FROM {0} GROUP BY id)"
+DFS = CHAINS.replace("nation-0", "part-7")
+add("trv2_dfs_ranked", lambda s, d: traverse.dfs(graph(s, d), "part-7", None, ["located_in", "part_of"]).select("id", "dfs_rank", F.col("depth").cast("long").alias("depth")), sql(PRE.format("p"), "rels", recursive=DFS))
+STOP = f"w AS ({PRE.format('p')})"
+add("trv2_dfs_visit", lambda s, d: traverse.dfs(graph(s, d), "part-7", None, ["located_in", "part_of"], lambda e: e.entity_type != "zone").select("id", "dfs_rank"), sql("SELECT id, dfs_rank FROM w WHERE dfs_rank <= (SELECT min(dfs_rank) FROM w WHERE id LIKE 'nation-%')", "rels", recursive=f"{DFS}, {STOP}"))
 PATHS = "paths AS (SELECT ['{0}'] AS path, '{0}' AS last UNION ALL SELECT list_append(path, r.dst), r.dst FROM paths JOIN (SELECT DISTINCT src, dst FROM rels) r ON r.src = last WHERE len(path) < {1} AND last <> '{2}' AND NOT list_contains(path, r.dst))"
 add("trv3_all_paths", lambda s, d: traverse.all_paths(graph(s, d), "nation-0", "nation-20", 5).select(F.array_join("path", ">").alias("path"), "length"), sql("SELECT array_to_string(path, '>') AS path, len(path) AS length FROM paths WHERE last = 'nation-20'", "rels", recursive=PATHS.format("nation-0", 5, "nation-20")))
 add("trv3_all_paths_up", lambda s, d: traverse.all_paths(graph(s, d), "part-7", "region-1", 4).select(F.array_join("path", ">").alias("path"), "length"), sql("SELECT array_to_string(path, '>') AS path, len(path) AS length FROM paths WHERE last = 'region-1'", "rels", recursive=PATHS.format("part-7", 4, "region-1")))
@@ -45,8 +62,12 @@ add("trv6_ancestors", lambda s, d: traverse.ancestors(graph(s, d), "part-7", "lo
 add("trv6_ancestors_depth", lambda s, d: traverse.ancestors(graph(s, d), "part-7", "located_in", 1), reached("part-7", 1, "relationship_type = 'located_in'", 1))
 DOWN = sql("SELECT id, min(depth) AS depth FROM reach GROUP BY id HAVING min(depth) >= 1", "rels", recursive="turned AS (SELECT dst AS src, src AS dst FROM rels WHERE relationship_type = 'located_in'), " + reach("nation-0", 5, "true", "turned"))
 add("trv7_descendants", lambda s, d: traverse.descendants(graph(s, d), "nation-0", "located_in"), DOWN)
-add("trv8_cycle_exists", lambda s, d: traverse.cyclic_nodes(graph(s, d), ["connects_to", "part_of"]), "SELECT 'nation-' || n_nationkey AS id FROM nation")
-add("trv8_detect_cycles", lambda s, d: traverse.detect_cycles(graph(s, d), "nation-0", ["connects_to", "part_of"]).select(F.array_join("cycle", ">").alias("cycle")), sql("SELECT array_to_string(list_append(path, 'nation-0'), '>') AS cycle FROM paths JOIN rels r ON r.src = last AND r.dst = 'nation-0'", "rels", recursive=PATHS.format("nation-0", 5, "nation-0").replace(" AND last <> 'nation-0'", "")))
+add("trv8_cycle_exists", lambda s, d: cycles.cyclic_nodes(graph(s, d)), "SELECT 'nation-' || n_nationkey AS id FROM nation")
+add("trv8_components", lambda s, d: cycles.strong_components(graph(s, d)), "SELECT 'nation-' || n_nationkey AS id, min('nation-' || n_nationkey) OVER (PARTITION BY n_regionkey) AS component FROM nation")
+# a ring of nations in each region is all that is closed
+RINGS = "paths AS (SELECT ['nation-' || n_nationkey] AS path, 'nation-' || n_nationkey AS last FROM nation UNION ALL SELECT list_append(path, r.dst), r.dst FROM paths JOIN rels r ON r.src = last WHERE r.dst > path[1] AND NOT list_contains(path, r.dst))"
+add("trv8_detect_cycles", lambda s, d: cycles.detect_cycles(graph(s, d)).select(F.array_join("cycle", ">").alias("cycle")), sql("SELECT array_to_string(list_append(path, path[1]), '>') AS cycle FROM paths JOIN rels r ON r.src = last AND r.dst = path[1]", "rels", recursive=RINGS))
+add("trv8_cycles_from", lambda s, d: cycles.detect_cycles(graph(s, d), "part-7", ["connects_to", "located_in"]).select(F.array_join("cycle", ">").alias("cycle")), sql("SELECT array_to_string(list_append(path, path[1]), '>') AS cycle FROM paths JOIN rels r ON r.src = last AND r.dst = path[1] WHERE path[1] IN (SELECT id FROM reach)", "rels", recursive=RINGS + ", " + reach("part-7", 12, "relationship_type IN ('connects_to', 'located_in')")))
 add("trv9_cycles_through", lambda s, d: traverse.cycles_through(graph(s, d), "nation-0", 5).select(F.array_join("cycle", ">").alias("cycle")), sql("SELECT array_to_string(list_append(path, 'nation-0'), '>') AS cycle FROM paths JOIN (SELECT DISTINCT src, dst FROM rels) r ON r.src = last AND r.dst = 'nation-0' WHERE len(path) > 2", "rels", recursive=PATHS.format("nation-0", 5, "nation-0").replace(" AND last <> 'nation-0'", "")))
 ENDS = "SELECT id, count(r) FILTER (WHERE o) AS out_degree, count(r) FILTER (WHERE NOT o) AS in_degree, count(r) AS degree FROM entities LEFT JOIN (SELECT src AS id, true AS o, 1 AS r FROM rels UNION ALL SELECT dst, false, 1 FROM rels) USING (id) GROUP BY id"
 add("trv11_degrees", lambda s, d: traverse.degrees(graph(s, d)), sql(ENDS, "entities", "rels"))

@@ -87,5 +87,13 @@ def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+TABLES = ("region", "nation", "supplier", "customer", "part", "orders", "documents", "lineitem")
+
+
 def graph(spark: SparkSession, sf_dir: str) -> Graph:
-    return Graph(entities(spark, sf_dir), relationships(spark, sf_dir))
+    """The graph; its adjacency is stored when a walk first asks for it, and again
+    when a file of the tables has changed."""
+    from . import adjacency
+
+    plain = Graph(entities(spark, sf_dir), relationships(spark, sf_dir))
+    return Graph(plain.entities, plain.relationships, lambda: adjacency.stored(plain, adjacency.fingerprint(spark, [f"{sf_dir}/{t}.parquet" for t in TABLES])))
