@@ -9,6 +9,11 @@ there is no ORACLE_SQL; tests check ``run`` against brute force.
 
 In all stages a null text is the empty text, empty tables give empty results,
 and texts of any length are read whole.
+
+``run`` deletes what a stage staged, and the folder of the stage before it, once
+the stage's result is written; runs share nothing.  A stage that is called alone
+deletes nothing, as its result still reads what it staged: call it within a
+``workspace.Scope`` and release that when the result is written.
 """
 
 from __future__ import annotations
@@ -20,18 +25,6 @@ from pyspark.sql import functions as F
 
 from vergraph.llm import decontaminate, minhash, packing, quality, repeats, workspace
 
-_tables = workspace.Scope()  # of the stage that ran last
-
-
-def _own_tables(spark: SparkSession, docs: DataFrame) -> workspace.Scope:
-    """What the stage before this one left behind goes, if ``docs`` does not read
-    it; no other table is touched."""
-    global _tables
-    left, _tables = _tables, workspace.Scope()
-    left.release(spark, docs)
-    _tables.paths += left.paths
-    return _tables
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -41,8 +34,7 @@ def select_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Documents whose chance of the top grade is at least one half.  Every row is
     judged by its own text, repeated rows and null ids included; without usable
     labels all stay."""
-    with _own_tables(spark, docs):
-        return quality.select_texts(docs, quality.grades_of(table(spark, sf_dir, "labels")))
+    return quality.select_texts(docs, quality.grades_of(table(spark, sf_dir, "labels")))
 
 
 #: The stage's own threshold; that of op4_minhash is its query's contract.
@@ -53,32 +45,28 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """One row, that of the smallest id, of every group of near-duplicates; of
     repeated rows one stays.  Rows without an id, or without words, are groups of
     their own."""
-    with _own_tables(spark, docs):
-        row = workspace.unused(docs, "row")
-        rows = workspace.with_row_ids(docs, row, "pipeline-rows")
-        kept = minhash.near_duplicates(rows, percent=NEAR_PERCENT, row_col=row).where("kept").select(row)
-        return rows.join(kept, row, "left_semi").select(*docs.columns)
+    row = workspace.unused(docs, "row")
+    rows = workspace.with_row_ids(docs, row, "pipeline-rows")
+    kept = minhash.near_duplicates(rows, percent=NEAR_PERCENT, row_col=row).where("kept").select(row)
+    return rows.join(kept, row, "left_semi").select(*docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages of 200 bytes or more that occur again; rows stay,
     with the empty text if nothing is left.  A null text comes back empty."""
-    with _own_tables(spark, docs):
-        found = repeats.find_repeats(docs, carry=tuple(c for c in docs.columns if c not in ("doc_id", "text")))
-        left = repeats.without_repeats(found).select("doc_id", "text", "carried.*")
-        return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    found = repeats.find_repeats(docs, carry=tuple(c for c in docs.columns if c not in ("doc_id", "text")))
+    left = repeats.without_repeats(found).select("doc_id", "text", "carried.*")
+    return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of the benchmark; every row by its own text."""
-    with _own_tables(spark, docs):
-        return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of training sequences, mixed by source; null sources are one."""
-    with _own_tables(spark, docs):
-        return packing.pack(docs)
+    return packing.pack(docs)
 
 
 STAGES = [
@@ -93,11 +81,14 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; returns the packed pieces."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     folder = f"{workspace.shared_dir(spark)}/vergraph/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:
-        out = stage(spark, docs, sf_dir)
-        out.write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
-    _own_tables(spark, docs)
+        with workspace.Scope() as own:
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+            own.release(spark)
+        if before:
+            workspace.delete(spark, before)
+        before = f"{folder}/{name}"
+        docs = spark.read.parquet(before)
     return docs
