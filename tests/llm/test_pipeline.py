@@ -182,10 +182,34 @@ def test_run_against_brute_force(spark, tmp_path):
     assert pieces.length.sum() == sum(n * k for (_, _, n), k in want.items()) and pieces.sequence_id.max() == (pieces.length.sum() - 1) // 2048
 
 
-def test_other_results_stay(spark):
-    """A stage deletes what the pipeline staged, and no table of a lazy result elsewhere."""
+def test_lazy_results_stay(spark):
+    """Stages called alone delete nothing that a lazy result still reads."""
     docs = spark.createDataFrame([(i, " ".join(f"w{i}x{k}" for k in range(60)), 1) for i in range(4)], "doc_id long, text string, n_chars long")
     lazy = minhash.near_duplicates(docs)
-    corpus_pipeline.drop_near_duplicates(spark, docs, SMALL).count()
+    even = corpus_pipeline.drop_near_duplicates(spark, docs.where("doc_id % 2 = 0"), SMALL)
+    odd = corpus_pipeline.drop_near_duplicates(spark, docs.where("doc_id % 2 = 1"), SMALL)
     corpus_pipeline.select_quality(spark, docs, SMALL).count()
-    assert lazy.where("kept").count() == 4
+    assert (lazy.where("kept").count(), even.count(), odd.count()) == (4, 2, 2)
+
+
+def test_two_runs_at_once(spark, tmp_path):
+    """Runs share nothing, and leave only their results behind."""
+    import os
+    from concurrent.futures import ThreadPoolExecutor
+
+    from vergraph.llm import workspace
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").where("n_chars < 2000")
+    for k in range(2):
+        docs.where(f"doc_id % 2 = {k}").write.parquet(f"{tmp_path}/{k}/documents.parquet")
+        for name in ("labels", "benchmark"):
+            spark.read.parquet(f"{SMALL}/{name}.parquet").write.parquet(f"{tmp_path}/{k}/{name}.parquet")
+    shared = workspace.shared_dir(spark).removeprefix("file:") + "/vergraph"
+    before = set(os.listdir(shared)) if os.path.isdir(shared) else set()
+    with ThreadPoolExecutor(2) as pool:
+        results = list(pool.map(lambda k: corpus_pipeline.run(spark, f"{tmp_path}/{k}"), range(2)))
+    for k, pieces in enumerate(results):
+        ids = {r["doc_id"] % 2 for r in pieces.select("doc_id").distinct().collect()}
+        assert ids == {k}
+    left = set(os.listdir(shared)) - before
+    assert len(left) == 2 and all(os.listdir(f"{shared}/{x}") == ["packing"] for x in left)

@@ -36,7 +36,7 @@ class Scope:
         for path in list(self.paths):
             if not any(path.rsplit("/", 1)[-1] in f for f in files):
                 self.paths.remove(path)
-                _delete(spark, path)
+                delete(spark, path)
 
 
 _scope: ContextVar[Scope] = ContextVar("scope", default=Scope())
@@ -106,7 +106,7 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
@@ -118,7 +118,7 @@ def drop_staged(*tables: DataFrame) -> None:
         for f in df.inputFiles()[:1]:
             for path in [p for p in paths if p.rsplit("/", 1)[-1] in f]:
                 paths.remove(path)
-                _delete(df.sparkSession, path)
+                delete(df.sparkSession, path)
 
 
 def running_start(df: DataFrame, group: list[str], order: list[str], value: Column, out: str, name: str) -> DataFrame:
