@@ -54,7 +54,7 @@ def score_engine(rows: DataFrame, query: str) -> DataFrame:
     n = max(1, len(own))
     wanted = F.array(*[F.lit(t) for t in own]).cast("array<string>")
     overlap = lambda text: F.size(F.array_intersect(tokens(text), wanted))
-    rows = rows.withColumn("_leaves", leaves("content"))
+    rows = rows if "_leaves" in rows.columns else rows.withColumn("_leaves", leaves("content"))
     name = F.when(_contains(F.lower("name"), q), 3.0).otherwise(2.0 * overlap(F.col("name")) / n)
     of_type = F.exists(wanted, lambda t: F.contains(F.col("entity_type"), t)) if own else F.lit(False)
     leaf = lambda e: F.when(_contains(F.lower(e["value"]), q), 1.5).otherwise(overlap(e["value"]) / n)
@@ -129,7 +129,7 @@ def search_replica(rows: DataFrame, query: str, entity_types: list[str] | None =
     if query == "*":
         return rows
     q = query.lower()
-    return rows.where(_contains(F.lower("name"), q) | _contains(content_text("content"), q))
+    return rows.where(_contains(F.lower("name"), q) | _contains(F.col("_text") if "_text" in rows.columns else content_text("content"), q))
 
 
 def score_replica(rows: DataFrame, query: str, partial: float = 1.5, other: float = 1.0) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from vergraph.operators import relations, replica, search, versions as ver
-from vergraph.sources import snapshots, star
+from vergraph.sources import postings, snapshots, star
 from vergraph.streaming.changes import Store, sync_stream
 
 from .oracle import sql
@@ -80,3 +80,15 @@ def _observed(s, d):
 
 
 add("udf2_observed_batches", _observed, sql("SELECT b AS batch, count(DISTINCT id) AS n_rows, count(DISTINCT id) AS top FROM vers, (VALUES (0), (1), (2)) t(b) GROUP BY b", "vers"))
+
+
+# the inverted index over all entities, built from the tables; a change batch of all devices stands in for the older rows
+def _indexed(s, d):
+    index = postings.build(star.entities(s, d))
+    index.add(star.entities(s, d).where("entity_type = 'device'"))
+    return index
+
+
+add("sch5_indexed", lambda s, d: ranked(_indexed(s, d).search_engine("small ring", ["device"]), "name"), _engine_sql("small ring", "0.1"))
+add("sch10_indexed", lambda s, d: _indexed(s, d).search_replica("brand#13").select("id"), sql("SELECT id FROM entities WHERE contains(lower(name), 'brand#13') OR contains(lower(content), 'brand#13')", "entities"))
+add("flt12_indexed", lambda s, d: _indexed(s, d).name_contains("S_all%RING").select("id", "name"), sql("SELECT id, name FROM entities WHERE name ILIKE '%S_all%RING%'", "entities"))
