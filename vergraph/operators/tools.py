@@ -95,14 +95,21 @@ def checked_relationship(graph: Graph, from_id: str, to_id: str, rel_type: str)
     return a.crossJoin(b).where(allowed).select(F.expr("uuid()").alias("id"), "from_entity_id", "from_entity_version", "to_entity_id", "to_entity_version", F.lit(rel_type).alias("relationship_type"), F.lit("{}").alias("properties"))  # single rows
 
 
-def created_entity(graph: Graph, entity_type: str, name: str, content: str, user: str, now: Column) -> DataFrame:
-    """A first version with a new id and no parents (TOL5)."""
+def created_entities(wanted: DataFrame, user: str, now: Column) -> DataFrame:
+    """First versions with new ids and no parents of rows of entity_type, name,
+    content (TOL5); a type that is not known raises when it is met."""
     from vergraph.functions.values import version_text
 
+    known = F.col("entity_type").isin(*ENTITY_TYPES)
+    kind = F.when(known, F.col("entity_type")).otherwise(F.raise_error(F.concat(F.lit("unknown entity type "), F.coalesce("entity_type", F.lit("null")))))
+    return wanted.select(F.expr("uuid()").alias("id"), version_text(now, F.lit(0), F.lit(user)).alias("version"), kind.alias("entity_type"), "name", "content", F.lit(user).alias("user_id"), F.array().cast("array<string>").alias("parent_versions"), F.lit(True).alias("is_latest"))
+
+
+def created_entity(graph: Graph, entity_type: str, name: str, content: str, user: str, now: Column) -> DataFrame:
+    """One of them."""
     if entity_type not in ENTITY_TYPES:
         raise ValueError(f"unknown entity type {entity_type}")
-    one = graph.relationships.sparkSession.createDataFrame([(entity_type, name, content, user)], "entity_type string, name string, content string, user_id string")
-    return one.select(F.expr("uuid()").alias("id"), version_text(now, F.lit(0), F.col("user_id")).alias("version"), "entity_type", "name", "content", "user_id", F.array().cast("array<string>").alias("parent_versions"), F.lit(True).alias("is_latest"))
+    return created_entities(graph.relationships.sparkSession.createDataFrame([(entity_type, name, content)], "entity_type string, name string, content string"), user, now)
 
 
 def updated_entity(graph: Graph, id_: str, changes: str, user: str, now: Column) -> DataFrame:

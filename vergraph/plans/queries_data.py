@@ -103,12 +103,12 @@ add("agg4_marker", lambda s, d: stats.generation_marker(star.versions(s, d)).sel
 
 
 def _appended(s, d):
-    """The last 100 events arrive as one batch on a store that holds the others."""
+    """The last tenth of all events arrives as one batch on a store that holds the others, and a few of these again."""
     v = star.versions(s, d)
     last = v.agg(F.max("server_seq").alias("m"))
     v = v.crossJoin(last)  # one row
-    stored = ver.with_latest_flag(v.where("server_seq <= m - 100"), F.col("server_seq")).drop("m")
-    new = v.where("server_seq > m - 110").withColumn("pos", F.col("server_seq")).drop("m", "server_seq")
+    stored = ver.with_latest_flag(v.where("server_seq <= m - floor(m / 10)"), F.col("server_seq")).drop("m")
+    new = v.where("server_seq > m - floor(m / 10) - 10").withColumn("pos", F.col("server_seq")).drop("m", "server_seq")
     return ver.append_versions(stored, new).groupBy("id").agg(F.count("*").alias("n"), F.max("server_seq").alias("max_seq"), F.max_by("version", F.when(F.col("is_latest"), F.col("server_seq"))).alias("latest"), F.count_if(F.col("is_latest")).alias("n_latest"))
 
 
@@ -160,13 +160,7 @@ add("sch5_blank", lambda s, d: ranked(search.search_engine(star.entities(s, d),
 add("sch6_properties", lambda s, d: ranked(search.search_properties(star.entities(s, d), PROPERTIES, ["device"])), f"SELECT id, CAST(m / 2 AS DOUBLE) AS score FROM (SELECT 'part-' || p_partkey AS id, {MATCH} AS m FROM part) WHERE m > 0 ORDER BY score DESC, id LIMIT 10")
 NEAR = "near AS (SELECT id, min(distance) AS distance FROM (SELECT id, 1 AS distance FROM ways WHERE at_id = 'supplier-1' UNION ALL SELECT b.id, 2 FROM ways a JOIN ways b ON b.at_id = a.id WHERE a.at_id = 'supplier-1' AND a.id <> 'supplier-1') GROUP BY 1)"
 QUERY7 = "CASE WHEN contains(lower(name), 'small ring') THEN 3.0 ELSE 2.0 * len(list_intersect(" + tokens("name") + ", ['ring', 'small'])) / 2 END + CASE WHEN p_type IS NULL THEN 0 WHEN contains(lower(p_type), 'small ring') THEN 3.0 ELSE 2.0 * len(list_intersect(" + tokens("p_type") + ", ['ring', 'small'])) / 2 END"
-add("sch7_connected", lambda s, d: ranked(search.search_connected(_small(s, d), "small ring", "supplier-1"), "distance"), sql(f"SELECT id, distance, round(CAST(score * (1 + 1 / (distance + 1)) AS DOUBLE), 9) AS score FROM (SELECT e.id, distance, {QUERY7} AS score FROM near JOIN entities e USING (id) LEFT JOIN part ON 'part-' || p_partkey = e.id WHERE entity_type <> 'manual') WHERE score > 0 ORDER BY score DESC, id LIMIT 10", "entities", "ways", recursive=NEAR))
-
-
-def _small(s, d):
-    """The graph without manuals, whose texts the SQL does not walk."""
-    g = star.graph(s, d)
-    return type(g)(g.entities.where("entity_type <> 'manual'"), g.relationships)
+add("sch7_connected", lambda s, d: ranked(search.search_connected(star.graph(s, d), "small ring", "supplier-1"), "distance"), sql(f"SELECT id, distance, round(CAST(score * (1 + 1 / (distance + 1)) AS DOUBLE), 9) AS score FROM (SELECT e.id, distance, {QUERY7} AS score FROM near JOIN entities e USING (id) LEFT JOIN part ON 'part-' || p_partkey = e.id) WHERE score > 0 ORDER BY score DESC, id LIMIT 10", "entities", "ways", recursive=NEAR))
 
 
 add("sch8_names", lambda s, d: search.search_names(star.versions(s, d), "user 1", None, 5).select("id", "version"), sql("SELECT id, version FROM (SELECT * FROM (SELECT * FROM vers WHERE name ILIKE '%user 1%' ORDER BY us DESC, id, version LIMIT 15) QUALIFY row_number() OVER (PARTITION BY id ORDER BY us DESC, version) = 1) ORDER BY us DESC, id LIMIT 5", "vers"))

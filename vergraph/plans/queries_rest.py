@@ -43,7 +43,7 @@ def _kept_up(s, d):
 GONE = "gone AS (SELECT id FROM entities WHERE entity_type = 'room' AND CAST(split_part(id, '-', 2) AS INT) % 3 = 0)"
 add("trv20_upkeep_edges", lambda s, d: _kept_up(s, d).relationships.groupBy("relationship_type").agg(F.count("*").alias("n")), sql("SELECT relationship_type, count(*) AS n FROM (SELECT relationship_type, src, dst FROM rels UNION ALL SELECT 'located_in', 'hall', 'nation-0') WHERE src NOT IN (SELECT id FROM gone) AND dst NOT IN (SELECT id FROM gone) GROUP BY 1", "entities", "rels", recursive=GONE))
 add("syn15_upkeep_nodes", lambda s, d: _kept_up(s, d).entities.groupBy("entity_type").agg(F.count("*").alias("n")), sql("SELECT entity_type, count(*) AS n FROM (SELECT id, entity_type FROM entities UNION ALL SELECT 'hall', 'room') WHERE id NOT IN (SELECT id FROM gone) GROUP BY 1", "entities", recursive=GONE))
-add("tol5_create_entity", lambda s, d: tools.created_entity(star.graph(s, d), "room", "Hall", "{}", "me", F.expr("timestamp_ntz'2025-01-01 00:00:00'")).select("entity_type", "name", "version", F.length("id").alias("id_length")), "SELECT 'room' AS entity_type, 'Hall' AS name, '2025-01-01T00:00:00.000000+00:00-000000-me' AS version, 36 AS id_length")
+add("tol5_create_entity", lambda s, d: tools.created_entities(star.table(s, d, "part").select(F.lit("device").alias("entity_type"), F.col("p_name").alias("name"), F.lit("{}").alias("content")), "me", F.expr("timestamp_ntz'2025-01-01 00:00:00'")).select("entity_type", "name", "version", F.length("id").alias("id_length")), "SELECT 'device' AS entity_type, p_name AS name, '2025-01-01T00:00:00.000000+00:00-000000-me' AS version, 36 AS id_length FROM part")
 
 # payloads
 add("prj3_blob_payload", lambda s, d: wire.blob_payload(documents(s, d).select("doc_id", F.col("text").cast("binary").alias("data")), include_data=True), "SELECT doc_id, CASE WHEN text <> '' THEN base64(encode(text)) END AS data FROM documents")

@@ -115,7 +115,7 @@ def _legacy(s, d):
 
 
 add("syn14_legacy_sync", _legacy, sql("SELECT f.id, l.version, f.us AS created_us FROM k f JOIN cur l ON l.id = f.id WHERE f.n = 1", "cur", recursive=RANKED))
-add("syn18_backoff", lambda s, d: s.range(10).select(F.col("id").alias("failures"), backoff_seconds(F.col("id")).alias("seconds")), "SELECT CAST(range AS BIGINT) AS failures, CAST(30 * pow(2, least(range, 6)) AS BIGINT) AS seconds FROM range(10)")
+add("syn18_backoff", lambda s, d: star.table(s, d, "events").groupBy("user_id").agg((F.count_if(F.col("event_type") == "error") % 9).alias("failures")).select("user_id", "failures", backoff_seconds(F.col("failures")).alias("seconds")), "SELECT user_id, failures, CAST(30 * pow(2, least(failures, 6)) AS BIGINT) AS seconds FROM (SELECT user_id, count(*) FILTER (WHERE event_type = 'error') % 9 AS failures FROM events GROUP BY 1)")
 
 # replica
 EDITS = "(SELECT 'user-' || user_id AS id, CASE WHEN event_type = 'click' THEN 'create' ELSE 'update' END AS operation, epoch_us(ts) AS at_us FROM events)"
@@ -131,7 +131,7 @@ def acked(s, d):
 
 PENDING = sql(f"SELECT id, arg_min(operation, at_us) AS operation, min(at_us) AS entry_us FROM {EDITS} WHERE id NOT IN (SELECT id FROM cur WHERE user_id = 'click') GROUP BY id", "cur")
 add("cli3_pending", lambda s, d: replica.pending_state(edits(s, d), acked(s, d)), PENDING)
-add("cli2_push_payload", lambda s, d: replica.push_payload(replica.pending_state(star.entities(s, d).where("entity_type <> 'automation'").select("id", F.lit("update").alias("operation"), F.lit(1).alias("at_us"))), star.entities(s, d), star.relationships(s, d)).select("id", "operation", F.size("relationships").alias("n_edges")), sql("SELECT e.id, 'update' AS operation, count(r.src) AS n_edges FROM entities e LEFT JOIN rels r ON r.src = e.id WHERE entity_type <> 'automation' GROUP BY e.id UNION ALL SELECT src, NULL, count(*) FROM rels WHERE src LIKE 'order-%' GROUP BY src", "entities", "rels"))
+add("cli2_push_payload", lambda s, d: replica.push_payload(replica.pending_state(star.entities(s, d).select("id", F.lit("update").alias("operation"), F.lit(1).alias("at_us"))), star.entities(s, d), star.relationships(s, d)).select("id", "operation", F.size("relationships").alias("n_edges")), sql("SELECT e.id, 'update' AS operation, count(r.src) AS n_edges FROM entities e LEFT JOIN rels r ON r.src = e.id GROUP BY e.id", "entities", "rels"))
 add("cli4_apply_pull", lambda s, d: replica.apply_pull(flagged(s, d).where("server_seq <= 600"), flagged(s, d).where("server_seq > 400")).where("is_latest").select("id", "version"), sql("SELECT id, version FROM cur", "cur"))
 add("cli5_pulled_times", lambda s, d: replica.pulled_times(flagged(s, d).where("is_latest").select("id", "version").union(s.createDataFrame([("x", "no-time")], "id string, version string")), 5).select("id", "updated_us"), sql("SELECT id, us AS updated_us FROM cur UNION ALL SELECT 'x', 5", "cur"))
 TRACK = "(SELECT 'user-' || user_id AS id, epoch_us(ts) AS at_us, CASE event_type WHEN 'error' THEN 'conflict' WHEN 'click' THEN 'synced' ELSE 'pending' END AS status FROM events)"
@@ -143,7 +143,8 @@ add("snk7_replace_edges", lambda s, d: relations.replace_touching(star.relations
 # migration, blobs, documents
 add("mig1_repair", lambda s, d: migrate.repair_versions(star.versions(s, d).withColumn("version", F.replace("version", F.lit("+00:00"), F.lit("+00:00Z"))), star.relationships(s, d))[0].select("id", "version"), sql("SELECT id, version FROM vers", "vers"))
 add("mig2_inline_blobs", lambda s, d: migrate.extract_blobs(star.table(s, d, "documents").select(F.concat(F.lit("doc-"), "doc_id").alias("id"), F.lit("n").alias("name"), F.lit("u").alias("user_id"), F.concat(F.lit('{"mime_type":"image/png","data_b64":"'), F.regexp_replace(F.base64(F.coalesce("text", F.lit("")).cast("binary")), r"\s", ""), F.lit('"}')).alias("content")))[1].select("size", "checksum", "blob_type"), "SELECT octet_length(encode(text)) AS size, sha256(text) AS checksum, 'png' AS blob_type FROM documents WHERE text <> ''")
-add("mig3_blob_types", lambda s, d: s.createDataFrame([("image/JPEG",), ("image/png",), ("application/pdf",), ("text/x",), (None,)], "mime string").select("mime", migrate.blob_type(F.col("mime")).alias("blob_type")), "SELECT * FROM (VALUES ('image/JPEG', 'jpeg'), ('image/png', 'png'), ('application/pdf', 'pdf'), ('text/x', 'data'), (NULL, 'data')) t(mime, blob_type)")
+MIMES = ("image/JPEG", "image/png", "application/pdf", "text/x")
+add("mig3_blob_types", lambda s, d: star.table(s, d, "part").select("p_partkey", migrate.blob_type(F.element_at(F.array(*[F.lit(m) for m in (*MIMES, None)]), F.col("p_size") % 5 + 1)).alias("blob_type")), "SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN 'jpeg' WHEN 1 THEN 'png' WHEN 2 THEN 'pdf' ELSE 'data' END AS blob_type FROM part")
 add("mig4_invariants", lambda s, d: migrate.checked_migration(star.versions(s, d), star.versions(s, d)), sql("SELECT count(*) AS rows_before, count(*) AS rows_after, 0 AS unrepaired, true AS ok FROM vers", "vers"))
 add("blb1_data", lambda s, d: migrate.with_data(star.table(s, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("data"))).select("doc_id", "size", "checksum", "sync_status"), "SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS size, sha256(coalesce(text, '')) AS checksum, 'pending_upload' AS sync_status FROM documents")
 CUT = "substring(text, 1, 300)"
