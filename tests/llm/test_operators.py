@@ -278,7 +278,10 @@ def test_decontaminate(spark, docs, empty):
     assert decontaminate.report(decontaminate.find_contamination(docs, none)).where("contaminated").count() == 0
 
 
-def test_sharding(docs, empty):
+@pytest.mark.parametrize("chunk", [100_000, 2])
+def test_sharding(docs, empty, chunk, monkeypatch):
+    """In one chunk of runs, and in many that come back by file."""
+    monkeypatch.setattr(sharding, "CHUNK", chunk)
     got = sharding.shard_by_load(docs, 3).collect()
     assert len(got) == len(ROWS)
     size = {i: len((t or "").encode()) + 1 for i, t in ROWS}
@@ -306,7 +309,7 @@ def test_runs_are_dealt_as_from_a_heap():
         shards = int(rng.integers(1, 9))
         runs = [(int(x), int(rng.integers(1, 200))) for x in set(rng.integers(1, 50, 6).tolist())] + [(5000, 1)] * int(rng.integers(2))
         loads = [0] * shards
-        for load, got in sharding.schedule(runs, shards):
+        for load, got in sharding.schedule(sorted(runs, reverse=True), [0] * shards):
             want = [0] * shards
             for _ in range(dict(runs)[load]):
                 s = loads.index(min(loads))

@@ -5,9 +5,10 @@ largest first, to the shard with the least bytes so far, taken from a heap.
 The schedule needs only how many groups there are of each load: a run of equal
 loads is dealt to the heap's shards in one step, and then group number i of the
 run, in the order of their digests, gets the shard that the i-th place of the
-run went to.  So the driver holds one pair of numbers for each different load,
-of which there can be no more than the square root of twice all bytes (14
-million at 100 TB), and no group is dealt by anything but its size.
+run went to.  Runs come to the driver in order of their loads, one part
+of a sorted table after another, and what they were dealt goes back as files, so
+that it holds ``CHUNK`` runs and the loads of the shards, whatever the number of
+different loads; no group is dealt by anything but its size.
 
 Groups with at least 1/``grain`` of a shard's fair share, of which there are at
 most shards * grain, are joined by broadcast, so that no task gets all rows of
@@ -22,13 +23,19 @@ An empty table gives an empty result.  Other columns are ignored.
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .workspace import drop_staged, running_start, stage
+from .workspace import drop_staged, new_folder, running_start, stage
 
 GRAIN = 512
+#: Different loads that the driver holds at once.
+CHUNK = 100_000
 
 
 def deal_run(loads: list[int], load: int, n: int) -> list[int]:
@@ -57,10 +64,26 @@ def deal_run(loads: list[int], load: int, n: int) -> list[int]:
     return got
 
 
-def schedule(runs: list[tuple[int, int]], shards: int) -> list[tuple[int, list[int]]]:
-    """For each (load, number of groups), largest load first: how many go to each shard."""
-    loads = [0] * shards
-    return [(load, deal_run(loads, load, n)) for load, n in sorted(runs, reverse=True)]
+def schedule(runs: Iterable[tuple[int, int]], loads: list[int]) -> Iterator[tuple[int, list[int]]]:
+    """For each (load, number of groups), which come largest load first: how many
+    go to each shard.  ``loads`` is brought up to date."""
+    for load, n in runs:
+        yield load, deal_run(loads, load, n)
+
+
+def _dealt(groups: DataFrame, shards: int) -> DataFrame:
+    """load, ends: of the groups of a load, those from 0 to ends[0] go to shard 0,
+    from there to ends[1] to shard 1, and so on."""
+    spark = groups.sparkSession
+    runs = stage(groups.groupBy("load").agg(F.count("*").alias("n")), "shard-runs")
+    folder, kind = new_folder(spark, "shard-ends"), "load long, ends array<long>"
+    plan = schedule(((r["load"], r["n"]) for r in runs.orderBy(F.desc("load")).toLocalIterator()), [0] * shards)
+    while chunk := list(islice(plan, CHUNK)):
+        ends = np.cumsum([got for _, got in chunk], axis=1)
+        flat = pa.ListArray.from_arrays(pa.array(np.arange(len(chunk) + 1) * shards, pa.int32()), pa.array(ends.ravel()))
+        spark.createDataFrame(pa.table({"load": pa.array([load for load, _ in chunk], pa.int64()), "ends": flat}), kind).write.mode("append").parquet(folder)
+    drop_staged(runs)
+    return spark.read.schema(kind).parquet(folder)
 
 
 def shard_by_load(docs: DataFrame, shards: int = 8, grain: int = GRAIN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -70,22 +93,19 @@ def shard_by_load(docs: DataFrame, shards: int = 8, grain: int = GRAIN, id_col:
     group = F.substring(F.unhex(F.sha2(text, 256)), 1, 16)
     rows = stage(docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), group.alias("group")), "shard-rows")
     groups = stage(rows.groupBy("group").agg(F.sum("size").alias("load")), "shard-groups")
-    runs = groups.groupBy("load").agg(F.count("*").alias("n"))
-    plan = schedule([(r["load"], r["n"]) for r in runs.collect()], shards)  # one row per different load
+    total = groups.agg(F.sum("load")).first()[0]
     empty = "doc_id {}, size long, text_crc32 long, law string, shard int, slot long, grown_shard int"
-    if not plan:
+    if total is None:
         return spark.createDataFrame([], empty.format(rows.schema["doc_id"].dataType.simpleString()))
-    ends = [[load, *[sum(got[: s + 1]) for s in range(shards)]] for load, got in plan]
-    bounds = spark.createDataFrame([(e[0], e[1:]) for e in ends], "load long, ends array<long>")
+    bounds = _dealt(groups, shards)
     ranked = running_start(groups, ["load"], ["group"], F.lit(1), "place", "shard-ranks")
     shard = F.size(F.filter("ends", lambda e: e <= F.col("place"))).cast("int")
     placed = stage(ranked.join(bounds, "load").select("group", "load", shard.alias("shard")), "shard-placed")
-    total = sum(load * sum(got) for load, got in plan)
     floor = max(1, total // (shards * grain))
     large, small = placed.where(F.col("load") >= floor).select("group", "shard"), placed.where(F.col("load") < floor).select("group", "shard")
     marked = rows.join(F.broadcast(large.withColumnRenamed("shard", "large")), "group", "left")  # at most shards * grain rows
     out = marked.where("large is not null").select("doc_id", "size", "text_crc32", F.col("large").alias("shard"))
     out = out.union(marked.where("large is null").join(small.hint("merge"), "group").select("doc_id", "size", "text_crc32", "shard"))
     out = running_start(stage(out, "shard-dealt"), ["shard"], ["doc_id"], F.lit(1), "slot", "shard-slots")
-    drop_staged(ranked, rows, groups, placed)
+    drop_staged(ranked, rows, groups, placed, bounds)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

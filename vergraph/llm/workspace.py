@@ -82,14 +82,20 @@ def freeing_shuffles(spark: SparkSession):
         spark.conf.set(SHUFFLE_CLEANUP, before)
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """The path of a staged table that is still to be written."""
+    path = f"{shared_dir(spark)}/vergraph/{name}-{uuid.uuid4().hex}"
+    _scope.get().paths.append(path)
+    return path
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet and go on from the files: lineage ends here,
     and a lost executor costs no recomputation of what lies before."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/vergraph/{name}-{uuid.uuid4().hex}"
+    path = new_folder(spark, name)
     with freeing_shuffles(spark):
         df.write.option("compression", "zstd").parquet(path)
-    _scope.get().paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
