@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from vergraph.functions.values import is_tombstoned
 from vergraph.operators import relations, replica, search, versions as ver
-from vergraph.sources import postings, snapshots, star
+from vergraph.sources import change_log, digest_tree, postings, snapshots, star
 from vergraph.streaming.changes import Store, sync_stream
 
 from .oracle import sql
@@ -92,3 +93,36 @@ def _indexed(s, d):
 add("sch5_indexed", lambda s, d: ranked(_indexed(s, d).search_engine("small ring", ["device"]), "name"), _engine_sql("small ring", "0.1"))
 add("sch10_indexed", lambda s, d: _indexed(s, d).search_replica("brand#13").select("id"), sql("SELECT id FROM entities WHERE contains(lower(name), 'brand#13') OR contains(lower(content), 'brand#13')", "entities"))
 add("flt12_indexed", lambda s, d: _indexed(s, d).name_contains("S_all%RING").select("id", "name"), sql("SELECT id, name FROM entities WHERE name ILIKE '%S_all%RING%'", "entities"))
+
+
+def _halves(s, d):
+    """The versions of the first nine tenths of all events, and of all."""
+    v = star.versions(s, d)
+    top = v.agg(F.max("server_seq").alias("m"))
+    v = v.crossJoin(top)  # one row
+    return v.where("server_seq <= floor(m * 9 / 10)").drop("m"), v.where("server_seq > floor(m * 9 / 10)").drop("m")
+
+
+def _differing(s, d):
+    """Two stores, one of which lacks the last tenth of the events."""
+    now = lambda v: ver.with_latest_flag(v, F.col("server_seq")).where("is_latest").select("id", "version")
+    folder, (early, late) = snapshots.shared_folder(s, "ranges"), _halves(s, d)
+    a, b = digest_tree.KeptRows(s, f"{folder}/a").write(now(early)), digest_tree.KeptRows(s, f"{folder}/b").write(now(early.unionByName(late)))
+    return digest_tree.differing(a, b)
+
+
+add("agg6_differing_ids", _differing, sql("SELECT c.id, e.version AS version_a, c.version AS version_b FROM cur c LEFT JOIN (SELECT * FROM vers WHERE server_seq <= (SELECT max(server_seq) * 9 // 10 FROM vers) QUALIFY row_number() OVER (PARTITION BY id ORDER BY server_seq DESC) = 1) e ON e.id = c.id WHERE e.version IS DISTINCT FROM c.version", "cur"))
+
+
+def _log(s, d):
+    """The change feed in two appends."""
+    log = change_log.ChangeLog(s, snapshots.shared_folder(s, "feed"), "id string, version string, content string, server_seq long", block=1000)
+    early, late = (v.select("id", "version", "content", "server_seq") for v in _halves(s, d))
+    log.append(early)
+    before = early.groupBy("id").agg(F.max("server_seq").alias("server_seq"))
+    log.append(late, before.join(late.select("id").distinct(), "id", "left_semi"))
+    return log
+
+
+add("syn10_log_page", lambda s, d: _log(s, d).page(5000, 50).select("id", "version", F.when(is_tombstoned(F.col("content")), "delete").otherwise("update").alias("change_type"), "server_seq"), sql("SELECT id, version, CASE WHEN deleted THEN 'delete' ELSE 'update' END AS change_type, server_seq FROM cur WHERE server_seq > 5000 ORDER BY server_seq LIMIT 50", "cur"))
+add("flt16_log_rows", lambda s, d: _log(s, d).blocks(0, 1 << 60).select("id", "version", "server_seq"), sql("SELECT id, version, server_seq FROM cur", "cur"))
