@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from vergraph.functions import text
 from vergraph.functions.values import difference_ms, is_tombstoned, list_field, merged_content, micros, repaired_version, text_field, version_text, version_time
-from vergraph.operators import migrate, relations, replica, search, similarity, stats, sync, tools, traverse, versions as ver, wire
+from vergraph.operators import differences, migrate, relations, replica, search, similarity, stats, sync, tools, traverse, versions as ver, wire
+from vergraph.plans.graph import Graph, cut
 from vergraph.sources import star
 
 from .oracle import PIN, sql
@@ -40,9 +41,21 @@ def _kept_up(s, d):
     return relations.upkeep(g, gone.unionByName(new), edge)
 
 
+def _batch(s, d):
+    """Every third room goes, and every connection becomes a location."""
+    g = star.graph(s, d)
+    g = Graph(cut(g.entities), cut(g.relationships))
+    gone = g.latest().where("entity_type = 'room' and cast(split_part(id, '-', 2) as int) % 3 = 0").withColumn("content", F.lit('{"deleted":true}')).withColumn("pos", F.lit(1))
+    moved = g.relationships.where("relationship_type = 'connects_to'").withColumn("relationship_type", F.lit("located_in")).withColumn("pos", F.lit(1))
+    return differences.kept_up(differences.counted(g), differences.differences(g, gone, moved))
+
+
 GONE = "gone AS (SELECT id FROM entities WHERE entity_type = 'room' AND CAST(split_part(id, '-', 2) AS INT) % 3 = 0)"
 add("trv20_upkeep_edges", lambda s, d: _kept_up(s, d).relationships.groupBy("relationship_type").agg(F.count("*").alias("n")), sql("SELECT relationship_type, count(*) AS n FROM (SELECT relationship_type, src, dst FROM rels UNION ALL SELECT 'located_in', 'hall', 'nation-0') WHERE src NOT IN (SELECT id FROM gone) AND dst NOT IN (SELECT id FROM gone) GROUP BY 1", "entities", "rels", recursive=GONE))
 add("syn15_upkeep_nodes", lambda s, d: _kept_up(s, d).entities.groupBy("entity_type").agg(F.count("*").alias("n")), sql("SELECT entity_type, count(*) AS n FROM (SELECT id, entity_type FROM entities UNION ALL SELECT 'hall', 'room') WHERE id NOT IN (SELECT id FROM gone) GROUP BY 1", "entities", recursive=GONE))
+LEFT = "SELECT CASE relationship_type WHEN 'connects_to' THEN 'located_in' ELSE relationship_type END AS kind, src, dst FROM rels WHERE src NOT IN (SELECT id FROM gone) AND dst NOT IN (SELECT id FROM gone)"
+add("agg1_differences", lambda s, d: _batch(s, d).types, sql(f"SELECT 'entity' AS what, entity_type AS type, count(*) AS n FROM entities WHERE id NOT IN (SELECT id FROM gone) GROUP BY 2 UNION ALL SELECT 'relationship', kind, count(*) FROM ({LEFT}) GROUP BY 2", "entities", "rels", recursive=GONE))
+add("trv20_differences", lambda s, d: _batch(s, d).degrees, sql(f"SELECT id, CAST(sum(o) AS BIGINT) AS out_degree, CAST(sum(i) AS BIGINT) AS in_degree FROM (SELECT src AS id, 1 AS o, 0 AS i FROM ({LEFT}) UNION ALL SELECT dst, 0, 1 FROM ({LEFT})) GROUP BY 1", "entities", "rels", recursive=GONE))
 add("tol5_create_entity", lambda s, d: tools.created_entities(star.table(s, d, "part").select(F.lit("device").alias("entity_type"), F.col("p_name").alias("name"), F.lit("{}").alias("content")), "me", F.expr("timestamp_ntz'2025-01-01 00:00:00'")).select("entity_type", "name", "version", F.length("id").alias("id_length")), "SELECT 'device' AS entity_type, p_name AS name, '2025-01-01T00:00:00.000000+00:00-000000-me' AS version, 36 AS id_length FROM part")
 
 # payloads
