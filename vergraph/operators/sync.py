@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vergraph.functions.values import is_tombstoned, remote_wins, resolution_reason, version_micros
+from vergraph.plans.graph import cut, send_package
 
 from .versions import as_change, changed_since, filtered, numbered
 
@@ -89,6 +90,7 @@ def apply_changes(stored: DataFrame, changes: DataFrame) -> DataFrame:
     ``changes``: pos (order of arrival), apply_us (server time), change_type
     (create, update, delete), id, version, content, parent_versions.  A change
     without a version is never inserted."""
+    send_package(changes.sparkSession)
     gone = is_tombstoned(F.col("content")).alias("deleted")
     none = F.lit(None)
     held = stored.join(changes.select("id").distinct(), "id", "left_semi").select(
@@ -121,8 +123,9 @@ def apply_batch(stored: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataF
     new = inserted_rows(log, changes)
     last = Window.partitionBy("id").orderBy(F.desc(F.when(F.col("becomes_latest"), F.col("pos"))))
     new = new.withColumn("is_latest", F.col("becomes_latest") & (F.row_number().over(last) == 1))
+    new = cut(new)
     top = stored.agg(F.coalesce(F.max("server_seq"), F.lit(0)).alias("_top"))
-    new = numbered(new, ["pos", "id", "version"], "server_seq").crossJoin(top).withColumn("server_seq", (F.col("server_seq") + F.col("_top")).cast("long"))  # one row
+    new = numbered(new, ["pos", "id", "version"], "server_seq", new.count()).crossJoin(top).withColumn("server_seq", (F.col("server_seq") + F.col("_top")).cast("long"))  # one row
     moved = new.where("is_latest").select("id", F.lit(True).alias("_moved"))
     kept = stored.join(moved, "id", "left").withColumn("is_latest", F.col("is_latest") & F.col("_moved").isNull()).drop("_moved")
     return kept.unionByName(new.drop("_top", "pos", "becomes_latest"), allowMissingColumns=True), log

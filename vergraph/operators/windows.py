@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vergraph.plans.graph import send_package
+
 WINDOW_US, MOST_ATTEMPTS, LOCKOUT_S, MOST_DELAY = 300_000_000, 5, 900, 5
 
 
@@ -88,6 +90,7 @@ def limited(attempts: DataFrame) -> DataFrame:
             allowed, wait = (pa.array([o[i] for o in out], t) for i, t in ((0, pa.bool_()), (1, pa.int64())))
             yield pa.record_batch([batch.column(0), batch.column(1), allowed, wait], ["identifier", "at_us", "allowed", "retry_after_s"])
 
+    send_package(attempts.sparkSession)
     rows = attempts.where("at_us is not null").select("identifier", F.col("at_us").cast("long").alias("at_us"), F.coalesce("success", F.lit(False)).alias("success"))
     return rows.repartition("identifier").sortWithinPartitions("identifier", "at_us", "success").mapInArrow(run, LIMITED)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -23,6 +25,19 @@ def shared_place(spark: SparkSession) -> str:
     return place.rstrip("/")
 
 
+_sent: set[str] = set()
+
+
+def send_package(spark: SparkSession) -> None:
+    """Have Python workers import this package wherever they run: once for an application."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _sent:
+        package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        name = os.path.join(tempfile.mkdtemp(prefix="vergraph-package-"), f"vergraph_graph_{sc.applicationId}")
+        sc.addPyFile(shutil.make_archive(name, "zip", os.path.dirname(package), os.path.basename(package)))
+        _sent.add(sc.applicationId)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in the folder that the executors share."""
     sc = df.sparkSession.sparkContext

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from vergraph.functions.text import content_text, leaves, python_tokens, tokens
 from vergraph.operators import search, versions
-from vergraph.plans.graph import cut, shared_place
+from vergraph.plans.graph import cut, send_package, shared_place
 
 #: Rows to a bucket, about; small indexes have at least so many buckets.
 BUCKET_ROWS, LEAST_BUCKETS = 1_000_000, 8
@@ -176,6 +176,7 @@ class SearchIndex:
 def build(rows: DataFrame) -> SearchIndex:
     """An index of current rows (id, entity_type, name, content), in the shared folder."""
     spark = rows.sparkSession
+    send_package(spark)
     index = SearchIndex(spark, f"{shared_place(spark)}/vergraph/search-{uuid.uuid4().hex}")
     index._write(prepared(rows))
     return index

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vergraph.functions.values import version_text
-from vergraph.plans.graph import Graph
+from vergraph.plans.graph import Graph, send_package
 
 SEED_VERSION = "2024-01-01T00:00:00.000000+00:00-000000-loader"
 
@@ -21,6 +21,7 @@ def _node(df: DataFrame, kind: str, id_: str, name: str, content: str) -> DataFr
 
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, version, entity_type, name, content, is_latest: one row per node."""
+    send_package(spark)
     t = lambda n: table(spark, sf_dir, n)
     cents = "cast(round({} * 100) as bigint)"
     parts = [

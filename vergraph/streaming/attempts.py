@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from vergraph.operators.windows import LIMITED, WINDOW_US, Limiter
+from vergraph.plans.graph import send_package
 
 
 def _due_ms(at_us: int) -> int:
@@ -73,6 +74,7 @@ def limited_stream(attempts: DataFrame, late: str = "10 minutes") -> DataFrame:
     watermark, ``late`` behind the newest attempt, is past it; attempts that are
     later than that are left out.  Start the query within ``changes.keyed_state``.
     ``attempts``: identifier, at_us, success; identifier, at_us, allowed, retry_after_s come out."""
+    send_package(attempts.sparkSession)
     rows = attempts.where("at_us is not null").select(F.coalesce("identifier", F.lit("")).alias("identifier"), "at_us", F.coalesce("success", F.lit(False)).alias("success"), F.timestamp_micros("at_us").alias("at")).withWatermark("at", late)
     return rows.groupBy("identifier").transformWithStateInPandas(Limits(), LIMITED, "Append", "EventTime")
 

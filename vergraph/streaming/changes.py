@@ -24,6 +24,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from vergraph.functions.values import is_tombstoned, version_micros
 from vergraph.operators.sync import acknowledgements, fold_change, stored_content
 from vergraph.operators.versions import numbered
+from vergraph.plans.graph import send_package
 
 STORE = "id string, version string, is_latest boolean, updated_us long, content string, server_seq long"
 LOG = "id string, pos int, outcome string, becomes_latest boolean, inserted boolean, version string, parents array<string>, resolved_version string, reason string, change_type string, content string, apply_us long"
@@ -141,6 +142,7 @@ class Store:
 def folded(changes: DataFrame, stored: DataFrame | None = None) -> DataFrame:
     """The log of a stream of changes (those of ``sync.apply_changes``), by keyed
     state that starts from ``stored`` rows (SYN2 to SYN7)."""
+    send_package(changes.sparkSession)
     gone = is_tombstoned(F.col("content")).alias("deleted")
     rows = changes.select(F.coalesce("id", F.lit("")).alias("id"), "pos", "apply_us", "change_type", "version", "parent_versions", version_micros(F.col("version")).alias("remote_us"), gone, "content")
     first = stored.select("id", "version", "is_latest", "updated_us", gone).groupBy("id") if stored is not None else None
