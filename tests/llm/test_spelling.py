@@ -67,6 +67,18 @@ def test_against_all_pairs(spark, most, block):
     assert any(r[2] not in (r[0], r[1]) for r in want)  # a chain
 
 
+def test_lengths_around_powers_of_two(spark):
+    """A pair of which one word is one longer meets wherever the lengths lie."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for k, size in enumerate([15, 16, 17, 31, 32, 33, 63, 64, 65]):
+        word = "".join("abcé"[i] for i in rng.integers(0, 4, size))
+        at = int(rng.integers(0, size + 1))
+        rows.append((k, f"{word} " * 40 + f"{word[:at]}z{word[at:]} " * 3))
+    got = spelling.variants(frame(spark, rows))
+    assert sorted((tuple(r) for r in got.collect()), key=str) == plain(rows)
+
+
 def test_empty(spark):
     assert spelling.variants(frame(spark, [])).count() == 0
     assert spelling.variants(frame(spark, [(1, None), (2, "short words only here")])).count() == 0

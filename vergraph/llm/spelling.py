@@ -203,8 +203,9 @@ def compare(table: pa.Table) -> pa.Table:
 
 
 def _in_blocks(lists: DataFrame, block_bytes: int) -> DataFrame:
-    """Lists of words of like length go together, up to about ``block_bytes``."""
-    rows = lists.withColumn("width", F.ceil(F.log2(F.greatest(F.octet_length("word"), F.lit(16)).cast("double"))).cast("int"))
+    """Lists of words of like length go together, up to about ``block_bytes``.  The
+    list's own length counts: its words, which may be one longer, stay together."""
+    rows = lists.withColumn("width", F.ceil(F.log2(F.greatest(F.col("part.base"), F.lit(16)).cast("double"))).cast("int"))
     sizes = rows.groupBy("width").agg(F.count("*").alias("n")).collect()  # one row for each power of two
     blocks = F.create_map(*[F.lit(v) for r in sizes for v in (r["width"], max(1, -(-(r["n"] << r["width"]) // block_bytes)))]) if sizes else F.create_map(F.lit(0), F.lit(1))
     dealt = rows.select("word", "n", "part.base", "part.start", "part.end", "width", F.pmod("list", blocks[F.col("width")].cast("long")).alias("block"))
