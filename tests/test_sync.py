@@ -170,3 +170,19 @@ def test_latest_is_unique(spark):
     flags = ver.with_latest_flag(rows, F.col("created_at"))
     assert {(r["id"], r["version"]) for r in flags.where("is_latest").collect()} == {("a", "v2"), ("b", "v1")}
     assert [r["server_seq"] for r in ver.numbered(rows, ["created_at", "id"], "server_seq").orderBy("server_seq").collect()] == [1, 2, 3]
+
+
+def test_fold_of_sides_that_are_dealt_by_id(spark):
+    """Stored rows and changes are dealt once more after their union, though both were
+    dealt by id before: parts that are merged while it runs are not parts of the union."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    stored = spark.createDataFrame([(f"e{i}", "v1", True, 1, "{}") for i in range(20)], "id string, version string, is_latest boolean, updated_us long, content string").repartition(n, "id")
+    changes = spark.createDataFrame([(i, 2, "update", f"e{i}", "v2", "{}", ["v1"]) for i in range(20)], "pos int, apply_us long, change_type string, id string, version string, content string, parent_versions array<string>").repartition(n, "id")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        log = sync.apply_changes(stored, changes)
+        above = log._jdf.queryExecution().executedPlan().toString().partition("Union")[0]
+        assert "Exchange hashpartitioning" in above
+        assert {r["outcome"] for r in log.collect()} == {"fast_forward"}
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
