@@ -83,4 +83,5 @@ def test_change_log_pages(spark, tmp_path):
     assert sorted(r["server_seq"] for r in log.blocks(0, 1 << 40).collect()) == sorted(current.values())
     one = log._read("rows", log.columns, 9, 10)
     assert {r["server_seq"] // 100 for r in one.collect()} == {9} and one.count() <= 100  # of 1,120
+    assert all("/block=9/" in f for f in one.inputFiles())  # other folders are not listed
     assert log.page(10_000).count() == 0 and ChangeLog(spark, f"{tmp_path}/none", log.columns).page(0).count() == 0
