@@ -135,3 +135,20 @@ def test_a_batch_costs_what_it_brings(spark, tmp_path):
     assert store._numbers("snapshots") == [-1]
     rows = store.rows()
     assert (rows.count(), rows.where("is_latest").count(), rows.where("is_latest and version = 'v2'").count()) == (20_020, 20_000, 10)
+
+
+def test_micro_batches_are_written_by_many_tasks(spark):
+    """What is fed to the stream comes from as many tasks as there are, not from one a micro-batch."""
+    from glob import glob
+
+    from vergraph.plans.queries_sync import QUERIES as sync_queries
+
+    shared = spark.conf.get("spark.checkpoint.dir")
+    before = set(glob(f"{shared}/vergraph/sync-*"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sync_queries["syn1_sync_stream"][0](spark, "/root/testdata/sf0.001")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    (folder,) = set(glob(f"{shared}/vergraph/sync-*")) - before
+    assert len(glob(f"{folder}/in/*.parquet")) > 3 and len(glob(f"{folder}/store/added/*")) == 3
