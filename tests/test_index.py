@@ -67,3 +67,16 @@ def test_kept_up_from_changes(spark, kept):
     index.compact()
     assert index.delta is None
     same_as_scans(spark, index, rows, ["small ring", "light"])
+
+
+def test_postings_of_a_term_are_dealt(spark, monkeypatch):
+    """A term of every row is written by several tasks, to one bucket."""
+    monkeypatch.setattr(postings, "PART_ROWS", 20)
+    monkeypatch.setattr(postings, "TASK_ROWS", 5)
+    rows = spark.createDataFrame([(f"e{i}", "device", "Small Ring", '{"a":"b"}') for i in range(160)], SCHEMA)
+    index = postings.build(rows)
+    term = spark.table(index.terms_table).where(F.col("term") == postings.NAME + "sma")
+    files = {r["f"] for r in term.select(F.input_file_name().alias("f")).distinct().collect()}
+    assert term.count() == 160 and len(files) > 2
+    assert len({f.rsplit("_", 1)[1] for f in files}) == 1  # the bucket is in the file's name
+    assert index.name_contains("small").count() == 160
