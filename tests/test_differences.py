@@ -2,8 +2,11 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from vergraph.operators import differences
 from vergraph.plans.graph import Graph, cut
+from vergraph.sources import star
 
 NODES = "id string, version string, entity_type string, name string, content string, is_latest boolean, pos int"
 EDGES = "id string, from_entity_id string, from_entity_version string, to_entity_id string, to_entity_version string, relationship_type string, properties string, pos int"
@@ -42,3 +45,18 @@ def test_random_batches(spark):
         assert (total["total_entities"], total["total_relationships"]) == (loaded.entities.count(), loaded.relationships.count())
         ids = {r[c] for r in loaded.relationships.collect() for c in ("from_entity_id", "to_entity_id")}
         assert {r["id"] for r in counts.connected().collect()} == ids and total["connected_entities"] == len(ids)
+
+
+def test_retyped_edges_are_not_made(spark, monkeypatch):
+    """Nodes go and come, and all edges of a type change it: as by the edges themselves."""
+    g = star.graph(spark, "/root/testdata/sf0.001")
+    kept = g.entities.where("id <> 'supplier-4'")
+    g = Graph(kept, g.relationships, source=g.source)
+    nodes = g.latest().where("id rlike '^(customer|supplier|nation)-.*[37]$'").withColumn("content", F.lit('{"deleted":true}'))
+    nodes = cut(nodes.unionByName(star.entities(spark, "/root/testdata/sf0.001").where("id = 'supplier-4'")).withColumn("pos", F.lit(1)))
+    edges = g.relationships.where("relationship_type = 'connects_to'").withColumn("relationship_type", F.lit("located_in")).withColumn("pos", F.lit(1))
+    want = differences.counted(differences.applied(Graph(g.entities, g.relationships), nodes, edges))
+    want = [sorted(map(tuple, df.collect())) for df in (want.types, want.degrees)]
+    monkeypatch.setattr(star, "_near", None)
+    got = differences.kept_up(differences.counted(g), differences.retyped(g, nodes, ["connects_to"], "located_in"))
+    assert [sorted(map(tuple, df.collect())) for df in (got.types, got.degrees)] == want
