@@ -108,3 +108,27 @@ def test_a_fit_is_near_a_minimum():
         place = place - 0.5 * slope
     assert start - reached > 0.85 * (start - of(place))
     assert all(np.sign(model.w[k]) == np.sign(place[2 + k]) for k in signs)
+
+
+def test_features_come_to_the_driver_in_pieces(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, " ".join(f"w{i * k % 97}" for k in range(1 + i % 23))) for i in range(120)], "doc_id long, text string")
+    graded = docs.selectExpr("doc_id", "cast(doc_id % 3 as int) as grade")
+    whole = quality.fit(docs, graded)
+    came, fetch = [], type(docs).toArrow
+
+    def fetched(df):
+        table = fetch(df)
+        if "index" in table.column_names:
+            came.append(sum(len(x.as_py()) for x in table["index"]))
+        return table
+
+    monkeypatch.setattr(type(docs), "toArrow", fetched)
+    monkeypatch.setattr(quality, "PIECE_BYTES", 2_000, raising=False)
+    pieces = quality.fit(docs, graded)
+    assert len(came) > 1 and max(came) <= 2_000
+    assert np.array_equal(whole.w, pieces.w) and np.array_equal(whole.t, pieces.t)
+    # a row that is larger than a piece comes alone; what is over the bound of all stays away
+    came.clear()
+    monkeypatch.setattr(quality, "PIECE_BYTES", 1)
+    quality.fit(docs, graded, max_bytes=1_000)
+    assert len(came) > 1 and sum(came) <= 1_000

@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +33,8 @@ from .kernels import ALNUM, NOT_SPACE, U64, Words, binary_rows, slices
 from .workspace import ship, stage
 
 BITS, MAX_LABELLED, MAX_BYTES, LEAST = 18, 20_000, 64 << 20, 0.5
+#: Bytes of features that come to the driver at a time, or one row's.
+PIECE_BYTES = 4 << 20
 EDGES = np.array([0.01, 0.02, 0.04, 0.07, 0.1, 0.15, 0.2, 0.3, 0.45, 0.6, 0.8])
 
 
@@ -142,15 +145,23 @@ def fit(docs: DataFrame, graded: DataFrame, grades: int = 3, max_labelled: int =
     numbered = spark.createDataFrame([(i, r["doc_id"], r["grade"]) for i, r in enumerate(sample)], usable.select(F.lit(0).alias("label"), "doc_id", "grade").schema)
     found = docs.select("doc_id", "text").join(F.broadcast(numbered), "doc_id").select("label", "grade", "text").mapInArrow(_features, "label int, grade int, index binary")
     found = stage(found.groupBy("label", "grade").agg(F.min("index").alias("index")), "quality-features")
-    sizes = found.select("label", F.octet_length("index").alias("n")).orderBy("label").toPandas()  # at most max_labelled rows
-    fitting = sizes.label[sizes.n.cumsum() <= max(max_bytes, sizes.n.iloc[0] if len(sizes) else 0)]
-    if not len(fitting):
+    sizes = found.select("label", F.octet_length("index").alias("n")).orderBy("label").toArrow()  # at most max_labelled rows
+    labels, ends = (sizes["label"].to_numpy(), np.cumsum(sizes["n"].to_numpy(), dtype=np.int64))
+    fitting = int(np.searchsorted(ends, max(max_bytes, ends[0] if len(ends) else 0), side="right"))
+    if not fitting:
         return None
-    found = found.where(F.col("label") <= int(fitting.max())).toPandas()
+    pieces, at = [], 0
+    while at < fitting:
+        end = int(np.searchsorted(ends[:fitting], (ends[at - 1] if at else 0) + PIECE_BYTES, side="right"))
+        end = max(end, at + 1)
+        pieces.append(found.where(F.col("label").between(int(labels[at]), int(labels[end - 1]))).select("grade", "index").toArrow())
+        at = end
+    held = pa.concat_tables(pieces)
+    held = held.append_column("n", pc.binary_length(held["index"]))
+    order = pc.sort_indices(held, [("grade", "ascending"), ("n", "ascending"), ("index", "ascending")]).to_numpy()  # whatever order the rows come in
+    rows = [np.frombuffer(x.as_buffer(), "<i4") for x in held["index"]]  # views, not copies
     model = CumulativeLink(grades)
-    rows = [np.frombuffer(x, "<i4") for x in found["index"]]
-    order = sorted(range(len(rows)), key=lambda i: (found["grade"][i], len(rows[i]), rows[i].tobytes()))  # whatever order the rows come in
-    model.fit([rows[i] for i in order], found["grade"].to_numpy()[order])
+    model.fit([rows[i] for i in order], held["grade"].to_numpy()[order])
     return model
 
 
