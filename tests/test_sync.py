@@ -203,3 +203,17 @@ def test_edges_rewritten_in_place(spark):
     want = sync.edge_changes(known, edges, batch)[0]
     got = sync.rewritten_edges(known, star.KeyedEdges(spark, small).of_types(types), patch)
     assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+
+
+def test_repeated_events_are_one_stored_row_and_one_change(spark, tmp_path):
+    import duckdb
+
+    from vergraph.plans import queries_sync
+
+    rows = "SELECT e.* FROM '/root/testdata/sf0.001/events.parquet' e, range(3)"
+    duckdb.sql(f"COPY ({rows}) TO '{tmp_path}/events.parquet'")
+    query, text = queries_sync.QUERIES["syn4_blind_update"]
+    with duckdb.connect() as db:
+        db.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+        want = db.execute(text).fetchall()
+    assert sorted(map(tuple, query(spark, str(tmp_path)).collect())) == sorted(want)
