@@ -1,11 +1,11 @@
 """Cycles by strongly connected components, without a walk in one task.
 
-Edges that cannot lie on a cycle are trimmed away.  Of what is left every id
-takes the smallest id that reaches it as its colour; what also reaches its own
-colour's id backwards is that id's component; the rest goes round again.  Inside a
-component every edge lies on a cycle, and a tree out of the component's smallest
-id and one into it give each edge a closed simple path.  Every step is a join over
-all components at once; the driver sees counts only.
+Edges that cannot lie on a cycle are trimmed away, whole kinds of them before any is
+read or made.  Of what is left every id takes the smallest id that reaches it as its
+colour; what also reaches its own colour's id backwards is that id's component; the
+rest goes round again.  Inside a component every edge lies on a cycle, and a tree out
+of the component's smallest id and one into it give each edge a closed simple path.
+Every step is a join over all components at once; the driver sees counts only.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from .traverse import bfs
 
 
 def _edges(graph: Graph, rel_types: list[str] | None) -> DataFrame:
-    steps = graph.steps(rel_types, known=False)
+    steps = graph.steps(rel_types, known=False).on_cycles()
     edges = cut(steps.edges.select("src", "dst").distinct())
     steps.done()
     return edges
